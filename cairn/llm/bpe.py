@@ -7,8 +7,7 @@ pair in the tree can merge. Many pretokens are encoded at once as rows of one ar
 a few long ones each get a tree of their own.
 
 The vocabulary file is a parameter and read where a task runs, so executors need it at that
-path. Texts are cut before a space that non-space follows, where a pretoken always begins, and
-the pieces' results are kept in a cache of bounded size.
+path. Pretokens that a worker has met are kept in a cache of two bounded generations.
 
 Cases: a null text counts as empty and has no tokens; special tokens of the file are recognised
 in the text as the tokenizers library does; white-space runs and pretokens of any length are
@@ -19,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -32,12 +32,12 @@ from cairn.session import arrow_batches
 #: The public pattern that splits text before byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 SPLIT = regex.compile(PATTERN)
-#: A piece ends where a space stands before non-space.
-PIECE = regex.compile(r" (?=\P{White_Space})")
-#: Space before more white space: then pieces can't be had by splitting at spaces alone.
-RUNS = regex.compile(r" (?:\p{White_Space}|\Z)")
+#: The same for texts of ASCII and Latin letters, where the standard library's classes agree.
+LATIN = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+NOT_LATIN = re.compile("[^\t-\r -~À-ÖØ-öø-ɏ]")
 FAR = np.int64(1) << 62
 SHIFT = 32
+SLOT_BITS = 19
 
 
 def byte_symbols() -> dict[str, int]:
@@ -50,13 +50,14 @@ def byte_symbols() -> dict[str, int]:
 class Encoder:
     """The merges and tokens of one vocabulary file."""
 
-    def __init__(self, path: str, cache_pieces: int = 150_000):
+    def __init__(self, path: str, cache_words: int = 120_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: bytes(symbols[c] for c in s) for s, i in vocab.items()}
         self.bytes_of |= {i: s.encode("utf-8") for s, i in self.special.items()}
+        self.decimal = [str(i) for i in range(max(self.bytes_of) + 1)]
         self.byte_id = np.zeros(256, np.int64)
         for c, b in symbols.items():
             self.byte_id[b] = vocab[c]
@@ -65,13 +66,29 @@ class Encoder:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.pairs[vocab[a], vocab[b]] = rank
             self.merged.append(vocab[a + b])
-        keys = np.array([a << 20 | b for a, b in self.pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], np.fromiter(self.pairs.values(), np.int64)[order]
+        keys = np.array([a << 20 | b for a, b in self.pairs], np.int64)  # in order of rank
         self.merged_array = np.array(self.merged, np.int64)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[str, tuple[int, bytes, bytes]] = {}
-        self.cache_pieces = cache_pieces
+        # Pairs of bytes are looked up directly, others in a hash table with an overflow.
+        self.byte_pairs = np.full(1 << 16, FAR)
+        for (x, y), rank in self.pairs.items():
+            if len(self.bytes_of[x]) == len(self.bytes_of[y]) == 1:
+                self.byte_pairs[self.bytes_of[x][0] << 8 | self.bytes_of[y][0]] = rank << SHIFT
+        slots = self.slot(keys)
+        _, first = np.unique(slots, return_index=True)
+        self.slot_key, self.slot_rank = np.full(1 << SLOT_BITS, -1, np.int64), np.full(1 << SLOT_BITS, FAR)
+        self.slot_key[slots[first]], self.slot_rank[slots[first]] = keys[first], first << SHIFT
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        rest = rest[np.argsort(keys[rest])]
+        self.rest_key, self.rest_rank = np.append(keys[rest], np.int64(1) << 62), np.append(rest << SHIFT, FAR)
+        #: Pretoken to (ids in decimal, decoded bytes): the current and the previous generation.
+        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.previous: dict[str, tuple[bytes, bytes]] = {}
+        self.cache_words = cache_words
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
     # One tree for one long pretoken.
     def encode_one(self, word: bytes) -> list[int]:
@@ -118,10 +135,16 @@ class Encoder:
         return [t for t in tokens if t >= 0]
 
     def rank_of(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Leaf values of the pairs (a, b) at the positions ``at``."""
-        key = a << 20 | b
-        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[place] == key) & (a >= 0) & (b >= 0), self.ranks[place] << SHIFT | at, FAR)
+        """Leaf values of the pairs (a, b) at the positions ``at``; b is negative at a word's end."""
+        key = np.where(b >= 0, a << 20 | b, -2)
+        slot = self.slot(key)
+        held = self.slot_key[slot]
+        value = np.where(held == key, self.slot_rank[slot], FAR)
+        other = np.flatnonzero((held != key) & (held >= 0) & (b >= 0))
+        if len(other):
+            place = np.searchsorted(self.rest_key, key[other])
+            value[other] = np.where(self.rest_key[place] == key[other], self.rest_rank[place], FAR)
+        return np.where(value < FAR, value | at, FAR)
 
     # Trees as rows of an array for many pretokens of up to ``size`` bytes.
     def encode_rows(self, words: list[bytes], size: int) -> list[list[int]]:
@@ -133,7 +156,8 @@ class Encoder:
         after = np.tile(columns + 1, (count, 1)).ravel()
         before = np.tile(columns - 1, (count, 1)).ravel()
         tree = np.full((count, 2 * size), FAR)
-        tree[:, size:] = self.rank_of(tokens[:, :-1], tokens[:, 1:], columns[:-1])
+        pairs = self.byte_pairs[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]]
+        tree[:, size:] = np.where((pairs < FAR) & (columns[1:] < lengths[:, None]), pairs | columns[:-1], FAR)
         low = size
         while low > 1:
             tree[:, low // 2 : low] = np.minimum(tree[:, low : 2 * low : 2], tree[:, low + 1 : 2 * low : 2])
@@ -191,49 +215,41 @@ class Encoder:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def learn(self, pieces: set[str]) -> None:
-        """Put the pieces that the cache lacks into it."""
-        new = [p for p in pieces if p not in self.cache]
-        parts = [SPLIT.findall(p) for p in new]
-        words = list({w for ws in parts for w in ws})
-        ids_of = dict(zip(words, self.encode_words([w.encode("utf-8") for w in words]), strict=True))
-        for piece, ws in zip(new, parts, strict=True):
-            ids = [i for w in ws for i in ids_of[w]]
-            self.cache[piece] = (len(ids), ",".join(map(str, ids)).encode(), self.decode(ids))
-
-    def pieces(self, text: str) -> list[str]:
-        """The text cut where a pretoken must begin; special tokens stand alone."""
-        if self.split_special and any(s in text for s in self.special):
-            parts = self.split_special.split(text)
-        else:
-            parts = [text]
-        out: list[str] = []
-        for part in parts:
-            if not part:
-                continue
-            if part in self.special:
-                out.append(part)
-                continue
-            if RUNS.search(part):
-                cuts = [0, *(m.start() for m in PIECE.finditer(part) if m.start()), len(part)]
-                out.extend(part[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+    def pretokens(self, text: str | None) -> list[str]:
+        """The text in pretokens; special tokens stand alone."""
+        if not text:
+            return []
+        split = SPLIT.findall if NOT_LATIN.search(text) else LATIN.findall
+        if self.split_special is None or not any(s in text for s in self.special):
+            return split(text)
+        return [w for part in self.split_special.split(text) for w in ([part] if part in self.special else split(part))]
+
+    def learn(self, words: set[str]) -> None:
+        """Put into the cache what it lacks of ``words``."""
+        if len(self.cache) > self.cache_words:
+            self.previous, self.cache = self.cache, {}
+        lacking = [w for w in words if w not in self.cache]
+        new = []
+        for w in lacking:
+            if (known := self.previous.get(w)) is not None:
+                self.cache[w] = known
+            elif w in self.special:
+                self.cache[w] = (str(self.special[w]).encode(), w.encode("utf-8"))
             else:
-                first, *rest = part.split(" ")
-                if first:
-                    out.append(first)
-                out.extend([" " + p for p in rest])
+                new.append(w)
+        for w, ids in zip(new, self.encode_words([w.encode("utf-8") for w in new]), strict=True):
+            self.cache[w] = (",".join(map(self.decimal.__getitem__, ids)).encode(), self.decode(ids))
+
+    def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """For each text its ids in decimal, joined by commas, and its decoded bytes."""
+        split = [self.pretokens(t) for t in texts]
+        self.learn(set().union(*split))
+        out = []
+        for words in split:
+            found = list(map(self.cache.__getitem__, words))
+            out.append((b",".join([f[0] for f in found]), b"".join([f[1] for f in found])))
         return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[tuple[int, bytes, bytes]]]:
-        """For each text its pieces as (number of ids, ids in decimal, decoded bytes)."""
-        split = [self.pieces(t) if t else [] for t in texts]
-        if len(self.cache) > self.cache_pieces:
-            self.cache.clear()
-        for s, i in self.special.items():
-            self.cache.setdefault(s, (1, str(i).encode(), self.bytes_of[i]))
-        self.learn({p for pieces in split for p in pieces})
-        return [list(map(self.cache.__getitem__, pieces)) for pieces in split]
-
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -247,7 +263,7 @@ def encode_udf(path: str):
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
         found = encoder(path).encode_batch(text.to_pylist())
-        return pa.array([[int(i) for _, ids, _ in pieces if ids for i in ids.split(b",")] for pieces in found], pa.list_(pa.int32()))
+        return pa.array([[int(i) for i in ids.split(b",")] if ids else [] for ids, _ in found], pa.list_(pa.int32()))
 
     return encode
 
@@ -269,11 +285,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
     def trip(text: pa.Array) -> pa.Array:
         counts, ids, decoded = [], [], []
-        for pieces in encoder(path).encode_batch(text.to_pylist()):
-            counts.append(sum(p[0] for p in pieces))
-            ids.append(hashlib.sha256(b",".join([p[1] for p in pieces])).hexdigest())
-            whole = b"".join([p[2] for p in pieces]).decode("utf-8", "replace")
-            decoded.append(hashlib.sha256(whole.encode("utf-8")).hexdigest())
+        for joined, raw in encoder(path).encode_batch(text.to_pylist()):
+            counts.append(joined.count(b",") + 1 if joined else 0)
+            ids.append(hashlib.sha256(joined).hexdigest())
+            decoded.append(hashlib.sha256(raw.decode("utf-8", "replace").encode("utf-8")).hexdigest())
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
