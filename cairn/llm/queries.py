@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, decontaminate, exact_dedup, warc
+from cairn.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, warc
 from cairn.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": lambda s, d: line_dedup.op1_line_dedup(s, table(s, d, "documents")),
+        "op2_language_id": lambda s, d: language_id.op2_language_id(s, table(s, d, "documents")),
         "op4_warc": lambda s, d: warc.op4_warc(s, table(s, d, "pages")),
         "op6_exact_dedup": lambda s, d: exact_dedup.op6_exact_dedup(s, table(s, d, "documents")),
         "op7_decontaminate": lambda s, d: decontaminate.op7_decontaminate(s, table(s, d, "documents"), table(s, d, "benchmark")),
@@ -23,6 +25,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": line_dedup.ORACLE_SQL,
         "op4_warc": warc.ORACLE_SQL,
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
         "op7_decontaminate": decontaminate.ORACLE_SQL,
