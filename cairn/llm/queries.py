@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, warc
+from cairn.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, quality, substring_dedup, toxicity, warc
 from cairn.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,12 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": lambda s, d: line_dedup.op1_line_dedup(s, table(s, d, "documents")),
         "op2_language_id": lambda s, d: language_id.op2_language_id(s, table(s, d, "documents")),
+        "op3_toxicity": lambda s, d: toxicity.op3_toxicity(s, table(s, d, "documents"), table(s, d, "labels")),
         "op4_warc": lambda s, d: warc.op4_warc(s, table(s, d, "pages")),
+        "op5_quality": lambda s, d: quality.op5_quality(s, table(s, d, "documents"), table(s, d, "labels")),
         "op6_exact_dedup": lambda s, d: exact_dedup.op6_exact_dedup(s, table(s, d, "documents")),
         "op7_decontaminate": lambda s, d: decontaminate.op7_decontaminate(s, table(s, d, "documents"), table(s, d, "benchmark")),
+        "op8_substring_dedup": lambda s, d: substring_dedup.op8_substring_dedup(s, table(s, d, "documents")),
         "op9_bpe": lambda s, d: bpe.op9_bpe(s, table(s, d, "documents")),
     }
 
@@ -29,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": warc.ORACLE_SQL,
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
         "op7_decontaminate": decontaminate.ORACLE_SQL,
+        "op8_substring_dedup": substring_dedup.ORACLE_SQL,
     }
