@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, quality, substring_dedup, toxicity, warc
+from cairn.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, quality, substring_dedup, toxicity, warc
 from cairn.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op6_exact_dedup": lambda s, d: exact_dedup.op6_exact_dedup(s, table(s, d, "documents")),
         "op7_decontaminate": lambda s, d: decontaminate.op7_decontaminate(s, table(s, d, "documents"), table(s, d, "benchmark")),
         "op8_substring_dedup": lambda s, d: substring_dedup.op8_substring_dedup(s, table(s, d, "documents")),
+        "op10_near_dedup": lambda s, d: near_dedup.op10_near_dedup(s, table(s, d, "documents")),
         "op9_bpe": lambda s, d: bpe.op9_bpe(s, table(s, d, "documents")),
     }
 
