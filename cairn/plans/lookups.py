@@ -1 +1,161 @@
-"""To come."""
+"""Joins on keys, candidates, scopes and prefixes (J01-J12, J15, J27-J32)."""
+
+from pyspark.sql import functions as F
+
+from cairn.operators import lookups as L
+from cairn.plans.registry import query
+
+
+@query("j01_dimension_lookup", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def j01(t):
+    return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
+
+
+PARTS_BY_NAME = "(SELECT p_name AS k, min(p_partkey) AS v FROM part GROUP BY p_name)"
+
+
+def parts_by_name(t):
+    return t.part.groupBy(F.col("p_name").alias("k")).agg(F.min("p_partkey").alias("v"))
+
+
+@query("j02_candidate_lookup", f"""
+WITH d AS (SELECT p_type AS k, min(p_partkey) AS v FROM part GROUP BY p_type UNION ALL SELECT k, v FROM {PARTS_BY_NAME}),
+c AS (SELECT p_partkey, unnest([0, 1, 2]) AS place, unnest([p_brand, p_name, p_type]) AS k FROM part)
+SELECT p_partkey, arg_min(v, place) AS v, min(place) AS place FROM c JOIN d USING (k) GROUP BY p_partkey""")
+def j02(t):
+    dim = parts_by_name(t).unionByName(t.part.groupBy(F.col("p_type").alias("k")).agg(F.min("p_partkey").alias("v")))
+    return L.by_candidates(t.part, "p_partkey", [F.col("p_brand"), F.col("p_name"), F.col("p_type")], dim, "k", "v")
+
+
+@query("j03_exact_then_normalised", "SELECT c_custkey, coalesce(a.r_regionkey, b.r_regionkey) AS r_regionkey FROM (SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'ASIA' ELSE ' europe' END AS raw FROM customer) LEFT JOIN region a ON raw = a.r_name LEFT JOIN region b ON trim(lower(raw)) = lower(b.r_name)")
+def j03(t):
+    rows = t.customer.select("c_custkey", F.when(F.col("c_nationkey") % 2 == 0, "ASIA").otherwise(" europe").alias("raw"))
+    exact = t.region.select(F.col("r_name").alias("raw"), F.col("r_regionkey").alias("a"))
+    normal = t.region.select(F.lower("r_name").alias("key"), F.col("r_regionkey").alias("b"))
+    return rows.join(exact, "raw", "left").withColumn("key", F.trim(F.lower("raw"))).join(normal, "key", "left").select("c_custkey", F.coalesce("a", "b").alias("r_regionkey"))
+
+
+@query("j04_five_levels", f"""
+WITH c AS (SELECT p_partkey, unnest([0, 1, 2, 3]) AS place, unnest([CASE WHEN p_size > 45 THEN 'none' END, p_brand, p_name || ' x', p_name]) AS k FROM part)
+SELECT p.p_partkey, b.v, b.place FROM part p LEFT JOIN (SELECT p_partkey, arg_min(v, place) AS v, min(place) AS place FROM c JOIN {PARTS_BY_NAME} USING (k) GROUP BY p_partkey) b ON p.p_partkey = b.p_partkey""")
+def j04(t):
+    levels = [F.when(F.col("p_size") > 45, "none"), F.col("p_brand"), F.concat("p_name", F.lit(" x")), F.col("p_name")]
+    return L.by_candidates(t.part, "p_partkey", levels, parts_by_name(t), "k", "v")
+
+
+@query("j05_composite_key", "SELECT l_orderkey, l_linenumber, d.v FROM lineitem LEFT JOIN (SELECT l_returnflag AS f, l_linestatus AS s, min(l_orderkey) AS v FROM lineitem GROUP BY 1, 2) d ON l_returnflag = f AND l_linestatus = s")
+def j05(t):
+    dim = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.min("l_orderkey").alias("v"))
+    return t.lineitem.join(dim, ["l_returnflag", "l_linestatus"], "left").select("l_orderkey", "l_linenumber", "v")
+
+
+@query("j06_name_or_alias", "SELECT c_custkey, d.n_nationkey FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lower(n_name) ELSE replace(lower(n_name), ' ', '-') END AS k FROM customer JOIN nation ON c_nationkey = n_nationkey) LEFT JOIN (SELECT DISTINCT n_nationkey, unnest([lower(n_name), replace(lower(n_name), ' ', '-')]) AS k FROM nation) d USING (k)")
+def j06(t):
+    names = F.explode(F.array_distinct(F.array(F.lower("n_name"), F.replace(F.lower("n_name"), F.lit(" "), F.lit("-"))))).alias("k")
+    dim = t.nation.select("n_nationkey", names)
+    raw = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.when(F.col("c_custkey") % 2 == 0, F.lower("n_name")).otherwise(F.replace(F.lower("n_name"), F.lit(" "), F.lit("-")))
+    return raw.select("c_custkey", key.alias("k")).join(dim, "k", "left").select("c_custkey", "n_nationkey")
+
+
+@query("j07_scoped_fallback", """
+WITH d AS (SELECT p_name, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS scope, p_partkey FROM part),
+q AS (SELECT l_orderkey * 10 + l_linenumber AS id, p_name AS name, 'Brand#' || (l_linenumber || l_linenumber) AS want FROM lineitem JOIN part ON p_partkey = l_partkey),
+u AS (SELECT DISTINCT name, want FROM q),
+r AS (SELECT u.name, u.want, d.p_partkey, CASE WHEN scope = want THEN 0 WHEN scope IS NULL THEN 1 ELSE 2 END AS rank FROM u JOIN d ON u.name = d.p_name)
+SELECT name || '/' || want AS id, arg_min(p_partkey, (rank, p_partkey)) AS p_partkey, min(rank) AS rank FROM r GROUP BY 1""")
+def j07(t):
+    dim = t.part.select("p_name", F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("scope"), "p_partkey", F.col("p_partkey").alias("seq"))
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_name").alias("name"), F.concat(F.lit("Brand#"), "l_linenumber", "l_linenumber").alias("want")).distinct()
+    rows = rows.withColumn("id", F.concat_ws("/", "name", "want"))
+    return L.scoped(rows, "id", "name", "want", dim, "p_name", "scope", "p_partkey", "seq")
+
+
+@query("j08_name_or_number", "SELECT s_suppkey, n.n_nationkey FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_nationkey AS VARCHAR) ELSE (SELECT n_name FROM nation WHERE n_nationkey = s_nationkey) END AS k FROM supplier) LEFT JOIN (SELECT n_nationkey, n_name AS k FROM nation UNION ALL SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) FROM nation) n USING (k)")
+def j08(t):
+    dim = t.nation.select("n_nationkey", F.explode(F.array(F.col("n_name"), F.col("n_nationkey").cast("string"))).alias("k"))
+    rows = t.supplier.join(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey")
+    key = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey").cast("string")).otherwise(F.col("n_name"))
+    return rows.select("s_suppkey", key.alias("k")).join(dim, "k", "left").select("s_suppkey", "n_nationkey")
+
+
+@query("j09_embedded", "SELECT o_orderkey, '{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}' AS customer FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def j09(t):
+    c = t.customer.select("c_custkey", F.struct("c_custkey", "c_name").alias("customer"))
+    return t.orders.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.to_json("customer").alias("customer"))
+
+
+@query("j10_self_join", "SELECT a.n_nationkey, a.n_name, b.n_name AS parent FROM nation a LEFT JOIN nation b ON a.n_regionkey = b.n_nationkey")
+def j10(t):
+    parent = t.nation.select(F.col("n_nationkey").alias("pk"), F.col("n_name").alias("parent"))
+    return t.nation.join(parent, F.col("n_regionkey") == F.col("pk"), "left").select("n_nationkey", "n_name", "parent")
+
+
+@query("j11_inner_embed", "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def j11(t):
+    c = t.customer.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    return t.orders.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment")
+
+
+@query("j12_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def j12(t):
+    urgent = t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return t.customer.join(urgent, "c_custkey", "left_semi").select("c_custkey")
+
+
+@query("j13_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def j13(t):
+    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+
+
+FIRST_WORDS = "(SELECT array_to_string(string_split(p_name, ' ')[1:1], ' ') AS k, min(p_partkey) AS v FROM part GROUP BY 1 UNION ALL SELECT array_to_string(string_split(p_name, ' ')[1:2], ' '), min(p_partkey) FROM part WHERE p_size > 40 AND len(string_split(p_name, ' ')) > 2 GROUP BY 1)"
+
+
+def first_words(t):
+    words = F.split("p_name", " ")
+    one = t.part.groupBy(words[0].alias("k")).agg(F.min("p_partkey").alias("v"))
+    two = t.part.filter((F.col("p_size") > 40) & (F.size(words) > 2)).groupBy(F.concat_ws(" ", words[0], words[1]).alias("k")).agg(F.min("p_partkey").alias("v"))
+    return one.unionByName(two)
+
+
+@query("j15_longest_prefix", f"WITH p AS (SELECT p_partkey, p_name || ' 2019' AS name FROM part), m AS (SELECT p_partkey, name, k, v FROM p JOIN {FIRST_WORDS} d ON name = k OR starts_with(name, k || ' ') QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(k) DESC) = 1) SELECT p_partkey, k, v, trim(substr(name, length(k) + 1)) AS rest FROM m")
+def j15(t):
+    rows = t.part.select("p_partkey", F.concat("p_name", F.lit(" 2019")).alias("name"))
+    return L.longest_prefix(rows, "p_partkey", "name", first_words(t), "k", "v")
+
+
+@query("j27_mapping_cascade", f"""
+WITH c AS (SELECT p_partkey, unnest([0, 1, 2]) AS place, unnest([p_name, array_to_string(string_split(p_name, ' ')[1:2], ' '), string_split(p_name, ' ')[1]]) AS k FROM part)
+SELECT p_partkey, arg_min(v, place) AS v, min(place) AS place FROM c JOIN {FIRST_WORDS} USING (k) GROUP BY p_partkey""")
+def j27(t):
+    words = F.split("p_name", " ")
+    return L.by_candidates(t.part, "p_partkey", [F.col("p_name"), F.array_join(F.slice(words, 1, 2), " "), words[0]], first_words(t), "k", "v")
+
+
+@query("j28_shortened_prefix", f"SELECT p_partkey, k, v FROM (SELECT p_partkey, p_name AS name FROM part) JOIN {FIRST_WORDS} d ON name = k OR starts_with(name, k || ' ') QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(k) DESC) = 1")
+def j28(t):
+    return L.longest_prefix(t.part, "p_partkey", "p_name", first_words(t), "k", "v").select("p_partkey", "k", "v")
+
+
+@query("j29_longest_suffix", """
+WITH d AS (SELECT DISTINCT string_split(p_type, ' ')[-1] AS key, 'metal' AS value, 1 AS level FROM part UNION ALL SELECT DISTINCT array_to_string(string_split(p_type, ' ')[-2:], ' '), 'finish', 0 FROM part WHERE p_type NOT LIKE '%TIN')
+SELECT p_partkey, key, level, value FROM part JOIN d ON p_type = key OR ends_with(p_type, ' ' || key) WHERE key <> 'BRASS' QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(key) DESC, level) = 1""")
+def j29(t):
+    words = F.split("p_type", " ")
+    metals = t.part.select(F.element_at(words, -1).alias("k"), F.lit("metal").alias("v")).distinct()
+    finishes = t.part.filter(~F.col("p_type").like("%TIN")).select(F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ").alias("k"), F.lit("finish").alias("v")).distinct()
+    return L.longest_suffix(t.part, "p_partkey", "p_type", [(finishes, "k", "v"), (metals, "k", "v")], excluded=["BRASS"])
+
+
+@query("j30_outer_key_join", "SELECT coalesce(a.k, b.k) AS k, a.n AS sold, b.n AS listed FROM (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY 1) a FULL JOIN (SELECT p_partkey AS k, count(*) AS n FROM part WHERE p_size > 10 GROUP BY 1) b ON a.k = b.k")
+def j30(t):
+    a = t.lineitem.filter("l_quantity > 40").groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("sold"))
+    b = t.part.filter("p_size > 10").groupBy(F.col("p_partkey").alias("k")).agg(F.count("*").alias("listed"))
+    return a.join(b, "k", "full")
+
+
+@query("j32_two_parents", "SELECT a.p_partkey, b.p_name AS parent1, c.p_name AS parent2 FROM part a LEFT JOIN part b ON a.p_partkey = 2 * b.p_partkey LEFT JOIN part c ON a.p_size = c.p_partkey")
+def j32(t):
+    one = t.part.select((2 * F.col("p_partkey")).alias("k1"), F.col("p_name").alias("parent1"))
+    two = t.part.select(F.col("p_partkey").alias("k2"), F.col("p_name").alias("parent2"))
+    return t.part.join(one, F.col("p_partkey") == F.col("k1"), "left").join(two, F.col("p_size") == F.col("k2"), "left").select("p_partkey", "parent1", "parent2")

@@ -1 +1,168 @@
-"""To come."""
+"""Fuzzy and tiered matching (J14, J16-J26, J31)."""
+
+from pyspark.sql import functions as F
+
+from cairn.functions import names as N
+from cairn.operators import matching as M
+from cairn.plans.registry import query
+from cairn.plans.text import TRIGRAMS
+
+SIM = "(len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))))"
+#: Names as another source writes them: the last letter doubled.
+OTHER = "(SELECT DISTINCT p_brand, p_name || right(p_name, 1) AS name FROM part)"
+NAMES = "(SELECT DISTINCT p_brand, p_name AS name FROM part)"
+
+
+def other(t):
+    return t.part.select("p_brand", F.concat("p_name", F.substring("p_name", -1, 1)).alias("name")).distinct()
+
+
+def names(t):
+    return t.part.select("p_brand", F.col("p_name").alias("name")).distinct()
+
+
+@query("j16_substring_in_block", f"SELECT p_brand, a.name AS l_name, min(b.name) AS r_name FROM {OTHER} a JOIN {NAMES} b USING (p_brand) WHERE contains(a.name, b.name) OR contains(b.name, a.name) GROUP BY 1, 2")
+def j16(t):
+    a, b = other(t).withColumnRenamed("name", "l_name"), names(t).withColumnRenamed("name", "r_name")
+    hit = F.contains("l_name", "r_name") | F.contains("r_name", "l_name")
+    return a.join(b, "p_brand").filter(hit).groupBy("p_brand", "l_name").agg(F.min("r_name").alias("r_name"))
+
+
+def pairs_sql(block):
+    on = "a.p_brand = b.p_brand" if block else "true"
+    return f"(SELECT {'a.p_brand,' if block else ''} a.name AS l_name, b.name AS r_name, {SIM.format(a='ag', b='bg')} AS sim FROM (SELECT DISTINCT {'p_brand,' if block else ''} name, {TRIGRAMS.format(c='name')} AS ag FROM {OTHER}) a JOIN (SELECT DISTINCT {'p_brand,' if block else ''} name, {TRIGRAMS.format(c='name')} AS bg FROM {NAMES}) b ON {on})"
+
+
+@query("j17_trigram_in_block", f"SELECT p_brand, l_name, r_name, round(sim, 6) AS sim FROM {pairs_sql(True)} WHERE sim >= 0.4 QUALIFY row_number() OVER (PARTITION BY p_brand, l_name ORDER BY sim DESC, r_name) = 1")
+def j17(t):
+    pairs = M.trigram_pairs(other(t), names(t), 0.4, "p_brand").withColumn("key", F.struct("p_brand", "l_name"))
+    return M.best_match(pairs, "key", [F.desc("sim"), F.asc("r_name")]).select("p_brand", "l_name", "r_name", F.round("sim", 6).alias("sim"))
+
+
+@query("j18_trigram_best", f"SELECT l_name, r_name, round(sim, 6) AS sim FROM {pairs_sql(False)} WHERE sim > 0.4 QUALIFY row_number() OVER (PARTITION BY l_name ORDER BY sim DESC, r_name) = 1")
+def j18(t):
+    pairs = M.trigram_pairs(other(t).select("name"), names(t).select("name"), 0.4).filter("sim > 0.4")
+    return M.best_match(pairs, "l_name", [F.desc("sim"), F.asc("r_name")]).select("l_name", "r_name", F.round("sim", 6).alias("sim"))
+
+
+@query("j19_trigram_threshold", f"SELECT p_brand, l_name, r_name, round(sim, 6) AS sim FROM {pairs_sql(True)} WHERE sim >= 0.5")
+def j19(t):
+    return M.trigram_pairs(other(t), names(t), 0.5, "p_brand").select("p_brand", "l_name", "r_name", F.round("sim", 6).alias("sim"))
+
+
+LIMIT = "greatest(CAST(floor(0.4 * length(a.name)) AS BIGINT), 5)"
+EDITS = f"(SELECT a.name AS l_name, b.name AS r_name, CAST(levenshtein(a.name, b.name) AS BIGINT) AS distance FROM (SELECT DISTINCT name FROM {OTHER}) a, (SELECT DISTINCT name FROM {NAMES}) b WHERE levenshtein(a.name, b.name) <= {LIMIT})"
+
+
+def edits(t):
+    limit = F.greatest(F.floor(0.4 * F.length("l_name")), F.lit(5))
+    return M.edit_candidates(other(t).select("name"), names(t).select("name"), limit, 40).withColumn("distance", F.col("distance").cast("long"))
+
+
+@query("j20_edit_top3", f"SELECT l_name, r_name, distance, row_number() OVER (PARTITION BY l_name ORDER BY distance, r_name) AS rank FROM {EDITS} QUALIFY rank <= 3")
+def j20(t):
+    from cairn.operators.profile import top_n
+
+    return top_n(edits(t), ["l_name"], [F.asc("distance"), F.asc("r_name")], 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("j21_edit_best", f"SELECT p_brand, a.name AS l_name, arg_min(b.name, (levenshtein(a.name, b.name), b.name)) AS r_name FROM {OTHER} a JOIN {NAMES} b USING (p_brand) GROUP BY 1, 2")
+def j21(t):
+    a, b = other(t).withColumnRenamed("name", "l_name"), names(t).withColumnRenamed("name", "r_name")
+    best = F.min_by("r_name", F.struct(F.levenshtein("l_name", "r_name"), F.col("r_name")))
+    return a.join(b, "p_brand").groupBy("p_brand", "l_name").agg(best.alias("r_name"))
+
+
+#: Listings: part names as they are, shortened, or misspelled, by the order that lists them.
+LISTED = "(SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN p_name WHEN 1 THEN string_split(p_name, ' ')[1] ELSE p_name || right(p_name, 1) END AS name FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+def listed(t):
+    rows = t.lineitem.select("l_partkey", (F.col("l_linenumber") % 3).alias("k")).distinct().join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    name = F.when(F.col("k") == 0, F.col("p_name")).when(F.col("k") == 1, F.split("p_name", " ")[0]).otherwise(F.concat("p_name", F.substring("p_name", -1, 1)))
+    return rows.select(name.alias("name")).distinct()
+
+
+CANON = "(SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name)"
+ALIAS = "(SELECT string_split(p_name, ' ')[1] AS name, min(p_partkey) AS id FROM part GROUP BY 1)"
+
+
+def canon(t):
+    return t.part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+
+
+def aliases(t):
+    return t.part.groupBy(F.split("p_name", " ")[0].alias("name")).agg(F.min("p_partkey").alias("id"))
+
+
+def three_tiers(t, confident: float = 0.9, threshold: float = 0.4):
+    """Exact, then alias, then the best trigram match of what neither tier has."""
+    rows = listed(t)
+    exact = rows.join(canon(t), "name").withColumn("seq", F.col("id"))
+    alias = rows.join(exact.select("name"), "name", "left_anti").join(aliases(t), "name").withColumn("seq", F.col("id"))
+    rest = rows.join(exact.select("name").unionByName(alias.select("name")), "name", "left_anti")
+    fuzzy = M.trigram_pairs(rest, canon(t).select("name"), threshold).filter(F.col("sim") > threshold)
+    fuzzy = fuzzy.join(canon(t).withColumnRenamed("name", "r_name"), "r_name").select(F.col("l_name").alias("name"), "id", "sim", F.col("id").alias("seq"))
+    return rows, [(exact, "exact", F.lit(1.0)), (alias, "alias", F.lit(confident)), (fuzzy, "fuzzy", F.col("sim"))]
+
+
+TIERS = f"""
+WITH q AS (SELECT * FROM {LISTED}), c AS (SELECT * FROM {CANON}), al AS (SELECT * FROM {ALIAS}),
+m AS (SELECT q.name, c.id, 0 AS n, 'exact' AS tier, 1.0 AS confidence FROM q JOIN c USING (name)
+ UNION ALL SELECT q.name, al.id, 1, 'alias', 0.9 FROM q JOIN al USING (name)
+ UNION ALL SELECT name, id, 2, 'fuzzy', sim FROM (SELECT q.name, c.id, {SIM.format(a='qg', b='cg')} AS sim FROM (SELECT name, {TRIGRAMS.format(c='name')} AS qg FROM q) q, (SELECT id, {TRIGRAMS.format(c='name')} AS cg FROM c) c) WHERE sim > 0.4),
+b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY name ORDER BY n, confidence DESC, id) = 1)
+"""
+
+
+@query("j22_three_tiers", TIERS + "SELECT name, id, tier, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM b")
+def j22(t):
+    _, parts = three_tiers(t)
+    return M.tiers(parts, "name", "id").withColumn("confidence", F.round("confidence", 6))
+
+
+@query("j23_key_tiers", "SELECT l_orderkey, l_linenumber, CASE WHEN a.p_partkey IS NOT NULL THEN 'key' WHEN b.p_brand IS NOT NULL THEN 'brand' END AS tier, CASE WHEN a.p_partkey IS NOT NULL THEN 1.0 WHEN b.p_brand IS NOT NULL THEN 0.95 END::DOUBLE AS confidence FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 20) a ON l_partkey = a.p_partkey LEFT JOIN (SELECT DISTINCT p_brand FROM part) b ON b.p_brand = 'Brand#' || l_linenumber || l_linenumber")
+def j23(t):
+    by_key = t.part.filter("p_size > 20").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("k"))
+    brands = t.part.select("p_brand").distinct().withColumn("b", F.lit(True))
+    rows = t.lineitem.withColumn("p_brand", F.concat(F.lit("Brand#"), "l_linenumber", "l_linenumber")).join(by_key, "l_partkey", "left").join(brands, "p_brand", "left")
+    return rows.select("l_orderkey", "l_linenumber", F.when(F.col("k"), "key").when(F.col("b"), "brand").alias("tier"), F.when(F.col("k"), 1.0).when(F.col("b"), 0.95).alias("confidence"))
+
+
+@query("j24_scoped_promotion", "SELECT s_suppkey, arg_min(c_custkey, (CASE WHEN c_nationkey = s_nationkey THEN 0 ELSE 1 END, c_custkey)) AS c_custkey FROM supplier JOIN customer ON substr(s_name, -4) = substr(c_name, -4) GROUP BY s_suppkey")
+def j24(t):
+    a = t.supplier.withColumn("k", F.substring("s_name", -4, 4))
+    b = t.customer.withColumn("k", F.substring("c_name", -4, 4))
+    scope = F.when(F.col("c_nationkey") == F.col("s_nationkey"), 0).otherwise(1)
+    return a.join(b, "k").groupBy("s_suppkey").agg(F.min_by("c_custkey", F.struct(scope, F.col("c_custkey"))).alias("c_custkey"))
+
+
+@query("j25_four_way_cascade", f"""
+WITH q AS (SELECT * FROM {LISTED}), c AS (SELECT * FROM {CANON}), al AS (SELECT * FROM {ALIAS}),
+m AS (SELECT q.name, c.id, 0 AS n FROM q JOIN c USING (name) UNION ALL SELECT q.name, al.id, 1 FROM q JOIN al USING (name)
+ UNION ALL SELECT q.name, c.id, 2 FROM q JOIN c ON substr(q.name, 1, length(q.name) - 1) = c.name)
+SELECT name, arg_min(id, (n, id)) AS id, ['exact', 'alias', 'stripped'][min(n) + 1] AS tier FROM m GROUP BY name""")
+def j25(t):
+    rows = listed(t)
+    exact = rows.join(canon(t), "name").withColumn("seq", F.col("id"))
+    alias = rows.join(aliases(t), "name").withColumn("seq", F.col("id"))
+    short = rows.select("name", F.expr("substr(name, 1, length(name) - 1)").alias("s")).join(canon(t).withColumnRenamed("name", "s"), "s").withColumn("seq", F.col("id"))
+    one = F.lit(1.0)
+    return M.tiers([(exact, "exact", one), (alias, "alias", one), (short, "stripped", one)], "name", "id").select("name", "id", "tier")
+
+
+@query("j26_confidence_label", f"SELECT p_brand, a.name AS l_name, b.name AS r_name, CASE WHEN a.name = b.name THEN 'exact' WHEN contains(a.name, b.name) OR contains(b.name, a.name) THEN 'substring' WHEN replace(a.name, ' ', '-') = replace(b.name, ' ', '-') THEN 'slug_match' END AS label FROM {OTHER} a JOIN {NAMES} b USING (p_brand) WHERE label IS NOT NULL")
+def j26(t):
+    a, b = other(t).withColumnRenamed("name", "l_name"), names(t).withColumnRenamed("name", "r_name")
+    label = (
+        F.when(F.col("l_name") == F.col("r_name"), "exact")
+        .when(F.contains("l_name", "r_name") | F.contains("r_name", "l_name"), "substring")
+        .when(N.slug("l_name") == N.slug("r_name"), "slug_match")
+    )
+    return a.join(b, "p_brand").withColumn("label", label).filter("label is not null")
+
+
+@query("n_j_unmatched", TIERS + "SELECT q.name FROM q LEFT JOIN b USING (name) WHERE b.name IS NULL")
+def unmatched(t):
+    rows, parts = three_tiers(t)
+    return rows.join(M.tiers(parts, "name", "id").select("name"), "name", "left_anti")
