@@ -1 +1,95 @@
-"""To come."""
+"""Dates and numbers (N)."""
+
+from pyspark.sql import functions as F
+
+from cairn.functions import parse as X
+from cairn.plans.registry import query
+
+MONTH = "['January','February','March','April','May','June','July','August','September','October','November','December']"
+
+
+@query("n01_informal_date", f"SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-01') END AS day FROM orders")
+def n01(t):
+    d = F.col("o_orderdate")
+    raw = (
+        F.when(F.col("o_orderkey") % 4 == 0, F.date_format(d, "yyyy-MM-dd'T'HH"))
+        .when(F.col("o_orderkey") % 4 == 1, F.date_format(d, "MMMM d, yyyy"))
+        .when(F.col("o_orderkey") % 4 == 2, F.date_format(d, "MMMM yyyy"))
+        .otherwise("soon")
+    )
+    return t.orders.select("o_orderkey", X.informal_date(raw).alias("day"))
+
+
+@query("n02_us_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
+def n02(t):
+    raw = F.when(F.col("o_orderkey") % 3 > 0, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(F.date_format("o_orderdate", "M/d/yy"))
+    return t.orders.select("o_orderkey", X.us_date(raw).alias("day"))
+
+
+@query("n03_range", "SELECT p_partkey, p_size AS low, CASE WHEN p_size % 2 = 0 THEN p_size + 30 ELSE p_size END AS high FROM part")
+def n03(t):
+    size = F.col("p_size").cast("string")
+    raw = F.when(F.col("p_size") % 4 == 0, F.concat(size, F.lit("-"), (F.col("p_size") + 30).cast("string"))).when(F.col("p_size") % 2 == 0, F.concat(size, F.lit(" – "), (F.col("p_size") + 30).cast("string"), F.lit(" m"))).otherwise(F.concat(size, F.lit(" m")))
+    return t.part.select("p_partkey", X.number_range(raw).alias("r")).select("p_partkey", "r.low", "r.high")
+
+
+@query("n04_area_and_slope", "SELECT p_partkey, CAST(p_size AS DOUBLE) + 0.5 AS area, CAST(p_size + 5 AS DOUBLE) AS slope FROM part")
+def n04(t):
+    size = F.col("p_size")
+    return t.part.select("p_partkey", X.amount(F.concat(size.cast("string"), F.lit(".5 ha")), "ha").alias("area"), X.high_percent(F.concat(size.cast("string"), F.lit("-"), (size + 5).cast("string"), F.lit("%"))).alias("slope"))
+
+
+@query("n05_size_and_unit", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size * 1000.0 ELSE CAST(p_size AS DOUBLE) END::DOUBLE AS ml FROM part")
+def n05(t):
+    return t.part.select("p_partkey", X.millilitres(F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, "l").otherwise("ml")).alias("ml"))
+
+
+@query("n06_plain_number", "SELECT p_partkey, CAST(p_size AS DOUBLE) * 1000 + 0.25 AS price, p_size / 100 AS dollars FROM part")
+def n06(t):
+    raw = F.concat(F.lit("$ "), F.col("p_size").cast("string"), F.lit(",000.25"))
+    return t.part.select("p_partkey", X.plain_number(raw).alias("price"), (F.col("p_size") / 100).alias("dollars"))
+
+
+@query("n07_number_words", "SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS BIGINT) AS n FROM lineitem")
+def n07(t):
+    words = F.array(*map(F.lit, X.NUMBER_WORDS))
+    raw = F.when(F.col("l_linenumber") % 2 == 0, F.initcap(words[F.col("l_linenumber")])).otherwise(F.col("l_linenumber").cast("string"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", X.number_word(raw).alias("n"))
+
+
+@query("n08_drinking_window", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 2020 WHEN 1 THEN 2010 WHEN 2 THEN 2013 WHEN 3 THEN 2010 END AS \"start\", CASE p_size % 4 WHEN 0 THEN 2030 WHEN 1 THEN 2035 WHEN 2 THEN 2017 WHEN 3 THEN 2015 END AS \"end\" FROM part")
+def n08(t):
+    prose = F.array(*map(F.lit, ["Drink 2020–2030.", "Will keep through 2035", "Best in 3-7 years.", "Give it 5 years"]))[F.col("p_size") % 4]
+    return t.part.select("p_partkey", X.drinking_window(prose, F.lit(2010)).alias("w")).select("p_partkey", "w.start", "w.end")
+
+
+@query("n09_guarded", "SELECT p_partkey, CASE WHEN 1780 + p_size >= 1800 THEN 1780 + p_size END AS founded, CASE WHEN p_size % 10 > 0 THEN CAST(p_size % 10 AS BIGINT) * 1000 END AS cases FROM part")
+def n09(t):
+    raw = F.concat((F.col("p_size") % 10).cast("string"), F.lit(",000 cases"))
+    return t.part.select("p_partkey", X.guarded_year((1780 + F.col("p_size")).cast("string")).alias("founded"), X.guarded_count(raw).alias("cases"))
+
+
+@query("n10_months_and_percent", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS months, CAST(p_size + 1 AS DOUBLE) AS pct FROM part")
+def n10(t):
+    prose = F.format_string("Aged %d months in oak, %d%% new", F.col("p_size"), F.col("p_size") + 1)
+    return t.part.select("p_partkey", X.amount(prose, "months").alias("months"), X.high_percent(prose).alias("pct"))
+
+
+@query("n11_barcodes", "SELECT o_orderkey, length(CAST(o_orderkey AS VARCHAR) || '0000') BETWEEN 8 AND 14 AS valid FROM orders")
+def n11(t):
+    return t.orders.select("o_orderkey", X.is_barcode(F.concat("o_orderkey", F.lit("0000"))).alias("valid"))
+
+
+@query("n12_key_prefix", "SELECT c_custkey, substr(c_name, 1, 7) AS prefix FROM customer")
+def n12(t):
+    return t.customer.select("c_custkey", F.substring("c_name", 1, 7).alias("prefix"))
+
+
+@query("n13_cost", "SELECT conv_id, CAST(sum(length(text)) AS DOUBLE) * 0.25 / 1000000 AS cost FROM conversations GROUP BY conv_id")
+def n13(t):
+    return t.conversations.groupBy("conv_id").agg((F.sum(F.length("text")).cast("double") * 0.25 / 1000000).alias("cost"))
+
+
+@query("n14_duration", "SELECT event_id, printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS took FROM (SELECT event_id, CAST(floor(value * 60) AS BIGINT) AS s FROM events)")
+def n14(t):
+    return t.events.select("event_id", X.duration(F.floor(F.col("value") * 60)).alias("took"))
