@@ -1 +1,104 @@
-"""To come."""
+"""Geometry (E) and spatial joins (J14, J31)."""
+
+from pyspark.sql import functions as F
+
+from cairn.functions import geometry as E
+from cairn.plans.registry import query
+
+
+def rings(t):
+    """A square ring around each part, and its corners."""
+    x, y, r = (F.col("p_partkey") % 97).cast("double"), (F.col("p_partkey") % 53).cast("double"), (F.col("p_size") / 10).cast("double")
+    corner = lambda a, b: F.array(x + a * r, y + b * r)
+    return t.part.select("p_partkey", "p_size", x.alias("x"), y.alias("y"), r.alias("r"), F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1)).alias("ring"))
+
+
+XYR = "(SELECT p_partkey, p_size, CAST(p_partkey % 97 AS DOUBLE) AS x, CAST(p_partkey % 53 AS DOUBLE) AS y, p_size / 10 AS r FROM part)"
+
+
+@query("e01_centroid", f"SELECT p_partkey, round((5 * x - r) / 5, 6) AS lng, round((5 * y - r) / 5, 6) AS lat FROM {XYR}")
+def e01(t):
+    c = rings(t).select("p_partkey", E.centroid(F.col("ring")).alias("c"))
+    return c.select("p_partkey", F.round("c.lng", 6).alias("lng"), F.round("c.lat", 6).alias("lat"))
+
+
+@query("e02_haversine", "SELECT c_custkey, round(6371 * 2 * atan2(sqrt(h), sqrt(1 - h)), 4) AS km FROM (SELECT c_custkey, pow(sin(radians(la2 - la1) / 2), 2) + cos(radians(la1)) * cos(radians(la2)) * pow(sin(radians(lo2 - lo1) / 2), 2) AS h FROM (SELECT c_custkey, c_nationkey * 3.0 - 40 AS la1, c_nationkey * 7.0 - 90 AS lo1, c_custkey % 90 - 45.0 AS la2, c_custkey % 180 - 90.0 AS lo2 FROM customer))")
+def e02(t):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    return t.customer.select("c_custkey", F.round(E.haversine_km(n * 3.0 - 40, n * 7.0 - 90, k % 90 - 45.0, k % 180 - 90.0), 4).alias("km"))
+
+
+@query("e03_rounded", "SELECT p_partkey, p_partkey / 1024 + 0.0 AS x, round(p_partkey / 1024, 2) AS rounded FROM part WHERE p_partkey % 128 <> 0")
+def e03(t):
+    x = F.col("p_partkey") / 1024
+    rows = t.part.filter("p_partkey % 128 <> 0")  # the others are ties, which engines round differently
+    return rows.select("p_partkey", x.alias("x"), E.rounded(F.array(F.array(x)), 2)[0][0].alias("rounded"))
+
+
+@query("e04_simplify")
+def e04(t):
+    ring = E.regular_ring(F.col("x"), F.col("y"), F.col("r") + 0.1, 64)
+    return rings(t).select("p_partkey", F.size(E.simplify(0.05)(ring)).alias("n_points"))
+
+
+@query("e05_simplify_to_size")
+def e05(t):
+    ring = E.regular_ring(F.col("x"), F.col("y"), F.col("r") + 0.1, 64)
+    return rings(t).select("p_partkey", F.size(E.simplify_to(1500)(ring)).alias("n_points"))
+
+
+@query("e06_ring_direction", f"SELECT p_partkey, round(CASE WHEN p_size % 2 = 0 THEN -4 * r * r ELSE 4 * r * r END, 6) AS area, p_size % 2 = 0 AS starts_outer FROM {XYR}")
+def e06(t):
+    turned = F.when(F.col("p_size") % 2 == 0, F.reverse("ring")).otherwise(F.col("ring"))
+    area = E.signed_area(turned)
+    return rings(t).select("p_partkey", F.round(area, 6).alias("area"), (area < 0).alias("starts_outer"))
+
+
+def inside(t):
+    """(outer, inner) of small rings that lie in large ones: boxes meet on a grid, then rays are cast."""
+    large = rings(t).filter("p_size >= 45").select(F.col("p_partkey").alias("outer_id"), F.col("ring").alias("outer_ring"), F.col("r").alias("outer_r"))
+    small = rings(t).filter("p_size <= 5").select(F.col("p_partkey").alias("inner_id"), F.col("ring").alias("inner_ring"), F.col("r").alias("inner_r"))
+    cells = lambda df, ring: df.withColumn("cell", F.explode(E.grid_cells(E.box(F.col(ring)), 10.0)))
+    # A ring inside another meets each cell of its own box there; its first corner's cell will do.
+    home = small.withColumn("cell", F.struct(F.floor(F.col("inner_ring")[0][0] / 10).alias("x"), F.floor(F.col("inner_ring")[0][1] / 10).alias("y")))
+    pairs = cells(large, "outer_ring").join(home, "cell").drop("cell")
+    a, b = E.box(F.col("outer_ring")), E.box(F.col("inner_ring"))
+    near = pairs.filter((a["x0"] < b["x0"]) & (a["y0"] < b["y0"]) & (a["x1"] > b["x1"]) & (a["y1"] > b["y1"]) & (F.col("outer_id") != F.col("inner_id")))
+    return near.filter(E.contains_ring("outer_ring", "inner_ring"))
+
+
+CONTAINS = f"SELECT a.p_partkey AS outer_id, b.p_partkey AS inner_id FROM {XYR} a, {XYR} b WHERE a.p_size >= 45 AND b.p_size <= 5 AND a.x - a.r < b.x - b.r AND a.y - a.r < b.y - b.r AND a.x + a.r > b.x + b.r AND a.y + a.r > b.y + b.r"
+
+
+@query("e07_contains", CONTAINS)
+def e07(t):
+    return inside(t).select("outer_id", "inner_id")
+
+
+@query("j14_spatial_join", CONTAINS + " AND a.r * a.r > b.r * b.r * 1.01")
+def j14(t):
+    return inside(t).filter(F.col("outer_r") * F.col("outer_r") > F.col("inner_r") * F.col("inner_r") * 1.01).select("outer_id", "inner_id")
+
+
+@query("e09_geometry_type", "SELECT p_partkey, p_size % 3 < 2 AS polygon FROM part")
+def e09(t):
+    kind = F.array(*map(F.lit, ["Polygon", "MultiPolygon", "Point"]))[F.col("p_size") % 3]
+    return t.part.select("p_partkey", kind.isin("Polygon", "MultiPolygon").alias("polygon"))
+
+
+@query("e10_boundaries", f"SELECT p_brand, count(*) AS n, round(min(x - r), 6) AS x0, round(max(x + r), 6) AS x1 FROM {XYR} JOIN (SELECT p_partkey, p_brand FROM part) USING (p_partkey) GROUP BY p_brand")
+def e10(t):
+    b = rings(t).withColumn("b", E.box(F.col("ring"))).join(t.part.select("p_partkey", "p_brand"), "p_partkey")
+    return b.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.min("b.x0"), 6).alias("x0"), F.round(F.max("b.x1"), 6).alias("x1"))
+
+
+@query("e11_visible", "SELECT n_nationkey FROM nation WHERE n_name IN (SELECT n_name FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 9000)")
+def e11(t):
+    seen = t.customer.filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"))
+    return t.nation.join(seen, "n_nationkey", "left_semi").select("n_nationkey")
+
+
+@query("j31_proximity", "SELECT c_custkey FROM (SELECT c_custkey, pow(sin(radians(la2 - la1) / 2), 2) + cos(radians(la1)) * cos(radians(la2)) * pow(sin(radians(lo2 - lo1) / 2), 2) AS h FROM (SELECT c_custkey, c_nationkey * 3.0 - 40 AS la1, c_nationkey * 7.0 - 90 AS lo1, c_custkey % 90 - 45.0 AS la2, c_custkey % 180 - 90.0 AS lo2 FROM customer)) WHERE 6371 * 2 * atan2(sqrt(h), sqrt(1 - h)) <= 5000")
+def j31(t):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    return t.customer.filter(E.haversine_km(n * 3.0 - 40, n * 7.0 - 90, k % 90 - 45.0, k % 180 - 90.0) <= 5000).select("c_custkey")

@@ -116,10 +116,10 @@ def m15(t):
     return t.part.select("p_partkey", F.explode(F.filter(codes, lambda x: x.isNotNull())).alias("code"))
 
 
-@query("m16_positional", "SELECT p_partkey, string_split(p_type, ' ')[1] AS first, string_split(p_type, ' ')[9] AS ninth, list_filter(string_split(p_type, ' '), lambda w: regexp_matches(w, 'ED$'))[1] AS worked FROM part")
+@query("m16_positional", "SELECT p_partkey, string_split(p_type, ' ')[1] AS first, string_split(p_type, ' ')[9] AS ninth, list_filter(string_split(p_type, ' '), lambda w: regexp_matches(w, 'O$'))[1] AS worked FROM part")
 def m16(t):
     w = F.split("p_type", " ")
-    return t.part.select("p_partkey", F.get(w, F.lit(0)).alias("first"), F.get(w, F.lit(8)).alias("ninth"), F.get(F.filter(w, lambda x: x.rlike("ED$")), F.lit(0)).alias("worked"))
+    return t.part.select("p_partkey", F.get(w, F.lit(0)).alias("first"), F.get(w, F.lit(8)).alias("ninth"), F.get(F.filter(w, lambda x: x.rlike("O$")), F.lit(0)).alias("worked"))
 
 
 @query("m17_fenced_json", "SELECT event_id, event_id % 3 > 0 AS valid, CASE WHEN event_id % 3 > 0 THEN 'x' ELSE 'k,x' END AS missing FROM events")
@@ -129,9 +129,9 @@ def m17(t):
     return t.events.select("event_id", report.alias("r")).select("event_id", "r.valid", F.array_join("r.missing", ",").alias("missing"))
 
 
-@query("m18_vocabulary", "SELECT p_partkey, coalesce(CASE WHEN list_contains(string_split(p_type, ' '), 'STEEL') THEN 'STEEL' END, CASE WHEN list_contains(string_split(p_type, ' '), 'TIN') THEN 'TIN' END, CASE WHEN contains(lower(p_name), 'steel') THEN 'STEEL' END, CASE WHEN contains(lower(p_name), 'tin') THEN 'TIN' END) AS term FROM part")
+@query("m18_vocabulary", "SELECT p_partkey, coalesce(CASE WHEN list_contains(string_split(p_type, ' '), 'LARGE') THEN 'LARGE' END, CASE WHEN list_contains(string_split(p_type, ' '), 'PROMO') THEN 'PROMO' END, CASE WHEN contains(lower(p_name), 'large') THEN 'LARGE' END, CASE WHEN contains(lower(p_name), 'promo') THEN 'PROMO' END) AS term FROM part")
 def m18(t):
-    return t.part.select("p_partkey", M.in_vocabulary(F.split("p_type", " "), F.col("p_name"), ["STEEL", "TIN"]).alias("term"))
+    return t.part.select("p_partkey", M.in_vocabulary(F.split("p_type", " "), F.col("p_name"), ["LARGE", "PROMO"]).alias("term"))
 
 
 @query("m19_namespaced", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w), ' ') AS tags FROM part")

@@ -103,10 +103,10 @@ def p16(t):
     return t.orders.select("o_orderkey", C.missing_to_null("o_orderstatus", ("", "O")).alias("status"))
 
 
-@query("p17_class_with_exclusion", "SELECT p_partkey, CASE WHEN contains(p_type, 'STEEL') AND NOT contains(p_type, 'STANDARD') THEN 'steel' WHEN contains(p_type, 'BRASS') THEN 'brass' END AS metal FROM part")
+@query("p17_class_with_exclusion", "SELECT p_partkey, CASE WHEN contains(p_type, 'LARGE') AND NOT contains(p_type, 'STAND') THEN 'steel' WHEN contains(p_type, 'PROMO') THEN 'brass' END AS metal FROM part")
 def p17(t):
     k = F.col("p_type")
-    return t.part.select("p_partkey", C.first_match([(k.contains("STEEL") & ~k.contains("STANDARD"), "steel"), (k.contains("BRASS"), "brass")]).alias("metal"))
+    return t.part.select("p_partkey", C.first_match([(k.contains("LARGE") & ~k.contains("STAND"), "steel"), (k.contains("PROMO"), "brass")]).alias("metal"))
 
 
 @query("p18_regex_rules", "SELECT page_id, CASE WHEN regexp_matches(url, '\\.org/') THEN 'org' WHEN regexp_matches(url, '\\.net/') THEN 'net' ELSE 'other' END AS domain FROM pages")

@@ -91,10 +91,10 @@ def t11(t):
     return t.supplier.select("s_suppkey", N.drop_legal_form(F.concat("s_name", F.when(F.col("s_nationkey") % 2 == 0, ", Inc.").otherwise(" GmbH"))).alias("name"))
 
 
-@query("t12_base_name", "SELECT p_partkey, CASE WHEN regexp_matches(p_type, '^(.+) PLATED') THEN regexp_extract(p_type, '^(.+) PLATED', 1) ELSE regexp_replace(p_type, ' (?:STEEL|BRASS|COPPER|TIN|NICKEL)$', '') END AS base FROM part")
+@query("t12_base_name", "SELECT p_partkey, CASE WHEN regexp_matches(p_type, '^(.+)UM') THEN regexp_extract(p_type, '^(.+)UM', 1) ELSE regexp_replace(p_type, '(?:LARGE|PROMO|SMALL)$', '') END AS base FROM part")
 def t12(t):
     k = F.col("p_type")
-    base = F.when(k.rlike("^(.+) PLATED"), F.regexp_extract(k, "^(.+) PLATED", 1)).otherwise(F.regexp_replace(k, " (?:STEEL|BRASS|COPPER|TIN|NICKEL)$", ""))
+    base = F.when(k.rlike("^(.+)UM"), F.regexp_extract(k, "^(.+)UM", 1)).otherwise(F.regexp_replace(k, "(?:LARGE|PROMO|SMALL)$", ""))
     return t.part.select("p_partkey", base.alias("base"))
 
 

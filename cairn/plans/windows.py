@@ -104,11 +104,11 @@ def d03(t):
     return D.last_by(t.orders.select(clerk.alias("o_clerk"), "o_orderkey"), "o_clerk", "o_orderkey")
 
 
-RICH = "SELECT p_name, p_partkey, p_brand, nullif(p_size % 3, 0) AS a, CASE WHEN p_type LIKE '%STEEL' THEN '' ELSE p_type END AS b FROM part"
+RICH = "SELECT p_name, p_partkey, p_brand, nullif(p_size % 3, 0) AS a, CASE WHEN p_type LIKE '%LARGE' THEN '' ELSE p_type END AS b FROM part"
 
 
 def rich(t):
-    return t.part.select("p_name", "p_partkey", "p_brand", F.nullif(F.col("p_size") % 3, F.lit(0)).alias("a"), F.when(F.col("p_type").like("%STEEL"), "").otherwise(F.col("p_type")).alias("b"))
+    return t.part.select("p_name", "p_partkey", "p_brand", F.nullif(F.col("p_size") % 3, F.lit(0)).alias("a"), F.when(F.col("p_type").like("%LARGE"), "").otherwise(F.col("p_type")).alias("b"))
 
 
 @query("d04_richest", f"SELECT p_name, p_partkey FROM ({RICH}) QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY (a IS NOT NULL)::INT + (b <> '')::INT DESC, p_partkey) = 1")
@@ -146,8 +146,8 @@ def u04(t):
     return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.select("o_custkey"))
 
 
-@query("u05_ordered_merge", "WITH a AS (SELECT p_partkey, 0 AS leg FROM part WHERE p_name ILIKE '%red%'), b AS (SELECT p_partkey, 1 AS leg FROM part WHERE p_type ILIKE '%steel%') SELECT p_partkey, leg FROM a UNION ALL SELECT p_partkey, leg FROM b WHERE p_partkey NOT IN (SELECT p_partkey FROM a)")
+@query("u05_ordered_merge", "WITH a AS (SELECT p_partkey, 0 AS leg FROM part WHERE p_name ILIKE '%red%'), b AS (SELECT p_partkey, 1 AS leg FROM part WHERE p_type ILIKE '%large%') SELECT p_partkey, leg FROM a UNION ALL SELECT p_partkey, leg FROM b WHERE p_partkey NOT IN (SELECT p_partkey FROM a)")
 def u05(t):
     by_name = t.part.filter(F.ilike("p_name", F.lit("%red%"))).select("p_partkey", F.lit(0).alias("leg"))
-    by_type = t.part.filter(F.ilike("p_type", F.lit("%steel%"))).select("p_partkey", F.lit(1).alias("leg"))
+    by_type = t.part.filter(F.ilike("p_type", F.lit("%large%"))).select("p_partkey", F.lit(1).alias("leg"))
     return by_name.unionByName(by_type.join(by_name, "p_partkey", "left_anti")).orderBy("leg", "p_partkey")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "cairn", cpus: int | None = None) -> SparkSession:
@@ -65,3 +66,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows of an Arrow batch, since documents can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """Integers of which ``repartition(n, column)`` sends the i-th to partition i.
+
+    They deal rows that name their partition out evenly, where hashes of 0 to n - 1 would collide.
+    """
+    found = spark.range(40 * n + 200).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id"))
+    keys = {r["p"]: r["id"] for r in found.collect()}  # one row a partition
+    return [keys.get(i, i) for i in range(n)]
