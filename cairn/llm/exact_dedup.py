@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.session import arrow_batches, shared_dir
+from cairn.session import arrow_batches, materialise, shared_dir
 
 RUN_SCHEMA = "digest binary, best long, n long"
 
@@ -156,6 +156,7 @@ def mark_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     hits = rows.filter("hit is not null")
     groups = hits.groupBy("digest", "hit").agg(index._best("id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = materialise(groups, "digest-groups")  # so that the join can split a large group of copies
     # One of the rows that repeat the identifier which stays: ties are numbered, a group has few.
     turn = F.row_number().over(Window.partitionBy("digest", "hit", "id").orderBy(F.lit(0)))
     numbered = hits.withColumn("turn", turn)
