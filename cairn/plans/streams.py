@@ -1 +1,41 @@
-"""To come."""
+"""Streams over ``events`` (Z, K10)."""
+
+from pyspark.sql import functions as F
+
+from cairn.plans.registry import query
+from cairn.streaming import tables as Z
+
+
+def events(t):
+    return Z.read_stream(t._spark, t._dir, "events")
+
+
+@query("z02_exactly_once", "SELECT event_id, event_type, value FROM events WHERE event_type <> 'error'")
+def z02(t):
+    return Z.run_to_table(events(t).filter("event_type <> 'error'").select("event_id", "event_type", "value"), "exactly-once")
+
+
+@query("k10_upsert_sink", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def k10(t):
+    return Z.latest_by_key(events(t), "user_id", "event_id", ["event_type", "value"], "latest")
+
+
+@query("z04_sliding_rate", "SELECT strftime(w, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY 1, 2")
+def z04(t):
+    w = F.window("ts", "60 minutes", "30 minutes")
+    counts = events(t).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"))
+    held = {}
+
+    def keep(batch, number):
+        from cairn.session import materialise
+
+        held["last"] = materialise(batch, "rates")
+
+    Z.run_batches(counts, "rates", keep, mode="complete")
+    return held["last"].select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+@query("z07_first_lookups", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def z07(t):
+    seen = events(t).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "30 days").dropDuplicatesWithinWatermark(["event_id"])
+    return Z.run_to_table(seen.select("user_id", "event_type"), "lookups").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))

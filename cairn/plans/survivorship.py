@@ -1 +1,123 @@
-"""To come."""
+"""Merge, survivorship and scoring (R)."""
+
+from pyspark.sql import functions as F
+
+from cairn.operators import profile as P
+from cairn.operators import survivorship as S
+from cairn.plans.registry import query
+from cairn.sources import sinks
+
+#: Two views of the customers: as registered, and as their orders tell.
+EXISTING = "(SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END AS name, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_nationkey AS VARCHAR) END AS code FROM customer)"
+INCOMING = "(SELECT o_custkey AS k, min(o_orderpriority) AS segment, 'Customer#' || o_custkey AS name, CAST(count(*) AS VARCHAR) AS code FROM orders GROUP BY o_custkey)"
+
+
+def existing(t):
+    k = F.col("c_custkey")
+    return t.customer.select(k.alias("k"), F.when(k % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("segment"), F.when(k % 4 != 0, F.col("c_name")).alias("name"), F.when(k % 5 != 0, F.col("c_nationkey").cast("string")).alias("code"))
+
+
+def incoming(t):
+    return t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderpriority").alias("segment"), F.concat(F.lit("Customer#"), F.first("o_custkey").cast("string")).alias("name"), F.count("*").cast("string").alias("code"))
+
+
+@query("r01_additive_merge", f"SELECT e.k, coalesce(nullif(e.segment, ''), nullif(i.segment, '')) AS segment, coalesce(nullif(e.name, ''), nullif(i.name, '')) AS name FROM {EXISTING} e LEFT JOIN {INCOMING} i ON e.k = i.k")
+def r01(t):
+    return S.merge_fields(existing(t), incoming(t), "k", ["segment", "name"]).select("k", "segment", "name")
+
+
+@query("r01_conflicts", f"SELECT k, field, a AS existing, b AS incoming FROM (SELECT e.k, unnest(['segment', 'name']) AS field, unnest([e.segment, e.name]) AS a, unnest([i.segment, i.name]) AS b FROM {EXISTING} e JOIN {INCOMING} i ON e.k = i.k) WHERE a <> '' AND b <> '' AND a <> b")
+def r01_conflicts(t):
+    return S.conflict_rows(existing(t), incoming(t), "k", ["segment", "name"])
+
+
+@query("r02_protected", f"SELECT e.k, coalesce(e.code, i.code) AS code FROM {EXISTING} e LEFT JOIN {INCOMING} i ON e.k = i.k")
+def r02(t):
+    return S.merge_fields(existing(t), incoming(t), "k", ["segment"], ["code"]).select("k", "code")
+
+
+@query("r03_confidence", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 AND p_size % 5 <> 4 THEN 'upc_matched' WHEN p_size % 5 = 4 THEN 'verified' ELSE 'name_matched' END AS confidence FROM part")
+def r03(t):
+    a = F.when(F.col("p_size") % 5 == 4, "verified").otherwise("name_matched")
+    b = F.when(F.col("p_size") % 3 == 0, "upc_matched").otherwise("unknown")
+    return t.part.select("p_partkey", S.higher_confidence(a, b).alias("confidence"))
+
+
+@query("r04_grades", "SELECT p_partkey, CASE WHEN p_size = 50 THEN 'A' WHEN sold AND length(p_name) > 9 THEN 'B' WHEN length(p_name) > 9 THEN 'C' WHEN sold THEN 'D' ELSE 'F' END AS grade FROM (SELECT *, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.08) AS sold FROM part)")
+def r04(t):
+    sold = t.lineitem.filter("l_discount > 0.08").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("sold", F.lit(True))
+    rows = t.part.join(sold, "p_partkey", "left")
+    return rows.select("p_partkey", S.grade(F.coalesce("sold", F.lit(False)), F.length("p_name") > 9, F.col("p_size") == 50).alias("grade"))
+
+
+@query("r05_initial_confidence", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'lwin_matched' WHEN p_size > 20 THEN 'upc_matched' ELSE 'unverified' END AS confidence FROM part")
+def r05(t):
+    return t.part.select("p_partkey", F.when(F.col("p_size") > 40, "lwin_matched").when(F.col("p_size") > 20, "upc_matched").otherwise("unverified").alias("confidence"))
+
+
+@query("r06_match_or_create", "SELECT name, coalesce(k, sha256(name)) AS id, k IS NULL AS created FROM (SELECT DISTINCT s_name AS name FROM supplier UNION SELECT p_name FROM part) LEFT JOIN (SELECT p_name AS name, min(CAST(p_partkey AS VARCHAR)) AS k FROM part GROUP BY p_name) USING (name)")
+def r06(t):
+    rows = t.supplier.select(F.col("s_name").alias("name")).unionByName(t.part.select(F.col("p_name").alias("name")))
+    return S.match_or_create(rows, "name", t.part, "p_name", "p_partkey")
+
+
+@query("r07_created_once", "SELECT count(*) AS n_rows, count(DISTINCT p_name) AS n_entities FROM part")
+def r07(t):
+    made = S.match_or_create(t.part, "p_name", t.supplier, "s_name", "s_suppkey").filter("created")
+    linked = t.part.join(made, F.col("p_name") == F.col("name"))
+    return linked.agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_entities"))
+
+
+@query("r08_external_ids", "SELECT 'customer' AS kind, c_custkey AS id, 'orders' AS system, CAST(n AS VARCHAR) AS value FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey UNION ALL SELECT 'customer', c_custkey, 'name', c_name FROM customer UNION ALL SELECT 'customer', c_custkey, 'orders', 'none' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def r08(t):
+    row = lambda df, system, value: df.select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.lit(system).alias("system"), value.alias("value"))
+    held = row(t.customer, "orders", F.lit("none")).unionByName(row(t.customer, "name", F.col("c_name")))
+    new = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").cast("string").alias("n"))
+    return sinks.upsert(held, row(new, "orders", F.col("n")), ["kind", "id", "system"])
+
+
+@query("r09_classification_links", "SELECT DISTINCT p_brand, CASE p_type WHEN 'ECONOMY' THEN 'cheap' WHEN 'PROMO' THEN 'cheap' WHEN 'LARGE' THEN 'big' END AS class FROM part WHERE p_type IN ('ECONOMY', 'PROMO', 'LARGE') AND (p_brand, CASE p_type WHEN 'LARGE' THEN 'big' ELSE 'cheap' END) NOT IN (SELECT p_brand, 'cheap' FROM part WHERE p_size = 1)")
+def r09(t):
+    from cairn.operators.columns import mapped
+
+    links = t.part.select("p_brand", mapped("p_type", {"ECONOMY": "cheap", "PROMO": "cheap", "LARGE": "big"}).alias("class")).filter("class is not null").distinct()
+    there = t.part.filter("p_size = 1").select("p_brand", F.lit("cheap").alias("class"))
+    return links.join(there, ["p_brand", "class"], "left_anti")
+
+
+@query("r10_match_audit", "SELECT tier, count(*) AS n, count(*) FILTER (confidence >= 0.9) AS accepted FROM (SELECT CASE WHEN p_size > 20 THEN 'key' ELSE 'brand' END AS tier, CASE WHEN p_size > 20 THEN 1.0 WHEN p_size > 10 THEN 0.95 ELSE 0.5 END AS confidence FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY tier")
+def r10(t):
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    size = F.col("p_size")
+    scored = rows.select(F.when(size > 20, "key").otherwise("brand").alias("tier"), F.when(size > 20, 1.0).when(size > 10, 0.95).otherwise(0.5).alias("confidence"))
+    return scored.groupBy("tier").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") >= 0.9).alias("accepted"))
+
+
+@query("r11_quarantine", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand HAVING avg(p_size) > 26)) AND l_shipdate >= TIMESTAMP '1997-01-01'")
+def r11(t):
+    bad = t.part.groupBy("p_brand").agg(F.avg("p_size").alias("m")).filter("m > 26").select("p_brand")
+    parts = t.part.join(bad, "p_brand", "left_semi").select(F.col("p_partkey").alias("l_partkey"))
+    return t.lineitem.filter("l_shipdate >= timestamp'1997-01-01'").join(parts, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber")
+
+
+@query("r12_category_resolution", "SELECT p.p_partkey, coalesce(a.v, b.v, 'generic') AS category FROM part p LEFT JOIN (SELECT p_name, p_type, min(p_brand) AS v FROM part WHERE p_size > 45 GROUP BY 1, 2) a ON p.p_name = a.p_name AND p.p_type = a.p_type LEFT JOIN (SELECT p_name, min(p_brand) AS v FROM part WHERE p_size > 48 GROUP BY 1) b ON p.p_name = b.p_name")
+def r12(t):
+    both = t.part.filter("p_size > 45").groupBy("p_name", "p_type").agg(F.min("p_brand").alias("a"))
+    name = t.part.filter("p_size > 48").groupBy("p_name").agg(F.min("p_brand").alias("b"))
+    return t.part.join(both, ["p_name", "p_type"], "left").join(name, "p_name", "left").select("p_partkey", F.coalesce("a", "b", F.lit("generic")).alias("category"))
+
+
+@query("r13_catch_all", "SELECT c_custkey, coalesce(n.n_name, r.catch_all) AS place FROM customer LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0) n ON c_nationkey = n.n_nationkey LEFT JOIN (SELECT n_nationkey, 'any ' || r_name AS catch_all FROM nation JOIN region ON n_regionkey = r_regionkey) r ON c_nationkey = r.n_nationkey")
+def r13(t):
+    exact = t.nation.filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    wide = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit("any "), "r_name").alias("catch_all"))
+    return t.customer.join(exact, "c_nationkey", "left").join(wide, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", "catch_all").alias("place"))
+
+
+@query("r14_context", "SELECT p_brand, string_agg(p_name || '=' || n, ',' ORDER BY n DESC, p_name) AS top_names, min(total) AS total FROM (SELECT p_brand, p_name, count(*) AS n, sum(count(*)) OVER (PARTITION BY p_brand)::BIGINT AS total FROM part GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_name) <= 5) GROUP BY p_brand")
+def r14(t):
+    n = t.part.groupBy("p_brand", "p_name").agg(F.count("*").alias("n"))
+    top = P.top_n(n, ["p_brand"], [F.desc("n"), F.asc("p_name")], 5)
+    gathered = top.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("rank", "p_name", "n"))).alias("v"))
+    total = t.part.groupBy("p_brand").agg(F.count("*").alias("total"))
+    return gathered.join(total, "p_brand").select("p_brand", F.array_join(F.transform("v", lambda x: F.concat_ws("=", x["p_name"], x["n"].cast("string"))), ",").alias("top_names"), "total")

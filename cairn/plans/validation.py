@@ -1 +1,38 @@
-"""To come."""
+"""Validation and reports (X)."""
+
+from pyspark.sql import functions as F
+
+from cairn.operators import validation as V
+from cairn.plans.registry import query
+from cairn.sources import sinks
+
+
+@query("x01_import_issues", "SELECT l_orderkey * 10 + l_linenumber AS id, unnest(list_filter([CASE WHEN l_returnflag = 'R' THEN 'CRITICAL' END, CASE WHEN l_linestatus NOT IN ('O') THEN 'ERROR' END, CASE WHEN l_tax > 0.07 THEN 'WARN' END], lambda x: x IS NOT NULL)) AS severity FROM lineitem")
+def x01(t):
+    rows = t.lineitem.withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    rules = [("CRITICAL", "returned", F.col("l_returnflag") == "R"), ("ERROR", "status", ~F.col("l_linestatus").isin("O")), ("WARN", "tax", F.col("l_tax") > 0.07)]
+    return V.issues(rows, "id", rules).select("id", "severity")
+
+
+@query("x02_row_rejects", "SELECT count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS bad FROM (SELECT c_acctbal >= 0 AND c_mktsegment <> 'HOUSEHOLD' AS ok FROM customer)")
+def x02(t):
+    good, bad = sinks.split_rejects(t.customer, {"balance": F.col("c_acctbal") >= 0, "segment": F.col("c_mktsegment") != "HOUSEHOLD"})
+    marked = good.select(F.lit(True).alias("ok")).unionByName(bad.select(F.lit(False).alias("ok")))
+    return marked.agg(F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad"))
+
+
+@query("x03_orphans", "SELECT 'customer' AS kind, c_custkey * 2 AS ref FROM customer WHERE c_custkey * 2 NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'supplier', s_suppkey * 3 FROM supplier WHERE s_suppkey * 3 NOT IN (SELECT s_suppkey FROM supplier)")
+def x03(t):
+    refs = t.customer.select(F.lit("customer").alias("kind"), (F.col("c_custkey") * 2).alias("ref")).unionByName(t.supplier.select(F.lit("supplier").alias("kind"), (F.col("s_suppkey") * 3).alias("ref")))
+    return V.orphans(refs, "kind", "ref", {"customer": (t.customer, "c_custkey"), "supplier": (t.supplier, "s_suppkey")})
+
+
+@query("x04_table_counts", "SELECT section, name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'people' AS section, 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'people', 'supplier', count(*) FROM supplier UNION ALL SELECT 'sales', 'orders', count(*) FROM orders UNION ALL SELECT 'sales', 'lineitem', count(*) FROM lineitem) GROUP BY ROLLUP (section, name)")
+def x04(t):
+    return V.table_counts({"people": {"customer": t.customer, "supplier": t.supplier}, "sales": {"orders": t.orders, "lineitem": t.lineitem}})
+
+
+@query("x05_stuck_on_default", "SELECT n_name, count(*) AS n, count(*) FILTER (c_mktsegment = 'BUILDING') AS stuck FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def x05(t):
+    g = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("stuck"))
+    return g.join(t.nation, "n_nationkey").select("n_name", "n", "stuck")
