@@ -48,7 +48,7 @@ def higher_confidence(a: Column, b: Column) -> Column:
 
 
 def grade(facts: Column, described: Column, verified: Column) -> Column:
-    """A verified, B described, C nothing but facts and a hook is not told apart, D facts, F none."""
+    """A verified, B described with facts (scores, prices), C described only, D facts only, F neither."""
     return F.when(verified, "A").when(facts & described, "B").when(described, "C").when(facts, "D").otherwise("F")
 
 
@@ -62,7 +62,3 @@ def match_or_create(rows: DataFrame, name: str, existing: DataFrame, existing_na
     joined = names.join(known, "name", "left")
     return joined.select("name", F.coalesce("known", F.sha2("name", 256)).alias("id"), F.col("known").isNull().alias("created"))
 
-
-def cascade(key: Column, *options: Column) -> Column:
-    """The first option that is set."""
-    return F.coalesce(*options)

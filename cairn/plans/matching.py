@@ -162,7 +162,7 @@ def j26(t):
     return a.join(b, "p_brand").withColumn("label", label).filter("label is not null")
 
 
-@query("n_j_unmatched", TIERS + "SELECT q.name FROM q LEFT JOIN b USING (name) WHERE b.name IS NULL")
+@query("j22_unmatched", TIERS + "SELECT q.name FROM q LEFT JOIN b USING (name) WHERE b.name IS NULL")
 def unmatched(t):
     rows, parts = three_tiers(t)
     return rows.join(M.tiers(parts, "name", "id").select("name"), "name", "left_anti")
