@@ -13,17 +13,18 @@ def fold(id_col: Column, folds: int = 5) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: list[int], max_rows: int, max_row_bytes: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``max_rows`` rows of each class from the given folds.
+    """(doc_id, text, y) of at most ``max_rows`` labelled rows of each class from the given folds.
 
-    Rows are taken in the order of a hash of the identifier, so the sample does not depend on how
-    the tables are stored; texts beyond ``max_row_bytes`` are left out, whole, to bound its size.
+    Labels are taken in the order of a hash of the identifier, so the sample does not depend on
+    how the tables are stored. Only the chosen identifiers, at most twice ``max_rows``, are sent to
+    the documents; texts beyond ``max_row_bytes`` are left out, whole, to bound the sample's size.
     """
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).filter("y is not null and doc_id is not null")
-    known = known.filter(fold(F.col("doc_id")).isin(folds)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = docs.select("doc_id", "text").filter("text is not null").filter(F.octet_length("text") <= max_row_bytes).filter(fold(F.col("doc_id")).isin(folds))
-    both = rows.join(known, "doc_id").withColumn("turn", F.xxhash64("doc_id"))
-    parts = [both.filter(F.col("y") == y).orderBy("turn", "doc_id").limit(max_rows) for y in (0, 1)]
-    return parts[0].unionByName(parts[1]).drop("turn")
+    known = known.filter(fold(F.col("doc_id")).isin(folds)).withColumn("turn", F.xxhash64("doc_id"))
+    parts = [known.filter(F.col("y") == y).orderBy("turn", "doc_id").limit(max_rows) for y in (0, 1)]
+    chosen = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("y").alias("y"))
+    rows = docs.select("doc_id", "text").filter("text is not null").filter(F.octet_length("text") <= max_row_bytes)
+    return rows.join(F.broadcast(chosen), "doc_id")
 
 
 def class_totals(labels: DataFrame, label: str, folds: list[int]) -> dict[int, int]:
