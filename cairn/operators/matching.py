@@ -41,16 +41,16 @@ def best_match(pairs: DataFrame, left: str, order: list[Column]) -> DataFrame:
     return pairs.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def edit_candidates(left: DataFrame, right: DataFrame, limit: Column, widest: int, block: list[Column] | None = None) -> DataFrame:
-    """Pairs (l_name, r_name, distance) within ``limit`` edits, joined on bands of length.
+def edit_candidates(left: DataFrame, right: DataFrame, limit: Column) -> DataFrame:
+    """Pairs (l_name, r_name, distance) of distinct names within ``limit``, a column of ``l_name``.
 
-    Names whose lengths differ by more than ``widest`` cannot be within the limit; bands of that
-    width, each met by its neighbours, hold all others.
+    Names whose lengths differ by more than the limit cannot match, so each left name meets only
+    the lengths around its own, by an equality join.
     """
-    band = lambda c: F.floor(F.length(c) / (widest + 1))
-    a = left.select(F.col("name").alias("l_name")).distinct().withColumn("band", F.explode(F.array(band("l_name") - 1, band("l_name"), band("l_name") + 1)))
-    b = right.select(F.col("name").alias("r_name")).distinct().withColumn("band", band("r_name"))
-    pairs = a.join(b, "band").drop("band")
+    size = F.length("l_name")
+    a = left.select(F.col("name").alias("l_name")).distinct().withColumn("size", F.explode(F.sequence(F.greatest(size - limit, F.lit(0)), size + limit)))
+    b = right.select(F.col("name").alias("r_name")).distinct().withColumn("size", F.length("r_name").cast("bigint"))
+    pairs = a.withColumn("size", F.col("size").cast("bigint")).join(b, "size").drop("size")
     return pairs.withColumn("distance", F.levenshtein("l_name", "r_name")).filter(F.col("distance") <= limit)
 
 

@@ -56,7 +56,7 @@ EDITS = f"(SELECT a.name AS l_name, b.name AS r_name, CAST(levenshtein(a.name, b
 
 def edits(t):
     limit = F.greatest(F.floor(0.4 * F.length("l_name")), F.lit(5))
-    return M.edit_candidates(other(t).select("name"), names(t).select("name"), limit, 40).withColumn("distance", F.col("distance").cast("long"))
+    return M.edit_candidates(other(t).select("name"), names(t).select("name"), limit).withColumn("distance", F.col("distance").cast("long"))
 
 
 @query("j20_edit_top3", f"SELECT l_name, r_name, distance, row_number() OVER (PARTITION BY l_name ORDER BY distance, r_name) AS rank FROM {EDITS} QUALIFY rank <= 3")

@@ -1,11 +1,12 @@
 """Scans (S)."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.plans.registry import query
 from cairn.session import shared_dir
-from cairn.sources import files
+from cairn.sources import files, workbooks
 
 NATION = "n_nationkey int, n_name string, n_regionkey int"
 
@@ -48,6 +49,20 @@ def s05(t):
     return rows.join(kinds, "p_type", "left_semi").select("p_partkey", F.regexp_extract("p_name", '^"(.*)", x$', 1).alias("p_name"), "p_type").filter("p_name <> ''")
 
 
+@F.arrow_udf(T.BinaryType())
+def _workbook(sheet: pa.Array, ids: pa.Array, names: pa.Array) -> pa.Array:
+    return pa.array([workbooks.build_workbook({s: [["id", "name", None], *([str(i), n, "x"] for i, n in zip(a, b, strict=True))]}) for s, a, b in zip(sheet.to_pylist(), ids.to_pylist(), names.to_pylist(), strict=True)], pa.binary())
+
+
+@query("s06_workbooks", "SELECT r_name AS sheet, CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, 'x' AS third FROM nation JOIN region ON n_regionkey = r_regionkey")
+def s06(t):
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("v"))
+    books = rows.select("r_name", _workbook("r_name", "v.n_nationkey", "v.n_name").alias("content"))
+    cells = books.select("r_name", F.explode(workbooks.workbook_rows("content")).alias("r")).select("r_name", "r.*")
+    record = workbooks.with_headers(cells, F.col("r_name"))
+    return record.select("sheet", F.col("record")["id"].alias("id"), F.col("record")["name"].alias("name"), F.col("record")["col_2"].alias("third"))
+
+
 @query("s07_sheets", "SELECT r_name AS sheet, n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
 def s07(t):
     spark = t.nation.sparkSession

@@ -128,3 +128,29 @@ def test_scores_in_context(spark):
     find = nested.context_scores({"advocate": "WA"})
     got = one(spark, find, "The Advocate gave 95 points. " + "x " * 300 + "Others 90 pts and 95 points, 79 points")
     assert {(r["score"], r["publication"]) for r in got} == {(95, "WA"), (90, None), (95, None)}
+
+
+def test_partition_keys_fill_each_partition_once(spark):
+    from cairn.session import partition_keys
+
+    keys = partition_keys(spark, 13)
+    rows = spark.createDataFrame([(k,) for k in keys], "k int").repartition(13, "k")
+    assert rows.rdd.glom().map(len).collect() == [1] * 13
+
+
+def test_edit_candidates_equal_brute_force(spark):
+    words = ["kitten", "sitting", "mitten", "sit", "", "a", "kit", "written"]
+    df = spark.createDataFrame([(w,) for w in words], "name string")
+    got = {(r["l_name"], r["r_name"]): r["distance"] for r in matching.edit_candidates(df, df, F.lit(3)).collect()}
+    plain = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    want = {(r["a"], r["b"]): r["d"] for r in plain.select("a", "b", F.levenshtein("a", "b").alias("d")).filter("d <= 3").collect()}
+    assert got == want
+
+
+def test_workbooks_round_trip(spark, tmp_path):
+    from cairn.sources import workbooks
+
+    book = {"One": [["a", None], ["1", "x<&y"], ["2"]], "Skip": [["a"], ["9"]], "Tw o": [["a"], ["é"]]}
+    (tmp_path / "b.xlsx").write_bytes(workbooks.build_workbook(book))
+    got = {(r["sheet"], r["number"]): r["record"] for r in workbooks.read_workbooks(spark, str(tmp_path), skip=("Skip",)).collect()}
+    assert got == {("One", 2): {"a": "1", "col_1": "x<&y"}, ("One", 3): {"a": "2", "col_1": None}, ("Tw o", 2): {"a": "é"}}
