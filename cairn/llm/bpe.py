@@ -7,7 +7,8 @@ pair in the tree can merge. Many pretokens are encoded at once as rows of one ar
 a few long ones each get a tree of their own.
 
 The vocabulary file is a parameter and read where a task runs, so executors need it at that
-path. Pretokens that a worker has met are kept in a cache of two bounded generations.
+path. Pretokens that a worker has met are kept in a cache of two bounded generations;
+each is decoded when it is encoded, and a text's decoded bytes are put together from that.
 
 Cases: a null text counts as empty and has no tokens; special tokens of the file are recognised
 in the text as the tokenizers library does; white-space runs and pretokens of any length are
@@ -50,7 +51,7 @@ def byte_symbols() -> dict[str, int]:
 class Encoder:
     """The merges and tokens of one vocabulary file."""
 
-    def __init__(self, path: str, cache_words: int = 120_000):
+    def __init__(self, path: str, cache_words: int = 40_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
@@ -81,9 +82,11 @@ class Encoder:
         rest = np.setdiff1d(np.arange(len(keys)), first)
         rest = rest[np.argsort(keys[rest])]
         self.rest_key, self.rest_rank = np.append(keys[rest], np.int64(1) << 62), np.append(rest << SHIFT, FAR)
-        #: Pretoken to (ids in decimal, decoded bytes): the current and the previous generation.
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
-        self.previous: dict[str, tuple[bytes, bytes]] = {}
+        #: Pretoken to its ids in decimal: the current and the previous generation.
+        self.cache: dict[str, bytes] = {}
+        self.previous: dict[str, bytes] = {}
+        #: What a pretoken's ids decode to, if that is not the pretoken.
+        self.odd: dict[str, bytes] = {}
         self.cache_words = cache_words
 
     @staticmethod
@@ -234,11 +237,14 @@ class Encoder:
             if (known := self.previous.get(w)) is not None:
                 self.cache[w] = known
             elif w in self.special:
-                self.cache[w] = (str(self.special[w]).encode(), w.encode("utf-8"))
+                self.cache[w] = str(self.special[w]).encode()
             else:
                 new.append(w)
-        for w, ids in zip(new, self.encode_words([w.encode("utf-8") for w in new]), strict=True):
-            self.cache[w] = (",".join(map(self.decimal.__getitem__, ids)).encode(), self.decode(ids))
+        raws = [w.encode("utf-8") for w in new]
+        for w, raw, ids in zip(new, raws, self.encode_words(raws), strict=True):
+            self.cache[w] = ",".join(map(self.decimal.__getitem__, ids)).encode()
+            if (decoded := self.decode(ids)) != raw:
+                self.odd[w] = decoded
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """For each text its ids in decimal, joined by commas, and its decoded bytes."""
@@ -246,8 +252,9 @@ class Encoder:
         self.learn(set().union(*split))
         out = []
         for words in split:
-            found = list(map(self.cache.__getitem__, words))
-            out.append((b",".join([f[0] for f in found]), b"".join([f[1] for f in found])))
+            ids = b",".join(map(self.cache.__getitem__, words))
+            raw = b"".join([self.odd.get(w) or w.encode("utf-8") for w in words]) if self.odd else "".join(words).encode("utf-8")
+            out.append((ids, raw))
         return out
 
 

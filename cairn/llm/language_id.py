@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from cairn.session import arrow_batches
 
-SYMBOLS, ORDER, BLOCK = 64, 3, 1 << 20
+SYMBOLS, ORDER, BLOCK = 64, 3, 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -82,7 +82,7 @@ def count_grams(train: DataFrame) -> DataFrame:
                 b = joined_bytes(texts)[0].astype(np.uint32)
                 waiting.setdefault(lang, []).append(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:])
                 size += len(b)
-            if size > 4 * BLOCK:
+            if size > 16 * BLOCK:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -173,7 +173,7 @@ class Trees:
         return langs, scores
 
 
-def train(labelled: DataFrame, max_grams: int = 600_000, max_langs: int = 64) -> Trees:
+def train(labelled: DataFrame, max_grams: int = 300_000, max_langs: int = 64) -> Trees:
     """Fit the trees on all rows of (lang, text); their size is bounded whatever the input."""
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), "text").filter("lang is not null and text is not null and text <> ''")
     grams = count_grams(rows).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
