@@ -15,7 +15,6 @@ test table leaves every document clean; further columns travel in a struct.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from itertools import repeat
 
