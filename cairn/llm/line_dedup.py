@@ -123,7 +123,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = LineIndex(spark)
     for b in range(batches):
         index.add(lines.filter(F.col("batch") == b))
-    frequent = index.entries().filter(F.col("n_docs") >= min_docs)
+    frequent = materialise(index.entries().filter(F.col("n_docs") >= min_docs), "frequent-lines")  # so that the join can split a hot line
     drops = lines.join(frequent, "key").filter(F.col("doc") != F.col("max_doc")).groupBy("doc").agg(F.collect_set("key").alias("gone"))
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     rows = rows.withColumn("doc", F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(NULL_ID)))
