@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.session import arrow_batches, shared_dir
+from cairn.session import materialise, shared_dir
 
 #: Fixed values of the WARC 1.1 format.
 END = "\r\n\r\n"
@@ -34,6 +34,7 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     """(page_id, digest, refers_to) of the rows that revisit another one."""
     headers = pages.select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest")).filter(F.col("bytes") >= min_bytes)
     firsts = headers.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = materialise(firsts, "first-payloads")  # so that the join can split a hot payload
     return headers.join(firsts, "digest").filter(F.col("page_id") > F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
 
 
@@ -119,7 +120,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    arrow_batches(spark, 1)
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(parse, RECORD)
 
 
