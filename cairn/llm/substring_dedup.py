@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.session import arrow_batches, materialise
+from cairn.session import arrow_batches, materialise, partition_keys
 
 WINDOW, PHRASE = 20, 8
 REACH = WINDOW - PHRASE + 1  # phrases in a window
@@ -153,7 +153,7 @@ def blobs(keys: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, li
 PLACES = "bucket int, tag long, hash binary, tags binary, pos binary"
 
 
-def _places(buckets: int, limit: int = 1_000_000):
+def _places(keys: list[int], limit: int = 1_000_000):
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -169,9 +169,9 @@ def _places(buckets: int, limit: int = 1_000_000):
             rank = np.arange(len(h)) - np.flatnonzero(new)[group]
             # Two places of a hash tell all others that it recurs; the rest need not travel.
             sent = rank < 2
-            rows = [(b, None, *x) for b, x in blobs((h[sent] % np.uint64(buckets)).astype(np.int64), [h[sent], t[sent], p[sent]])]
+            rows = [(keys[b], None, *x) for b, x in blobs((h[sent] % np.uint64(len(keys))).astype(np.int64), [h[sent], t[sent], p[sent]])]
             here = ~sent
-            rows += [(i % buckets, tag, None, None, x[0]) for i, (tag, x) in enumerate(blobs(t[here], [p[here]]))]
+            rows += [(keys[tag % len(keys)], tag, None, None, x[0]) for tag, x in blobs(t[here], [p[here]])]
             for at in range(0, len(rows), 4096):
                 part = list(zip(*rows[at : at + 4096], strict=True))
                 yield pa.record_batch([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int64()), *[pa.array(c, pa.binary()) for c in part[2:]]], names=["bucket", "tag", "hash", "tags", "pos"])
@@ -263,7 +263,7 @@ def locate(words: Words, recurring: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def _judge_local(buckets: int, max_phrases: int, max_bytes: int, limit: int = 1_500_000):
+def _judge_local(keys: list[int], max_phrases: int, max_bytes: int, limit: int = 1_500_000):
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
         shard: list[tuple[int, int, str, np.ndarray]] = []
@@ -285,8 +285,8 @@ def _judge_local(buckets: int, max_phrases: int, max_bytes: int, limit: int = 1_
             order = np.lexsort((t, s, d, h, m))
             m, h, d, t, s = m[order], h[order], d[order], t[order], s[order]
             first = earliest(m, h, d, s)
-            yield from _starts(d[~first], t[~first], s[~first])
-            yield from _firsts(m[first], h[first], d[first], t[first], s[first], buckets)
+            yield from _starts(d[~first], t[~first], s[~first], keys)
+            yield from _firsts(m[first], h[first], d[first], t[first], s[first], keys)
 
         for batch in batches:
             for d, t, packed, pos in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
@@ -320,17 +320,17 @@ def _record(rows: list[dict]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r.get(n) for r in rows], k) for n, k in zip(NAMES, kinds, strict=True)], names=NAMES)
 
 
-def _starts(d, t, s):
+def _starts(d, t, s, keys=(0,)):
     """Rows (doc, tag, starts) of windows to remove."""
     order = np.lexsort((s, t, d))
     d, t, s = d[order], t[order], s[order]
     cuts = np.append(np.flatnonzero(runs_of(d, t)), len(d))
-    rows = [{"bucket": i, "doc": int(d[a]), "tag": int(t[a]), "starts": s[a:b].tobytes()} for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    rows = [{"bucket": keys[int(t[a]) % len(keys)], "doc": int(d[a]), "tag": int(t[a]), "starts": s[a:b].tobytes()} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     for at in range(0, len(rows), 4096):
         yield _record(rows[at : at + 4096])
 
 
-def _firsts(m, h, d, t, s, buckets: int):
+def _firsts(m, h, d, t, s, keys: list[int]):
     """Rows of windows for the others to compare: runs of neighbours with one anchor."""
     order = np.lexsort((s, t, d, m))
     m, h, d, t, s = m[order], h[order], d[order], t[order], s[order]
@@ -339,13 +339,13 @@ def _firsts(m, h, d, t, s, buckets: int):
     new |= (s - s[lead]) // 256 != np.concatenate([[0], ((s - s[lead]) // 256)[:-1]]) if len(new) else new
     cuts = np.flatnonzero(new)
     n = np.diff(np.append(cuts, len(m)))
-    bucket = (m % np.uint64(buckets)).astype(np.int64)
+    bucket = (m % np.uint64(len(keys))).astype(np.int64)
     offset = (s - np.repeat(s[cuts], n)).astype(np.uint8)
     rows = []
     heads = dict(blobs(bucket[cuts], [m[cuts], d[cuts], t[cuts], s[cuts], n.astype(np.int32)]))
     bodies = dict(blobs(bucket, [offset, h]))
     for b, x in heads.items():
-        rows.append({"bucket": b, "least": x[0], "docs": x[1], "tags": x[2], "first": x[3], "n": x[4], "offset": bodies[b][0], "hash": bodies[b][1]})
+        rows.append({"bucket": keys[b], "least": x[0], "docs": x[1], "tags": x[2], "first": x[3], "n": x[4], "offset": bodies[b][0], "hash": bodies[b][1]})
     for at in range(0, len(rows), 1024):
         yield _record(rows[at : at + 1024])
 
@@ -405,7 +405,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     arrow_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 16 * parts
+    keys = partition_keys(spark, parts)
 
     @F.arrow_udf("struct<digest: binary, tag: long>")
     def tagged(text: pa.Array) -> pa.Array:
@@ -426,13 +426,13 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         keyed.distinct().join(firsts, "digest", "left").select("doc", "tag", (F.col("doc") > F.col("first_doc")).alias("copy")).fillna(False, ["copy"]), "rows"
     )
 
-    places = base.select("text").mapInArrow(_places(buckets), PLACES).repartition(parts, "bucket")
+    places = base.select("text").mapInArrow(_places(keys), PLACES).repartition(parts, "bucket")
     recurring = places.mapInArrow(_confirm, "tag long, pos binary").groupBy("tag").agg(F.collect_list("pos").alias("pos"))
     # Shards take every text that is no copy; those without a recurring phrase have no positions.
     sides = rows.filter("not copy").join(recurring, "tag", "left").select("doc", "tag", F.coalesce("pos", F.array().cast("array<binary>")).alias("pos"))
     texts = base.select("doc", packed("text").alias("p"), "no_id").select("doc", "no_id", "p.tag", "p.packed")
     shards = texts.join(sides, ["doc", "tag"]).select("doc", "tag", "packed", "pos")
-    judged = shards.mapInArrow(_judge_local(buckets, max_phrases, max_bytes), FIRSTS).repartition(parts, "bucket").mapInArrow(_judge, "doc long, tag long, starts binary")
+    judged = shards.mapInArrow(_judge_local(keys, max_phrases, max_bytes), FIRSTS).repartition(parts, "bucket").mapInArrow(_judge, "doc long, tag long, starts binary")
     gone = judged.groupBy("doc", "tag").agg(F.collect_list("starts").alias("starts"))
 
     @F.arrow_udf("struct<n_words: long, n_removed: long, kept: string>")
