@@ -5,7 +5,8 @@ the number of its earlier occurrences in the document. For each of ``SKETCHES``
 ``SAMPLED`` least labelled k-mers are kept in text order and hashed to a key, so the chance that
 two documents share a key follows their edit similarity.
 
-Documents with equal words are one text, kept under its least identifier. Texts that share a key
+Documents with equal words are one text, named by a 64-bit digest of its words and not by an
+identifier, which rows can lack or share. Texts that share a key
 are linked as a star: each task links its own to the least among them, and only the least ones
 are dealt out by key, so no key gathers its texts in one task and no group is squared. Candidates
 are verified by a banded alignment of whole texts: linked if the edit distance in words is at
@@ -15,8 +16,8 @@ their neighbours by length under each key, until a round finds no new link.
 
 Cases: null and wordless texts are classes of their own; texts shorter than ``K`` words have
 their whole as one k-mer; a null identifier is smaller than every other; rows that repeat a text
-share its class, and of different texts under one identifier one is verified; an empty table
-gives an empty result; further columns are not needed.
+share its class, different texts under one identifier or none are classed each for itself; an
+empty table gives an empty result; further columns are not needed.
 """
 
 from __future__ import annotations
@@ -36,7 +37,6 @@ from cairn.session import arrow_batches, materialise, partition_keys
 
 K, SAMPLED, SKETCHES = 5, 2, 32
 SIMILARITY = 0.8
-NULL_ID = -(1 << 63)
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -313,25 +313,31 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def lower(text: str | None) -> bytes:
         return b"" if text is None else text.encode("utf-8").lower()
 
+    def node(words: list[bytes]) -> int:
+        return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
+
     def describe(batches):
         for batch in batches:
             raws = [lower(t) for t in batch.column(1).to_pylist()]
             keys, n = sketch(raws)
             rows = iter(keys)
             packed = [next(rows).tobytes() if c else None for c in n.tolist()]
-            digests = [hashlib.blake2b(b" ".join(WORD.findall(r)), digest_size=16).digest() for r in raws]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(n.astype(np.int32)), pa.array(packed, pa.binary())], names=["doc", "no_id", "digest", "size", "keys"])
+            nodes = [node(WORD.findall(r)) for r in raws]
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(nodes, pa.int64()), pa.array(n.astype(np.int32)), pa.array(packed, pa.binary())], names=["doc", "no_id", "row", "node", "size", "keys"])
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<doc: long, packed: binary>")
     def pack(text: pa.Array) -> pa.Array:
         squeeze = zstandard.ZstdCompressor(level=1)
-        return pa.array([squeeze.compress(lower(t)) for t in text.to_pylist()], pa.binary())
+        raws = [lower(t) for t in text.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([node(WORD.findall(r)) for r in raws], pa.int64()), pa.array([squeeze.compress(r) for r in raws], pa.binary())], names=["doc", "packed"])
 
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("no_id"))
-    described = materialise(base.mapInArrow(describe, "doc long, no_id boolean, digest binary, size int, keys binary"), "sketches")
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("no_id")).withColumn("row", F.xxhash64("doc", "text"))
+    described = materialise(base.select("doc", "text", "no_id", "row").mapInArrow(describe, "doc long, no_id boolean, row long, node long, size int, keys binary"), "sketches")
     worded = described.filter("size > 0")
+    # From here to the classes, ``doc`` is the node: texts, not identifiers, are compared and linked.
+    least = (F.min("doc").alias("least"), F.max("no_id").alias("no_id"))
     texts = materialise(
-        worded.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("size").alias("size"), F.first("keys").alias("keys")).withColumn("group", F.col("doc")), "texts"
+        worded.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"), *least).withColumnRenamed("node", "doc").withColumn("group", F.col("doc")), "texts"
     )
     tested, links, words = None, None, None
     labels = texts.select("doc", F.col("doc").alias("root"))
@@ -343,12 +349,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         edges = materialise(edges, "candidates")
         if not edges.take(1):
             break
-        # Texts of the candidates; of an identifier with several texts one is verified.
+        # Texts of the candidates, found by the hash of one of their rows.
         ends = edges.select(F.col("a").alias("doc")).unionByName(edges.select(F.col("b").alias("doc"))).distinct()
         # Up to ``max_broadcast_ids`` identifiers are sent to the texts; beyond, both are shuffled.
-        few = materialise(ends, "ends")
+        few = materialise(texts.join(ends, "doc").select("row"), "ends")
         few = F.broadcast(few) if few.count() <= max_broadcast_ids else few.hint("merge")
-        words = materialise(base.join(few, "doc").select("doc", pack("text").alias("packed")).dropDuplicates(["doc"]), "packed")
+        words = materialise(base.join(few, "row", "left_semi").select(pack("text").alias("p")).select("p.*").dropDuplicates(["doc"]), "packed")
         found = materialise(verified(edges, words, similarity), "verified")
         if not found.take(1):
             break
@@ -356,12 +362,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tested = edges if tested is None else tested.unionByName(edges)
         labels = materialise(texts.select("doc").join(components(links).withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("root", "doc").alias("root")), "labels")
         sides = texts.drop("group").join(labels.withColumnRenamed("root", "group"), "doc")
-    classes = materialise(texts.select("digest", "doc").join(labels, "doc").select("digest", "root"), "classes")
-    joined = described.join(classes, "digest", "left")
-    one = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return joined.select(F.when(~F.col("no_id"), F.col("doc")).alias(id_col), one("root").alias("root"), F.col("size")).select(
-        id_col, F.when(F.col("size") > 0, F.col("root")).otherwise(F.col(id_col)).alias("class_id")
-    )
+    roots = materialise(texts.select("doc", "least", "no_id").join(labels, "doc"), "roots")
+    found = roots.groupBy("root").agg(F.min("least").alias("least"), F.max("no_id").alias("open"))
+    classes = materialise(roots.select(F.col("doc").alias("node"), "root").join(found, "root").select("node", F.when(~F.col("open"), F.col("least")).alias("class_id")), "classes")
+    joined = described.select("doc", "node", "size").join(classes, "node", "left")
+    return joined.select(F.col("doc").alias(id_col), F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc")).alias("class_id"))
 
 
 def op10_near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -239,6 +239,17 @@ def test_near_odd_rows(spark):
     assert near_dedup.near_classes(df.limit(0)).count() == 0
 
 
+def test_near_texts_without_or_with_shared_identifiers(spark):
+    rng = random.Random(6)
+    base = [random_words(rng, 40) for _ in range(6)]
+    near = [[*b[:20], "other", *b[21:]] for b in base]
+    # Three texts without an identifier, three texts under 5; each has a near copy of its own.
+    rows = [(None if i < 3 else 5, " ".join(b)) for i, b in enumerate(base)] + [(10 + i, " ".join(n)) for i, n in enumerate(near)]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, None)] * 3 + [(5, 5)] * 3 + [(10 + i, None if i < 3 else 5) for i in range(6)]
+    assert sorted(map(str, [tuple(r) for r in got])) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("op", [exact_dedup.op6_exact_dedup, line_dedup.op1_line_dedup, substring_dedup.op8_substring_dedup, near_dedup.op10_near_dedup])
 def test_one_row_a_document(spark, op):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
