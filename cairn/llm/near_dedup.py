@@ -6,13 +6,17 @@ the number of its earlier occurrences in the document. For each of ``SKETCHES``
 two documents share a key follows their edit similarity.
 
 Documents with equal words are one text, named by a 64-bit digest of its words and not by an
-identifier, which rows can lack or share. Texts that share a key
-are linked as a star: each task links its own to the least among them, and only the least ones
-are dealt out by key, so no key gathers its texts in one task and no group is squared. Candidates
-are verified by a banded alignment of whole texts: linked if the edit distance in words is at
-most ``1 - similarity`` of the longer text. Classes are the connected components of the verified
-links, found by alternating stars on tables. Further rounds link the classes' least texts and
-their neighbours by length under each key, until a round finds no new link.
+identifier, which rows can lack or share. Rows of a
+key are joined within a task first and go on only if several texts share the key. Candidates are
+verified by a banded alignment of whole texts: linked if the edit distance in words is at most
+``1 - similarity`` of the longer text. Classes are the connected components of the verified
+links, found by alternating stars on tables.
+
+There are two rounds. The first tests each text with the least one of each of its keys, which
+makes most near copies one class. The second tests all other pairs that share a key and lie in
+different classes, whatever their number: a key's texts are dealt to cells of bounded size, and
+those outside its largest class visit all of them. Only pairs whose lengths or counts of words
+show that they cannot be similar are left out.
 
 Cases: null and wordless texts are classes of their own; texts shorter than ``K`` words have
 their whole as one k-mer; a null identifier is smaller than every other; rows that repeat a text
@@ -164,110 +168,194 @@ def similar(a: list, b: list, similarity: float) -> bool:
 
 # Candidates
 
+DEALT = "bucket int, a binary, b binary"
+DEALT_NAMES = ["bucket", "a", "b"]
+#: Texts of a key that a cell holds; beyond, a key has several cells.
+CELL = 2048
+#: Pairs that are compared at once.
+CHUNK = 100_000
+#: Words are counted in so many places to tell that two texts cannot be similar.
+BAG = 128
 
-def _split(keys: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
-    order = np.argsort(keys, kind="stable")
-    keys, columns = keys[order], [c[order] for c in columns]
-    cuts = np.append(np.flatnonzero(np.append([True], keys[1:] != keys[:-1])), len(keys)) if len(keys) else [0]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(keys[a]), [c[a:b].tobytes() for c in columns]
 
+def _split(at: np.ndarray, columns: list[np.ndarray], buckets: list[int]) -> Iterator[pa.RecordBatch]:
+    """A blob for each bucket."""
+    order = np.argsort(at, kind="stable")
+    at, columns = at[order], [c[order] for c in columns]
+    cuts = np.append(np.flatnonzero(np.append([True], at[1:] != at[:-1])), len(at))
+    rows = [[buckets[int(at[a])] for a in cuts[:-1]], *[[c[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for c in columns]]
+    yield pa.record_batch([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=DEALT_NAMES)
 
-def star_edges(key: np.ndarray, doc: np.ndarray, size: np.ndarray, group: np.ndarray):
-    """Edges (least, other) under each key between texts of different groups and like sizes.
 
-    Texts under a key are ordered by size; each is linked to the least text of the key and to
-    its neighbour in that order. Also gives which rows are the least and the last of their key.
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and the length of the run that each row is in."""
+    starts = np.flatnonzero(np.append([True], key[1:] != key[:-1]))
+    lengths = np.diff(np.append(starts, len(key)))
+    return starts, np.repeat(lengths, lengths)
+
+
+def _rows(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows (key, doc) in order."""
+    order = np.lexsort((docs, keys))
+    keys, docs = keys[order], docs[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+    return keys[new], docs[new]
+
+
+def _local_keys(buckets: list[int], limit: int = 16_000, many: int = 16):
+    """Rows (key, doc) dealt out by key; of a key with more than ``many`` texts here only two.
+
+    The others of such a key are known to share it, so they go anywhere (column a is empty then
+    and b has keys and docs), and no key gathers its texts in one task.
     """
-    order = np.lexsort((doc, size, key))
-    key, doc, size, group = key[order], doc[order], size[order], group[order]
-    new = np.append([True], key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-    starts = np.flatnonzero(new)
-    which = np.cumsum(new) - 1
-    least = np.empty(0, np.int64)
-    if len(key):
-        lead = np.lexsort((doc, key))
-        least = doc[lead][starts]  # keys stand in the same places in either order
-        lead_at = lead[starts]
-        other = lead_at[which]
-        before = np.maximum(np.arange(len(key)) - 1, 0)
-        a = np.concatenate([other, before])
-        b = np.tile(np.arange(len(key)), 2)
-        ok = (group[a] != group[b]) & (key[a] == key[b])
-        ok &= SIMILARITY * np.maximum(size[a], size[b]) <= np.minimum(size[a], size[b])
-        pairs = np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])])[:, ok]
-        return np.unique(pairs, axis=1), (key[lead_at], doc[lead_at], size[lead_at], group[lead_at])
-    return np.zeros((2, 0), np.int64), (key, doc, size, group)
-
-
-DEALT = "bucket int, a binary, b binary, c binary, d binary"
-DEALT_NAMES = ["bucket", "a", "b", "c", "d"]
-
-
-def _dealt(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(rows), 2048):
-        part = list(zip(*rows[at : at + 2048], strict=True))
-        yield pa.record_batch([pa.array(part[0], pa.int32()), *[pa.array(c, pa.binary()) for c in part[1:]]], names=DEALT_NAMES)
-
-
-def _edges_out(pairs: np.ndarray, buckets: list[int]) -> list[tuple]:
-    """Edges as blobs without keys, which pass through to the result."""
-    step = 4096
-    return [(buckets[int(pairs[1, i]) % len(buckets)], pairs[0, i : i + step].tobytes(), pairs[1, i : i + step].tobytes(), None, None) for i in range(0, pairs.shape[1], step)]
-
-
-def _local_stars(buckets: list[int], limit: int = 16_000):
-    """Stars of the texts a task has; their least texts are dealt out by key."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
-            keys, doc, size, group = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, docs = _rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
-            wide = [np.repeat(x, SKETCHES) for x in (doc, size, group)]
-            pairs, (k, d, s, g) = star_edges(keys.ravel(), *wide)
-            yield from _dealt(_edges_out(pairs, buckets))
-            yield from _dealt([(buckets[b], *x) for b, x in _split((k % np.uint64(len(buckets))).astype(np.int64), [k, d, s, g])])
+            starts, length = _runs(keys)
+            place = np.arange(len(keys)) - np.repeat(starts, length[starts])
+            known = (length > many) & (place > 1)
+            k, d = keys[~known], docs[~known]
+            yield from _split((k % np.uint64(len(buckets))).astype(np.int64), [k, d], buckets)
+            k, d = keys[known], docs[known]
+            for at in range(0, len(k), 4096):
+                blob = k[at : at + 4096].tobytes() + d[at : at + 4096].tobytes()
+                yield pa.record_batch([pa.array([buckets[int(d[at]) % len(buckets)]], pa.int32()), pa.array([b""], pa.binary()), pa.array([blob], pa.binary())], names=DEALT_NAMES)
 
         n = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            doc, size, group = (batch.column(i).to_numpy() for i in range(3))
-            keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, SKETCHES)
-            held.append((keys, doc, size.astype(np.int32), group))
-            n += len(doc)
+            docs = batch.column(0).to_numpy()
+            packed = batch.column(1).to_pylist()
+            keys = np.frombuffer(b"".join(packed), np.uint64)
+            held.append((keys, np.repeat(docs, [len(p) // 8 for p in packed])))
+            n += len(docs)
             if n >= limit:
                 yield from flush()
                 n = 0
-        if held:
+        if n:
             yield from flush()
 
     return run
 
 
-def _global_stars(batches):
+def _key_rows(keys: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(keys), 65_536):
+        yield pa.record_batch([pa.array(keys[at : at + 65_536].view(np.int64)), pa.array(docs[at : at + 65_536])], names=["key", "doc"])
+
+
+def _global_keys(batches):
     parts = []
     for batch in batches:
-        for a, b, c, d in zip(*[batch.column(i).to_pylist() for i in range(1, 5)], strict=True):
-            if c is None:
-                yield _pairs(np.stack([np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)]))
+        for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if a:
+                parts.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)))
             else:
-                parts.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64), np.frombuffer(c, np.int32), np.frombuffer(d, np.int64)))
+                yield from _key_rows(np.frombuffer(b[: len(b) // 2], np.uint64), np.frombuffer(b[len(b) // 2 :], np.int64))
     if parts:
-        yield _pairs(star_edges(*(np.concatenate(x) for x in zip(*parts, strict=True)))[0])
+        keys, docs = _rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        shared = _runs(keys)[1] > 1
+        yield from _key_rows(keys[shared], docs[shared])
 
 
-def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+def shared_keys(texts: DataFrame, parts: int) -> DataFrame:
+    """Rows (key, doc) of the keys that several of the texts (doc, keys) have."""
+    buckets = partition_keys(texts.sparkSession, parts)  # a blob a task and partition
+    dealt = texts.select("doc", "keys").mapInArrow(_local_keys(buckets), DEALT).repartition(parts, "bucket")
+    return dealt.mapInArrow(_global_keys, "key long, doc long").distinct()
 
 
-def candidates(texts: DataFrame, parts: int) -> DataFrame:
-    """Distinct candidate edges (a, b), a < b, of (doc, size, group, keys)."""
-    buckets = partition_keys(texts.sparkSession, parts)  # a blob a task and partition
-    dealt = texts.select("doc", "size", "group", "keys").mapInArrow(_local_stars(buckets), DEALT).repartition(parts, "bucket")
-    return dealt.mapInArrow(_global_stars, "a long, b long").distinct()
+def star_edges(rows: DataFrame) -> DataFrame:
+    """Distinct edges (a, b), a < b, of rows (key, doc, size): each text with its key's least one."""
+    least = rows.groupBy("key").agg(F.min(F.struct("doc", "size")).alias("m"))
+    met = rows.join(least, "key").filter("doc <> m.doc").filter(F.least("size", "m.size") >= SIMILARITY * F.greatest("size", "m.size"))
+    return met.select(F.col("m.doc").alias("a"), F.col("doc").alias("b")).distinct()
+
+
+def bag(raws: list[bytes]) -> list[bytes]:
+    """The words of each text counted in BAG places, 255 at most."""
+    words, first = word_hashes(raws)
+    at = np.repeat(np.arange(len(raws)), np.diff(first)) * BAG + (words % np.uint64(BAG)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=len(raws) * BAG), 255).astype(np.uint8).reshape(len(raws), BAG)
+    return [c.tobytes() for c in counts]
+
+
+def can_be_similar(a: np.ndarray, b: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    """False where counts of words show that more words differ than may be edited.
+
+    An edit lowers a place's surplus of either side by one at most, so no similar pair is lost.
+    """
+    more = np.maximum(a, b) - np.minimum(a, b)
+    up = np.where(a > b, more, 0).sum(axis=1, dtype=np.int64)
+    return np.maximum(up, more.sum(axis=1, dtype=np.int64) - up) <= (longer * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+
+
+def _cells(batches):
+    """Pairs (a, b) of each cell: every visitor with every text that lives there, in other groups.
+
+    Rows (key, cell, visits, doc, group, size, lives, bag) stand in order of key, cell and visits.
+    """
+    home: list[np.ndarray] | None = None
+    last = None
+
+    def pairs(live, visit):
+        # live and visit: cell number, doc, group, size, major, bag
+        first, end = np.searchsorted(live[0], visit[0], "left"), np.searchsorted(live[0], visit[0], "right")
+        count = end - first
+        total = np.cumsum(count)
+        begin = 0
+        while begin < len(total):
+            done = total[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(total, done + CHUNK, "right")))
+            c = count[begin:stop]
+            v = np.repeat(np.arange(begin, stop), c)
+            h = np.arange(len(v)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[begin:stop], c)
+            begin = stop
+            x, y = live[1][h], visit[1][v]
+            longer = np.maximum(live[3][h], visit[3][v])
+            # Two texts outside the key's major group visit each other; one of the two meetings counts.
+            ok = (live[2][h] != visit[2][v]) & (live[4][h] | (y < x)) & (np.minimum(live[3][h], visit[3][v]) >= SIMILARITY * longer)
+            h, v, x, y, longer = h[ok], v[ok], x[ok], y[ok], longer[ok]
+            ok = can_be_similar(live[5][h], visit[5][v], longer)
+            if ok.any():
+                x, y = x[ok], y[ok]
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, cell, doc, group, size = (batch.column(i).to_numpy() for i in (0, 1, 3, 4, 5))
+        visits, major = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 6))
+        bags = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, BAG)
+        new = np.append([last != (key[0], cell[0])], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))
+        number = np.cumsum(new)  # 0 is the cell that the last batch ended with
+        live = [c[~visits] for c in (number, doc, group, size, major, bags)]
+        if home is not None and not new[0]:
+            live = [np.concatenate(x) for x in zip(home, live, strict=True)]
+        yield from pairs(live, [c[visits] for c in (number, doc, group, size, major, bags)])
+        home = [c[live[0] == number[-1]] for c in live]
+        home[0] = np.zeros_like(home[0])
+        last = (key[-1], cell[-1])
+
+
+def all_edges(rows: DataFrame, cell: int = CELL) -> DataFrame:
+    """Distinct edges (a, b), a < b, of all texts in different groups that share a key and can be similar.
+
+    ``rows`` has (key, doc, group, size, bag). A text lives in one of its key's cells, which hold
+    about ``cell`` texts each; texts outside the key's largest group visit all of its cells.
+    """
+    counts = materialise(rows.groupBy("key", "group").count(), "counts")
+    keys = counts.groupBy("key").agg(F.sum("count").alias("n"), F.max_by("group", F.struct("count", "group")).alias("major"), F.count("*").alias("groups"))
+    keys = materialise(keys.filter("groups > 1").select("key", "major", F.ceil(F.col("n") / cell).cast("int").alias("cells")), "contested")
+    met = materialise(rows.join(keys, "key").withColumn("lives", F.col("group") == F.col("major")), "contested-rows")
+    columns = ["doc", "group", "size", "lives", "bag"]
+    live = met.select("key", F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int").alias("cell"), F.lit(False).alias("visits"), *columns)
+    visit = met.filter("not lives").select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("visits"), *columns)
+    dealt = live.unionByName(visit).repartition("key", "cell").sortWithinPartitions("key", "cell", "visits")
+    return dealt.mapInArrow(_cells, "a long, b long").distinct()
 
 
 # Verification
@@ -304,7 +392,7 @@ def verified(edges: DataFrame, words: DataFrame, similarity: float) -> DataFrame
 # Classes
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, max_rounds: int = 4, max_broadcast_ids: int = 200_000) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, max_broadcast_ids: int = 200_000) -> DataFrame:
     """(doc_id, class_id) of every row; class_id is the least identifier of the class."""
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -323,7 +411,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = iter(keys)
             packed = [next(rows).tobytes() if c else None for c in n.tolist()]
             nodes = [node(WORD.findall(r)) for r in raws]
-            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(nodes, pa.int64()), pa.array(n.astype(np.int32)), pa.array(packed, pa.binary())], names=["doc", "no_id", "row", "node", "size", "keys"])
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(nodes, pa.int64()), pa.array(n.astype(np.int32)), pa.array(packed, pa.binary()), pa.array(bag(raws), pa.binary())], names=["doc", "no_id", "row", "node", "size", "keys", "bag"])
 
     @F.arrow_udf("struct<doc: long, packed: binary>")
     def pack(text: pa.Array) -> pa.Array:
@@ -332,23 +420,26 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.StructArray.from_arrays([pa.array([node(WORD.findall(r)) for r in raws], pa.int64()), pa.array([squeeze.compress(r) for r in raws], pa.binary())], names=["doc", "packed"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("no_id")).withColumn("row", F.xxhash64("doc", "text"))
-    described = materialise(base.select("doc", "text", "no_id", "row").mapInArrow(describe, "doc long, no_id boolean, row long, node long, size int, keys binary"), "sketches")
+    described = materialise(base.select("doc", "text", "no_id", "row").mapInArrow(describe, "doc long, no_id boolean, row long, node long, size int, keys binary, bag binary"), "sketches")
     worded = described.filter("size > 0")
     # From here to the classes, ``doc`` is the node: texts, not identifiers, are compared and linked.
     least = (F.min("doc").alias("least"), F.max("no_id").alias("no_id"))
     texts = materialise(
-        worded.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"), *least).withColumnRenamed("node", "doc").withColumn("group", F.col("doc")), "texts"
+        worded.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("bag").alias("bag"), *least).withColumnRenamed("node", "doc"), "texts"
     )
-    tested, links, words = None, None, None
+    shared = materialise(shared_keys(texts, parts), "shared")
+    sizes = texts.select("doc", "size")
+    tested = links = None
     labels = texts.select("doc", F.col("doc").alias("root"))
-    sides = texts
-    for _ in range(max_rounds):
-        edges = candidates(sides, parts)
+    # First stars, which make one class of most near copies; then all that is left between classes.
+    for step in ("stars", "all"):
+        if step == "stars":
+            edges = star_edges(shared.join(sizes, "doc"))
+        else:
+            edges = all_edges(shared.join(sides, "doc"))
         if tested is not None:
             edges = edges.join(tested, ["a", "b"], "left_anti")
         edges = materialise(edges, "candidates")
-        if not edges.take(1):
-            break
         # Texts of the candidates, found by the hash of one of their rows.
         ends = edges.select(F.col("a").alias("doc")).unionByName(edges.select(F.col("b").alias("doc"))).distinct()
         # Up to ``max_broadcast_ids`` identifiers are sent to the texts; beyond, both are shuffled.
@@ -356,12 +447,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         few = F.broadcast(few) if few.count() <= max_broadcast_ids else few.hint("merge")
         words = materialise(base.join(few, "row", "left_semi").select(pack("text").alias("p")).select("p.*").dropDuplicates(["doc"]), "packed")
         found = materialise(verified(edges, words, similarity), "verified")
-        if not found.take(1):
-            break
         links = found if links is None else links.unionByName(found)
-        tested = edges if tested is None else tested.unionByName(edges)
         labels = materialise(texts.select("doc").join(components(links).withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("root", "doc").alias("root")), "labels")
-        sides = texts.drop("group").join(labels.withColumnRenamed("root", "group"), "doc")
+        tested = edges
+        sides = texts.select("doc", "size", "bag").join(labels.withColumnRenamed("root", "group"), "doc")
     roots = materialise(texts.select("doc", "least", "no_id").join(labels, "doc"), "roots")
     found = roots.groupBy("root").agg(F.min("least").alias("least"), F.max("no_id").alias("open"))
     classes = materialise(roots.select(F.col("doc").alias("node"), "root").join(found, "root").select("node", F.when(~F.col("open"), F.col("least")).alias("class_id")), "classes")

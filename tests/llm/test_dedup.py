@@ -250,6 +250,33 @@ def test_near_texts_without_or_with_shared_identifiers(spark):
     assert sorted(map(str, [tuple(r) for r in got])) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_near_variants_meet_through_a_base_that_is_not_the_least(spark, seed):
+    rng = random.Random(seed)
+    shared, base = random_words(rng, 40), random_words(rng, 60)
+
+    def variant(part):
+        out = list(part)
+        for at in rng.sample(range(len(out)), 12):  # 0.88 to the base, about 0.78 to each other
+            out[at] = f"v{rng.randrange(10**9)}"
+        return out
+
+    # Before the passage that all share, variants of the base and other texts; the base stands in between.
+    rows = [(i, " ".join([*(variant(base) if i % 2 else random_words(rng, 60)), *shared])) for i in range(120)]
+    rows[71] = (71, " ".join([*base, *shared]))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_all_pairs_of_a_key_meet_in_small_cells(spark):
+    rng = random.Random(5)
+    rows = [(key, doc, rng.randrange(4) * (key % 3), 10, bytes(near_dedup.BAG)) for key in range(40) for doc in rng.sample(range(60), rng.choice([2, 3, 30]))]
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]}
+    df = spark.createDataFrame(rows, "key long, doc long, group long, size int, bag binary")
+    near_dedup.arrow_batches(spark, 7)
+    assert {tuple(r) for r in near_dedup.all_edges(df, cell=4).collect()} == want
+
+
 @pytest.mark.parametrize("op", [exact_dedup.op6_exact_dedup, line_dedup.op1_line_dedup, substring_dedup.op8_substring_dedup, near_dedup.op10_near_dedup])
 def test_one_row_a_document(spark, op):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
