@@ -1,9 +1,11 @@
 """Near-duplicate classes by Order MinHash.
 
-Words are lower-cased runs of letters, digits and non-ASCII; a k-mer is ``K`` words and carries
-the number of its earlier occurrences in the document. For each of ``SKETCHES`` permutations the
-``SAMPLED`` least labelled k-mers are kept in text order and hashed to a key, so the chance that
-two documents share a key follows their edit similarity.
+Words are lower-cased runs of letters, digits and non-ASCII; a k-mer is some words in a row and
+carries the number of its earlier occurrences in the document. For each of many permutations a
+few least labelled k-mers are kept in text order and hashed to a key, so the chance that two
+documents share a key follows their edit similarity. The number of words of a k-mer, of k-mers
+of a key and of keys depends on the length of the text (``TIERS``), so that texts of similarity
+0.8 and of any length share a key with a chance above 0.99 wherever their words are changed.
 
 Documents with equal words are one text, named by a 64-bit digest of its words and not by an
 identifier, which rows can lack or share. Rows of a
@@ -18,8 +20,7 @@ different classes, whatever their number: a key's texts are dealt to cells of bo
 those outside its largest class visit all of them. Only pairs whose lengths or counts of words
 show that they cannot be similar are left out.
 
-Cases: null and wordless texts are classes of their own; texts shorter than ``K`` words have
-their whole as one k-mer; a null identifier is smaller than every other; rows that repeat a text
+Cases: null and wordless texts are classes of their own; a null identifier is smaller than every other; rows that repeat a text
 share its class, different texts under one identifier or none are classed each for itself; an
 empty table gives an empty result; further columns are not needed.
 """
@@ -29,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,22 @@ from pyspark.sql import functions as F
 from cairn.operators.graphs import components
 from cairn.session import arrow_batches, materialise, partition_keys
 
-K, SAMPLED, SKETCHES = 5, 2, 32
 SIMILARITY = 0.8
+
+
+class Tier(NamedTuple):
+    """Sketches of texts of ``least`` to ``most`` words: least k-mers of ``k`` words, ``sampled`` a sketch."""
+
+    least: int
+    most: int
+    k: int
+    sampled: int
+    sketches: int
+    in_text_order: bool
+
+
+#: Texts whose lengths differ by a quarter at most have a tier in common, so tiers overlap by that.
+TIERS = [Tier(1, 18, 1, 3, 32, False), Tier(16, 80, 2, 3, 88, True), Tier(65, 1 << 40, 3, 2, 88, True)]
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -56,7 +72,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-SEEDS = mix(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64) * np.uint64(MULT)).reshape(2, SKETCHES) | np.uint64(1)
+SEEDS = [mix(np.arange(1 + t * 2000, 1 + t * 2000 + 2 * tier.sketches, dtype=np.uint64) * np.uint64(MULT)).reshape(2, -1) | np.uint64(1) for t, tier in enumerate(TIERS)]
 
 
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,22 +92,30 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix(total + lengths.astype(np.uint64)), first
 
 
-def sketch(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of keys for each text with words, and the texts' numbers of words."""
+def sketch(raws: list[bytes]) -> tuple[list[bytes | None], np.ndarray]:
+    """The keys of each text of its tiers, None without words, and the texts' numbers of words."""
     words, first = word_hashes(raws)
     n = np.diff(first)
-    has = np.flatnonzero(n)
-    count = np.maximum(n[has] - K + 1, 1)
+    found: list[bytes | None] = [b"" if c else None for c in n.tolist()]
+    for t, tier in enumerate(TIERS):
+        has = np.flatnonzero((n >= tier.least) & (n <= tier.most))
+        if len(has):
+            for i, keys in zip(has.tolist(), _tier_keys(words, first[has], n[has], t), strict=True):
+                found[i] += keys.tobytes()
+    return found, n
+
+
+def _tier_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray, t: int) -> np.ndarray:
+    """A row of keys for each text, whose ``n`` words begin at ``first``."""
+    tier = TIERS[t]
+    count = n - tier.k + 1
     starts = np.concatenate([[0], np.cumsum(count)])
-    doc = np.repeat(np.arange(len(has)), count)
-    if not len(has):
-        return np.zeros((0, SKETCHES), np.uint64), n
+    doc = np.repeat(np.arange(len(n)), count)
     place = np.arange(starts[-1]) - starts[doc]
-    at = first[has][doc] + place
-    last = first[has + 1][doc] - 1
+    at = first[doc] + place
     kmer = np.zeros(len(at), np.uint64)
-    for j in range(K):  # shorter texts repeat their last word
-        kmer = kmer * np.uint64(MULT) + words[np.minimum(at + j, last)]
+    for j in range(tier.k):
+        kmer = kmer * np.uint64(MULT) + words[at + j]
     kmer = mix(kmer)
     order = np.lexsort((place, kmer, doc))
     new = np.ones(len(order), bool)
@@ -100,23 +124,25 @@ def sketch(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     seen[order] = (np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]).astype(np.uint64)
     label = mix(kmer + seen * np.uint64(0xC2B2AE3D27D4EB4F))
     low = place.astype(np.uint64)
-    keys = np.empty((len(has), SKETCHES), np.uint64)
+    keys = np.empty((len(n), tier.sketches), np.uint64)
     base = starts[:-1]
-    for i in range(SKETCHES):
-        value = ((label ^ SEEDS[0, i]) * SEEDS[1, i] & ~LOW) | low
+    for i in range(tier.sketches):
+        value = ((label ^ SEEDS[t][0, i]) * SEEDS[t][1, i] & ~LOW) | low
         sampled = []
-        for _ in range(SAMPLED):
+        for _ in range(tier.sampled):
             least = np.minimum.reduceat(value, base)
             ok = least != FAR
             where = base + np.where(ok, least & LOW, 0).astype(np.int64)
             sampled.append(np.where(ok, where, -1))
             value[where[ok]] = FAR
-        places = np.sort(np.stack(sampled), axis=0)  # text order
-        key = np.full(len(has), np.uint64(i + 1))
-        for p in places:
-            key = mix(key * np.uint64(MULT) + np.where(p >= 0, label[np.maximum(p, 0)], np.uint64(7)))
+        places = np.stack(sampled)
+        labels = np.where(places >= 0, label[np.maximum(places, 0)], np.uint64(7))
+        labels = np.take_along_axis(labels, np.argsort(places, axis=0), axis=0) if tier.in_text_order else np.sort(labels, axis=0)
+        key = np.full(len(n), np.uint64(i + 1 + t * 1000))
+        for x in labels:
+            key = mix(key * np.uint64(MULT) + x)
         keys[:, i] = key
-    return keys, n
+    return keys
 
 
 def distance_within(a: list, b: list, limit: int) -> int:
@@ -407,9 +433,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def describe(batches):
         for batch in batches:
             raws = [lower(t) for t in batch.column(1).to_pylist()]
-            keys, n = sketch(raws)
-            rows = iter(keys)
-            packed = [next(rows).tobytes() if c else None for c in n.tolist()]
+            packed, n = sketch(raws)
             nodes = [node(WORD.findall(r)) for r in raws]
             yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(nodes, pa.int64()), pa.array(n.astype(np.int32)), pa.array(packed, pa.binary()), pa.array(bag(raws), pa.binary())], names=["doc", "no_id", "row", "node", "size", "keys", "bag"])
 

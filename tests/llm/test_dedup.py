@@ -1,6 +1,7 @@
 """Exact, line, passage and near deduplication against brute force, and odd rows."""
 
 import hashlib
+import math
 import random
 
 import pytest
@@ -277,6 +278,36 @@ def test_all_pairs_of_a_key_meet_in_small_cells(spark):
     assert {tuple(r) for r in near_dedup.all_edges(df, cell=4).collect()} == want
 
 
+def test_near_recall_by_length():
+    """The chance to share a key if the most words that similarity 0.8 allows are changed, far apart."""
+    for n in [*range(5, 400), 1000, 5000, 20000]:
+        d = int(n * 0.2 + 1e-9)
+        # n and n words, d changed; n - d and n words, d inserted.
+        for a, lost in ((n, 2), (n - d, 1)):
+            miss = 1.0
+            for tier in near_dedup.TIERS:
+                if tier.least <= a and n <= tier.most:
+                    mine, other = a - tier.k + 1, n - tier.k + 1
+                    same = mine - d * (tier.k if lost == 2 else tier.k - 1)
+                    if same >= tier.sampled:
+                        miss *= (1 - math.comb(same, tier.sampled) / math.comb(mine + other - same, tier.sampled)) ** tier.sketches
+            assert miss < 0.01, (n, a)
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 10, 11, 15, 16, 20, 40, 64, 65, 80, 81, 150, 400])
+def test_near_sketches_find_texts_at_the_limit(n):
+    rng = random.Random(n)
+    texts, pairs = [], 1000 if n < 100 else 300
+    for _ in range(pairs):
+        a = random_words(rng, n, 10**6)
+        b, d = list(a), int(n * 0.2)
+        for i in range(d):
+            b[(2 * i + 1) * n // (2 * d)] = "changed" + str(rng.randrange(10**6))
+        texts += [" ".join(a).encode(), " ".join(b).encode()]
+    keys = [set(memoryview(k).cast("Q")) for k in near_dedup.sketch(texts)[0]]
+    assert sum(bool(keys[i] & keys[i + 1]) for i in range(0, len(keys), 2)) >= 0.985 * pairs
+
+
 @pytest.mark.parametrize("op", [exact_dedup.op6_exact_dedup, line_dedup.op1_line_dedup, substring_dedup.op8_substring_dedup, near_dedup.op10_near_dedup])
 def test_one_row_a_document(spark, op):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
