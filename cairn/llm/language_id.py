@@ -4,33 +4,37 @@ Training counts byte 4-grams by language over all training documents; they are t
 context tree a language, of orders 0 to 3. Escapes follow method C with exclusion: a context seen
 n times before d distinct bytes gives a byte seen c times the probability c / (n + d) and escapes
 with d / (n + d) to the next shorter one; below order 0 all bytes are alike. Statistics are
-frozen after training, so the code length of each byte in each context is worked out once and
-put into an array; scoring a text is then a gather and a sum. The language whose tree needs the
-fewest bits wins, and the score is its posterior probability.
+frozen after training, so the code length of each known 4-gram is worked out once for every
+language, and each context keeps what its escape costs; scoring a text is a look-up a byte, and
+another one an order for bytes that no language has seen in their context. The language whose
+tree needs the fewest bits wins, and the score is its posterior probability.
 
 Bytes are folded first: A-Z lower-cased, digits, other ASCII printables, and white space with controls are
-one symbol each. The trees' size is bounded: the ``symbols`` most frequent bytes (the rest share
-one symbol) and the ``max_grams`` most frequent 4-grams by language.
-
-Cases: a text that is null or has no letter is ``und`` with score 0; without training rows every
-text is ``und``; ties go to the first language in alphabetical order; texts of any length are
-scored whole in blocks; repeated rows each get their row; an empty table gives an empty result.
+one symbol each; all other bytes stay as they are. Every language and every training row counts.
+Nodes are left out by their share of their own language's 4-grams only: less than ``min_share``,
+or, where the trees would have more than ``max_cells`` cells (4-grams times languages), the least
+fourfold of it at which they fit. Counts of shorter contexts are taken before that, from all rows.
+
+Cases: a text that is null or has no letter (Unicode categories L*) is ``und`` with score 0;
+without training rows every text is ``und``; ties go to the first language in alphabetical order;
+texts of any length are scored whole in blocks; repeated rows each get their row; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.session import arrow_batches
+from cairn.session import arrow_batches, materialise
 
-SYMBOLS, ORDER, BLOCK = 64, 3, 1 << 18
-LETTER = re.compile(r"[^\W\d_]")
+ORDER, BLOCK = 3, 1 << 18
+LETTER = regex.compile(r"\p{L}")
 
 
 def fold_table() -> np.ndarray:
@@ -45,6 +49,7 @@ def fold_table() -> np.ndarray:
 
 
 FOLD = fold_table()
+SYMBOLS = len(np.unique(FOLD))
 
 
 def joined_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +61,21 @@ def joined_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return FOLD[whole], np.concatenate([[0], np.cumsum(sizes + ORDER)[:-1]]) + ORDER
 
 
+def grams_of(raw: np.ndarray) -> np.ndarray:
+    """Each four bytes in a row as a number."""
+    b = raw.astype(np.uint32)
+    return b[:-3] << np.uint32(24) | b[1:-2] << np.uint32(16) | b[2:-1] << np.uint32(8) | b[3:]
+
+
+def own_grams(texts: list[str]) -> np.ndarray:
+    """The 4-grams that end in the texts' own bytes."""
+    raw, starts = joined_bytes(texts)
+    change = np.zeros(len(raw) + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, np.append(starts[1:] - ORDER, len(raw)), -1)
+    return grams_of(raw)[np.cumsum(change)[ORDER:-1] > 0]
+
+
 def held_out(id_col: Column, folds: int = 5) -> Column:
     """True for the rows that training never sees."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
@@ -79,9 +99,9 @@ def count_grams(train: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
-                b = joined_bytes(texts)[0].astype(np.uint32)
-                waiting.setdefault(lang, []).append(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:])
-                size += len(b)
+                own = own_grams(texts)
+                waiting.setdefault(lang, []).append(own)
+                size += len(own)
             if size > 16 * BLOCK:
                 yield from flush()
                 size = 0
@@ -90,66 +110,133 @@ def count_grams(train: DataFrame) -> DataFrame:
     return train.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Slots:
+    """Rows of distinct 32-bit keys, found for many keys at once by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.none = len(keys)
+        self.keys = np.append(keys, 0).astype(np.uint32)
+        self.mask = np.int64((1 << max(4, (2 * len(keys)).bit_length())) - 1)
+        self.slots = np.full(self.mask + 1, self.none, np.int32)
+        rows, at = np.arange(len(keys), dtype=np.int32), self._home(self.keys[:-1])
+        while len(rows):
+            free = self.slots[at] == self.none
+            self.slots[at[free]] = rows[free]
+            left = self.slots[at] != rows
+            rows, at = rows[left], (at[left] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, ``none`` where there is none."""
+        at = self._home(keys)
+        row = self.slots[at]
+        looking = np.flatnonzero((self.keys[row] != keys) & (row != self.none))
+        while len(looking):
+            at[looking] = (at[looking] + 1) & self.mask
+            row[looking] = found = self.slots[at[looking]]
+            looking = looking[(self.keys[found] != keys[looking]) & (found != self.none)]
+        return row
+
+
+def weights(total: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log2 of what the counts of a context are divided by, and the bits to escape from it."""
+    known = total > 0
+    seen = np.log2(np.where(known, total + distinct, 1))
+    return seen.astype(np.float32), (seen - np.log2(np.where(known, distinct, 1))).astype(np.float32)
+
+
+class Order:
+    """The nodes of one order: the grams of ``size`` bytes that some language has, and their contexts."""
+
+    def __init__(self, size: int, langs: int, lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
+        self.size = size
+        self.grams, at = np.unique(gram, return_inverse=True)
+        counts = np.zeros((len(self.grams), langs))
+        counts[at, lang] = n
+        contexts, self.of = np.unique(self.grams >> 8, return_inverse=True)
+        self.counts, self.contexts = counts, contexts
+        self.total, self.distinct = self.by_context(counts), self.by_context(counts > 0)
+        self.gram, self.context = Slots(self.grams), Slots(contexts)
+        #: log2 of the counts; NaN where a language has not seen the gram, as in the row of unknown grams.
+        self.bits = np.full((len(counts) + 1, langs), np.nan, np.float32)
+        np.log2(counts, out=self.bits[:-1], where=counts > 0, casting="same_kind")
+        self.own = [np.concatenate([x, np.zeros((1, langs), np.float32)]) for x in weights(self.total, self.distinct)]
+
+    def by_context(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.contexts), values.shape[1]))
+        np.add.at(out, self.of, values)
+        return out
+
+    def leave_for(self, low: Order) -> None:
+        """What the next shorter context divides by and costs to leave, without the bytes of each context here."""
+        mask = (1 << 8 * low.size) - 1
+        seen = self.counts > 0
+        shorter = low.counts[np.searchsorted(low.grams, self.grams & mask)]
+        own = np.searchsorted(low.contexts, self.contexts & mask >> 8)
+        self.left = weights(low.total[own] - self.by_context(np.where(seen, shorter, 0)), low.distinct[own] - self.by_context(seen))
+
+    def forget(self) -> None:
+        """Drop what only training needs."""
+        del self.counts, self.contexts, self.of, self.total, self.distinct
+
+
 class Trees:
-    """Context trees of several languages as one array of code lengths."""
+    """Context trees of several languages, compiled to code lengths.
+
+    ``orders`` has (lang, gram, n) as arrays for the grams of 4, 3, 2 and 1 bytes, as numbers.
+    """
 
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, symbols: int = SYMBOLS):
+    def __init__(self, langs: list[str], orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]], symbols: int = SYMBOLS):
         self.langs = langs
-        octets = np.stack([gram >> s & 255 for s in (24, 16, 8, 0)]) if len(gram) else np.zeros((4, 0), np.int64)
-        seen = np.bincount(octets[3], weights=n, minlength=256)
-        frequent = np.argsort(-seen, kind="stable")[: symbols - 1]
-        #: Byte to symbol; 0 is every byte that is not among the frequent ones.
-        self.symbol = np.zeros(256, np.int64)
-        self.symbol[frequent] = np.where(seen[frequent] > 0, np.arange(1, len(frequent) + 1), 0)
-        self.size = symbols
-        s = self.symbol[octets]
-        context = (s[0] * symbols + s[1]) * symbols + s[2]
-        own = np.unique(context)  # contexts of order 3 that some language has
-        #: Context of order 3 to a row: first all contexts of order 2, then those of order 3.
-        self.row = np.tile(np.arange(symbols**2, dtype=np.int32), symbols)
-        self.row[own] = symbols**2 + np.arange(len(own), dtype=np.int32)
-        rows = symbols**2 + len(own)
-        self.bits = np.empty((rows * symbols, len(langs)), np.float32)
-        for k in range(len(langs)):
-            mine = lang == k
-            self.bits[:, k] = self._code_lengths(context[mine], s[3][mine], n[mine].astype(np.float64), own).ravel()
-
-    def _code_lengths(self, context, symbol, n, own) -> np.ndarray:
-        """Bits of each symbol in the context of each row, for one language."""
-        a = self.size
-        two = np.zeros((a * a, a))
-        np.add.at(two, (context % (a * a), symbol), n)
-        one, zero = two.reshape(a, a, a).sum(axis=0), two.sum(axis=0)
-        three = np.zeros((len(own), a))
-        np.add.at(three, (np.searchsorted(own, context), symbol), n)
-        pairs = np.arange(a * a)
-        out = []
-        for counts in ([two, one[pairs % a]], [three, two[own % (a * a)], one[own % a]]):
-            rows = len(counts[0])
-            p, escape, excluded = np.zeros((rows, a)), np.ones(rows), np.zeros((rows, a), bool)
-            for c in [*counts, np.broadcast_to(zero, (rows, a))]:
-                c = np.where(excluded, 0, c)
-                total, distinct = c.sum(axis=1), (c > 0).sum(axis=1)
-                whole = np.maximum(total + distinct, 1)
-                p += escape[:, None] * c / whole[:, None]
-                escape = np.where(total > 0, escape * distinct / whole, escape)
-                excluded |= c > 0
-            left = np.maximum((~excluded).sum(axis=1), 1)
-            p += np.where(excluded, 0, (escape / left)[:, None])
-            out.append(-np.log2(np.maximum(p, 1e-30)))
-        return np.concatenate(out)
+        self.orders = [Order(ORDER + 1 - o, len(langs), *rows) for o, rows in enumerate(orders)]
+        for high, low in zip(self.orders[:-1], self.orders[1:], strict=True):
+            high.leave_for(low)
+        self.new = np.log2(np.maximum(symbols - self.orders[-1].distinct[:1].sum(axis=0), 1)).astype(np.float32)
+        top = self.orders[0]
+        grams = top.grams
+        for order in self.orders:
+            order.forget()
+            del order.grams
+        compiled = np.zeros_like(top.bits)
+        for at in range(0, len(grams), BLOCK):
+            compiled[at : at + BLOCK][: len(grams) - at] = self.code_lengths(grams[at : at + BLOCK])
+        #: Code lengths of the known 4-grams; ``top.bits`` has counts of languages, not needed any more.
+        self.compiled, self.known = compiled, top.gram
+
+    def code_lengths(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each 4-gram after its first three: a row a gram, a column a language."""
+        spent = np.zeros((len(grams), len(self.langs)), np.float32)
+        out = np.full_like(spent, np.nan)
+        longer = None
+        for order in self.orders:
+            g = (grams & np.uint32((1 << 8 * order.size) - 1)).astype(np.uint32)
+            context = order.context.find(g >> np.uint32(8))
+            seen, escape = order.own[0][context], order.own[1][context]
+            if longer is not None:
+                above, rows = longer
+                inside = rows != above.context.none
+                seen[inside], escape[inside] = above.left[0][rows[inside]], above.left[1][rows[inside]]
+            code = spent + seen - order.bits[order.gram.find(g)]
+            out = np.where(np.isnan(out), code, out)
+            spent += escape
+            longer = order, context
+        return np.where(np.isnan(out), spent + self.new, out)
 
     def total_bits(self, texts: list[str]) -> np.ndarray:
         """Code lengths of whole texts: a row a text, a column a language."""
         raw, starts = joined_bytes(texts)
-        s = self.symbol[raw].astype(np.int32)
         total = np.zeros((len(texts), len(self.langs)))
         ends = np.append(starts[1:] - ORDER, len(raw))
         for at in range(0, len(raw) - ORDER, BLOCK):  # positions at + ORDER and on
-            x = s[at : at + BLOCK + ORDER]
-            row = self.row[(x[:-3] * self.size + x[1:-2]) * self.size + x[2:-1]]
-            bits = self.bits[row * self.size + x[3:]]
-            low, high = at + ORDER, at + len(x)
+            grams = grams_of(raw[at : at + BLOCK + ORDER])
+            row = self.known.find(grams)
+            bits = self.compiled[row]
+            new = np.flatnonzero(row == self.known.none)
+            if len(new):
+                bits[new] = self.code_lengths(grams[new])
+            low, high = at + ORDER, at + ORDER + len(grams)
             first, last = np.searchsorted(ends, low, side="right"), np.searchsorted(starts, high, side="left")
             cuts = np.stack([np.clip(starts[first:last], low, high), np.clip(ends[first:last], low, high)], axis=1) - low
             full = cuts[:, 0] < cuts[:, 1]
@@ -173,14 +260,28 @@ class Trees:
         return langs, scores
 
 
-def train(labelled: DataFrame, max_grams: int = 300_000, max_langs: int = 64) -> Trees:
-    """Fit the trees on all rows of (lang, text); their size is bounded whatever the input."""
+def gram_tables(grams: DataFrame, langs: list[str], totals: list[int], min_share: float, max_cells: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(lang, gram, n) of the nodes of each order, from all of (lang, gram, n), which tasks have counted."""
+    spark = grams.sparkSession
+    known = F.broadcast(spark.createDataFrame([(x, i, float(n)) for i, (x, n) in enumerate(zip(langs, totals, strict=True))], "lang string, k int, total double"))
+    sizes = [F.struct(F.lit(size).alias("size"), F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("g")) for size in range(ORDER + 1, 0, -1)]
+    nodes = grams.select("lang", "n", F.explode(F.array(*sizes)).alias("x")).groupBy("lang", "x.size", "x.g").agg(F.sum("n").alias("n")).join(known, "lang")
+    nodes = materialise(nodes.select("k", "size", "g", "n", (F.col("n") / F.col("total")).alias("share")), "nodes")
+    shares = [min_share * 4**i for i in range(16)]
+    counts = nodes.agg(*[F.count(F.when(F.col("share") >= x, 1)) for x in shares]).first()
+    share = next((x for x, n in zip(shares, counts, strict=True) if n * len(langs) <= max_cells), shares[-1])
+    found = nodes.filter(F.col("share") >= share).select("k", "size", "g", "n").toPandas()
+    parts = [found[found["size"] == size] for size in range(ORDER + 1, 0, -1)]
+    return [(p["k"].to_numpy(np.int64), p["g"].to_numpy(np.int64), p["n"].to_numpy(np.float64)) for p in parts]
+
+
+def train(labelled: DataFrame, min_share: float = 1e-8, max_cells: int = 1 << 24) -> Trees:
+    """Fit the trees on all rows of (lang, text)."""
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), "text").filter("lang is not null and text is not null and text <> ''")
-    grams = count_grams(rows).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
-    langs = sorted(grams.groupby("lang")["n"].sum().nlargest(max_langs).index)
-    grams = grams[grams["lang"].isin(langs)]
-    code = {x: i for i, x in enumerate(langs)}
-    return Trees(langs, grams["lang"].map(code).to_numpy(np.int64), grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64))
+    grams = materialise(count_grams(rows), "grams")
+    totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row a language
+    langs = sorted(totals)
+    return Trees(langs, gram_tables(grams, langs, [totals[x] for x in langs], min_share, max_cells)) if langs else Trees([], [(np.zeros(0, np.int64),) * 3] * (ORDER + 1))
 
 
 def identify(docs: DataFrame, trees: Trees) -> DataFrame:

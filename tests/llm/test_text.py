@@ -1,9 +1,12 @@
 """Language ID, classifiers, decontamination, BPE and WARC."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,19 +52,87 @@ def test_language_without_training_rows(spark):
     assert language_id.op2_language_id(spark, df).first()["lang_pred"] == "und"
 
 
-def test_code_lengths_are_probabilities_and_blocks_do_not_matter(monkeypatch):
-    import numpy as np
+def plain_bits(train, text):
+    """Code length of ``text`` by PPM with method C and exclusion, byte by byte."""
+    fold = lambda t: b"   " + bytes(language_id.FOLD[b] for b in t.encode())
+    seen = defaultdict(Counter)
+    for t in train:
+        b = fold(t)
+        for i in range(3, len(b)):
+            for k in range(4):
+                seen[b[i - k : i]][b[i]] += 1
+    b, bits = fold(text), 0.0
+    for i in range(3, len(b)):
+        excluded = set()
+        for k in (3, 2, 1, 0):
+            counts = {x: n for x, n in seen[b[i - k : i]].items() if x not in excluded}
+            whole = sum(counts.values()) + len(counts)
+            if b[i] in counts:
+                bits -= math.log2(counts[b[i]] / whole)
+                break
+            bits -= math.log2(len(counts) / whole) if counts else 0
+            excluded |= set(counts)
+        else:
+            bits += math.log2(max(1, language_id.SYMBOLS - len(excluded)))
+    return bits
+
+
+def plain_orders(texts):
+    """What ``gram_tables`` gives, from {language: texts}."""
+    rows = {lang: [g for t in ts for g in language_id.own_grams([t]).tolist()] for lang, ts in texts.items()}
+    out = []
+    for size in (4, 3, 2, 1):
+        counts = [(k, g, n) for k, lang in enumerate(sorted(rows)) for g, n in Counter(g & (1 << 8 * size) - 1 for g in rows[lang]).items()]
+        out.append(tuple(np.array(c) for c in zip(*counts, strict=True)))
+    return out
+
+
+LANG_TEXTS = {"a": ["abracadabra " * 3, "the cat 1234 é sat"], "b": ["banana bandana", "ünïcode ж Ωmega"]}
+PROBES = ["banana", "abra cadabra", "zzz é жж 字", "the the", "Ωж", "b"]
+
 
-    texts = ["abracadabra " * 3, "banana bandana"]
-    raw = language_id.joined_bytes(texts)[0].astype(np.int64)
-    gram = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
-    grams, n = np.unique(gram, return_counts=True)
-    trees = language_id.Trees(["x"], np.zeros(len(grams), np.int64), grams, n, symbols=16)
-    total = np.exp2(-trees.bits.reshape(-1, 16)).sum(axis=1)
-    assert np.allclose(total, 1, atol=1e-4)
-    whole = trees.total_bits(["banana", "", "abra cadabra", "b"])
+def test_code_lengths_equal_plain_ppm_in_blocks_of_any_size(monkeypatch):
+    trees = language_id.Trees(["a", "b"], plain_orders(LANG_TEXTS))
+    want = [[plain_bits(LANG_TEXTS[x], p) for x in "ab"] for p in PROBES]
+    assert np.allclose(trees.total_bits(PROBES), want, rtol=1e-4)
     monkeypatch.setattr(language_id, "BLOCK", 5)
-    assert np.allclose(whole, trees.total_bits(["banana", "", "abra cadabra", "b"]), rtol=1e-4)
+    assert np.allclose(trees.total_bits(PROBES), want, rtol=1e-4)
+    context = language_id.grams_of(np.frombuffer(b"ban\0", np.uint8))
+    every = np.array([context[0] | x for x in sorted(set(language_id.FOLD.tolist()))], np.uint32)
+    assert np.allclose(np.exp2(-trees.code_lengths(every)).sum(axis=0), 1, atol=1e-4)
+
+
+def test_language_query_equals_plain_ppm(spark):
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice(["der", "die", "und", "ñandú", "ж字", "le", "chat"][x : x + 4]) for _ in range(12)), "abc"[x]) for i, x in enumerate([0, 1, 2] * 30)]
+    texts += [(200, "½²①", None), (201, "字", None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    learned = {x: [t for i, t, la in texts if la == x and zlib.crc32(str(i).encode()) % 5] for x in "abc"}
+    for r in language_id.op2_language_id(spark, df).collect():
+        text = dict((i, t) for i, t, _ in texts)[r["doc_id"]]
+        bits = [plain_bits(learned[x], text) for x in "abc"]
+        if r["doc_id"] == 200:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            assert r["lang_pred"] == "abc"[bits.index(min(bits))]
+            assert r["score"] == pytest.approx(1 / sum(2 ** (min(bits) - b) for b in bits), abs=1e-3)
+
+
+def test_languages_are_pruned_by_their_own_share(spark):
+    rng = random.Random(3)
+    junk = ["".join(rng.choice("bcdfghjklmnp") for _ in range(9)) for _ in range(300)]
+    rows = [("big", "the quick brown fox jumps over the lazy dog " * 400)] * 50 + [("big", x) for x in junk] + [("rare", "съешь ещё этих мягких французских булок")]
+    trees = language_id.train(spark.createDataFrame(rows, "lang string, text string"), max_cells=1000)
+    assert trees.langs == ["big", "rare"]
+    assert len(trees.known.keys) < 300  # those of the junk are gone, those of the rare language are not
+    assert trees.predict(["мягких булок", "quick fox"])[0] == ["rare", "big"]
+
+
+def test_more_than_64_languages_and_scripts(spark):
+    rows = [(f"l{k:03}", " ".join(chr(0x4E00 + 40 * k + j) for j in range(40))) for k in range(90)]
+    trees = language_id.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(trees.langs) == 90
+    assert trees.predict([t for _, t in rows])[0] == [x for x, _ in rows]
 
 
 # Classifiers
@@ -90,8 +161,6 @@ def test_classifier_odd_rows(spark, op):
 
 
 def test_levenshtein_automaton_equals_distance():
-    import numpy as np
-
     terms = [(b"idiot", False, 2.0), (b"clown", False, 3.0), (b"scum", False, 1.0), (b"achli", True, 1.5)]
     automaton = toxicity.Automaton(terms)
     rng = random.Random(1)
