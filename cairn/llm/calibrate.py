@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,19 +13,36 @@ def fold(id_col: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: list[int], max_rows: int, max_row_bytes: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``max_rows`` labelled rows of each class from the given folds.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: list[int], max_rows: int) -> DataFrame:
+    """(text, y, turn, own) of the documents of at most ``max_rows`` labelled identifiers a class.
 
-    Labels are taken in the order of a hash of the identifier, so the sample does not depend on
-    how the tables are stored. Only the chosen identifiers, at most twice ``max_rows``, are sent to
-    the documents; texts beyond ``max_row_bytes`` are left out, whole, to bound the sample's size.
+    Labels are taken in the order of a hash of the identifier, ``turn``, so the sample does not
+    depend on how the tables are stored; ``own`` is a hash of the text. Only the chosen
+    identifiers, at most twice ``max_rows``, are sent to the documents, whose texts may be of any
+    length and stay where they are. Rows that repeat an identifier all count here; what is
+    gathered from them is bounded where it is gathered.
     """
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).filter("y is not null and doc_id is not null")
     known = known.filter(fold(F.col("doc_id")).isin(folds)).withColumn("turn", F.xxhash64("doc_id"))
     parts = [known.filter(F.col("y") == y).orderBy("turn", "doc_id").limit(max_rows) for y in (0, 1)]
-    chosen = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = docs.select("doc_id", "text").filter("text is not null").filter(F.octet_length("text") <= max_row_bytes)
-    return rows.join(F.broadcast(chosen), "doc_id")
+    chosen = parts[0].unionByName(parts[1]).groupBy("doc_id", "turn").agg(F.max("y").alias("y"))
+    rows = docs.select("doc_id", "text").filter("text is not null")
+    return rows.join(F.broadcast(chosen), "doc_id").select("text", "y", "turn", F.xxhash64("text").alias("own"))
+
+
+def measured(sample: DataFrame, features: int, measure, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a sample, measured by tasks; at most ``max_rows`` rows a class come back."""
+    names = [f"x{k}" for k in range(features)]
+
+    def run(batches):
+        for batch in batches:
+            x = measure(batch.column(0).to_pylist())
+            yield pa.record_batch([batch.column(1), batch.column(2), batch.column(3), *[pa.array(x[:, k]) for k in range(features)]], names=["y", "turn", "own", *names])
+
+    rows = sample.select("text", "y", "turn", "own").mapInArrow(run, "y int, turn long, own long, " + ", ".join(f"{n} double" for n in names))
+    parts = [rows.filter(F.col("y") == y).orderBy("turn", "own", *names).limit(max_rows) for y in (0, 1)]
+    found = parts[0].unionByName(parts[1]).toPandas()
+    return found[names].to_numpy(float).reshape(-1, features), found["y"].to_numpy(float)
 
 
 def class_totals(labels: DataFrame, label: str, folds: list[int]) -> dict[int, int]:

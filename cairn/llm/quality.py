@@ -6,8 +6,9 @@ sizes' sum, says which it resembles. With the size by no dictionary and the leng
 how repetitive the text is, that difference is calibrated by a logistic regression to the
 probability of label 1. Dictionaries and calibration use different folds.
 
-The sample is bounded: at most ``max_rows`` rows a class for dictionaries and for calibration
-each, of at most ``max_row_bytes``.
+The sample is bounded: at most ``max_rows`` labelled rows a class for dictionaries and for
+calibration each. Rows may be of any length: texts for the dictionaries are cut into pieces of
+``piece_bytes``, and ``max_pieces`` of a class are taken, in turns of one piece a text.
 
 Cases: null and empty texts are scored alike, as an empty text; without labels of both classes
 every score is the share of label 1 (0.5 without any); texts of any length are compressed whole;
@@ -16,13 +17,15 @@ repeated rows each get their row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.calibrate import Logistic, class_totals, class_weights, fold, labelled_sample
+from cairn.llm.calibrate import Logistic, class_totals, class_weights, fold, labelled_sample, measured
 from cairn.session import arrow_batches
 
 FEATURES = 5
@@ -79,26 +82,32 @@ class QualityModel:
         return self.logistic.predict(self.features(texts)) if texts else np.zeros(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1200, max_row_bytes: int = 16_384, dictionary_bytes: int = 65_536) -> QualityModel:
-    """Fit on a bounded sample of the labelled rows of folds 1 to 4."""
-    spark = docs.sparkSession
-    texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for row in labelled_sample(docs, labels, "quality", [1, 2], max_rows, max_row_bytes).collect():
-        if row["y"] in texts:
-            texts[row["y"]].append(row["text"].encode("utf-8"))
-    model = QualityModel(dictionary(texts[1], dictionary_bytes), dictionary(texts[0], dictionary_bytes))
-    sent = spark.sparkContext.broadcast(model)
+def pieces(sample: DataFrame, piece_bytes: int, max_pieces: int) -> dict[int, list[bytes]]:
+    """Pieces of the sample's texts by class, at most ``max_pieces`` each, in the order of (turn, hash)."""
 
-    def measure(batches):
+    def cut(batches):
         for batch in batches:
-            x = sent.value.features(batch.column(0).to_pylist())
-            yield pa.record_batch([batch.column(1), *[pa.array(x[:, k]) for k in range(FEATURES)]], names=["y", *[f"x{k}" for k in range(FEATURES)]])
-
-    sample = labelled_sample(docs, labels, "quality", [3, 4], max_rows, max_row_bytes)
-    found = sample.select("text", F.col("y").cast("double").alias("y")).mapInArrow(measure, "y double, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toPandas()
-    y = found["y"].to_numpy(float)
-    weights = class_weights(y, class_totals(labels, "quality", [3, 4]))
-    model.logistic = Logistic(found.iloc[:, 1:].to_numpy(float).reshape(-1, FEATURES), y, weights)
+            turns, ys, raws = [], [], []
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = text.encode("utf-8")
+                own = sorted({raw[i : i + piece_bytes] for i in range(0, len(raw), piece_bytes)}, key=lambda x: hashlib.blake2b(x, digest_size=8).digest())
+                for turn, piece in enumerate(own[:max_pieces]):
+                    turns.append(turn)
+                    ys.append(y)
+                    raws.append(piece)
+            yield pa.record_batch([pa.array(turns, pa.int32()), pa.array(ys, pa.int32()), pa.array(raws, pa.binary())], names=["piece_turn", "y", "piece"])
+
+    rows = sample.select("text", "y").mapInArrow(cut, "piece_turn int, y int, piece binary").withColumn("own", F.xxhash64("piece"))
+    return {y: [bytes(r["piece"]) for r in rows.filter(F.col("y") == y).orderBy("piece_turn", "own", "piece").limit(max_pieces).collect()] for y in (0, 1)}
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1200, dictionary_bytes: int = 65_536, piece_bytes: int = 4096, max_pieces: int = 2400) -> QualityModel:
+    """Fit on a bounded sample of the labelled rows of folds 1 to 4."""
+    texts = pieces(labelled_sample(docs, labels, "quality", [1, 2], max_rows), piece_bytes, max_pieces)
+    model = QualityModel(dictionary(texts[1], dictionary_bytes), dictionary(texts[0], dictionary_bytes))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    x, y = measured(labelled_sample(docs, labels, "quality", [3, 4], max_rows), FEATURES, lambda texts: sent.value.features(texts), max_rows)
+    model.logistic = Logistic(x, y, class_weights(y, class_totals(labels, "quality", [3, 4])))
     return model
 
 

@@ -1,16 +1,17 @@
 """Toxicity scores from a lexicon matched by Levenshtein automata.
 
 The lexicon is learned: words, and word beginnings (stems), that are much more frequent in texts
-labelled toxic than in others, each with its log ratio as weight. It is held as a trie; the
-Levenshtein automaton of one edit (for whole words of at least ``FUZZY`` bytes) is intersected
-with it and the result made deterministic, so a word is matched, misspelled or not, by one table
-look-up a byte, for all words of a block at once.
+labelled toxic than in others, each with its log ratio as weight. It is held as a trie of
+characters; the Levenshtein automaton of a word (one edit, for terms of at least ``FUZZY``
+characters, stems included) runs through it, so a word is matched, misspelled or not. Words that
+came up lately are remembered by the worker, a bounded number of them.
 
 Each hit gets a context score from the window around it: quotation marks on both sides or a
 reporting word count towards quotation, second-person words towards abuse. The sums of the
 weighted hits, by document and by words, are calibrated by a logistic regression.
 
-The training sample is bounded: at most ``max_rows`` rows a class of at most ``max_row_bytes``.
+The training sample is bounded: at most ``max_rows`` labelled rows a class, of any length, for the
+lexicon and for calibration each.
 
 Cases: null and empty texts are scored alike, as a text without hits; without labels of both
 classes every score is the share of label 1 (0.5 without any); texts of any length are scanned
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.calibrate import Logistic, class_totals, class_weights, fold, labelled_sample
-from cairn.session import arrow_batches
+from cairn.llm.calibrate import Logistic, class_totals, class_weights, fold, labelled_sample, measured
+from cairn.session import arrow_batches, materialise
 
 FEATURES = 5
 FUZZY, MISSPELLED = 5, 0.7
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+WORD = re.compile(r"[^\W_]+")
 #: Words that report speech and words that address someone, and quotation marks.
 REPORTING = "said says say wrote writes called calls quoted quote quotes term word slur dit écrit mot sagte schrieb wort dijo escribió palabra"
 ADDRESSING = "you your you're ur yourself tu toi vous du dich dein sie eres tú usted"
@@ -42,90 +43,75 @@ CUE = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 BEFORE, AFTER = 64, 48
 
 
-class Automaton:
-    """The intersection of the lexicon trie with Levenshtein automata, as one table.
+class Lexicon:
+    """Terms (text, is_stem, weight) in a trie, through which the Levenshtein automaton of a word is run.
 
-    ``terms`` are (bytes, is_stem, weight). A stem matches every word that begins with it.
+    A stem matches every word that begins with it. Terms of ``FUZZY`` characters or more match with
+    one character wrong, missing or too many, at ``MISSPELLED`` of their weight.
     """
 
-    def __init__(self, terms: list[tuple[bytes, bool, float]]):
-        self.terms = terms
-        letters = sorted({c for t, _, _ in terms for c in t})
-        classes = np.zeros(256, np.uint8)
-        for k, c in enumerate(letters):
-            classes[c] = k + 1
-        starts = frozenset(self._closed({(i, 0, 0) for i in range(len(terms))}))
-        states, rows, accept = {frozenset(): 0, starts: 1}, [[0] * (len(letters) + 1)], [(-1, 0.0, False)]
-        todo = [starts]
+    def __init__(self, terms: list[tuple[str, bool, float]], remembered: int = 100_000):
+        self.terms, self.remembered = terms, remembered
+        #: A node is its children by character and the terms that end there.
+        self.root: tuple[dict, list[int]] = ({}, [])
+        for i, (term, _, _) in enumerate(terms):
+            node = self.root
+            for c in term:
+                node = node[0].setdefault(c, ({}, []))
+            node[1].append(i)
+        #: Characters of a word that can matter, and one more.
+        self.reach = max((len(t) for t, _, _ in terms), default=0) + 2
+        self.found: dict[str, tuple[int, float]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"found": {}}
+
+    def search(self, word: str) -> tuple[int, float]:
+        """The term that weighs most in the word, and its weight; (-1, 0.0) without any.
+
+        The automaton's states stand in two integers: bit i of ``exact`` (``edited``) is set if
+        the first i characters of the word match the path from the root with no (one) edit.
+        """
+        at: dict[str, int] = {}
+        for i, c in enumerate(word):
+            at[c] = at.get(c, 0) | 1 << i
+        end = 1 << len(word)
+        full = 2 * end - 1
+        best, best_weight = -1, 0.0
+        todo = [(self.root, 1, 3 & full)]
         while todo:
-            state = todo.pop(0)
-            row = []
-            for c in [None, *letters]:
-                after = frozenset(self._closed(self._step(state, c)))
-                if after not in states:
-                    states[after] = len(states)
-                    todo.append(after)
-                row.append(states[after])
-            rows.append(row)
-            accept.append(self._accept(state))
-        self.table = np.array(rows, np.int32)[:, classes]
-        self.term = np.array([a[0] for a in accept], np.int32)
-        self.weight = np.array([a[1] for a in accept])
-        self.whole = np.array([a[2] for a in accept])  # accepted whatever follows
-
-    def _edits(self, i: int) -> int:
-        term, stem, _ = self.terms[i]
-        return 1 if not stem and len(term) >= FUZZY else 0
-
-    def _closed(self, items: set) -> set:
-        """With the items that leaving out a byte of the term leads to."""
-        out = set(items)
-        for i, j, e in items:
-            if e < self._edits(i) and j < len(self.terms[i][0]):
-                out.add((i, j + 1, e + 1))
+            (children, ending), exact, edited = todo.pop()
+            for i in ending:
+                term, stem, weight = self.terms[i]
+                want = full if stem else end
+                if not exact & want:
+                    weight = weight * MISSPELLED if edited & want and len(term) >= FUZZY else 0.0
+                if weight > best_weight or weight == best_weight > 0 and i < best:
+                    best, best_weight = i, weight
+            for c, child in children.items():
+                same = at.get(c, 0)
+                on = (exact & same) << 1
+                # A wrong character, a missing one, and one too many after an exact match.
+                off = ((edited & same) << 1 | exact << 1 | exact | on << 1) & full
+                if on or off:
+                    todo.append((child, on, off))
+        return best, best_weight
+
+    def match(self, words: list[str]) -> list[tuple[int, float]]:
+        """:meth:`search` of each word; what was found lately is remembered."""
+        found = self.found
+        out = list(map(found.get, words))
+        for k, hit in enumerate(out):
+            if hit is None:
+                word = words[k][: self.reach]
+                hit = found.get(word)
+                if hit is None:
+                    if len(found) >= self.remembered:
+                        found.clear()
+                    hit = found[word] = self.search(word)
+                out[k] = hit
         return out
 
-    def _step(self, state, c) -> set:
-        out = set()
-        for i, j, e in state:
-            term = self.terms[i][0]
-            if j < len(term) and term[j] == c:
-                out.add((i, j + 1, e))
-            if e < self._edits(i):
-                out.add((i, j, e + 1))  # a byte too many
-                if j < len(term):
-                    out.add((i, j + 1, e + 1))  # another byte
-        return out
-
-    def _accept(self, state) -> tuple[int, float, bool]:
-        best = (-1, 0.0, False)
-        for i, j, e in sorted(state):
-            term, stem, weight = self.terms[i]
-            value = weight * MISSPELLED**e
-            if j == len(term) and value > best[1]:
-                best = (i, value, stem)
-        return best
-
-    def match(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the words at ``starts``: indices of those that match, their terms and weights."""
-        if not self.terms:
-            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
-        words, state = np.arange(len(starts)), np.ones(len(starts), np.int32)
-        best_term, best_weight = np.full(len(starts), -1, np.int32), np.zeros(len(starts))
-        at = 0
-        while len(words):
-            state = self.table[state, raw[starts[words] + at]]
-            at += 1
-            ends = lengths[words] == at
-            hit = (self.weight[state] > 0) & (ends | self.whole[state])
-            better = hit & (self.weight[state] > best_weight[words])
-            best_term[words[better]] = self.term[state[better]]
-            best_weight[words[better]] = self.weight[state[better]]
-            going = ~ends & (state > 0)
-            words, state = words[going], state[going]
-        found = np.flatnonzero(best_term >= 0)
-        return found, best_term[found], best_weight[found]
-
 
 REPORTS, ADDRESSES = frozenset(REPORTING.split()), frozenset(ADDRESSING.split())
 
@@ -144,42 +130,30 @@ def context_factor(before: str, after: str) -> float:
     return factor
 
 
-IS_WORD = np.zeros(256, bool)
-IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-
-
 class ToxicityModel:
-    def __init__(self, terms: list[tuple[bytes, bool, float]]):
-        self.automaton, self.logistic = Automaton(terms), None
+    def __init__(self, terms: list[tuple[str, bool, float]]):
+        self.lexicon, self.logistic = Lexicon(terms), None
 
-    def hits(self, texts: list[str | None]):
+    def hits(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, float]]]]:
         """For each text its number of words and its hits (term, weight with context)."""
         out = []
-        raws = [b"" if t is None else t.encode("utf-8").lower() for t in texts]
-        whole = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
-        edges = np.cumsum([0, *[len(r) + 1 for r in raws]])
-        mask = np.concatenate([[False], IS_WORD[whole], [False]])
-        change = np.flatnonzero(mask[1:] != mask[:-1])
-        starts, lengths = change[::2], change[1::2] - change[::2]
-        counts = np.diff(np.searchsorted(starts, edges))
-        found, term, weight = self.automaton.match(whole, starts, lengths)
-        docs = np.searchsorted(edges, starts[found], side="right") - 1
-        per_doc: list[list[tuple[int, float]]] = [[] for _ in texts]
-        for d, w, t, v in zip(docs.tolist(), found.tolist(), term.tolist(), weight.tolist(), strict=True):
-            raw, at = raws[d], int(starts[w] - edges[d])
-            end = at + int(lengths[w])
-            before = raw[max(0, at - BEFORE) : at].decode("utf-8", "ignore")
-            after = raw[end : end + AFTER].decode("utf-8", "ignore")
-            per_doc[d].append((t, v * context_factor(before, after)))
-        for n, hits in zip(counts.tolist(), per_doc, strict=True):
-            out.append((n, hits))
+        for text in texts:
+            low = "" if text is None else text.lower()
+            words = WORD.findall(low)
+            found = self.lexicon.match(words)
+            hits = []
+            if any(t >= 0 for t, _ in found):
+                for (term, weight), m in zip(found, WORD.finditer(low), strict=True):
+                    if term >= 0:
+                        hits.append((term, weight * context_factor(low[max(0, m.start() - BEFORE) : m.start()], low[m.end() : m.end() + AFTER])))
+            out.append((len(words), hits))
         return out
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), FEATURES))
         for i, (n, hits) in enumerate(self.hits(texts)):
             total = sum(v for _, v in hits)
-            stems = sum(v for t, v in hits if self.automaton.terms[t][1])
+            stems = sum(v for t, v in hits if self.lexicon.terms[t][1])
             words = total - stems
             out[i] = math.log1p(words), math.log1p(100 * words / (n + 30)), math.log1p(100 * stems / (n + 30)), math.log1p(stems), math.log1p(len({t for t, _ in hits}))
         return out
@@ -188,75 +162,76 @@ class ToxicityModel:
         return self.logistic.predict(self.features(texts)) if texts else np.zeros(0)
 
 
-def word_counts(sample: DataFrame, lengths: tuple[int, int] = (5, 10)) -> DataFrame:
-    """(term, stem, y, tokens, docs) of words and of word beginnings in (text, y)."""
+def word_counts(sample: DataFrame, lengths: tuple[int, int] = (5, 10), held: int = 300_000) -> DataFrame:
+    """(term, stem, tokens0, docs0, tokens1, docs1) of words and of word beginnings in (text, y)."""
 
     def count(batches):
         tokens: Counter = Counter()
         docs: Counter = Counter()
+
+        def flush():
+            keys = list(tokens)
+            out = pa.record_batch(
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.int32()), pa.array([tokens[k] for k in keys], pa.int64()), pa.array([docs[k] for k in keys], pa.int64())],
+                names=["term", "stem", "y", "tokens", "docs"],
+            )
+            tokens.clear()
+            docs.clear()
+            return out
+
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own: Counter = Counter()
-                for w, n in Counter(WORD.findall(text.encode("utf-8").lower())).items():
-                    if 4 <= len(w) <= 40:
-                        own[w, False, y] += n
+                for w, n in Counter(WORD.findall(text.lower())).items():
+                    own[w, False, y] += n
                     for k in range(lengths[0], min(lengths[1], len(w) - 1) + 1):
-                        if w[k] & 0xC0 != 0x80:  # not inside a character
-                            own[w[:k], True, y] += n
-                    own[b"", False, y] += n
+                        own[w[:k], True, y] += n
+                    own["", False, y] += n
                 tokens.update(own)
                 docs.update(own.keys())
-        keys = list(tokens)
-        yield pa.record_batch(
-            [pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.int32()), pa.array([tokens[k] for k in keys], pa.int64()), pa.array([docs[k] for k in keys], pa.int64())],
-            names=["term", "stem", "y", "tokens", "docs"],
-        )
+                if len(tokens) > held:
+                    yield flush()
+        yield flush()
 
-    counted = sample.select("text", "y").mapInArrow(count, "term binary, stem boolean, y int, tokens long, docs long")
+    counted = sample.select("text", "y").mapInArrow(count, "term string, stem boolean, y int, tokens long, docs long")
     return counted.groupBy("term", "stem").agg(
         *[F.sum(F.when(F.col("y") == y, F.col(c)).otherwise(0)).alias(f"{c}{y}") for y in (0, 1) for c in ("tokens", "docs")]
     )
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int = 96, min_docs: int = 4, min_ratio: float = 5.0, errors: float = 2.5) -> list[tuple[bytes, bool, float]]:
-    """The terms most typical of label 1: at most ``max_terms``, none the beginning of another.
+def learn_lexicon(sample: DataFrame, min_docs: int = 4, min_ratio: float = 5.0, errors: float = 2.5) -> list[tuple[str, bool, float]]:
+    """All terms that are typical of label 1, none of them the beginning of another.
 
     A term's ratio is that of its shares of all words under label 1 and 0; what counts, and is its
     weight, is the lower bound of its logarithm, ``errors`` standard errors below. The errors
     come from the numbers of documents, as a term's repetitions in one document go together.
+    Of terms that begin with each other the one with more evidence stays.
     """
-    counts = word_counts(sample)
-    whole = counts.filter("term = X''").agg(F.sum("tokens0").alias("n0"), F.sum("tokens1").alias("n1")).first()
+    counts = materialise(word_counts(sample), "terms")
+    whole = counts.filter("term = ''").agg(F.sum("tokens0").alias("n0"), F.sum("tokens1").alias("n1")).first()
     if not whole["n0"] or not whole["n1"]:
         return []
     ratio = ((F.col("tokens1") + 0.5) / whole["n1"]) / ((F.col("tokens0") + 0.5) / whole["n0"])
     error = F.sqrt(1 / F.col("docs1") + 1 / (F.col("docs0") + 0.5))
-    ranked = counts.filter("term <> X''").filter(F.col("docs1") >= min_docs).withColumn("least", F.log(ratio) - errors * error)
+    ranked = counts.filter("term <> ''").filter(F.col("docs1") >= min_docs).withColumn("least", F.log(ratio) - errors * error)
     ranked = ranked.filter(F.col("least") >= math.log(min_ratio)).withColumn("evidence", F.col("least") * F.sqrt("docs1"))
-    terms: list[tuple[bytes, bool, float]] = []
-    for r in ranked.orderBy(F.desc("evidence"), "stem", "term").limit(8 * max_terms).collect():
-        term = bytes(r["term"])
-        if len(terms) < max_terms and not any(term.startswith(t) or t.startswith(term) for t, _, _ in terms):
+    terms: list[tuple[str, bool, float]] = []
+    beginnings: set[str] = set()
+    for r in ranked.orderBy(F.desc("evidence"), "stem", "term").collect():  # significant words of a bounded sample
+        term = r["term"]
+        own = {term[:k] for k in range(1, len(term) + 1)}
+        if term not in beginnings and not any(t in own for t in (x[0] for x in terms)):
             terms.append((term, r["stem"], min(4.0, float(r["least"]))))
+            beginnings |= own
     return terms
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_row_bytes: int = 16_384) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> ToxicityModel:
     """Learn the lexicon on folds 1 and 2, calibrate on folds 3 and 4."""
-    spark = docs.sparkSession
-    model = ToxicityModel(learn_lexicon(labelled_sample(docs, labels, "toxic", [1, 2], max_rows, max_row_bytes)))
-    sent = spark.sparkContext.broadcast(model)
-
-    def measure(batches):
-        for batch in batches:
-            x = sent.value.features(batch.column(0).to_pylist())
-            yield pa.record_batch([batch.column(1), *[pa.array(x[:, k]) for k in range(FEATURES)]], names=["y", *[f"x{k}" for k in range(FEATURES)]])
-
-    sample = labelled_sample(docs, labels, "toxic", [3, 4], max_rows, max_row_bytes)
-    found = sample.select("text", F.col("y").cast("double").alias("y")).mapInArrow(measure, "y double, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toPandas()
-    y = found["y"].to_numpy(float)
-    weights = class_weights(y, class_totals(labels, "toxic", [3, 4]))
-    model.logistic = Logistic(found.iloc[:, 1:].to_numpy(float).reshape(-1, FEATURES), y, weights)
+    model = ToxicityModel(learn_lexicon(labelled_sample(docs, labels, "toxic", [1, 2], max_rows)))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    x, y = measured(labelled_sample(docs, labels, "toxic", [3, 4], max_rows), FEATURES, lambda texts: sent.value.features(texts), max_rows)
+    model.logistic = Logistic(x, y, class_weights(y, class_totals(labels, "toxic", [3, 4])))
     return model
 
 

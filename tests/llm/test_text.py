@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, decontaminate, language_id, quality, toxicity, warc
+from cairn.llm import bpe, calibrate, decontaminate, language_id, quality, toxicity, warc
 
 DATA = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -160,37 +161,151 @@ def test_classifier_odd_rows(spark, op):
     assert {r["score"] for r in op(spark, docs, labels.limit(0)).collect()} == {0.5}
 
 
-def test_levenshtein_automaton_equals_distance():
-    terms = [(b"idiot", False, 2.0), (b"clown", False, 3.0), (b"scum", False, 1.0), (b"achli", True, 1.5)]
-    automaton = toxicity.Automaton(terms)
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def plain_search(terms, word):
+    """The term that weighs most in the word, by the edit distance to each."""
+    best = (-1, 0.0)
+    for i, (term, stem, value) in enumerate(terms):
+        d = min(edits(term, word[:k]) for k in range(len(word) + 1)) if stem else edits(term, word)
+        value *= toxicity.MISSPELLED**d if d == 0 or d == 1 and len(term) >= toxicity.FUZZY else 0
+        if value > best[1]:
+            best = (i, value)
+    return best
+
+
+def test_lexicon_search_equals_edit_distance():
+    terms = [("idiot", False, 2.0), ("clown", False, 3.0), ("scum", False, 1.0), ("achli", True, 1.5), ("crétin", False, 2.5), ("дурак", True, 1.0)]
+    lexicon = toxicity.Lexicon(terms, remembered=50)
     rng = random.Random(1)
-    words = [b"idiot", b"idot", b"idioot", b"ldiot", b"idito", b"clowns", b"scum", b"scun", b"achlichen", b"achl", b"own"]
-    words += [bytes(rng.choice(b"idotclwn") for _ in range(rng.randrange(1, 8))) for _ in range(400)]
-
-    def near(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    raw = np.frombuffer(b" ".join(words), np.uint8)
-    lengths = np.array([len(w) for w in words])
-    starts = np.cumsum([0, *(lengths + 1)[:-1]])
-    found, _, weight = automaton.match(raw, starts, lengths)
-    got = dict(zip(found.tolist(), weight.tolist(), strict=True))
-    for k, w in enumerate(words):
-        best = 0.0
-        for term, stem, value in terms:
-            if stem:
-                best = max(best, value if w.startswith(term) else 0)
-            else:
-                d = near(term, w)
-                if d == 0 or (d == 1 and len(term) >= toxicity.FUZZY):
-                    best = max(best, value * toxicity.MISSPELLED**d)
-        assert got.get(k, 0.0) == pytest.approx(best), w
+    words = ["idiot", "idot", "idioot", "ldiot", "idito", "clowns", "scum", "scun", "achlichen", "achl", "own", "cretin", "crètin", "дурачок", "дурка", "x" * 99]
+    words += ["".join(rng.choice("idotclwnah") for _ in range(rng.randrange(1, 8))) for _ in range(400)]
+    for w, (term, weight) in zip(words, lexicon.match(words), strict=True):
+        assert (term, pytest.approx(weight)) == plain_search(terms, w), w
+    assert lexicon.match(["cretin"])[0][0] == 4
+    assert toxicity.Lexicon([]).match(["word"]) == [(-1, 0.0)]
+
+
+def plain_lexicon(rows):
+    """What ``learn_lexicon`` learns from all of (text, y)."""
+    tokens, docs, whole = Counter(), Counter(), Counter()
+    for text, y in rows:
+        own = Counter()
+        for w in toxicity.WORD.findall(text.lower()):
+            whole[y] += 1
+            own[w, False] += 1
+            for k in range(5, min(10, len(w) - 1) + 1):
+                own[w[:k], True] += 1
+        for key, n in own.items():
+            tokens[key, y] += n
+            docs[key, y] += 1
+    found = []
+    for term, stem in {k for k, _ in tokens}:
+        t0, t1, d0, d1 = (c[(term, stem), y] for c in (tokens, docs) for y in (0, 1))
+        if d1 >= 4:
+            least = math.log((t1 + 0.5) / whole[1] / ((t0 + 0.5) / whole[0])) - 2.5 * math.sqrt(1 / d1 + 1 / (d0 + 0.5))
+            if least >= math.log(5):
+                found.append((-least * math.sqrt(d1), stem, term, min(4.0, least)))
+    terms = []
+    for _, stem, term, least in sorted(found):
+        if not any(term.startswith(t) or t.startswith(term) for t, _, _ in terms):
+            terms.append((term, stem, least))
+    return terms
+
+
+def test_toxicity_query_equals_plain_version(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    of = lambda folds: [(t, toxic[i]) for i, t in rows if t is not None and i in toxic and fold(i) in folds]
+    terms = plain_lexicon(of((1, 2)))
+    assert terms
+
+    def features(text):
+        low = (text or "").lower()
+        hits = [(plain_found(m.group()), low[max(0, m.start() - 64) : m.start()], low[m.end() : m.end() + 48]) for m in toxicity.WORD.finditer(low)]
+        n = len(hits)
+        hits = [(t, v * toxicity.context_factor(x, y)) for (t, v), x, y in hits if t >= 0]
+        stems = sum(v for t, v in hits if terms[t][1])
+        words = sum(v for _, v in hits) - stems
+        return [math.log1p(words), math.log1p(100 * words / (n + 30)), math.log1p(100 * stems / (n + 30)), math.log1p(stems), math.log1p(len({t for t, _ in hits}))]
+
+    remembered = {}
+
+    def plain_found(word):
+        if word not in remembered:
+            # A term of about the length at once; the others cannot match.
+            remembered[word] = plain_search(terms, word[:14]) if any(len(t) <= len(word) + 1 for t, _, _ in terms) else (-1, 0.0)
+        return remembered[word]
+
+    train = of((3, 4))
+    x, y = np.array([features(t) for t, _ in train]), np.array([v for _, v in train], float)
+    model = toxicity.Logistic(x, y)
+    want = dict(zip([i for i, _ in rows], model.predict(np.array([features(t) for _, t in rows])), strict=True))
+    for r in toxicity.op3_toxicity(spark, docs, labels).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-6)
+
+
+def test_quality_query_equals_plain_version(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
+    good = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    of = lambda folds: [(t, good[i]) for i, t in rows if t is not None and i in good and fold(i) in folds]
+    assert hashes and len(of((1, 2))) < 1200
+    dictionaries = []
+    for y in (1, 0):
+        found = []
+        for text, label in of((1, 2)):
+            raw = text.encode()
+            own = sorted({raw[k : k + 4096] for k in range(0, len(raw), 4096)}, key=lambda p: hashlib.blake2b(p, digest_size=8).digest())
+            found += [(turn, piece) for turn, piece in enumerate(own) if label == y]
+        order = spark.createDataFrame([(t, bytearray(p)) for t, p in found], "turn int, piece binary").orderBy("turn", F.xxhash64("piece"), "piece").limit(2400).collect()
+        dictionaries.append(quality.dictionary([bytes(r["piece"]) for r in order], 65_536))
+    compressors = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d)) for d in dictionaries] + [zstandard.ZstdCompressor(level=3)]
+
+    def features(text):
+        raw = (text or "").encode()
+        a, b, c = (len(z.compress(raw)) for z in compressors)
+        n = len(raw) + 20
+        return [(b - a) / n, (b - a) / (b + a), math.log(c / n), math.log(n), math.log(c / n) * math.log(n)]
+
+    train = of((3, 4))
+    model = quality.Logistic(np.array([features(t) for t, _ in train]), np.array([v for _, v in train], float))
+    want = dict(zip([i for i, _ in rows], model.predict(np.array([features(t) for _, t in rows])), strict=True))
+    for r in quality.op5_quality(spark, docs, labels).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=0.02)
+
+
+@pytest.mark.parametrize("op", [quality.op5_quality, toxicity.op3_toxicity])
+def test_classifier_learns_from_long_texts(spark, op):
+    rng = random.Random(2)
+    good, bad = ([" ".join(rng.choice(words) for _ in range(4000)) for _ in range(40)] for words in (["river", "stone", "meadow", "quiet"], ["cheap", "pills", "idiots", "scummy"]))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*good, *bad])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40), int(i >= 40)) for i in range(80)], LABELS)
+    assert min(len(t) for t in good + bad) > 16_384
+    got = op(spark, docs, labels).collect()
+    label = (lambda i: i < 40) if op is quality.op5_quality else (lambda i: i >= 40)
+    assert all((r["score"] >= 0.5) == label(r["doc_id"]) for r in got)
+
+
+def test_sample_of_repeated_identifiers_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4)], LABELS)
+    sample = calibrate.labelled_sample(docs, labels, "quality", [0, 1, 2, 3, 4], 5)
+    x, y = calibrate.measured(sample, 1, lambda texts: np.ones((len(texts), 1)), 5)
+    assert x.shape == (10, 1) and sorted(y) == [0] * 5 + [1] * 5
+    assert sum(map(len, quality.pieces(sample, 4, 3).values())) == 6
 
 
 def test_quotation_counts_less_than_abuse():
