@@ -55,15 +55,46 @@ def test_exact_empty_table_and_clashing_columns(spark):
 def test_exact_batches_flush_and_compact(spark):
     index = exact_dedup.DigestIndex(spark, keep="smallest", fanout=2, memtable_rows=2)
     for k in range(5):
-        index.add(spark.createDataFrame([(10 * k + j, f"text {j}") for j in range(4)], "doc_id long, text string"), "doc_id", "text")
+        index.add(spark.createDataFrame([(10 * k + j, bytearray(f"digest {j}".encode())) for j in range(4)], "id long, digest binary"))
     assert any(index.levels[1:])
-    assert sorted((r["best"], r["n"]) for r in index.entries().collect()) == [(0, 5), (1, 5), (2, 5), (3, 5)]
+    assert sorted((r["best"], r["n"], r["ties"]) for r in index.entries().collect()) == [(0, 5, 1), (1, 5, 1), (2, 5, 1), (3, 5, 1)]
 
 
-def test_exact_collision_is_told_apart_by_bytes(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "a", "b", "b", "c"])], "doc_id long, text string")
-    got = exact_dedup.mark_exact(docs, filter_bits=8).select("row.doc_id", "keep_id", "group_size").collect()  # a full filter
-    assert sorted(map(tuple, got)) == [(0, 0, 2), (1, 0, 2), (2, 2, 2), (3, 2, 2), (4, 4, 1)]
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_exact_groups_come_from_the_compacted_index(spark, monkeypatch, keep):
+    compacted = []
+    write = exact_dedup.DigestIndex._write
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_write", lambda self, run, level: (compacted.append(level), write(self, run, level)))
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(40)]), f"text {rng.randrange(12)}") for _ in range(150)]
+    got = exact_dedup.mark_exact(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep).collect()
+    assert max(compacted) > 0
+    for r in got:
+        ids = [i for i, t in rows if t == r["row"]["text"]]
+        best = (max if keep == "largest" else min)(ids, key=lambda i: -1 if i is None else i)
+        assert (r["keep_id"], r["group_size"]) == (best, len(ids))
+    assert sum(r["kept"] for r in got) == len({t for _, t in rows})
+    # Without what compaction merges, groups are torn.
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_merge", lambda self, runs: runs.dropDuplicates(["digest"]))
+    torn = exact_dedup.mark_exact(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep).collect()
+    assert sorted(r["group_size"] for r in torn) != sorted(r["group_size"] for r in got)
+
+
+@pytest.mark.parametrize("digest", [lambda raw: hashlib.sha256(raw).digest()[:1] if raw > b"m" else b"", lambda raw: b"x"])
+def test_exact_collision_is_told_apart_by_bytes(spark, digest):
+    rows = [(i, t) for i, t in enumerate(["a", "a", "b", "b", "c", "zz", "ZZ", "é"])] + [(7, "é"), (None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.mark_exact(docs, digest=digest).select("row.doc_id", "keep_id", "group_size", "kept").collect()
+    want = [(0, 0, 2, True), (1, 0, 2, False), (2, 2, 2, True), (3, 2, 2, False), (4, None, 2, False), (5, 5, 2, True), (6, 5, 2, False), (7, 7, 2, True), (7, 7, 2, False), (None, None, 2, True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_exact_full_filter_and_long_texts(spark):
+    rows = [(i, f"{i % 30} " + "long text " * 100_000 if i < 4 else f"text {i % 30}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((i, max(j for j, u in rows if u == t), sum(u == t for _, u in rows)) for i, t in rows)
+    got = exact_dedup.mark_exact(df, keep="largest", max_filter_bits=1).select("row.doc_id", "keep_id", "group_size").collect()
+    assert sorted(map(tuple, got)) == want
 
 
 # Lines
