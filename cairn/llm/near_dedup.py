@@ -200,8 +200,8 @@ DEALT_NAMES = ["bucket", "a", "b"]
 CELL = 2048
 #: Pairs that are compared at once.
 CHUNK = 100_000
-#: Words are counted in so many places to tell that two texts cannot be similar.
-BAG = 128
+#: Words are counted in so many places, least and most, up to MOST, to tell that two texts cannot be similar.
+BAGS, MOST = (64, 4096), 15
 
 
 def _split(at: np.ndarray, columns: list[np.ndarray], buckets: list[int]) -> Iterator[pa.RecordBatch]:
@@ -294,44 +294,89 @@ def shared_keys(texts: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(_global_keys, "key long, doc long").distinct()
 
 
-def star_edges(rows: DataFrame) -> DataFrame:
+def star_edges(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Distinct edges (a, b), a < b, of rows (key, doc, size): each text with its key's least one."""
     least = rows.groupBy("key").agg(F.min(F.struct("doc", "size")).alias("m"))
-    met = rows.join(least, "key").filter("doc <> m.doc").filter(F.least("size", "m.size") >= SIMILARITY * F.greatest("size", "m.size"))
+    met = rows.join(least, "key").filter("doc <> m.doc").filter(F.least("size", "m.size") >= similarity * F.greatest("size", "m.size"))
     return met.select(F.col("m.doc").alias("a"), F.col("doc").alias("b")).distinct()
 
 
-def bag(raws: list[bytes]) -> list[bytes]:
-    """The words of each text counted in BAG places, 255 at most."""
-    words, first = word_hashes(raws)
-    at = np.repeat(np.arange(len(raws)), np.diff(first)) * BAG + (words % np.uint64(BAG)).astype(np.int64)
-    counts = np.minimum(np.bincount(at, minlength=len(raws) * BAG), 255).astype(np.uint8).reshape(len(raws), BAG)
-    return [c.tobytes() for c in counts]
+def places(words: np.ndarray) -> np.ndarray:
+    """Places of the signatures of texts of so many words: about one a word, powers of two."""
+    size = np.maximum(BAGS[0], np.minimum(BAGS[1], words)).astype(np.float64)
+    return 1 << np.ceil(np.log2(size)).astype(np.int64)
 
 
-def can_be_similar(a: np.ndarray, b: np.ndarray, longer: np.ndarray) -> np.ndarray:
-    """False where counts of words show that more words differ than may be edited.
+def bag(raws: list[bytes]) -> list[bytes]:
+    """The words of each text counted in :func:`places`, MOST at most, two places a byte."""
+    words, first = word_hashes(raws)
+    size = places(np.diff(first))
+    starts = np.concatenate([[0], np.cumsum(size)])
+    doc = np.repeat(np.arange(len(raws)), np.diff(first))
+    at = starts[doc] + (words & (size[doc] - 1).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=starts[-1]), MOST).astype(np.uint8)
+    packed = counts[::2] << 4 | counts[1::2]
+    return [packed[a // 2 : b // 2].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
+def counts_in(bags: list[bytes], size: int) -> np.ndarray:
+    """A row of ``size`` places for each signature of that many places or more."""
+    out = np.empty((len(bags), size), np.uint8)
+    lengths = np.fromiter(map(len, bags), np.int64, len(bags))
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        packed = np.frombuffer(b"".join([bags[i] for i in rows.tolist()]), np.uint8).reshape(len(rows), n)
+        wide = np.stack([packed >> 4, packed & MOST], axis=2).reshape(len(rows), 2 * n)
+        while wide.shape[1] > size:
+            half = wide.shape[1] // 2
+            wide = np.minimum(wide[:, :half] + wide[:, half:], MOST)
+        out[rows] = wide
+    return out
+
+
+def differ_too_much(a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Whether counts show that more than ``limit`` words differ.
 
     An edit lowers a place's surplus of either side by one at most, so no similar pair is lost.
     """
     more = np.maximum(a, b) - np.minimum(a, b)
     up = np.where(a > b, more, 0).sum(axis=1, dtype=np.int64)
-    return np.maximum(up, more.sum(axis=1, dtype=np.int64) - up) <= (longer * (1 - SIMILARITY) + 1e-9).astype(np.int64)
-
-
-def _cells(batches):
+    return np.maximum(up, more.sum(axis=1, dtype=np.int64) - up) > limit
+
+
+def can_be_similar(x: np.ndarray, y: np.ndarray, bags: list[bytes], longer: np.ndarray, similarity: float) -> np.ndarray:
+    """False for the pairs (x, y) of rows of ``bags`` whose words cannot be similar, on few places, then on all."""
+    ok = np.ones(len(x), bool)
+    limit = (longer * (1 - similarity) + 1e-9).astype(np.int64)
+    length = np.fromiter(map(len, bags), np.int64, len(bags))
+    size = 2 * np.minimum(length[x], length[y])
+    for few in (True, False):
+        here = np.minimum(size, 128) if few else size
+        for n in np.unique(here[ok]).tolist():
+            rows = np.flatnonzero(ok & (here == n))
+            if not few and n <= 128:
+                continue
+            used, at = np.unique(np.concatenate([x[rows], y[rows]]), return_inverse=True)
+            wide = counts_in([bags[i] for i in used.tolist()], n)
+            step = max(1, CHUNK * 128 // n)
+            for k in range(0, len(rows), step):
+                r = rows[k : k + step]
+                ok[r] = ~differ_too_much(wide[at[k : k + len(r)]], wide[at[len(rows) + k : len(rows) + k + len(r)]], limit[r])
+    return ok
+
+
+def _cells(similarity: float):
     """Pairs (a, b) of each cell: every visitor with every text that lives there, in other groups.
 
     Rows (key, cell, visits, doc, group, size, lives, bag) stand in order of key, cell and visits.
     """
-    home: list[np.ndarray] | None = None
-    last = None
 
-    def pairs(live, visit):
-        # live and visit: cell number, doc, group, size, major, bag
+    def pairs(live, visit, live_bags, visit_bags):
+        # live and visit: cell number, doc, group, size, major
         first, end = np.searchsorted(live[0], visit[0], "left"), np.searchsorted(live[0], visit[0], "right")
         count = end - first
         total = np.cumsum(count)
+        bags = [*live_bags, *visit_bags]
         begin = 0
         while begin < len(total):
             done = total[begin - 1] if begin else 0
@@ -343,31 +388,39 @@ def _cells(batches):
             x, y = live[1][h], visit[1][v]
             longer = np.maximum(live[3][h], visit[3][v])
             # Two texts outside the key's major group visit each other; one of the two meetings counts.
-            ok = (live[2][h] != visit[2][v]) & (live[4][h] | (y < x)) & (np.minimum(live[3][h], visit[3][v]) >= SIMILARITY * longer)
+            ok = (live[2][h] != visit[2][v]) & (live[4][h] | (y < x)) & (np.minimum(live[3][h], visit[3][v]) >= similarity * longer)
             h, v, x, y, longer = h[ok], v[ok], x[ok], y[ok], longer[ok]
-            ok = can_be_similar(live[5][h], visit[5][v], longer)
+            ok = can_be_similar(h, v + len(live_bags), bags, longer, similarity)
             if ok.any():
                 x, y = x[ok], y[ok]
                 yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, cell, doc, group, size = (batch.column(i).to_numpy() for i in (0, 1, 3, 4, 5))
-        visits, major = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 6))
-        bags = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, BAG)
-        new = np.append([last != (key[0], cell[0])], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))
-        number = np.cumsum(new)  # 0 is the cell that the last batch ended with
-        live = [c[~visits] for c in (number, doc, group, size, major, bags)]
-        if home is not None and not new[0]:
-            live = [np.concatenate(x) for x in zip(home, live, strict=True)]
-        yield from pairs(live, [c[visits] for c in (number, doc, group, size, major, bags)])
-        home = [c[live[0] == number[-1]] for c in live]
-        home[0] = np.zeros_like(home[0])
-        last = (key[-1], cell[-1])
-
-
-def all_edges(rows: DataFrame, cell: int = CELL) -> DataFrame:
+    def run(batches):
+        home: list[np.ndarray] | None = None
+        home_bags: list[bytes] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, cell, doc, group, size = (batch.column(i).to_numpy() for i in (0, 1, 3, 4, 5))
+            visits, major = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 6))
+            bags = batch.column(7).to_pylist()
+            new = np.append([last != (key[0], cell[0])], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))
+            number = np.cumsum(new)  # 0 is the cell that the last batch ended with
+            columns = (number, doc, group, size, major)
+            live, live_bags = [c[~visits] for c in columns], [bags[i] for i in np.flatnonzero(~visits).tolist()]
+            if home is not None and not new[0]:
+                live, live_bags = [np.concatenate(x) for x in zip(home, live, strict=True)], home_bags + live_bags
+            yield from pairs(live, [c[visits] for c in columns], live_bags, [bags[i] for i in np.flatnonzero(visits).tolist()])
+            stays = live[0] == number[-1]
+            home, home_bags = [c[stays] for c in live], [live_bags[i] for i in np.flatnonzero(stays).tolist()]
+            home[0] = np.zeros_like(home[0])
+            last = (key[-1], cell[-1])
+
+    return run
+
+
+def all_edges(rows: DataFrame, cell: int = CELL, similarity: float = SIMILARITY) -> DataFrame:
     """Distinct edges (a, b), a < b, of all texts in different groups that share a key and can be similar.
 
     ``rows`` has (key, doc, group, size, bag). A text lives in one of its key's cells, which hold
@@ -376,12 +429,12 @@ def all_edges(rows: DataFrame, cell: int = CELL) -> DataFrame:
     counts = materialise(rows.groupBy("key", "group").count(), "counts")
     keys = counts.groupBy("key").agg(F.sum("count").alias("n"), F.max_by("group", F.struct("count", "group")).alias("major"), F.count("*").alias("groups"))
     keys = materialise(keys.filter("groups > 1").select("key", "major", F.ceil(F.col("n") / cell).cast("int").alias("cells")), "contested")
-    met = materialise(rows.join(keys, "key").withColumn("lives", F.col("group") == F.col("major")), "contested-rows")
-    columns = ["doc", "group", "size", "lives", "bag"]
-    live = met.select("key", F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int").alias("cell"), F.lit(False).alias("visits"), *columns)
-    visit = met.filter("not lives").select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("visits"), *columns)
-    dealt = live.unionByName(visit).repartition("key", "cell").sortWithinPartitions("key", "cell", "visits")
-    return dealt.mapInArrow(_cells, "a long, b long").distinct()
+    met = rows.join(keys, "key").withColumn("lives", F.col("group") == F.col("major"))
+    stays = F.array(F.struct(F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int").alias("cell"), F.lit(False).alias("visits")))
+    visits = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: F.struct(c.alias("cell"), F.lit(True).alias("visits")))
+    met = met.withColumn("at", F.explode(F.when(F.col("lives"), stays).otherwise(F.concat(stays, visits))))
+    dealt = met.select("key", "at.cell", "at.visits", "doc", "group", "size", "lives", "bag").repartition("key", "cell").sortWithinPartitions("key", "cell", "visits")
+    return dealt.mapInArrow(_cells(similarity), "a long, b long").distinct()
 
 
 # Verification
@@ -458,9 +511,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # First stars, which make one class of most near copies; then all that is left between classes.
     for step in ("stars", "all"):
         if step == "stars":
-            edges = star_edges(shared.join(sizes, "doc"))
+            edges = star_edges(shared.join(sizes, "doc"), similarity)
         else:
-            edges = all_edges(shared.join(sides, "doc"))
+            edges = all_edges(shared.join(sides, "doc"), similarity=similarity)
         if tested is not None:
             edges = edges.join(tested, ["a", "b"], "left_anti")
         edges = materialise(edges, "candidates")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,13 +303,42 @@ def test_near_variants_meet_through_a_base_that_is_not_the_least(spark, seed):
 
 def test_all_pairs_of_a_key_meet_in_small_cells(spark):
     rng = random.Random(5)
-    rows = [(key, doc, rng.randrange(4) * (key % 3), 10, bytes(near_dedup.BAG)) for key in range(40) for doc in rng.sample(range(60), rng.choice([2, 3, 30]))]
+    rows = [(key, doc, rng.randrange(4) * (key % 3), 10, bytes(near_dedup.BAGS[0] // 2)) for key in range(40) for doc in rng.sample(range(60), rng.choice([2, 3, 30]))]
     want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]}
     df = spark.createDataFrame(rows, "key long, doc long, group long, size int, bag binary")
     near_dedup.arrow_batches(spark, 7)
     assert {tuple(r) for r in near_dedup.all_edges(df, cell=4).collect()} == want
 
 
+def test_signatures_never_rule_out_a_similar_pair():
+    rng = random.Random(11)
+    texts, edits = [], []
+    for n in [3, 10, 40, 64, 65, 130, 300, 700, 2000, 6000] * 12:
+        a = random_words(rng, n, rng.choice([5, 50, 4000]))
+        b, d = list(a), rng.randrange(int(n * 0.2) + 1)
+        for _ in range(d):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = random_words(rng, rng.randrange(2))
+        texts += [" ".join(a).encode(), " ".join(b).encode()]
+        edits.append(d)
+    bags = near_dedup.bag(texts)
+    even = np.arange(0, len(texts), 2)
+    n = np.array([len(t.split()) for t in texts])
+    assert near_dedup.can_be_similar(even, even + 1, bags, np.maximum(n[even], n[even] + np.array(edits)), 0.8).all()
+    # Other texts of the same length do not pass.
+    far = near_dedup.bag([" ".join(random_words(rng, 700, 10**6)).encode() for _ in range(40)])
+    x = np.arange(0, 40, 2)
+    assert not near_dedup.can_be_similar(x, x + 1, far, np.full(20, 700), 0.8).any()
+
+
+def test_near_similarity_is_a_parameter(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:30], *[f"x{i}" for i in range(10)]])), (3, " ".join(words[:29]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for similarity, want in ((0.7, [(1, 1), (2, 1), (3, 1)]), (0.8, [(1, 1), (2, 2), (3, 3)])):
+        assert sorted(map(tuple, near_dedup.near_classes(df, similarity=similarity).collect())) == want
+
+
 def test_near_recall_by_length():
     """The chance to share a key if the most words that similarity 0.8 allows are changed, far apart."""
     for n in [*range(5, 400), 1000, 5000, 20000]:
