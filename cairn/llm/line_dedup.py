@@ -1,20 +1,24 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 Every line of at least ``min_chars`` code points has a key (ASCII white space stripped at both
-ends, A-Z lower-cased) and a 128-bit hash of it. Documents arrive in batches. A batch is reduced
-to one row a hash (number of documents, largest identifier), merge-anti-joined with the runs to
-tell new lines from known ones, and added as a sorted run of level 0; a level that holds
-``fanout`` runs is compacted into one run of the next. The counts of all runs decide: lines in at
-least ``min_docs`` documents go, except from the largest document that holds them.
+ends, A-Z lower-cased) and a 128-bit hash of it. Documents arrive in batches, those with the
+largest identifiers first. A batch is reduced to one row a hash (number of documents, largest
+identifier) and merge-anti-joined with the runs: a line that no run has is new, and the batch's
+largest document is the one that keeps it. The batch is then added as a sorted run of level 0; a
+level that holds ``fanout`` runs is compacted into one run of the next. Runs are tables bucketed
+and sorted by hash, so the joins move the batch only. Lines in at least ``min_docs`` documents,
+counted over all runs, go from all documents but the one that keeps them.
 
 Cases: a null or empty text is one empty line; a null identifier is smaller than every other and
 counts as one document; rows that repeat an identifier count as one document and keep or lose a
-line together; an empty table gives an empty result; further columns travel in a struct.
+line together; ties between documents cannot be, as identifiers decide; an empty table gives an
+empty result; texts may be of any length; further columns, whatever their names, travel in a struct.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +30,6 @@ from cairn.session import arrow_batches, materialise, shared_dir
 #: The white space that keys lose at both ends, and the smallest identifier.
 STRIP = b" \t\n\x0b\x0c\r"
 NULL_ID = -(1 << 63)
-RUN_SCHEMA = "key binary, n_docs long, max_doc long, fresh boolean"
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -37,60 +40,85 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
     return hashlib.blake2b(key.lower(), digest_size=16).digest()
 
 
-def extract_keys(docs: DataFrame, id_col: str, text_col: str, batches: int, min_chars: int) -> DataFrame:
-    """(batch, doc, key) with each key once a row of ``docs``."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> list:
+    """The identifier, null as the smallest, and the hash by which a row is found again."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("at")]
+
+
+def extract_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(doc, at, key) with each key once a row of ``docs``."""
 
     def keys(parts):
         for part in parts:
-            ids, found = [], []
-            for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            ids, rows, found = [], [], []
+            for i, row, text in zip(*[part.column(k).to_pylist() for k in range(3)], strict=True):
                 own = {line_key(x, min_chars) for x in text.encode("utf-8").split(b"\n")} if text else set()
                 own.discard(None)
                 ids += [i] * len(own)
+                rows += [row] * len(own)
                 found += own
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["doc", "key"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(found, pa.binary())], names=["doc", "at", "key"])
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(keys, "doc long, key binary").withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
+    return docs.select(*_rows(docs, id_col, text_col), F.col(text_col).alias("text")).mapInArrow(keys, "doc long, at long, key binary")
 
 
 class LineIndex:
-    """Levelled runs of (key, number of documents, largest document) below a shared folder."""
+    """Levelled runs of (key, n_docs, keeper), tables bucketed by key in a shared folder.
+
+    ``keeper`` is the document that keeps the line, null in all runs but the first that had it.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
 
-    def runs(self, paths: list[str] | None = None) -> DataFrame:
-        paths = [p for level in self.levels for p in level] if paths is None else paths
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], RUN_SCHEMA)
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
     def entries(self) -> DataFrame:
         """One row a line over all runs."""
-        return self.runs().groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        return self._merge(self.runs())
 
     def add(self, batch: DataFrame) -> None:
-        """Add the (doc, key) rows of documents that no earlier batch had."""
+        """Add the (doc, key) rows of documents that are smaller than those of all earlier batches."""
         counted = batch.select("doc", "key").distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc").alias("max_doc"))
-        known = self.runs().select("key").distinct().withColumn("known", F.lit(True))
-        marked = counted.join(known.hint("merge"), "key", "left").select("key", "n_docs", "max_doc", F.col("known").isNull().alias("fresh"))
-        self._write(marked, 0)
+        self._write(self._mark(counted), 0)
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
-                merged = self.runs(self.levels[level]).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("fresh").alias("fresh"))
-                self.levels[level] = []
-                self._write(merged, level + 1)
-
-    def fresh_lines(self) -> DataFrame:
-        """The lines that a batch had first, as each batch's anti-join found them."""
-        return self.runs().filter("fresh").select("key")
+                full, self.levels[level] = self.levels[level], []
+                self._write(self._merge(full), level + 1)
+                self._drop(full)
+
+    def _mark(self, counted: DataFrame) -> DataFrame:
+        """The batch's lines; those that a run has do not get a keeper."""
+        joined, known = counted, F.lit(False)
+        for k, name in enumerate(self.runs()):
+            joined = joined.join(self.spark.table(name).select("key", F.lit(True).alias(f"in_{k}")).hint("merge"), "key", "left")
+            known = known | F.coalesce(f"in_{k}", F.lit(False))
+        return joined.select("key", "n_docs", F.when(~known, F.col("max_doc")).alias("keeper"))
+
+    def _merge(self, names: list[str]) -> DataFrame:
+        # Read as files: Spark 4.1 groups a union of bucketed tables as if their buckets stood in one partition.
+        runs = self.spark.read.schema("key binary, n_docs long, keeper long").parquet(*[self.paths[name] for name in names])
+        return runs.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("keeper").alias("keeper"))  # one run has it
 
     def _write(self, run: DataFrame, level: int) -> None:
-        path = shared_dir(self.spark, f"lines-{level}")
-        run.sortWithinPartitions("key").write.parquet(path)
+        name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = shared_dir(self.spark, f"lines-{level}")
+        run.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key").option("path", self.paths[name]).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
+
+    def _drop(self, names: list[str]) -> None:
+        """Take runs out of the catalogue; their files go with the session."""
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        self._drop(self.runs())
 
 
 def _rewrite(min_chars: int, digest: bool):
@@ -115,19 +143,32 @@ def _rewrite(min_chars: int, digest: bool):
     return rewrite
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, digest: bool = False) -> DataFrame:
-    """Each row as struct ``row`` with n_lines, n_dropped and ``kept``: the text left, or its SHA-256."""
+def batch_bounds(docs: DataFrame, batches: int, batch_rows: int) -> list[int]:
+    """Identifiers, falling, that split the rows (doc) into at least ``batches`` parts of about equal size."""
+    n = max(batches, -(-docs.count() // batch_rows))
+    return [int(x) for x in reversed(docs.approxQuantile("doc", [k / n for k in range(1, n)], 0.25 / n))]
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, batch_rows: int = 100_000_000, digest: bool = False) -> DataFrame:
+    """Each row as struct ``row`` with n_lines, n_dropped and ``kept``: the text left, or its SHA-256.
+
+    There are ``batches`` batches, or more of about ``batch_rows`` rows.
+    """
     spark = docs.sparkSession
     arrow_batches(spark)
-    lines = materialise(extract_keys(docs, id_col, text_col, batches, min_chars), "line-keys")
+    lines = materialise(extract_keys(docs, id_col, text_col, min_chars), "line-keys")
     index = LineIndex(spark)
-    for b in range(batches):
-        index.add(lines.filter(F.col("batch") == b))
-    frequent = materialise(index.entries().filter(F.col("n_docs") >= min_docs), "frequent-lines")  # so that the join can split a hot line
-    drops = lines.join(frequent, "key").filter(F.col("doc") != F.col("max_doc")).groupBy("doc").agg(F.collect_set("key").alias("gone"))
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("doc", F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(NULL_ID)))
-    joined = rows.join(drops, "doc", "left")
+    high = None
+    for low in [*batch_bounds(docs.select(_rows(docs, id_col, text_col)[0]), batches, batch_rows), None]:
+        batch = lines if low is None else lines.filter(F.col("doc") > low)
+        index.add(batch if high is None else batch.filter(F.col("doc") <= high))
+        high = low
+    frequent = materialise(index.entries().filter(F.col("n_docs") >= min_docs).select("key", "keeper"), "frequent-lines")  # so that the join can split a hot line
+    index.close()
+    drops = materialise(lines.join(frequent, "key").filter(F.col("doc") != F.col("keeper")).groupBy("doc", "at").agg(F.collect_set("key").alias("gone")), "drops")
+    doc, at = _rows(docs, id_col, text_col)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), doc, at)
+    joined = rows.join(drops, ["doc", "at"], "left")
     out = joined.select("row", _rewrite(min_chars, digest)(F.col(f"row.`{text_col}`"), F.col("gone")).alias("out"))
     return out.select("row", "out.n_lines", "out.n_dropped", "out.kept")
 

@@ -135,12 +135,36 @@ def test_lines_odd_rows(spark):
     assert line_dedup.op1_line_dedup(spark, df.limit(0)).count() == 0
 
 
-def test_line_index_knows_new_lines(spark):
+def test_line_index_gives_a_line_to_the_batch_that_had_it_first(spark):
     index = line_dedup.LineIndex(spark, fanout=2)
-    for batch in ([(1, b"a"), (1, b"b")], [(2, b"b"), (2, b"c")], [(3, b"a"), (3, b"d")]):
+    for batch in ([(9, b"a"), (8, b"a"), (8, b"b")], [(6, b"b"), (5, b"c")], [(3, b"a"), (2, b"d")], [(1, b"c")]):
         index.add(spark.createDataFrame(batch, "doc long, key binary"))
-    assert sorted(bytes(r["key"]) for r in index.fresh_lines().collect()) == [b"a", b"b", b"c", b"d"]
-    assert {bytes(r["key"]): (r["n_docs"], r["max_doc"]) for r in index.entries().collect()}[b"a"] == (2, 3)
+    assert any(index.levels[1:])
+    assert {bytes(r["key"]): (r["n_docs"], r["keeper"]) for r in index.entries().collect()} == {b"a": (3, 9), b"b": (2, 8), b"c": (2, 5), b"d": (1, 2)}
+    names = index.runs()
+    index.close()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_lines_need_the_anti_join(spark, monkeypatch):
+    rows = [(i, "\n".join(f"a line number {k} that is long enough to be counted" for k in range(i % 7))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.op1_line_dedup(spark, df).collect())) == brute_lines(rows)
+    # Without it every batch takes its lines for new.
+    monkeypatch.setattr(line_dedup.LineIndex, "_mark", lambda self, counted: counted.select("key", "n_docs", F.col("max_doc").alias("keeper")))
+    assert sorted(map(tuple, line_dedup.op1_line_dedup(spark, df).collect())) != brute_lines(rows)
+
+
+def test_lines_long_texts_and_repeated_null_rows(spark):
+    long = "a line that is long enough to be counted as a line"
+    rows = [(i, "\n".join([f"{k} {'x' * 60}" for k in range(20_000)] + [long])) for i in range(2)] + [(None, long)] * 50 + [(7 + i, long) for i in range(3)] + [(None, f"{long}\nother {i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit("clash")).withColumn("at", F.lit(1)).withColumn("key", F.lit(2))
+    got = line_dedup.op1_line_dedup(spark, df).collect()
+    assert len(got) == len(rows)
+    # Six documents hold the line: 0, 1, 7, 8, 9 and the one without an identifier.
+    assert sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"]) for r in got) == sorted(
+        [("0", 20_001, 1), ("1", 20_001, 1), ("7", 1, 1), ("8", 1, 1), ("9", 1, 0)] + [("None", 1, 1)] * 50 + [("None", 2, 1)] * 5
+    )
 
 
 # Passages
