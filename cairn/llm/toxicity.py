@@ -43,6 +43,9 @@ CUE = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 BEFORE, AFTER = 64, 48
 
 
+NO_HIT = (-1, 0.0)
+
+
 class Lexicon:
     """Terms (text, is_stem, weight) in a trie, through which the Levenshtein automaton of a word is run.
 
@@ -50,15 +53,25 @@ class Lexicon:
     one character wrong, missing or too many, at ``MISSPELLED`` of their weight.
     """
 
-    def __init__(self, terms: list[tuple[str, bool, float]], remembered: int = 100_000):
+    def __init__(self, terms: list[tuple[str, bool, float]], remembered: int = 200_000):
         self.terms, self.remembered = terms, remembered
-        #: A node is its children by character and the terms that end there.
-        self.root: tuple[dict, list[int]] = ({}, [])
+        #: A node is its children by character, the terms that end there, its children that have
+        #: a child with a character, by that character, and its children at which a term ends.
+        self.root: tuple[dict, list[int], dict, list] = ({}, [], {}, [])
+        nodes = [self.root]
         for i, (term, _, _) in enumerate(terms):
             node = self.root
             for c in term:
-                node = node[0].setdefault(c, ({}, []))
+                if c not in node[0]:
+                    nodes.append(node[0].setdefault(c, ({}, [], {}, [])))
+                node = node[0][c]
             node[1].append(i)
+        for children, _, by_next, ending in nodes:
+            for child in children.values():
+                for c in child[0]:
+                    by_next.setdefault(c, []).append(child)
+                if child[1]:
+                    ending.append(child)
         #: Characters of a word that can matter, and one more.
         self.reach = max((len(t) for t, _, _ in terms), default=0) + 2
         self.found: dict[str, tuple[int, float]] = {}
@@ -69,47 +82,61 @@ class Lexicon:
     def search(self, word: str) -> tuple[int, float]:
         """The term that weighs most in the word, and its weight; (-1, 0.0) without any.
 
-        The automaton's states stand in two integers: bit i of ``exact`` (``edited``) is set if
-        the first i characters of the word match the path from the root with no (one) edit.
+        The automaton is at (exact, edited): exact is how many characters of the word match the
+        path from the root, -1 if they do not; edited has the same for paths with one edit.
         """
-        at: dict[str, int] = {}
-        for i, c in enumerate(word):
-            at[c] = at.get(c, 0) | 1 << i
-        end = 1 << len(word)
-        full = 2 * end - 1
         best, best_weight = -1, 0.0
-        todo = [(self.root, 1, 3 & full)]
-        while todo:
-            (children, ending), exact, edited = todo.pop()
-            for i in ending:
+        n = len(word)
+
+        def end(node, at: int, edits: int) -> None:
+            nonlocal best, best_weight
+            for i in node[1]:
                 term, stem, weight = self.terms[i]
-                want = full if stem else end
-                if not exact & want:
-                    weight = weight * MISSPELLED if edited & want and len(term) >= FUZZY else 0.0
-                if weight > best_weight or weight == best_weight > 0 and i < best:
-                    best, best_weight = i, weight
-            for c, child in children.items():
-                same = at.get(c, 0)
-                on = (exact & same) << 1
-                # A wrong character, a missing one, and one too many after an exact match.
-                off = ((edited & same) << 1 | exact << 1 | exact | on << 1) & full
-                if on or off:
-                    todo.append((child, on, off))
-        return best, best_weight
+                if (stem or at == n) and (not edits or len(term) >= FUZZY):
+                    weight = weight * MISSPELLED if edits else weight
+                    if weight > best_weight or weight == best_weight and i < best:
+                        best, best_weight = i, weight
+
+        def follow(node, at: int) -> None:
+            """After an edit: the rest of the path must be the rest of the word."""
+            while node is not None:
+                end(node, at, 1)
+                node = node[0].get(word[at]) if at < n else None
+                at += 1
+
+        node, at = self.root, 0
+        while node is not None:
+            end(node, at, 0)
+            children = node[0]
+            if at < n:
+                follow(node, at + 1)  # a character too many
+                for child in node[2].get(word[at], ()):  # one left out: a grandchild has the next one
+                    follow(child, at)
+            if at + 1 < n:
+                for child in node[2].get(word[at + 1], ()):  # another one
+                    follow(child, at + 1)
+            for child in node[3]:  # terms that end within an edit from here
+                end(child, at, 1)
+                if at < n:
+                    end(child, at + 1, 1)
+            node = children.get(word[at]) if at < n else None
+            at += 1
+        return (best, best_weight) if best >= 0 else NO_HIT
 
     def match(self, words: list[str]) -> list[tuple[int, float]]:
         """:meth:`search` of each word; what was found lately is remembered."""
         found = self.found
         out = list(map(found.get, words))
-        for k, hit in enumerate(out):
+        k = -1
+        for _ in range(out.count(None)):
+            k = out.index(None, k + 1)
+            word = words[k][: self.reach]
+            hit = found.get(word)
             if hit is None:
-                word = words[k][: self.reach]
-                hit = found.get(word)
-                if hit is None:
-                    if len(found) >= self.remembered:
-                        found.clear()
-                    hit = found[word] = self.search(word)
-                out[k] = hit
+                if len(found) >= self.remembered:
+                    found.clear()
+                hit = found[word] = self.search(word)
+            out[k] = hit
         return out
 
 
@@ -142,7 +169,7 @@ class ToxicityModel:
             words = WORD.findall(low)
             found = self.lexicon.match(words)
             hits = []
-            if any(t >= 0 for t, _ in found):
+            if found.count(NO_HIT) < len(found):
                 for (term, weight), m in zip(found, WORD.finditer(low), strict=True):
                     if term >= 0:
                         hits.append((term, weight * context_factor(low[max(0, m.start() - BEFORE) : m.start()], low[m.end() : m.end() + AFTER])))
