@@ -199,7 +199,7 @@ DEALT_NAMES = ["bucket", "a", "b"]
 #: Texts of a key that a cell holds; beyond, a key has several cells.
 CELL = 2048
 #: Pairs that are compared at once.
-CHUNK = 100_000
+CHUNK = 50_000
 #: Words are counted in so many places, least and most, up to MOST, to tell that two texts cannot be similar.
 BAGS, MOST = (64, 4096), 15
 
@@ -420,20 +420,22 @@ def _cells(similarity: float):
     return run
 
 
-def all_edges(rows: DataFrame, cell: int = CELL, similarity: float = SIMILARITY) -> DataFrame:
+def all_edges(rows: DataFrame, bags: DataFrame, cell: int = CELL, similarity: float = SIMILARITY) -> DataFrame:
     """Distinct edges (a, b), a < b, of all texts in different groups that share a key and can be similar.
 
-    ``rows`` has (key, doc, group, size, bag). A text lives in one of its key's cells, which hold
-    about ``cell`` texts each; texts outside the key's largest group visit all of its cells.
+    ``rows`` has (key, doc, group, size), ``bags`` has (doc, bag). A text lives in one of its key's
+    cells, which hold about ``cell`` texts each; texts outside the key's largest group visit all of
+    its cells. Only rows of keys that several groups share get their signatures.
     """
     counts = materialise(rows.groupBy("key", "group").count(), "counts")
     keys = counts.groupBy("key").agg(F.sum("count").alias("n"), F.max_by("group", F.struct("count", "group")).alias("major"), F.count("*").alias("groups"))
     keys = materialise(keys.filter("groups > 1").select("key", "major", F.ceil(F.col("n") / cell).cast("int").alias("cells")), "contested")
-    met = rows.join(keys, "key").withColumn("lives", F.col("group") == F.col("major"))
-    stays = F.array(F.struct(F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int").alias("cell"), F.lit(False).alias("visits")))
-    visits = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: F.struct(c.alias("cell"), F.lit(True).alias("visits")))
-    met = met.withColumn("at", F.explode(F.when(F.col("lives"), stays).otherwise(F.concat(stays, visits))))
-    dealt = met.select("key", "at.cell", "at.visits", "doc", "group", "size", "lives", "bag").repartition("key", "cell").sortWithinPartitions("key", "cell", "visits")
+    met = materialise(rows.join(keys, "key").withColumn("lives", F.col("group") == F.col("major")), "contested-rows")
+    met = met.join(bags, "doc")
+    columns = ["doc", "group", "size", "lives", "bag"]
+    live = met.select("key", F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int").alias("cell"), F.lit(False).alias("visits"), *columns)
+    visit = met.filter("not lives").select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("visits"), *columns)
+    dealt = live.unionByName(visit).repartition("key", "cell").sortWithinPartitions("key", "cell", "visits")
     return dealt.mapInArrow(_cells(similarity), "a long, b long").distinct()
 
 
@@ -513,7 +515,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if step == "stars":
             edges = star_edges(shared.join(sizes, "doc"), similarity)
         else:
-            edges = all_edges(shared.join(sides, "doc"), similarity=similarity)
+            edges = all_edges(shared.join(sides, "doc"), texts.select("doc", "bag"), similarity=similarity)
         if tested is not None:
             edges = edges.join(tested, ["a", "b"], "left_anti")
         edges = materialise(edges, "candidates")
@@ -527,7 +529,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links = found if links is None else links.unionByName(found)
         labels = materialise(texts.select("doc").join(components(links).withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("root", "doc").alias("root")), "labels")
         tested = edges
-        sides = texts.select("doc", "size", "bag").join(labels.withColumnRenamed("root", "group"), "doc")
+        sides = texts.select("doc", "size").join(labels.withColumnRenamed("root", "group"), "doc")
     roots = materialise(texts.select("doc", "least", "no_id").join(labels, "doc"), "roots")
     found = roots.groupBy("root").agg(F.min("least").alias("least"), F.max("no_id").alias("open"))
     classes = materialise(roots.select(F.col("doc").alias("node"), "root").join(found, "root").select("node", F.when(~F.col("open"), F.col("least")).alias("class_id")), "classes")

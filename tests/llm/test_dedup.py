@@ -329,9 +329,10 @@ def test_all_pairs_of_a_key_meet_in_small_cells(spark):
     rng = random.Random(5)
     rows = [(key, doc, rng.randrange(4) * (key % 3), 10, bytes(near_dedup.BAGS[0] // 2)) for key in range(40) for doc in rng.sample(range(60), rng.choice([2, 3, 30]))]
     want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]}
-    df = spark.createDataFrame(rows, "key long, doc long, group long, size int, bag binary")
+    df = spark.createDataFrame([r[:4] for r in rows], "key long, doc long, group long, size int")
+    bags = spark.createDataFrame(sorted({(r[1], r[4]) for r in rows}), "doc long, bag binary")
     near_dedup.arrow_batches(spark, 7)
-    assert {tuple(r) for r in near_dedup.all_edges(df, cell=4).collect()} == want
+    assert {tuple(r) for r in near_dedup.all_edges(df, bags, cell=4).collect()} == want
 
 
 def test_signatures_never_rule_out_a_similar_pair():
