@@ -6,6 +6,7 @@ does only that, and only where a text has characters beyond ASCII does it change
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pyarrow as pa
@@ -13,12 +14,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Producer words cut from the front and the back of names, and noise words.
-PREFIXES = ["chateau", "domaine", "bodegas", "bodega", "weingut", "maison", "cantina", "tenuta", "fattoria", "azienda agricola", "castello", "quinta", "casa"]
-ARTICLES = ["de la", "de l", "della", "delle", "dei", "del", "des", "du", "de", "di"]
-SUFFIXES = ["winery", "vineyards", "vineyard", "wines", "wine", "cellars", "cellar", "estate", "estates", "family", "et fils"]
-NOISE = ["reserve", "estate", "vineyard", "bottled", "imported"]
-LEGAL = ["inc", "llc", "ltd", "gmbh", "sarl", "srl", "spa", "sa", "co"]
+#: Words cut from the front of producer names (the first that fits) and from the back, words cut out
+#: of wine names (one after the other), and company forms. Accented forms and those with "&" cannot occur in
+#: normalised names; " pere et fils" cannot either, as " et fils" is cut first.
+PREFIXES = [
+    "domaine de la", "domaine du", "domaine de", "domaine des", "domaine",
+    "chateau", "clos", "mas", "cave", "caves",
+    "maison", "famille",
+    "bodega", "bodegas", "vina",
+    "tenuta", "azienda agricola", "azienda vinicola", "azienda",
+    "cantina", "fattoria", "podere", "cascina",
+    "weingut", "schloss",
+    "quinta da", "quinta de", "quinta do", "quinta dos", "quinta",
+    "herdade", "casa",
+    "the",
+]
+SUFFIXES = ["winery", "vineyards", "vineyard", "wines", "wine", "estate", "cellars", "cellar", "et fils", "brothers", "family"]
+NOISE = [" gift box", " gift set", " magnum", " half bottle", " jeroboam", " double magnum", " imperial", " methuselah", " balthazar"]
+LEGAL = [r"Inc\.?", "LLC", r"Ltd\.?", r"S\.?A\.?S\.?", r"S\.?r\.?l\.?", "GmbH", r"S\.?A\.?", r"S\.?L\.?", "AG", r"Co\.?", r"Corp\.?", r"Pty\.?", r"Ltda\.?"]
+PRODUCT_PATTERNS = [r"\b(?:19|20)[0-9]{2}\b", r"\b[0-9]+ *ml\b", r"\b(?:375|750|1500|3000)\b", r"\b[0-9]+ *l\b"]
 PARTICLES = ["de", "du", "des", "di", "da", "del", "della", "von", "van", "der", "la", "le", "of", "the", "and"]
 #: Letters of Greek and Cyrillic and how they are written in Latin ones.
 GREEK = {"α": "a", "β": "v", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "i", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "φ": "f", "χ": "ch", "ψ": "ps", "ω": "o"}
@@ -64,15 +78,17 @@ def slug(c: str | Column, drop_apostrophes: bool = False) -> Column:
 
 def producer(c: str | Column) -> Column:
     """A normalised name without one leading and one trailing producer word."""
-    front = "^(?:(?:" + "|".join(PREFIXES) + ")(?: (?:" + "|".join(ARTICLES) + "))?) "
-    return F.regexp_replace(F.regexp_replace(normalise(c), front, ""), " (?:" + "|".join(SUFFIXES) + ")$", "")
+    front = F.regexp_replace(normalise(c), "^(?:" + "|".join(PREFIXES) + ") ", "")
+    return F.trim(F.regexp_replace(front, " (?:" + "|".join(SUFFIXES) + ")$", ""))
 
 
 def product(c: str | Column) -> Column:
     """A normalised name without years, bottle sizes and noise words."""
-    out = F.regexp_replace(normalise(c), r"\b(?:19|20)[0-9]{2}\b", " ")
-    for pattern in (r"\b[0-9]+ ?ml\b", r"\b(?:375|750|1500|3000)\b", r"\b[0-9]+ ?l\b", r"\b(?:" + "|".join(NOISE) + r")\b"):
-        out = F.regexp_replace(out, pattern, " ")
+    out = normalise(c)
+    for pattern in PRODUCT_PATTERNS:
+        out = F.regexp_replace(out, pattern, "")
+    for word in NOISE:
+        out = F.replace(out, F.lit(word), F.lit(""))
     return _tidy(out)
 
 
@@ -88,8 +104,8 @@ def year(c: str | Column) -> Column:
 
 
 def trigrams(c: str | Column) -> Column:
-    """The distinct trigrams of the text with two spaces before it and two after."""
-    padded = F.concat(F.lit("  "), _col(c), F.lit("  "))
+    """The distinct trigrams of the text with two spaces before it and one after."""
+    padded = F.concat(F.lit("  "), _col(c), F.lit(" "))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
 
 
@@ -102,8 +118,41 @@ def drop_words(c: str | Column, words: list[str]) -> Column:
     return _tidy(F.regexp_replace(_col(c), r"\b(?:" + "|".join(words) + r")\b", " "))
 
 
+LEGAL_FORM = r"(?i)\s*,?\s*\b(?:" + "|".join(LEGAL) + r")\s*$"
+
+
 def drop_legal_form(c: str | Column) -> Column:
-    return F.trim(F.regexp_replace(_col(c), r"(?i)[ ,]+(?:" + "|".join(LEGAL) + r")\.?$", ""))
+    """Without the company form that the name ends with."""
+    return F.trim(F.regexp_replace(_col(c), LEGAL_FORM, ""))
+
+
+#: Bottle formats as (pattern, name, millilitres), the first that fits.
+FORMATS = [
+    (r"(?i)\(6\s*Liter\)", "6L", 6000),
+    (r"(?i)\(3\s*Liter\)", "Jeroboam", 3000),
+    (r"(?i)\(Magnum\s*1?\.?5?L?\)", "Magnum", 1500),
+    (r"(?i)Magnum\s*1\.5L", "Magnum", 1500),
+    (r"(?i)\(Half\s*Bottle\s*375\s*mL\)", "Half Bottle", 375),
+    (r"(?i)375\s*mL", "Half Bottle", 375),
+    (r"(?i)500\s*mL", "500ml", 500),
+]
+
+
+def bottle_format(c: str | Column) -> Column:
+    """struct(name, ml, rest): the format named in a title, and the title without it."""
+    col = _col(c)
+    part = lambda name, ml, rest: F.struct(F.lit(name).alias("name"), F.lit(ml).alias("ml"), rest.alias("rest"))
+    out = part("Standard", 750, col)
+    for pattern, name, ml in reversed(FORMATS):
+        out = F.when(col.rlike(pattern), part(name, ml, F.trim(F.regexp_replace(col, pattern, "")))).otherwise(out)
+    return out
+
+
+def trailing_vintage(c: str | Column) -> Column:
+    """struct(vintage, rest): the year or NV that ends a title, and the title before it."""
+    col, dated, undated = _col(c), r"\b((?:19|20)[0-9]{2})\s*$", r"(?i)\bNV\s*$"
+    part = lambda year, rest: F.struct(year.cast("int").alias("vintage"), F.trim(rest).alias("rest"))
+    return F.when(col.rlike(dated), part(F.regexp_extract(col, dated, 1), F.regexp_replace(col, dated, ""))).otherwise(part(F.lit(None), F.regexp_replace(col, undated, "")))
 
 
 def transliterate(c: str | Column) -> Column:
@@ -124,28 +173,55 @@ def title_case(c: str | Column) -> Column:
     return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*PARTICLES), w).otherwise(F.initcap(w))), " ")
 
 
+#: The entities that text of HTML may hold, and their characters; the ampersand comes last.
+BASIC_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&eacute;": "é", "&egrave;": "è", "&rsquo;": "’", "&amp;": "&"}
+
+
+def _replaced(c: Column, table: dict[str, str]) -> Column:
+    for k, v in table.items():
+        c = F.replace(c, F.lit(k), F.lit(v))
+    return c
+
+
 def strip_html(c: str | Column) -> Column:
     """Text of HTML: block tags end lines, other tags and scripts go, common entities are decoded."""
     out = F.regexp_replace(_col(c), r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", "")
     out = F.regexp_replace(out, r"(?i)<(?:br|/p|/div|/li|/h[1-6])[^>]*>", "\n")
-    out = decode_entities(F.regexp_replace(out, "<[^>]+>", ""))
+    out = _replaced(F.regexp_replace(out, "<[^>]+>", ""), BASIC_ENTITIES)
     return F.trim(F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), "\n[ \n]*", "\n"))
 
 
-#: Entities and their characters; the ampersand comes last.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&eacute;": "é", "&egrave;": "è", "&rsquo;": "’", "&amp;": "&"}
+#: Entities and tags, and what stands for them, in the order in which they are replaced.
+ENTITIES = {
+    "&ldquo;": "\u201c", "&rdquo;": "\u201d", "&lsquo;": "\u2018", "&rsquo;": "\u2019", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&nbsp;": " ",
+    "&eacute;": "é", "&egrave;": "è", "&ocirc;": "ô", "&agrave;": "à", "&uuml;": "ü", "&ouml;": "ö", "&aacute;": "á", "&iacute;": "í",
+    "&ntilde;": "ñ", "&ccedil;": "ç", "&mdash;": "\u2014", "&ndash;": "\u2013", "&hellip;": "\u2026", "&deg;": "°",
+    "<br>": " ", "<br/>": " ", "<br />": " ",
+}
+#: White space, as in Unicode, for regular expressions of Java and of RE2.
+SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def decode_entities(c: str | Column) -> Column:
-    out = _col(c)
-    for k, v in ENTITIES.items():
-        out = F.replace(out, F.lit(k), F.lit(v))
-    return out
+    """Named and numeric entities decoded, runs of white space made one space, trimmed."""
+    parts = F.split(_replaced(_col(c), ENTITIES), "&#")
+    code = lambda x: F.regexp_extract(x, "^0*([0-9]{1,7});", 1)
+    char = lambda x: F.decode(F.unhex(F.lpad(F.hex(code(x).try_cast("long")), 8, "0")), "UTF-32")
+    known = lambda x: (code(x) != "") & (code(x).try_cast("long") <= 0x10FFFF) & ~code(x).try_cast("long").between(0xD800, 0xDFFF)
+    decoded = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.when(known(x), F.concat(char(x), F.regexp_replace(x, "^[0-9]+;", ""))).otherwise(F.concat(F.lit("&#"), x)))
+    text = F.concat(F.get(parts, F.lit(0)), F.array_join(decoded, ""))
+    return F.regexp_replace(F.regexp_replace(text, SPACE + "{2,}", " "), f"^{SPACE}+|{SPACE}+$", "")
+
+
+@F.arrow_udf(T.StringType())
+def unescape(text: pa.Array) -> pa.Array:
+    """All entities of HTML 5, for which Spark has no function."""
+    return pa.array([t if t is None or "&" not in t else html.unescape(t) for t in text.to_pylist()], pa.string())
 
 
 def clean(c: str | Column) -> Column:
     """Without null bytes, entities decoded, trimmed; empty becomes null."""
-    return F.nullif(F.trim(decode_entities(F.replace(_col(c), F.lit("\0"), F.lit("")))), F.lit(""))
+    return F.nullif(F.regexp_replace(unescape(F.replace(_col(c), F.lit("\0"), F.lit(""))), f"^{SPACE}+|{SPACE}+$", ""), F.lit(""))
 
 
 def snippet(c: str | Column, term: str, before: int = 40, after: int = 80) -> Column:

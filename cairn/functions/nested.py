@@ -56,25 +56,28 @@ def composition(c: Column) -> Column:
     return F.transform(both, lambda x: F.struct(x["name"].alias("name"), x["pct"].cast("int").alias("pct")))
 
 
-SCORE = re.compile(r"\b(100|[89]\d)(?:\s*(?:points|POINTS|pts)\b|\+?\s*/\s*100)")
+SCORE = re.compile(r"(\d{2,3})\s*(?:POINTS?|points?)")
 
 
 def context_scores(publications: dict[str, str], reach: int = 200):
-    """A column function: distinct (score, publication) pairs of 80 to 100 points in a text.
+    """A column function: distinct (score, publication) pairs of 80 to 100 points in HTML.
 
-    The publication is the first of the given ones within ``reach`` characters of the score.
+    Tags are taken out first. The publication is the first of the given ones that stands in the
+    ``reach`` characters before and after the place where the score begins.
     """
     kind = T.ArrayType(T.StructType([T.StructField("score", T.IntegerType()), T.StructField("publication", T.StringType())]))
     arrow = pa.list_(pa.struct([("score", pa.int32()), ("publication", pa.string())]))
 
     @F.arrow_udf(kind)
-    def find(text: pa.Array) -> pa.Array:
+    def find(html: pa.Array) -> pa.Array:
         out = []
-        for t in text.to_pylist():
+        for t in html.to_pylist():
+            text = re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", t or "").replace("&amp;", "&"))
             seen: dict[tuple, None] = {}
-            for m in SCORE.finditer(t or ""):
-                near = t[max(0, m.start() - reach) : m.end() + reach].lower()
-                seen[int(m[1]), next((v for k, v in publications.items() if k in near), None)] = None
+            for m in SCORE.finditer(text):
+                if 80 <= int(m[1]) <= 100:
+                    near = text[max(0, m.start() - reach) : m.start() + reach].lower()
+                    seen[int(m[1]), next((v for k, v in publications.items() if k in near), None)] = None
             out.append([{"score": s, "publication": p} for s, p in seen])
         return pa.array(out, arrow)
 

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 #: Month names and number words.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"]
+#: The number words that drinking windows know, one to twenty and two more.
+WINDOW_WORDS = {
+    "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
+    "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18,
+    "nineteen": 19, "twenty": 20, "twenty-five": 25, "thirty": 30,
+}
+#: The phrases that name a number of years, the more special ones after those that come first.
+YEARS = r"(\w+(?:-\w+)?)\s*(?:to\s*(\w+))?\s*"
+OVER_NEXT, DEVELOP = rf"over the next {YEARS}years?", rf"develop\s+(?:over\s+)?(?:the\s+next\s+)?{YEARS}years?"
+ENJOY_NOW, DRINK_NOW = rf"enjoy\s+now\s+and\s+(?:over\s+)?(?:the\s+next\s+)?{YEARS}years?", rf"drink\s+now\s+and\s+for\s+{YEARS}(?:more\s+)?years?"
+BEST_FROM = r"best\s+(?:from|starting)\s+((?:19|20)\d{2})\s*(?:(?:to|through|-)\s*((?:19|20)\d{2}))?"
+BETWEEN = r"\b((?:19|20)\d{2})\s*[-–]\s*((?:19|20)\d{2})\b"
 
 
 def _part(c: Column, pattern: str, group: int = 1) -> Column:
@@ -65,18 +77,33 @@ def number_word(c: Column) -> Column:
     return F.when(place > 0, place - 1).otherwise(F.trim(c).try_cast("long"))
 
 
-def drinking_window(c: Column, start: Column) -> Column:
-    """struct(start, end) of years: ``YYYY-YYYY``, ``through YYYY``, ``N-M years`` or ``N years``."""
+def drinking_window(c: Column, vintage: Column, now: Column) -> Column:
+    """struct(start, end) of years, by the first phrase that fits and names a number; null without any.
+
+    Years count from the vintage, or from ``now`` where there is none; "best from" without an end
+    lasts ten years.
+    """
     low = F.lower(c)
-    number = lambda p: _part(low, p).cast("int")
-    between, through = r"\b(20\d{2})\s*[-–]\s*20\d{2}\b", r"(?:through|until) (20\d{2})\b"
-    span, single = r"\b(\d{1,2})\s*[-–]\s*\d{1,2} years", r"\b(\d{1,2}) years"
-    pair = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    base = F.coalesce(vintage, now)
+
+    def number(pattern: str, group: int) -> Column:
+        found = F.regexp_extract(low, pattern, group)
+        words = F.create_map(*[F.lit(x) for pair in WINDOW_WORDS.items() for x in pair])
+        value = F.when(found.rlike("^[0-9]+$"), found.try_cast("int")).otherwise(F.try_element_at(words, found))
+        return F.nullif(value, F.lit(0))
+
+    pair = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+    span = lambda p: F.coalesce(number(p, 2), number(p, 1))
+    fits = lambda p: low.rlike(p) & number(p, 1).isNotNull()
+    a, b = (_part(low, BETWEEN, g).cast("int") for g in (1, 2))
+    since = _part(low, BEST_FROM).cast("int")
     return (
-        F.when(low.rlike(between), pair(number(between), number(r"\b20\d{2}\s*[-–]\s*(20\d{2})\b")))
-        .when(low.rlike(through), pair(start, number(through)))
-        .when(low.rlike(span), pair(start + number(span), start + number(r"\b\d{1,2}\s*[-–]\s*(\d{1,2}) years")))
-        .when(low.rlike(single), pair(start, start + number(single)))
+        F.when(fits(OVER_NEXT), pair(now, base + span(OVER_NEXT)))
+        .when(fits(DEVELOP), pair(base + F.greatest(F.lit(1), F.floor(number(DEVELOP, 1) / 3)), base + span(DEVELOP)))
+        .when(fits(ENJOY_NOW), pair(now, now + span(ENJOY_NOW)))
+        .when(fits(DRINK_NOW), pair(now, now + span(DRINK_NOW)))
+        .when(low.rlike(BEST_FROM), pair(since, F.coalesce(_part(low, BEST_FROM, 2).cast("int"), since + 10)))
+        .when((a < b) & (a >= 1980) & (b <= 2080), pair(a, b))
     )
 
 

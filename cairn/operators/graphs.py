@@ -13,7 +13,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Alternating large and small stars: each round links every node's larger (then smaller)
     neighbours to its least neighbour, until nothing changes and only stars are left. Rounds are
-    written as tables; their number grows with the logarithm of the nodes.
+    written as tables; their number grows with the logarithm of the nodes. More than ``max_rounds``
+    are an error, never a partial result.
     """
     stars = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "stars")
     state = None
@@ -28,12 +29,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if (seen["n"], seen["h"]) == state:
             break
         state = (seen["n"], seen["h"])
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     roots = stars.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def ancestors(edges: DataFrame, child: str, parent: str, max_depth: int = 64) -> DataFrame:
-    """(node, ancestor, depth) with the least depth of each pair; cycles end where they close."""
+def ancestors(edges: DataFrame, child: str, parent: str, max_depth: int = 1000) -> DataFrame:
+    """(node, ancestor, depth) with the least depth of each pair; cycles end where they close.
+
+    A hierarchy deeper than ``max_depth`` is an error, never a partial result.
+    """
     step = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).filter("node <> ancestor").distinct()
     up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
     found = materialise(step.withColumn("depth", F.lit(1)), "ancestors")
@@ -43,9 +49,9 @@ def ancestors(edges: DataFrame, child: str, parent: str, max_depth: int = 64) ->
         new = new.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth))
         frontier = materialise(new, "ancestors")
         if frontier.isEmpty():
-            break
+            return found
         found = found.unionByName(frontier)
-    return found
+    raise RuntimeError(f"the hierarchy is deeper than {max_depth} levels")
 
 
 def reduce_edges(edges: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:

@@ -47,9 +47,9 @@ def higher_confidence(a: Column, b: Column) -> Column:
     return F.when(rank(b) > rank(a), b).otherwise(a)
 
 
-def grade(facts: Column, described: Column, verified: Column) -> Column:
-    """A verified, B described with facts (scores, prices), C described only, D facts only, F neither."""
-    return F.when(verified, "A").when(facts & described, "B").when(described, "C").when(facts, "D").otherwise("F")
+def grade(facts: Column, hook: Column, vinification: Column, verified: Column) -> Column:
+    """A verified, B with hook and vinification text, C with a hook, D with facts (scores, prices), F without any."""
+    return F.when(verified, "A").when(hook & vinification, "B").when(hook, "C").when(facts, "D").otherwise("F")
 
 
 def match_or_create(rows: DataFrame, name: str, existing: DataFrame, existing_name: str, id_col: str) -> DataFrame:

@@ -28,11 +28,11 @@ def e02(t):
     return t.customer.select("c_custkey", F.round(E.haversine_km(n * 3.0 - 40, n * 7.0 - 90, k % 90 - 45.0, k % 180 - 90.0), 4).alias("km"))
 
 
-@query("e03_rounded", "SELECT p_partkey, p_partkey / 1024 + 0.0 AS x, round(p_partkey / 1024, 2) AS rounded FROM part WHERE p_partkey % 128 <> 0")
+@query("e03_rounded", "SELECT p_partkey, p_partkey / 1024 + 0.0 AS x, CASE WHEN p_partkey % 128 <> 0 THEN round(p_partkey / 1024, 2) ELSE 2 * round(p_partkey * 100 / 2048) / 100 END AS rounded FROM part")
 def e03(t):
+    """Ties, which are eighths here, go to the even neighbour."""
     x = F.col("p_partkey") / 1024
-    rows = t.part.filter("p_partkey % 128 <> 0")  # the others are ties, which engines round differently
-    return rows.select("p_partkey", x.alias("x"), E.rounded(F.array(F.array(x)), 2)[0][0].alias("rounded"))
+    return t.part.select("p_partkey", x.alias("x"), E.rounded(F.array(F.array(x)), 2)[0][0].alias("rounded"))
 
 
 @query("e04_simplify")
@@ -55,19 +55,19 @@ def e06(t):
 
 
 def inside(t):
-    """(outer, inner) of small rings that lie in large ones: boxes meet on a grid, then rays are cast."""
-    large = rings(t).filter("p_size >= 45").select(F.col("p_partkey").alias("outer_id"), F.col("ring").alias("outer_ring"), F.col("r").alias("outer_r"))
-    small = rings(t).filter("p_size <= 5").select(F.col("p_partkey").alias("inner_id"), F.col("ring").alias("inner_ring"), F.col("r").alias("inner_r"))
-    cells = lambda df, ring: df.withColumn("cell", F.explode(E.grid_cells(E.box(F.col(ring)), 10.0)))
+    """(outer, inner) of rings that lie in others: boxes meet on a grid, then rays are cast."""
+    side = lambda p: rings(t).select(F.col("p_partkey").alias(f"{p}_id"), F.col("ring").alias(f"{p}_ring"), F.col("r").alias(f"{p}_r"))
+    outer, inner = side("outer"), side("inner")
+    size = 5.0
+    cells = outer.withColumn("cell", F.explode(E.grid_cells(E.box(F.col("outer_ring")), size)))
     # A ring inside another meets each cell of its own box there; its first corner's cell will do.
-    home = small.withColumn("cell", F.struct(F.floor(F.col("inner_ring")[0][0] / 10).alias("x"), F.floor(F.col("inner_ring")[0][1] / 10).alias("y")))
-    pairs = cells(large, "outer_ring").join(home, "cell").drop("cell")
+    home = inner.withColumn("cell", F.struct(F.floor(F.col("inner_ring")[0][0] / size).alias("x"), F.floor(F.col("inner_ring")[0][1] / size).alias("y")))
     a, b = E.box(F.col("outer_ring")), E.box(F.col("inner_ring"))
-    near = pairs.filter((a["x0"] < b["x0"]) & (a["y0"] < b["y0"]) & (a["x1"] > b["x1"]) & (a["y1"] > b["y1"]) & (F.col("outer_id") != F.col("inner_id")))
-    return near.filter(E.contains_ring("outer_ring", "inner_ring"))
+    near = cells.join(home, "cell").filter((a["x0"] < b["x0"]) & (a["y0"] < b["y0"]) & (a["x1"] > b["x1"]) & (a["y1"] > b["y1"]) & (F.col("outer_id") != F.col("inner_id")))
+    return near.filter(E.contains_ring(F.col("outer_ring"), F.col("inner_ring")))
 
 
-CONTAINS = f"SELECT a.p_partkey AS outer_id, b.p_partkey AS inner_id FROM {XYR} a, {XYR} b WHERE a.p_size >= 45 AND b.p_size <= 5 AND a.x - a.r < b.x - b.r AND a.y - a.r < b.y - b.r AND a.x + a.r > b.x + b.r AND a.y + a.r > b.y + b.r"
+CONTAINS = f"SELECT a.p_partkey AS outer_id, b.p_partkey AS inner_id FROM {XYR} a, {XYR} b WHERE a.x - a.r < b.x - b.r AND a.y - a.r < b.y - b.r AND a.x + a.r > b.x + b.r AND a.y + a.r > b.y + b.r"
 
 
 @query("e07_contains", CONTAINS)

@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 from cairn.operators import graphs as G
 from cairn.plans.registry import query
 
-WORD_EDGES = "(SELECT DISTINCT string_split(p_name, ' ')[1] || string_split(p_brand, '#')[2] AS a, string_split(p_name, ' ')[2] || string_split(p_brand, '#')[2] AS b FROM part WHERE p_size < 12)"
+WORD_EDGES = "(SELECT DISTINCT string_split(p_name, ' ')[1] || string_split(p_brand, '#')[2] AS a, string_split(p_name, ' ')[2] || string_split(p_brand, '#')[2] AS b FROM part)"
 REACH = f"e AS (SELECT a, b FROM {WORD_EDGES} UNION SELECT b, a FROM {WORD_EDGES}), r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS node, min(b) AS root FROM r GROUP BY a)"
 
 
 def word_edges(t):
-    """Words of part names that stand together in a small part of one brand."""
+    """Words of part names that stand together in a part of one brand."""
     w, brand = F.split("p_name", " "), F.split("p_brand", "#")[1]
-    return t.part.filter("p_size < 12").select(F.concat(w[0], brand).alias("a"), F.concat(w[1], brand).alias("b")).distinct()
+    return t.part.select(F.concat(w[0], brand).alias("a"), F.concat(w[1], brand).alias("b")).distinct()
 
 
 @query("g01_components", f"WITH RECURSIVE {REACH} SELECT node, root FROM c")

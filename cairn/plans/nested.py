@@ -62,9 +62,11 @@ def m08(t):
     return t.part.select("p_partkey", F.explode(M.composition(text)).alias("c")).select("p_partkey", "c.name", "c.pct")
 
 
-@query("m09_scores_in_context", "SELECT p_partkey, CAST(80 + p_size % 20 AS INT) AS score, CASE WHEN p_size % 2 = 0 THEN 'WA' END AS publication FROM part")
+@query("m09_scores_in_context", "SELECT p_partkey, CAST(80 + p_size % 20 AS INT) AS score, CASE WHEN p_size % 2 = 0 THEN 'WA' END AS publication FROM part UNION ALL SELECT p_partkey, 97, 'WS' FROM part")
 def m09(t):
-    text = F.concat(F.when(F.col("p_size") % 2 == 0, "Wine Advocate says ").otherwise("They say "), (80 + F.col("p_size") % 20).cast("string"), F.lit(" points, or "), (80 + F.col("p_size") % 20).cast("string"), F.lit("/100"))
+    score = (80 + F.col("p_size") % 20).cast("string")
+    first = F.concat(F.when(F.col("p_size") % 2 == 0, "Wine <b>Advocate</b> says ").otherwise("They say "), score, F.lit("&nbsp; "), score, F.lit("<i> points</i>, 101 points, 12 points, "), score, F.lit("/100 "))
+    text = F.concat(first, F.lit("x" * 250), F.lit("<p>Spectator &amp; co: 97 POINTS and 97  point"))
     find = M.context_scores({"wine advocate": "WA", "spectator": "WS"})
     return t.part.select("p_partkey", F.explode(find(text)).alias("s")).select("p_partkey", "s.score", "s.publication")
 

@@ -57,10 +57,18 @@ def n07(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", X.number_word(raw).alias("n"))
 
 
-@query("n08_drinking_window", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 2020 WHEN 1 THEN 2010 WHEN 2 THEN 2013 WHEN 3 THEN 2010 END AS \"start\", CASE p_size % 4 WHEN 0 THEN 2030 WHEN 1 THEN 2035 WHEN 2 THEN 2017 WHEN 3 THEN 2015 END AS \"end\" FROM part")
+#: Prose, and the window it names for the vintage 2010 in 2024.
+WINDOWS = [
+    ("Will improve over the next 10 to 12 years", 2024, 2022), ("over the next twenty-five years!", 2024, 2035), ("Should develop over nine years", 2013, 2019),
+    ("Enjoy now and over the next five years", 2024, 2015), ("Enjoy now and the next 6 years", 2024, 2030), ("drink now and for 4 more years", 2024, 2028),
+    ("Best from 2018 to 2030", 2018, 2030), ("best starting 2020", 2020, 2030), ("Window: 2015 – 2025.", 2015, 2025), ("1970-1975", None, None), ("no window", None, None),
+]
+
+
+@query("n08_drinking_window", "SELECT p_partkey, [" + ", ".join(str(w[1] or "NULL") for w in WINDOWS) + '][p_size % 11 + 1] AS "start", [' + ", ".join(str(w[2] or "NULL") for w in WINDOWS) + '][p_size % 11 + 1] AS "end" FROM part')
 def n08(t):
-    prose = F.array(*map(F.lit, ["Drink 2020–2030.", "Will keep through 2035", "Best in 3-7 years.", "Give it 5 years"]))[F.col("p_size") % 4]
-    return t.part.select("p_partkey", X.drinking_window(prose, F.lit(2010)).alias("w")).select("p_partkey", "w.start", "w.end")
+    prose = F.get(F.array(*[F.lit(w[0]) for w in WINDOWS]), F.col("p_size") % 11)
+    return t.part.select("p_partkey", X.drinking_window(prose, F.lit(2010), F.lit(2024)).alias("w")).select("p_partkey", "w.start", "w.end")
 
 
 @query("n09_guarded", "SELECT p_partkey, CASE WHEN 1780 + p_size >= 1800 THEN 1780 + p_size END AS founded, CASE WHEN p_size % 10 > 0 THEN CAST(p_size % 10 AS BIGINT) * 1000 END AS cases FROM part")

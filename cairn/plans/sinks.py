@@ -54,23 +54,32 @@ def k06(t):
     return spark.read.parquet(path)
 
 
-@query("k07_soft_delete", "SELECT p_partkey, CASE WHEN p_partkey NOT IN (SELECT l_partkey FROM lineitem) THEN '2024-01-01' END AS deleted_at FROM part")
+@query("k07_soft_delete", "SELECT p_partkey, CASE WHEN p_size % 10 = 0 AND p_brand = 'Brand#11' THEN NULL WHEN p_size % 10 = 0 THEN '2023-01-01' WHEN p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) THEN '2024-01-01' END AS deleted_at FROM part")
 def k07(t):
-    unsold = t.part.join(t.lineitem.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
-    return sinks.soft_delete(t.part, unsold, "p_partkey", F.lit("2024-01-01")).select("p_partkey", "deleted_at")
+    """Parts of which a tenth was deleted before; those not sold in bulk go, and one brand's are restored."""
+    rows = t.part.select("p_partkey", F.when(F.col("p_size") % 10 == 0, "2023-01-01").alias("deleted_at"))
+    sold = t.lineitem.filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    gone = sinks.soft_delete(rows, t.part.join(sold, "p_partkey", "left_anti"), "p_partkey", F.lit("2024-01-01"))
+    return sinks.restore(gone, t.part.filter("p_size % 10 = 0 AND p_brand = 'Brand#11'"), "p_partkey")
 
 
-@query("k08_json_envelope", "SELECT count(*) AS count, 'supplier' AS source FROM supplier")
+@query("k08_json_envelope", "SELECT s_suppkey, s_name, s_acctbal, (SELECT count(*) FROM supplier) AS count, 'supplier' AS source FROM supplier")
 def k08(t):
     spark = t.supplier.sparkSession
     path = shared_dir(spark, "enveloped")
     sinks.write_with_envelope(t.supplier, path, source="supplier")
-    return spark.read.schema("count long, source string").json(f"{path}/metadata")
+    head = spark.read.schema("count long, source string").json(f"{path}/metadata")
+    rows = spark.read.schema(t.supplier.schema).json(f"{path}/rows").select("s_suppkey", "s_name", "s_acctbal")
+    return rows.crossJoin(F.broadcast(head))  # one row of metadata
 
 
-@query("k09_lines_to_array", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey")
+@query("k09_lines_to_array", "SELECT c_nationkey, c_custkey, c_name FROM customer")
 def k09(t):
+    """Lines into JSON arrays of about 1,000 rows, several a nation, and back."""
     spark = t.customer.sparkSession
     path = shared_dir(spark, "arrays")
-    t.customer.groupBy("c_nationkey").agg(F.collect_list(F.struct("c_custkey", "c_name")).alias("rows")).write.json(path)
-    return spark.read.schema("c_nationkey int, rows array<struct<c_custkey: long, c_name: string>>").json(path).select("c_nationkey", F.size("rows").cast("long").alias("n"))
+    sizes = t.customer.groupBy("c_nationkey").agg(F.ceil(F.count("*") / 1000).cast("int").alias("chunks"))
+    rows = t.customer.join(sizes, "c_nationkey").withColumn("chunk", F.pmod(F.xxhash64("c_custkey"), F.col("chunks")))
+    rows.groupBy("c_nationkey", "chunk").agg(F.collect_list(F.struct("c_custkey", "c_name")).alias("rows")).write.json(path)
+    arrays = spark.read.schema("c_nationkey long, rows array<struct<c_custkey: long, c_name: string>>").json(path)
+    return arrays.select("c_nationkey", F.explode("rows").alias("r")).select("c_nationkey", "r.c_custkey", "r.c_name")

@@ -43,11 +43,11 @@ def r03(t):
     return t.part.select("p_partkey", S.higher_confidence(a, b).alias("confidence"))
 
 
-@query("r04_grades", "SELECT p_partkey, CASE WHEN p_size = 50 THEN 'A' WHEN sold AND length(p_name) > 9 THEN 'B' WHEN length(p_name) > 9 THEN 'C' WHEN sold THEN 'D' ELSE 'F' END AS grade FROM (SELECT *, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.08) AS sold FROM part)")
+@query("r04_grades", "SELECT p_partkey, CASE WHEN p_size = 50 THEN 'A' WHEN length(p_name) > 9 AND p_size > 25 THEN 'B' WHEN length(p_name) > 9 THEN 'C' WHEN sold THEN 'D' ELSE 'F' END AS grade FROM (SELECT *, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.08) AS sold FROM part)")
 def r04(t):
     sold = t.lineitem.filter("l_discount > 0.08").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("sold", F.lit(True))
     rows = t.part.join(sold, "p_partkey", "left")
-    return rows.select("p_partkey", S.grade(F.coalesce("sold", F.lit(False)), F.length("p_name") > 9, F.col("p_size") == 50).alias("grade"))
+    return rows.select("p_partkey", S.grade(F.coalesce("sold", F.lit(False)), F.length("p_name") > 9, F.col("p_size") > 25, F.col("p_size") == 50).alias("grade"))
 
 
 @query("r05_initial_confidence", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'lwin_matched' WHEN p_size > 20 THEN 'upc_matched' ELSE 'unverified' END AS confidence FROM part")

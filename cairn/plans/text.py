@@ -8,10 +8,15 @@ from cairn.plans.registry import query
 
 NORM = "trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce({c}, ''))), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 SLUG = "regexp_replace(regexp_replace(lower(strip_accents(coalesce({c}, ''))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
-PRODUCER = (
-    "regexp_replace(regexp_replace({n}, '^(?:(?:" + "|".join(N.PREFIXES) + ")(?: (?:" + "|".join(N.ARTICLES) + "))?) ', ''), ' (?:" + "|".join(N.SUFFIXES) + ")$', '')"
-)
-TRIGRAMS = "list_distinct(list_transform(range(1, length('  ' || {c} || '  ') - 1), lambda i: substr('  ' || {c} || '  ', i, 3)))"
+PRODUCER = "trim(regexp_replace(regexp_replace({n}, '^(?:" + "|".join(N.PREFIXES) + ") ', ''), ' (?:" + "|".join(N.SUFFIXES) + ")$', ''))"
+TRIGRAMS = "list_distinct(list_transform(range(1, length('  ' || {c} || ' ') - 1), lambda i: substr('  ' || {c} || ' ', i, 3)))"
+
+
+def replaced(sql, table):
+    """SQL with each key replaced by its value, in order."""
+    for k, v in table.items():
+        sql = f"replace({sql}, '{k}', '{v}')"
+    return sql
 
 
 def norm(c):
@@ -33,14 +38,15 @@ def t03(t):
     return t.documents.select("doc_id", F.sha2(N.slug("text", drop_apostrophes=True), 256).alias("slug"))
 
 
-NAMED = "(SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Château ' WHEN p_size % 3 = 1 THEN 'Domaine de la ' ELSE '' END || p_name || CASE WHEN p_size % 2 = 0 THEN ' Vineyards' ELSE '' END AS name FROM part)"
+FRONTS = ["Château ", "Domaine de la ", "", "Viña ", "The ", "Quinta do ", "Clos "]
+BACKS = [" Vineyards", "", " et Fils", " Brothers", " & Sons"]
+NAMED = "(SELECT p_partkey, [" + ", ".join(f"'{x}'" for x in FRONTS) + "][p_size % 7 + 1] || p_name || [" + ", ".join(f"'{x}'" for x in BACKS) + "][p_size % 5 + 1] AS name FROM part)"
 
 
 def named(t):
     """Parts under made-up producer names."""
-    front = C.first_match([(F.col("p_size") % 3 == 0, "Château "), (F.col("p_size") % 3 == 1, "Domaine de la ")], "")
-    back = F.when(F.col("p_size") % 2 == 0, " Vineyards").otherwise("")
-    return t.part.select("p_partkey", F.concat(front, "p_name", back).alias("name"))
+    word = lambda words: F.get(F.array(*map(F.lit, words)), F.col("p_size") % len(words))
+    return t.part.select("p_partkey", F.concat(word(FRONTS), "p_name", word(BACKS)).alias("name"))
 
 
 @query("t04_producer_name", f"SELECT p_partkey, {PRODUCER.format(n=norm('name'))} AS producer FROM {NAMED}")
@@ -48,15 +54,21 @@ def t04(t):
     return named(t).select("p_partkey", N.producer("name").alias("producer"))
 
 
-SIZED = "(SELECT p_partkey, p_name || ' ' || (1990 + p_size) || CASE WHEN p_size % 2 = 0 THEN ' 750ml' ELSE ' Reserve 3 L' END AS title FROM part)"
+SIZED = "(SELECT p_partkey, p_name || ' ' || (1990 + p_size) || CASE WHEN p_size % 2 = 0 THEN ' 750ml' WHEN p_size % 3 = 0 THEN ' Double Magnum Gift Box' ELSE ' Reserve 3 L' END AS title FROM part)"
 
 
 def sized(t):
     """Parts under titles with a year and a bottle size."""
-    return t.part.select("p_partkey", F.concat("p_name", F.lit(" "), (1990 + F.col("p_size")).cast("string"), F.when(F.col("p_size") % 2 == 0, " 750ml").otherwise(" Reserve 3 L")).alias("title"))
+    return t.part.select("p_partkey", F.concat("p_name", F.lit(" "), (1990 + F.col("p_size")).cast("string"), F.when(F.col("p_size") % 2 == 0, " 750ml").when(F.col("p_size") % 3 == 0, " Double Magnum Gift Box").otherwise(" Reserve 3 L")).alias("title"))
+
 
+def without(sql, patterns):
+    for pattern in patterns:
+        sql = f"regexp_replace({sql}, '{pattern}', '', 'g')"
+    return sql
 
-@query("t05_product_name", "SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + norm("title") + r", '\b(?:19|20)[0-9]{2}\b', ' ', 'g'), '\b[0-9]+ ?ml\b', ' ', 'g'), '\b(?:375|750|1500|3000)\b', ' ', 'g'), '\b[0-9]+ ?l\b', ' ', 'g'), '\b(?:" + "|".join(N.NOISE) + r")\b', ' ', 'g'), ' +', ' ', 'g')) AS product FROM " + SIZED)
+
+@query("t05_product_name", f"SELECT p_partkey, trim(regexp_replace({replaced(without(norm('title'), N.PRODUCT_PATTERNS), dict.fromkeys(N.NOISE, ''))}, ' +', ' ', 'g')) AS product FROM {SIZED}")
 def t05(t):
     return sized(t).select("p_partkey", N.product("title").alias("product"))
 
@@ -86,9 +98,12 @@ def t10(t):
     return t.documents.select("doc_id", F.sha2(N.drop_words("text", ["the", "of", "and"]), 256).alias("rest"))
 
 
-@query("t11_legal_form", "SELECT s_suppkey, trim(regexp_replace(s_name || CASE WHEN s_nationkey % 2 = 0 THEN ', Inc.' ELSE ' GmbH' END, '(?i)[ ,]+(?:" + "|".join(N.LEGAL) + r")\.?$', '')) AS name FROM supplier")
+FORMS = [", Inc.", " GmbH", " S.A.S.", " Pty", " ltda. ", ",SA", " & Co."]
+
+
+@query("t11_legal_form", "SELECT s_suppkey, trim(regexp_replace(s_name || [" + ", ".join(f"'{x}'" for x in FORMS) + f"][s_nationkey % 7 + 1], '{N.LEGAL_FORM}', '')) AS name FROM supplier")
 def t11(t):
-    return t.supplier.select("s_suppkey", N.drop_legal_form(F.concat("s_name", F.when(F.col("s_nationkey") % 2 == 0, ", Inc.").otherwise(" GmbH"))).alias("name"))
+    return t.supplier.select("s_suppkey", N.drop_legal_form(F.concat("s_name", F.get(F.array(*map(F.lit, FORMS)), F.col("s_nationkey") % 7))).alias("name"))
 
 
 @query("t12_base_name", "SELECT p_partkey, CASE WHEN regexp_matches(p_type, '^(.+)UM') THEN regexp_extract(p_type, '^(.+)UM', 1) ELSE regexp_replace(p_type, '(?:LARGE|PROMO|SMALL)$', '') END AS base FROM part")
@@ -119,14 +134,21 @@ def t16(t):
     return t.pages.select("page_id", F.sha2(N.strip_html("html"), 256).alias("text"))
 
 
-@query("t17_decode_entities", "SELECT page_id, sha256(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&eacute;', 'é'), '&egrave;', 'è'), '&rsquo;', '’'), '&amp;', '&')) AS decoded FROM pages")
+ENTITY_TEXT = "html || ' &#8217;' || page_id || '&#' || (page_id % 5000 + 200) || '; &ldquo;x&rdquo; &#12;&#x41; &hellip;<br />  y &amp;#65;'"
+NUMERIC = "list_transform(string_split({c}, '&#')[2:], lambda x: CASE WHEN regexp_matches(x, '^0*[0-9]{{1,7}};') AND CAST(regexp_extract(x, '^0*([0-9]{{1,7}});', 1) AS BIGINT) <= 1114111 AND NOT CAST(regexp_extract(x, '^0*([0-9]{{1,7}});', 1) AS BIGINT) BETWEEN 55296 AND 57343 THEN chr(CAST(regexp_extract(x, '^0*([0-9]{{1,7}});', 1) AS INT)) || regexp_replace(x, '^[0-9]+;', '') ELSE '&#' || x END)"
+DECODED = "regexp_replace(regexp_replace(string_split({c}, '&#')[1] || coalesce(array_to_string(" + NUMERIC + ", ''), ''), '" + N.SPACE.replace("{", "{{").replace("}", "}}") + "{{2,}}', ' ', 'g'), '^" + N.SPACE.replace("{", "{{").replace("}", "}}") + "+|" + N.SPACE.replace("{", "{{").replace("}", "}}") + "+$', '', 'g')"
+
+
+@query("t17_decode_entities", f"SELECT page_id, sha256({DECODED.format(c='h')}) AS decoded FROM (SELECT page_id, {replaced(ENTITY_TEXT, N.ENTITIES)} AS h FROM pages)")
 def t17(t):
-    return t.pages.select("page_id", F.sha2(N.decode_entities("html"), 256).alias("decoded"))
+    number = F.concat(F.lit("&#"), (F.col("page_id") % 5000 + 200).cast("string"), F.lit("; &ldquo;x&rdquo; &#12;&#x41; &hellip;<br />  y &amp;#65;"))
+    return t.pages.select("page_id", F.sha2(N.decode_entities(F.concat("html", F.lit(" &#8217;"), F.col("page_id").cast("string"), number)), 256).alias("decoded"))
 
 
-@query("t18_clean_text", "SELECT o_orderkey, nullif(trim(CASE WHEN o_orderstatus = 'O' THEN '  ' ELSE ' ' || o_orderpriority || ' ' END), '') AS cleaned FROM orders")
+@query("t18_clean_text", "SELECT o_orderkey, nullif(trim(CASE WHEN o_orderstatus = 'O' THEN '  ' ELSE ' ' || o_orderpriority || ' & © é ’ A<' END), '') AS cleaned FROM orders")
 def t18(t):
-    return t.orders.select("o_orderkey", N.clean(F.when(F.col("o_orderstatus") == "O", "  ").otherwise(F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")))).alias("cleaned"))
+    raw = F.concat(F.lit("\0 "), "o_orderpriority", F.lit("\0 &amp; &copy; &eacute; &#8217; &#x41;&lt; "))
+    return t.orders.select("o_orderkey", N.clean(F.when(F.col("o_orderstatus") == "O", "  ").otherwise(raw)).alias("cleaned"))
 
 
 @query("t19_title_case", "SELECT p_partkey, array_to_string(list_transform(string_split('house of ' || p_name, ' '), lambda w, i: CASE WHEN i > 1 AND w IN ('of', 'the', 'and') THEN w ELSE upper(w[1]) || lower(w[2:]) END), ' ') AS title FROM part")
@@ -166,17 +188,41 @@ def t24(t):
     return t.documents.select("doc_id", N.snippet("text", "tion").alias("snippet"))
 
 
-@query("t25_bottle_format", r"SELECT p_partkey, CASE WHEN regexp_matches(title, '\b750ml\b') THEN 'bottle' WHEN regexp_matches(title, '\b3 L\b') THEN 'double magnum' END AS format, trim(regexp_replace(title, '\b(?:750ml|3 L)\b', '')) AS rest FROM " + SIZED)
+BOTTLES = [" (6 Liter)", " (3 liter)", " (Magnum 1.5L)", " magnum 1.5L", " (Half Bottle 375 ml)", " 375mL", " 500 ml", " 750ml"]
+BOTTLED = "(SELECT p_partkey, p_name || [" + ", ".join(f"'{x}'" for x in BOTTLES) + "][p_size % 8 + 1] || ' ' || (1990 + p_size) AS title FROM part)"
+
+
+@query("t25_bottle_format", "SELECT p_partkey, f.format AS format, f.ml AS ml, f.rest AS rest FROM (SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(title, '{p}') THEN {{'format': '{n}', 'ml': {ml}, 'rest': trim(regexp_replace(title, '{p}', '', 'g'))}}" for p, n, ml in N.FORMATS) + " ELSE {'format': 'Standard', 'ml': 750, 'rest': title} END AS f FROM " + BOTTLED + ")")
 def t25(t):
-    kind = C.first_match([(F.col("title").rlike(r"\b750ml\b"), "bottle"), (F.col("title").rlike(r"\b3 L\b"), "double magnum")])
-    return sized(t).select("p_partkey", kind.alias("format"), F.trim(F.regexp_replace("title", r"\b(?:750ml|3 L)\b", "")).alias("rest"))
+    title = F.concat("p_name", F.get(F.array(*map(F.lit, BOTTLES)), F.col("p_size") % 8), F.lit(" "), (1990 + F.col("p_size")).cast("string"))
+    return t.part.select("p_partkey", N.bottle_format(title).alias("f")).select("p_partkey", F.col("f.name").alias("format"), "f.ml", "f.rest")
+
+
+KINDS = ["steel", "red", "green", "blue", "copper"]
+TITLED = "(SELECT p_partkey, p_name || coalesce(' ' || n_name, '') || CASE p_size % 3 WHEN 0 THEN ' ' || (1990 + p_size) WHEN 1 THEN ' NV' ELSE '' END AS title FROM part LEFT JOIN nation ON p_size % 30 = n_nationkey)"
 
 
-@query("t26_title_parse", r"SELECT p_partkey, CAST(nullif(regexp_extract(title, '\b((?:19|20)[0-9]{2})\b', 1), '') AS INT) AS vintage, nullif(regexp_extract(title, '(red|green|blue|steel|copper)', 1), '') AS variety, nullif(trim(regexp_extract(title, '^(.*?)(?:red|green|blue|steel|copper)', 1)), '') AS maker FROM " + SIZED)
+@query("t26_title_parse", rf"""
+WITH v AS (SELECT p_partkey, CAST(nullif(regexp_extract(title, '\b((?:19|20)[0-9]{{2}})\s*$', 1), '') AS INT) AS vintage,
+ trim(CASE WHEN regexp_matches(title, '\b(?:19|20)[0-9]{{2}}\s*$') THEN regexp_replace(title, '\b((?:19|20)[0-9]{{2}})\s*$', '') ELSE regexp_replace(title, '(?i)\bNV\s*$', '') END) AS rest FROM {TITLED}),
+g AS (SELECT *, list_filter([{', '.join(f"'{k}'" for k in KINDS)}], lambda k: regexp_matches(rest, '(?i)\b' || k || '\b'))[1] AS variety FROM v),
+s AS (SELECT *, CASE WHEN variety IS NULL THEN rest ELSE trim(regexp_extract(rest, '(?i)^.*?\b' || variety || '\b(.*)$', 1)) END AS geo,
+ CASE WHEN variety IS NOT NULL THEN nullif(trim(regexp_extract(rest, '(?i)^(.*?)\b' || variety || '\b', 1)), '') END AS maker FROM g),
+w AS (SELECT p_partkey, string_split(geo, ' ') AS w FROM s), c AS (SELECT p_partkey, i, array_to_string(w[i:], ' ') AS suffix FROM (SELECT p_partkey, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+h AS (SELECT p_partkey, arg_min(n_name, i) AS place FROM c JOIN nation ON {norm('n_name')} = {norm('suffix')} GROUP BY p_partkey)
+SELECT p_partkey, vintage, variety, maker, place FROM s LEFT JOIN h USING (p_partkey)""")
 def t26(t):
-    kinds = "red|green|blue|steel|copper"
-    part = lambda p: F.nullif(F.trim(F.regexp_extract("title", p, 1)), F.lit(""))
-    return sized(t).select("p_partkey", N.year("title").alias("vintage"), part(f"({kinds})").alias("variety"), part(f"^(.*?)(?:{kinds})").alias("maker"))
+    places = t.nation.select(N.normalise("n_name").alias("key"), F.col("n_name").alias("place"))
+    end = C.first_match([(F.col("p_size") % 3 == 0, F.concat(F.lit(" "), (1990 + F.col("p_size")).cast("string"))), (F.col("p_size") % 3 == 1, F.lit(" NV"))], F.lit(""))
+    rows = t.part.join(t.nation, F.col("p_size") % 30 == F.col("n_nationkey"), "left")
+    rows = rows.select("p_partkey", N.trailing_vintage(F.concat("p_name", F.coalesce(F.concat(F.lit(" "), "n_name"), F.lit("")), end)).alias("v")).select("p_partkey", "v.*")
+    rows = rows.withColumn("variety", C.first_match([(F.col("rest").rlike(rf"(?i)\b{k}\b"), F.lit(k)) for k in KINDS], F.lit(None).cast("string")))
+    cut = lambda group: F.coalesce(*[F.when(F.col("variety") == k, F.trim(F.regexp_extract("rest", rf"(?i)^(.*?)\b{k}\b(.*)$", group))) for k in KINDS])
+    rows = rows.withColumn("maker", F.nullif(cut(1), F.lit(""))).withColumn("w", F.split(F.coalesce(cut(2), F.col("rest")), " "))
+    # The longest ending that is a place: candidates lose their first word one after the other.
+    found = rows.select("p_partkey", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, F.size("w")), " "))).alias("i", "suffix"))
+    found = found.withColumn("key", N.normalise("suffix")).join(places, "key").groupBy("p_partkey").agg(F.min_by("place", "i").alias("place"))
+    return rows.join(found, "p_partkey", "left").select("p_partkey", "vintage", "variety", "maker", "place")
 
 
 @query("t27_query_variants", "SELECT n_nationkey, array_to_string(list_transform(range(1, len(v) + 1), lambda i: v[i]), '|') AS variants FROM (SELECT n_nationkey, CASE WHEN n_name = r_name THEN [n_name] ELSE [n_name || ', ' || r_name, n_name, n_name || ' (' || r_name || ')'] END AS v FROM nation JOIN region ON n_regionkey = r_regionkey)")

@@ -14,7 +14,9 @@ def split_rejects(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows whose key does not come in, and all incoming rows."""
+    """Existing rows whose key does not come in, and one incoming row a key, the greatest if there are several."""
+    others = [c for c in incoming.columns if c not in keys]
+    incoming = incoming.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_row")).select(*keys, "_row.*") if others else incoming.select(*keys).distinct()
     return existing.join(incoming.select(*keys), keys, "left_anti").select(*existing.columns).unionByName(incoming.select(*existing.columns))
 
 
@@ -37,9 +39,19 @@ def delete(parent: DataFrame, children: dict[str, tuple[DataFrame, str]], keys:
 
 
 def soft_delete(rows: DataFrame, keys: DataFrame, key: str, at: Column) -> DataFrame:
-    """``deleted_at`` set for the keys, null for the others (which restores them)."""
-    gone = keys.select(key).distinct().withColumn("_gone", F.lit(True))
-    return rows.join(gone, key, "left").withColumn("deleted_at", F.when(F.col("_gone"), at)).drop("_gone")
+    """``deleted_at`` set for the keys; rows deleted before keep their date, other rows stay as they are."""
+    return _deleted(rows, keys, key, F.coalesce("deleted_at", at))
+
+
+def restore(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``deleted_at`` null for the keys; other rows stay as they are."""
+    return _deleted(rows, keys, key, F.lit(None))
+
+
+def _deleted(rows: DataFrame, keys: DataFrame, key: str, value: Column) -> DataFrame:
+    named = keys.select(key).distinct().withColumn("_named", F.lit(True))
+    new = F.when(F.col("_named"), value).otherwise(F.col("deleted_at")).cast(rows.schema["deleted_at"].dataType)
+    return rows.join(named, key, "left").withColumn("deleted_at", new).select(*rows.columns)
 
 
 def write_with_envelope(rows: DataFrame, path: str, **metadata: str) -> None:
