@@ -4,38 +4,40 @@ A window is ``WINDOW`` consecutive words of a text. Every window contains phrase
 words, of which the one with the least hash is its anchor; equal windows have equal anchors, so
 only anchors (about a seventh of the positions) have to be compared over all documents:
 
-1. Confirm: tasks hash the anchors of their documents and, after joining what repeats locally,
-   deal them out by hash; hashes with two distinct places are recurring and go back to the texts
-   that hold them.
-2. Locate: each shard of documents compiles the recurring phrases of its texts into an
-   Aho-Corasick automaton and streams its documents through it, which finds every occurrence,
+1. Confirm: tasks hash the anchors of their texts. What recurs within a task is confirmed there;
+   otherwise one place a hash is dealt out by hash, and of hashes with several places the least
+   one's text cuts the phrase out. Either way a text gets the words of the recurring phrases that
+   it holds, not where they stand.
+2. Locate: each shard of texts compiles the phrases that it got into Aho-Corasick automata of at
+   most ``max_phrases`` each and streams its texts through them, which finds every occurrence,
    word for word. A shard is bounded by its texts' bytes and its phrases.
 3. Judge: windows around located anchors are compared by 128 bits of hash. A task keeps the first
    of the equal windows it has and settles the others itself; the first ones are dealt out by
    anchor, the earliest (document, start) stays and the others are removed.
 
-Copies of a whole text are found by digest beforehand: all their windows start earlier in the
-first copy. Rows are identified by identifier and digest of the text.
+Texts are made distinct first and written as a table bucketed by text, so they are shuffled once
+whatever is joined to them. All windows of a later copy start earlier in the first one.
 
 Cases: a null text has no words; a null identifier is smaller than every other; texts of fewer
 than ``WINDOW`` words lose nothing; rows that repeat identifier and text get the same result and
-are not earlier than each other; an empty table gives an empty result; further columns travel in
-a struct.
+are not earlier than each other, nor are different texts under one identifier; texts of any length
+are handled whole, alone in a shard if they are long; an empty table gives an empty result;
+further columns, whatever their names, are left out of the result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.session import arrow_batches, materialise, partition_keys
+from cairn.session import arrow_batches, materialise, partition_keys, shared_dir
 
 WINDOW, PHRASE = 20, 8
 REACH = WINDOW - PHRASE + 1  # phrases in a window
@@ -47,10 +49,6 @@ WORD_MULT, PHRASE_MULT, WINDOW_MULT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x
 POWERS = np.cumprod(np.full(256, WORD_MULT, np.uint64), dtype=np.uint64)
 
 
-def digest(text: str | None) -> bytes:
-    return hashlib.blake2b(b"" if text is None else text.encode("utf-8"), digest_size=16).digest()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -74,7 +72,8 @@ class Words:
 
     def __init__(self, texts: list[str | None]):
         raws = [b"" if t is None else t.encode("utf-8") for t in texts]
-        whole = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
+        self.whole = b"\n".join([*raws, b""])
+        whole = np.frombuffer(self.whole, np.uint8)
         mask = np.concatenate([[False], ~IS_SPACE[whole], [False]])
         change = np.flatnonzero(mask[1:] != mask[:-1])
         self.starts, self.lengths = change[::2], change[1::2] - change[::2]
@@ -82,7 +81,7 @@ class Words:
         #: Where each text's words begin, and one more.
         self.first = np.searchsorted(self.starts, edges)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self.raws, self.edges = raws, edges
+        self.raws = raws
         self.hash = self._hash(whole, mask[1:-1])
         self.phrase = self._rolling(PHRASE, PHRASE_MULT, FAR)
         least = sliding(self.phrase, REACH, np.minimum)
@@ -150,85 +149,113 @@ def blobs(keys: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, li
 
 # 1. Confirm
 
-PLACES = "bucket int, tag long, hash binary, tags binary, pos binary"
+PLACES = "bucket int, tag long, phrases binary, hash binary, tags binary, pos binary, many binary"
+CONFIRMED = "tag long, phrases binary, pos binary, holders binary"
+
+
+def record(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of a schema of ints, longs and binaries."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*[x.split() for x in schema.split(", ")], strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.record_batch([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+
+def in_batches(schema: str, rows: Iterator[tuple], size: int = 2048) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield record(schema, held)
+            held = []
+    if held:
+        yield record(schema, held)
+
 
+def _places(keys: list[int], limit: int = 400_000):
+    """Of (text, tag): phrases that recur in this task to their texts, and one place a hash dealt out."""
 
-def _places(keys: list[int], limit: int = 1_000_000):
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        wholes: list[bytes] = []
 
-        def flush():
-            h, t, p = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
+        def rows():
+            h, t, p, w, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((p, t, h))
-            h, t, p = h[order], t[order], p[order]
-            own = runs_of(h, t, p)  # copies of a text are one place
-            h, t, p = h[own], t[own], p[own]
-            new = runs_of(h)
-            group = np.cumsum(new) - 1
-            rank = np.arange(len(h)) - np.flatnonzero(new)[group]
-            # Two places of a hash tell all others that it recurs; the rest need not travel.
-            sent = rank < 2
-            rows = [(keys[b], None, *x) for b, x in blobs((h[sent] % np.uint64(len(keys))).astype(np.int64), [h[sent], t[sent], p[sent]])]
-            here = ~sent
-            rows += [(keys[tag % len(keys)], tag, None, None, x[0]) for tag, x in blobs(t[here], [p[here]])]
-            for at in range(0, len(rows), 4096):
-                part = list(zip(*rows[at : at + 4096], strict=True))
-                yield pa.record_batch([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int64()), *[pa.array(c, pa.binary()) for c in part[2:]]], names=["bucket", "tag", "hash", "tags", "pos"])
+            h, t, p, w, a, b = h[order], t[order], p[order], w[order], a[order], b[order]
+            lead = np.flatnonzero(runs_of(h))
+            size = np.diff(np.append(lead, len(h)))
+            many = (size > 1).astype(np.uint8)
+            for bucket, x in blobs((h[lead] % np.uint64(len(keys))).astype(np.int64), [h[lead], t[lead], p[lead], many]):
+                yield (keys[bucket], None, None, *x)
+            words = [b" ".join(wholes[w[i]][a[i] : b[i]].split()) if m else b"" for i, m in zip(lead.tolist(), many.tolist(), strict=True)]
+            here = np.repeat(many > 0, size)
+            which = np.repeat(np.arange(len(lead)), size)[here]
+            for tag, (x,) in blobs(t[here], [which]):
+                yield keys[tag % len(keys)], tag, b"\n".join([words[k] for k in np.unique(np.frombuffer(x, np.int64)).tolist()]), None, None, None, None
 
         size = 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            words = Words(texts)
+            words = Words(batch.column(0).to_pylist())
             at = words.anchors()
             if not len(at):
                 continue
-            doc = words.doc[at]
-            tags = np.frombuffer(b"".join(digest(t)[:8] for t in texts), np.int64)
-            held.append((words.phrase[at], tags[doc], (at - words.first[doc]).astype(np.int32)))
+            doc, last = words.doc[at], at + PHRASE - 1
+            held.append((words.phrase[at], batch.column(1).to_numpy()[doc], (at - words.first[doc]).astype(np.int32), np.full(len(at), len(wholes)), words.starts[at], words.starts[last] + words.lengths[last]))
+            wholes.append(words.whole)
             size += len(at)
             if size > limit:
-                yield from flush()
-                size = 0
+                yield from in_batches(PLACES, rows())
+                held, wholes, size = [], [], 0
         if held:
-            yield from flush()
+            yield from in_batches(PLACES, rows())
 
     return run
 
 
 def _confirm(batches):
-    """Of the places dealt out by hash, those whose hash recurs, by text."""
+    """Of the places dealt out by hash, those of hashes that recur: the text that cuts the phrase out, and who gets it."""
     parts: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         passing = []
-        for tag, h, t, p in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3, 4)], strict=True):
-            if h is None:
-                passing.append((tag, p))
+        for tag, phrases, *x in zip(*[batch.column(k).to_pylist() for k in range(1, 7)], strict=True):
+            if phrases is not None:
+                passing.append((tag, phrases, None, None))
             else:
-                parts.append((np.frombuffer(h, np.uint64), np.frombuffer(t, np.int64), np.frombuffer(p, np.int32)))
+                parts.append(tuple(np.frombuffer(b, kind) for b, kind in zip(x, (np.uint64, np.int64, np.int32, np.uint8), strict=True)))
         if passing:
-            yield _tag_rows(passing)
-    if not parts:
-        return
-    h, t, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(h)
-    h, t, p = h[order], t[order], p[order]
-    size = np.diff(np.append(np.flatnonzero(runs_of(h)), len(h)))
-    many = np.repeat(size > 1, size)
-    h, t, p = h[many], t[many], p[many]
-    order = np.lexsort((p, t, h))
-    h, t, p = h[order], t[order], p[order]
-    own = runs_of(h, t, p)
-    h, t, p = h[own], t[own], p[own]
-    size = np.diff(np.append(np.flatnonzero(runs_of(h)), len(h)))
-    many = np.repeat(size > 1, size)
-    rows = [(tag, x[0]) for tag, x in blobs(t[many], [p[many]])]
-    for at in range(0, len(rows), 4096):
-        yield _tag_rows(rows[at : at + 4096])
-
+            yield record(CONFIRMED, passing)
+    if parts:
+        h, t, p, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        order = np.lexsort((p, t, h))
+        h, t, p, m = h[order], t[order], p[order], m[order]
+        lead = np.flatnonzero(runs_of(h))
+        size = np.diff(np.append(lead, len(h)))
+        owner = np.repeat(lead, size)
+        # A place whose hash recurs within its task has got the phrase there.
+        asks = (np.repeat(size, size) > 1) & (m == 0)
+        yield from in_batches(CONFIRMED, ((tag, None, *x) for tag, x in blobs(t[owner[asks]], [p[owner[asks]], t[asks]])))
+
+
+PHRASES = "tag long, phrases binary"
+
+
+def _cut_out(batches):
+    """Phrases of the texts (text, pos, holders) for the texts that hold them."""
+
+    def rows(batch):
+        for text, pos, holders in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+            words = text.encode("utf-8").split()
+            wanted: dict[int, list[bytes]] = {}
+            for ps, hs in zip(pos, holders, strict=True):
+                for at, holder in zip(np.frombuffer(ps, np.int32).tolist(), np.frombuffer(hs, np.int64).tolist(), strict=True):
+                    wanted.setdefault(holder, []).append(b" ".join(words[at : at + PHRASE]))
+            for holder, found in wanted.items():
+                yield holder, b"\n".join(found)
 
-def _tag_rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["tag", "pos"])
+    for batch in batches:
+        yield from in_batches(PHRASES, rows(batch))
 
 
 # 2. Locate
@@ -237,46 +264,45 @@ FIRSTS = "bucket int, doc long, tag long, starts binary, least binary, docs bina
 NAMES = [x.split()[0] for x in FIRSTS.split(", ")]
 
 
-def locate(words: Words, recurring: np.ndarray) -> np.ndarray:
-    """Every position at which one of the phrases at ``recurring`` occurs."""
-    automaton = ahocorasick.Automaton()
-    _, which = np.unique(words.phrase[recurring], return_index=True)
+def locate(words: Words, phrases: list[bytes], max_phrases: int) -> np.ndarray:
+    """Every position at which one of the phrases occurs, by automata of at most ``max_phrases``."""
+    # A text stands as its words between single spaces, so a phrase between spaces matches whole words.
     norms = [b" ".join([b"", *r.split(), b""]).decode("latin-1") for r in words.raws]
-    # Where each word begins in its text's words joined by single spaces.
     ends = np.cumsum(words.lengths + 1)
     begins = ends - words.lengths - 1
     begins = begins - np.repeat(begins[np.minimum(words.first[:-1], max(0, len(begins) - 1))], np.diff(words.first)) + 1 if len(begins) else begins
-    for j in recurring[which].tolist():
-        last = j + PHRASE - 1
-        phrase = norms[words.doc[j]][begins[j] - 1 : begins[last] + words.lengths[last] + 1]
-        automaton.add_word(phrase, len(phrase))
-    if not len(automaton):
-        return np.zeros(0, np.int64)
-    automaton.make_automaton()
     found = []
-    for d, norm in enumerate(norms):
-        a, b = words.first[d], words.first[d + 1]
-        if b - a >= PHRASE:
-            at = [end - size + 2 for end, size in automaton.iter(norm)]
-            if at:
-                found.append(a + np.searchsorted(begins[a:b], at))
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
-
+    for k in range(0, len(phrases), max_phrases):
+        automaton = ahocorasick.Automaton()
+        for phrase in phrases[k : k + max_phrases]:
+            automaton.add_word(f" {phrase.decode('latin-1')} ", len(phrase) + 2)
+        automaton.make_automaton()
+        for d, norm in enumerate(norms):
+            a, b = words.first[d], words.first[d + 1]
+            if b - a >= PHRASE:
+                at = [end - size + 2 for end, size in automaton.iter(norm)]
+                if at:
+                    found.append(a + np.searchsorted(begins[a:b], at))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _judge_local(keys: list[int], max_phrases: int, max_bytes: int, limit: int = 1_000_000):
+    """Windows of the shards' texts (doc, tag, text, phrases): those to remove, and the first ones dealt out."""
 
-def _judge_local(keys: list[int], max_phrases: int, max_bytes: int, limit: int = 1_500_000):
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
-        shard: list[tuple[int, int, str, np.ndarray]] = []
-        size = phrases = windows = 0
+        shard: list[tuple[int, int, str]] = []
+        phrases: set[bytes] = set()
+        size = windows = 0
 
         def judge_shard():
-            words = Words([s[2] for s in shard])
-            recurring = np.concatenate([words.first[k] + s[3] for k, s in enumerate(shard)])
-            at = words.candidates(np.unique(locate(words, recurring)))
+            words = Words([x[2] for x in shard])
+            at = words.candidates(locate(words, sorted(phrases), max_phrases))
             doc = words.doc[at]
-            ids, tags = np.array([s[0] for s in shard], np.int64), np.array([s[1] for s in shard], np.int64)
+            ids, tags = np.array([x[0] for x in shard], np.int64), np.array([x[1] for x in shard], np.int64)
             held.append((words.least[at], words.window_hash()[at] if len(at) else np.zeros(0, np.uint64), ids[doc], tags[doc], (at - words.first[doc]).astype(np.int32)))
             shard.clear()
+            phrases.clear()
             return len(at)
 
         def flush():
@@ -289,14 +315,14 @@ def _judge_local(keys: list[int], max_phrases: int, max_bytes: int, limit: int =
             yield from _firsts(m[first], h[first], d[first], t[first], s[first], keys)
 
         for batch in batches:
-            for d, t, packed, pos in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                at = np.unique(np.concatenate([np.frombuffer(p, np.int32) for p in pos])) if pos else np.zeros(0, np.int32)
-                text = unpack(packed)
-                shard.append((d, t, text, at))
-                size, phrases = size + len(text), phrases + len(at)
-                if size > max_bytes or phrases > max_phrases:
+            for d, t, text, given in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                shard.append((d, t, text))
+                for x in given:
+                    phrases.update(x.split(b"\n"))
+                size += len(text)
+                if size > max_bytes or len(phrases) > max_phrases:
                     windows += judge_shard()
-                    size = phrases = 0
+                    size = 0
                     if windows > limit:
                         yield from flush()
                         windows = 0
@@ -316,8 +342,7 @@ def earliest(m, h, d, s) -> np.ndarray:
 
 
 def _record(rows: list[dict]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 8]
-    return pa.record_batch([pa.array([r.get(n) for r in rows], k) for n, k in zip(NAMES, kinds, strict=True)], names=NAMES)
+    return record(FIRSTS, [tuple(r.get(n) for n in NAMES) for r in rows])
 
 
 def _starts(d, t, s, keys=(0,)):
@@ -381,14 +406,6 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.select(["doc", "tag", "starts"])
 
 
-def pack(text: str | None) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"" if text is None else text.encode("utf-8"))
-
-
-def unpack(raw: bytes) -> str:
-    return zstandard.ZstdDecompressor().decompress(raw).decode("utf-8")
-
-
 def removed_words(n: int, starts: list[bytes] | None) -> np.ndarray:
     """True for the words that a window at one of the starts covers."""
     change = np.zeros(n + 1, np.int64)
@@ -400,63 +417,60 @@ def removed_words(n: int, starts: list[bytes] | None) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_phrases: int = 20_000, max_bytes: int = 6_000_000, digest_only: bool = False) -> DataFrame:
-    """Each row's identifier with n_words, n_removed and ``kept``: the words left, or their SHA-256."""
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_phrases: int = 20_000, max_bytes: int = 4_000_000, part_bytes: int = 64 << 20, digest_only: bool = False) -> DataFrame:
+    """Each row's identifier with n_words, n_removed and ``kept``: the words left, or their SHA-256.
+
+    There are as many partitions as the session has for shuffles, or more of about ``part_bytes`` of text.
+    """
     spark = docs.sparkSession
     arrow_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).isNull().alias("no_id"))
+    base = base.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    total = base.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
     keys = partition_keys(spark, parts)
 
-    @F.arrow_udf("struct<digest: binary, tag: long>")
-    def tagged(text: pa.Array) -> pa.Array:
-        found = [digest(t) for t in text.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(np.frombuffer(b"".join(found), np.int64)[::2])], names=["digest", "tag"])
-
-    @F.arrow_udf("struct<tag: long, packed: binary>")
-    def packed(text: pa.Array) -> pa.Array:
-        found = text.to_pylist()
-        tags = np.frombuffer(b"".join(digest(t)[:8] for t in found), np.int64)
-        return pa.StructArray.from_arrays([pa.array(tags), pa.array([pack(t) for t in found], pa.binary())], names=["tag", "packed"])
-
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc")
-    base = docs.select(doc, F.col(text_col).alias("text"), F.col(id_col).isNull().alias("no_id"))
-    keyed = materialise(base.select("doc", tagged("text").alias("k")).select("doc", "k.digest", "k.tag"), "texts")
-    firsts = materialise(keyed.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.count("*").alias("copies")).filter("copies > 1"), "first-copies")
-    rows = materialise(
-        keyed.distinct().join(firsts, "digest", "left").select("doc", "tag", (F.col("doc") > F.col("first_doc")).alias("copy")).fillna(False, ["copy"]), "rows"
-    )
-
-    places = base.select("text").mapInArrow(_places(keys), PLACES).repartition(parts, "bucket")
-    recurring = places.mapInArrow(_confirm, "tag long, pos binary").groupBy("tag").agg(F.collect_list("pos").alias("pos"))
-    # Shards take every text that is no copy; those without a recurring phrase have no positions.
-    sides = rows.filter("not copy").join(recurring, "tag", "left").select("doc", "tag", F.coalesce("pos", F.array().cast("array<binary>")).alias("pos"))
-    texts = base.select("doc", packed("text").alias("p"), "no_id").select("doc", "no_id", "p.tag", "p.packed")
-    shards = texts.join(sides, ["doc", "tag"]).select("doc", "tag", "packed", "pos")
+    table = f"passage_texts_{uuid.uuid4().hex}"
+    distinct = base.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.first("text").alias("text")).withColumn("tag", F.xxhash64("digest"))
+    distinct.repartition(parts, "tag").write.format("parquet").bucketBy(parts, "tag").sortBy("tag").option("compression", "zstd").option("path", shared_dir(spark, "passage-texts")).saveAsTable(table)
+    texts = spark.table(table)
+
+    by_tag = lambda df: df.repartition(parts, "tag").groupBy("tag")  # noqa: E731 - the buckets of the texts
+    places = texts.select("text", "tag").mapInArrow(_places(keys), PLACES).repartition(parts, "bucket")
+    confirmed = materialise(places.mapInArrow(_confirm, CONFIRMED), "confirmed")
+    asked = by_tag(confirmed.filter("phrases is null")).agg(F.collect_list("pos").alias("pos"), F.collect_list("holders").alias("holders"))
+    cut = texts.select("tag", "text").join(asked, "tag").select("text", "pos", "holders").mapInArrow(_cut_out, PHRASES)
+    phrases = by_tag(confirmed.filter("phrases is not null").select("tag", "phrases").unionByName(cut)).agg(F.collect_list("phrases").alias("phrases"))
+    shards = texts.join(phrases, "tag").select("first_doc", "tag", "text", "phrases")
     judged = shards.mapInArrow(_judge_local(keys, max_phrases, max_bytes), FIRSTS).repartition(parts, "bucket").mapInArrow(_judge, "doc long, tag long, starts binary")
-    gone = judged.groupBy("doc", "tag").agg(F.collect_list("starts").alias("starts"))
+    gone = judged.repartition(parts, "tag").groupBy("tag", "doc").agg(F.collect_list("starts").alias("starts")).withColumnRenamed("doc", "first_doc")
 
     @F.arrow_udf("struct<n_words: long, n_removed: long, kept: string>")
-    def rewrite(raw: pa.Array, copy: pa.Array, starts: pa.Array) -> pa.Array:
+    def rewrite(text: pa.Array, starts: pa.Array) -> pa.Array:
         counts, removed, kept = [], [], []
-        for x, whole, at in zip(raw.to_pylist(), copy.to_pylist(), starts.to_pylist(), strict=True):
-            words = unpack(x).encode("utf-8").split()
-            n = len(words)
-            if whole and n >= WINDOW:
-                left, out = [], n
-            elif at:
-                off = removed_words(n, at)
-                left, out = [w for w, o in zip(words, off.tolist(), strict=True) if not o], int(off.sum())
-            else:
-                left, out = words, 0
-            text = b" ".join(left)
-            counts.append(n)
-            removed.append(out)
-            kept.append(hashlib.sha256(text).hexdigest() if digest_only else text.decode("utf-8"))
+        for t, at in zip(text.to_pylist(), starts.to_pylist(), strict=True):
+            left = words = t.encode("utf-8").split()
+            if at:
+                off = removed_words(len(words), at)
+                left = [w for w, o in zip(words, off.tolist(), strict=True) if not o]
+            out = b" ".join(left)
+            counts.append(len(words))
+            removed.append(len(words) - len(left))
+            kept.append(hashlib.sha256(out).hexdigest() if digest_only else out.decode("utf-8"))
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["n_words", "n_removed", "kept"])
 
-    verdicts = rows.join(gone, ["doc", "tag"], "left")
-    out = texts.join(verdicts, ["doc", "tag"]).select(F.when(~F.col("no_id"), F.col("doc")).alias(id_col), rewrite("packed", "copy", "starts").alias("r"))
-    return out.select(id_col, "r.n_words", "r.n_removed", "r.kept")
+    results = texts.join(gone, ["tag", "first_doc"], "left").select("digest", "first_doc", rewrite("text", "starts").alias("r"))
+    results = materialise(results.select("digest", "first_doc", "r.*"), "passages")  # so that the join can split a text with many copies
+    spark.sql(f"DROP TABLE IF EXISTS {table}")  # its files go with the session
+    copy = (F.col("doc") > F.col("first_doc")) & (F.col("n_words") >= WINDOW)
+    nothing = hashlib.sha256(b"").hexdigest() if digest_only else ""
+    rows = base.select("doc", "no_id", "digest").join(results, "digest")
+    return rows.select(
+        F.when(~F.col("no_id"), F.col("doc")).alias(id_col),
+        "n_words",
+        F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(copy, F.lit(nothing)).otherwise(F.col("kept")).alias("kept"),
+    )
 
 
 def op8_substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:

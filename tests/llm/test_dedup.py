@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,6 +222,47 @@ def test_passages_odd_rows(spark):
     assert substring_dedup.dedup_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_passages_need_the_automata(spark, monkeypatch):
+    rng = random.Random(7)
+    shared = random_words(rng, 60)
+    rows = [(i, " ".join(random_words(rng, 15) + shared[rng.randrange(20) :] + random_words(rng, 5))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted(map(tuple, substring_dedup.op8_substring_dedup(spark, df).collect()))
+    assert got == brute_passages(rows)
+
+    # Phrases that no automaton finds leave every window where it is.
+    monkeypatch.setattr(substring_dedup, "locate", lambda words, phrases, most: np.zeros(0, np.int64))
+    judged = substring_dedup._judge_local([0], 10, 10)
+    batch = pa.record_batch([pa.array([0, 1]), pa.array([0, 1]), pa.array([t for _, t in rows[:2]]), pa.array([[b"x"], [b"x"]], pa.list_(pa.binary()))], names=["d", "t", "text", "p"])
+    assert sum(b.num_rows for b in judged(iter([batch]))) == 0
+
+
+def test_automata_find_every_occurrence_of_phrases_that_other_texts_cut_out():
+    rng = random.Random(3)
+    texts = [" ".join(random_words(rng, 90, 3)) for _ in range(6)] + ["", "w1  w2\t" * 30, None]
+    words = substring_dedup.Words(texts)
+    phrases = sorted({b" ".join(t.encode().split()[k : k + 8]) for t in texts[:3] for k in range(0, 80, 9)})
+    want = []
+    for d, t in enumerate(texts):
+        split = (t or "").encode().split()
+        want += [words.first[d] + k for k in range(len(split) - 7) if b" ".join(split[k : k + 8]) in phrases]
+    for most in (3, 1000):
+        assert substring_dedup.locate(words, phrases, most).tolist() == want
+
+
+def test_passages_long_texts_clashing_columns_and_shared_identifiers(spark):
+    rng = random.Random(1)
+    p = random_words(rng, 40)
+    long = random_words(rng, 60_000, 10**6)
+    rows = [(1, " ".join(long + p)), (2, " ".join(p + long[1000:31_000])), (3, "x " + " ".join(p)), (4, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit("clash")).withColumn("tag", F.lit(1)).withColumn("digest", F.lit(None).cast("string"))
+    assert sorted(map(tuple, substring_dedup.op8_substring_dedup(spark, df).collect())) == brute_passages(rows)
+    # Two texts without an identifier, and two under one: none of such a pair is earlier than the other at the same start.
+    same = [(None, " ".join(p)), (None, " ".join([*p, "end"])), (7, " ".join([*p, "a"])), (7, " ".join([*p, "b"]))]
+    got = substring_dedup.dedup_passages(spark.createDataFrame(same, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in got) == [("7", 41, 40), ("7", 41, 40), ("None", 40, 0), ("None", 41, 0)]
+
+
 # Near duplicates
 
 
