@@ -5,12 +5,14 @@ consecutive words of one test item; a shorter item (but not an empty one) is one
 scan the windows of their documents: a window made of test words only is hashed, looked up in
 the set, and each hit is verified word for word.
 
-The set is broadcast while the test table stays within ``max_broadcast_bytes`` of text; beyond
-that the windows of both sides meet in a shuffle join instead, with the same result.
+The set is broadcast while the memory that it takes, worked out from the test table's words
+(:func:`set_bytes`), stays within ``max_broadcast_bytes``; beyond that hashes of the windows of
+both sides meet in a shuffle join instead, and hits are verified word for word, with the same result.
 
 Cases: null or wordless texts have no words and no hits; null and wordless items have no
 windows; repeated items count once per item_id; repeated documents each get their row; an empty
-test table leaves every document clean; further columns travel in a struct.
+test table leaves every document clean; texts of any length are scanned whole; further columns,
+whatever their names, travel in a struct.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.session import arrow_batches
+from cairn.session import arrow_batches, materialise
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,29 +39,43 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class GramSet:
-    """The test windows by length: sorted hashes, the words behind them and their items."""
+    """The test windows by length: sorted hashes, where their words stand in the items, and the items.
+
+    Everything but the vocabulary is arrays: about 25 bytes a test word. :func:`set_bytes` bounds it all.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], n: int):
         self.vocab: dict[bytes, int] = {}
-        grams: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if ids else 0):
-                grams.setdefault(tuple(ids[i : i + size]), set()).add(item)
+        self.items = [item for item, _ in items]
+        ids, self.lengths = [], np.zeros(len(items), np.int64)
+        for k, (_, text) in enumerate(items):
+            own = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
+            ids.append(np.array(own, np.int32))
+            self.lengths[k] = len(own)
+        #: The items' words in one array.
+        self.words = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        begins = np.cumsum(self.lengths) - self.lengths
         self.by_length = {}
-        for size in sorted({len(g) for g in grams}):
-            rows = [g for g in grams if len(g) == size]
-            words = np.array(rows, np.int64)
+        for size in np.unique(np.minimum(self.lengths[self.lengths > 0], n)).tolist():
+            mine = np.flatnonzero(self.lengths >= n if size == n else self.lengths == size)
+            count = self.lengths[mine] - size + 1
+            owner = np.repeat(mine, count)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begins[mine], count)
             seed = 1
-            while True:  # another multiplier if two of the windows share a hash
+            while True:  # another multiplier if two different windows share a hash
                 powers = self.powers(size, seed)
-                hashes = (words.astype(np.uint64) * powers).sum(axis=1, dtype=np.uint64)
-                if len(np.unique(hashes)) == len(hashes):
+                hashes = np.zeros(len(at), np.uint64)
+                for k in range(size):
+                    hashes += self.words[at + k].astype(np.uint64) * powers[k]
+                order = np.lexsort((owner, hashes))
+                hashes, places, owners = hashes[order], at[order], owner[order]
+                lead = np.flatnonzero(np.append([True], hashes[1:] != hashes[:-1]))
+                first = np.repeat(places[lead], np.diff(np.append(lead, len(places))))
+                if all((self.words[places + k] == self.words[first + k]).all() for k in range(size)):
                     break
                 seed += 2
-            order = np.argsort(hashes)
-            self.by_length[size] = (powers, hashes[order], words[order], [sorted(grams[rows[i]]) for i in order])
+            #: Distinct hashes, the place of each window's words, and where its items begin and end in ``owners``.
+            self.by_length[size] = (powers, hashes[lead], places[lead], np.append(lead, len(places)), owners.astype(np.int32))
 
     @staticmethod
     def powers(size: int, seed: int) -> np.ndarray:
@@ -81,7 +97,7 @@ class GramSet:
         unknown = np.concatenate([[0], np.cumsum(ids == 0)])
         cover = np.zeros(len(ids) + 1, np.int64)
         items: list[set[str]] = [set() for _ in texts]
-        for size, (powers, hashes, words, of) in self.by_length.items():
+        for size, (powers, hashes, places, cuts, owners) in self.by_length.items():
             if len(ids) < size:
                 continue
             at = np.flatnonzero(unknown[size:] == unknown[:-size])
@@ -93,13 +109,15 @@ class GramSet:
             place = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
             same = hashes[place] == keys
             at, place = at[same], place[same]
-            same = (ids[at[:, None] + np.arange(size)] == words[place]).all(axis=1)
+            same = np.ones(len(at), bool)
+            for k in range(size):
+                same &= ids[at + k] == self.words[places[place] + k]
             at, place = at[same], place[same]
             np.add.at(cover, at, 1)
             np.add.at(cover, at + size, -1)
             docs = np.searchsorted(starts, at, side="right") - 1
             for doc, gram in set(zip(docs.tolist(), place.tolist(), strict=True)):
-                items[doc].update(of[gram])
+                items[doc].update(self.items[k] for k in owners[cuts[gram] : cuts[gram + 1]].tolist())
         covered = np.cumsum(cover)[:-1] > 0
         return [
             (len(words), np.flatnonzero(covered[at : at + len(words)]).tolist(), sorted(found))
@@ -107,18 +125,26 @@ class GramSet:
         ]
 
 
-def _bounded(benchmark: DataFrame, limit: int) -> bool:
-    size = benchmark.agg(F.sum(F.octet_length("text") + 16).alias("b")).first()["b"] or 0
-    return size <= limit
+def set_bytes(tests: DataFrame) -> int:
+    """A bound on the memory that the set takes while it is built, from counts made by Spark.
+
+    A word takes 4 bytes, its window at most 96 while windows are sorted, and at most one entry of
+    the vocabulary, 180 bytes and the word; an item takes 150 bytes and its identifier.
+    """
+    words = _words_column(F.col("text"))
+    rows = tests.select(F.size(words).alias("n"), F.octet_length("text").alias("b"), F.octet_length("item_id").alias("i"))
+    found = rows.agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("i").alias("i"), F.count("*").alias("items")).first()
+    distinct = tests.select(F.explode(words).alias("w")).agg(F.approx_count_distinct("w").alias("d")).first()["d"]
+    return (found["n"] or 0) * 100 + int(1.2 * distinct) * 180 + 2 * (found["b"] or 0) + found["items"] * 150 + (found["i"] or 0)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_broadcast_bytes: int = 128 << 20) -> DataFrame:
     """Each row of ``docs`` as struct ``row`` with ``hits``: n_words, word positions hit, items."""
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    if not _bounded(tests, max_broadcast_bytes):
+    if set_bytes(tests) > max_broadcast_bytes:
         return _find_by_join(rows, tests, n)
     grams = spark.sparkContext.broadcast(GramSet([("null" if r.item_id is None else r.item_id, r.text) for r in tests.collect()], n))
 
@@ -137,37 +163,29 @@ def _words_column(text):
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD_SQL), F.lit(0))
 
 
-def _windows(words, size):
-    """Structs (start, size, gram) of the windows of ``size`` words, none if there are fewer."""
+def _windows(words, size, gram):
+    """Structs (start, size, hash) of the windows of ``size`` words, with their words if ``gram``; none if there are fewer."""
     starts = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), size.alias("size"), F.array_join(F.slice(words, i + 1, size), " ").alias("gram")))
+    text = lambda i: F.array_join(F.slice(words, i + 1, size), " ")
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), size.alias("size"), F.xxhash64(text(i)).alias("hash"), *([text(i).alias("gram")] if gram else [])))
 
 
 def _find_by_join(rows: DataFrame, tests: DataFrame, n: int) -> DataFrame:
-    """The same result by a shuffle join of windows, for test tables too large to broadcast."""
+    """The same result by a shuffle join of window hashes, for test tables too large to broadcast."""
     tests = tests.select(F.coalesce("item_id", F.lit("null")).alias("item"), _words_column(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    grams = tests.select("item", F.explode(_windows(F.col("w"), F.least(F.size("w"), F.lit(n)))).alias("g")).select("item", "g.size", "g.gram").distinct()
+    grams = tests.select("item", F.explode(_windows(F.col("w"), F.least(F.size("w"), F.lit(n)), True)).alias("g")).select("item", "g.size", "g.hash", "g.gram").distinct()
     sizes = [r["size"] for r in grams.select("size").distinct().collect()]  # n numbers at most
-    keyed = rows.withColumn("w", _words_column(F.col("row.text"))).withColumn("key", F.sha2(F.to_json("row"), 256))
-    every = F.concat(*[_windows(F.col("w"), F.lit(s)) for s in sizes]) if sizes else F.array().cast("array<struct<start:int,size:int,gram:string>>")
-    found = (
-        keyed.select("key", F.explode(every).alias("g")).select("key", "g.*").distinct()
-        .join(grams, ["size", "gram"])
-        .groupBy("key")
-        .agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("size") - 1))))).alias("hits"),
-            F.array_sort(F.collect_set("item")).alias("items"),
-        )
-    )
+    keyed = rows.withColumn("w", _words_column(F.col("row.text"))).withColumn("key", F.sha2(F.coalesce("row.text", F.lit("")), 256))
+    every = F.concat(*[_windows(F.col("w"), F.lit(s), False) for s in sizes]) if sizes else F.array().cast("array<struct<start:int,size:int,hash:bigint>>")
+    # Hits of equal texts are found once; the windows travel as a hash each, and only hits meet the items' words.
+    met = keyed.select("key", F.explode(every).alias("g")).select("key", "g.*").distinct().join(grams, ["size", "hash"])
+    found = materialise(met.groupBy("key").agg(F.collect_set(F.struct("start", "size", "gram", "item")).alias("met")), "hits")
     joined = keyed.join(found, "key", "left")
-    return joined.select(
-        "row",
-        F.struct(
-            F.size("w").cast("long").alias("n_words"),
-            F.coalesce("hits", F.array().cast("array<int>")).alias("hits"),
-            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        ).alias("hits"),
-    )
+    same = lambda x: F.array_join(F.slice(F.col("w"), x["start"] + 1, x["size"]), " ") == x["gram"]
+    joined = joined.withColumn("met", F.coalesce(F.filter("met", same), F.array().cast("array<struct<start:int,size:int,gram:string,item:string>>")))
+    hits = F.array_sort(F.array_distinct(F.flatten(F.transform("met", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1)))))
+    items = F.array_sort(F.array_distinct(F.transform("met", lambda x: x["item"])))
+    return joined.select("row", F.struct(F.size("w").cast("long").alias("n_words"), hits.alias("hits"), items.alias("items")).alias("hits"))
 
 
 def contaminated(hits: str = "hits", one_in: int = 20):

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import pickle
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -370,6 +372,30 @@ def test_spans_are_cut_and_columns_stay(spark):
     assert decontaminate.op7_decontaminate(spark, docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary", [50, 10**6])
+def test_bound_of_the_window_set_holds(spark, vocabulary):
+    rng = random.Random(5)
+    items = [(str(i), " ".join(f"word{rng.randrange(vocabulary)}" for _ in range(rng.choice([1, 5, 30, 400])))) for i in range(600)]
+    bound = decontaminate.set_bytes(spark.createDataFrame(items, "item_id string, text string"))
+    tracemalloc.start()
+    found = decontaminate.GramSet(items, 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pickle.dumps(found)) < peak <= bound
+
+
+def test_decontaminate_long_texts_and_shared_windows(spark):
+    passage = [f"p{i}" for i in range(30)]
+    items = [(1, " ".join(passage)), (2, " ".join(passage[5:25])), (3, "short one"), (3, "short one"), (None, "null item"), (4, None)]
+    docs = [(1, "x " * 300_000 + " ".join(passage)), (2, "a short one b null item"), (2, "a short one b null item"), (None, None), (5, "")]
+    a = spark.createDataFrame(docs, "doc_id long, text string").withColumn("w", F.lit(1)).withColumn("key", F.lit("clash"))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1 << 27, 0):
+        got = [(r["row"]["doc_id"], len(r["hits"]["hits"]), r["hits"]["items"]) for r in decontaminate.find_hits(a, b, max_broadcast_bytes=limit).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, [(1, 30, ["1", "2"]), (2, 4, ["3", "null"]), (2, 4, ["3", "null"]), (None, 0, []), (5, 0, [])]))
+
+
+
 # BPE
 
 
