@@ -48,12 +48,25 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def check_supported(spec: dict) -> None:
+    """ValueError for a file whose text would be split, normalised or merged in another way than here."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type", "BPE") != "BPE" or odd:
+        raise ValueError(f"only plain byte-level BPE is supported, not {model.get('type')} with {odd}")
+    if spec.get("normalizer") is not None or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError("only texts without normaliser and with the byte-level pre-tokenizer's own pattern are supported")
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])):
+        raise ValueError("added tokens that take their surroundings are not supported")
+
+
 class Encoder:
     """The merges and tokens of one vocabulary file."""
 
-    def __init__(self, path: str, cache_words: int = 40_000):
+    def __init__(self, path: str, cache_words: int = 40_000, cache_bytes: int = 4 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_supported(spec)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: bytes(symbols[c] for c in s) for s, i in vocab.items()}
@@ -87,7 +100,7 @@ class Encoder:
         self.previous: dict[str, bytes] = {}
         #: What a pretoken's ids decode to, if that is not the pretoken.
         self.odd: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.cache_words, self.cache_bytes, self.held = cache_words, cache_bytes, 0
 
     @staticmethod
     def slot(keys: np.ndarray) -> np.ndarray:
@@ -229,8 +242,9 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Put into the cache what it lacks of ``words``."""
-        if len(self.cache) > self.cache_words:
-            self.previous, self.cache = self.cache, {}
+        if len(self.cache) > self.cache_words or self.held > self.cache_bytes:
+            self.previous, self.cache, self.held = self.cache, {}, 0
+            self.odd = {w: x for w, x in self.odd.items() if w in self.previous}
         lacking = [w for w in words if w not in self.cache]
         new = []
         for w in lacking:
@@ -241,6 +255,7 @@ class Encoder:
             else:
                 new.append(w)
         raws = [w.encode("utf-8") for w in new]
+        self.held += sum(map(len, lacking))
         for w, raw, ids in zip(new, raws, self.encode_words(raws), strict=True):
             self.cache[w] = ",".join(map(self.decimal.__getitem__, ids)).encode()
             if (decoded := self.decode(ids)) != raw:

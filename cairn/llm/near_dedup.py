@@ -473,8 +473,18 @@ def verified(edges: DataFrame, words: DataFrame, similarity: float) -> DataFrame
 # Classes
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, max_broadcast_ids: int = 200_000) -> DataFrame:
-    """(doc_id, class_id) of every row; class_id is the least identifier of the class."""
+def _row_keys(docs: DataFrame, id_col: str, text_col: str) -> list:
+    """The identifier of each row, and a hash of identifier and text."""
+    doc = F.col(id_col).cast("long")
+    return [doc.alias("doc"), F.xxhash64(doc, F.col(text_col)).alias("row")]
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, max_broadcast_ids: int = 200_000) -> DataFrame:
+    """(doc, row, class_id, stays) of every row: its keys, the least identifier of its class, and whether it stands for it.
+
+    Of the rows with the least identifier, a null one being the least, that with the least hash
+    stands for the class; rows that repeat both identifier and text are one document.
+    """
     spark = docs.sparkSession
     arrow_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -498,13 +508,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raws = [lower(t) for t in text.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([node(WORD.findall(r)) for r in raws], pa.int64()), pa.array([squeeze.compress(r) for r in raws], pa.binary())], names=["doc", "packed"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("no_id")).withColumn("row", F.xxhash64("doc", "text"))
+    base = docs.select(*_row_keys(docs, id_col, text_col), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("no_id"))
     described = materialise(base.select("doc", "text", "no_id", "row").mapInArrow(describe, "doc long, no_id boolean, row long, node long, size int, keys binary, bag binary"), "sketches")
     worded = described.filter("size > 0")
     # From here to the classes, ``doc`` is the node: texts, not identifiers, are compared and linked.
-    least = (F.min("doc").alias("least"), F.max("no_id").alias("no_id"))
+    least = F.min(F.struct((~F.col("no_id")).alias("some"), "doc", "row")).alias("least")
     texts = materialise(
-        worded.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("bag").alias("bag"), *least).withColumnRenamed("node", "doc"), "texts"
+        worded.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("bag").alias("bag"), least).withColumnRenamed("node", "doc"), "texts"
     )
     shared = materialise(shared_keys(texts, parts), "shared")
     sizes = texts.select("doc", "size")
@@ -530,11 +540,25 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         labels = materialise(texts.select("doc").join(components(links).withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("root", "doc").alias("root")), "labels")
         tested = edges
         sides = texts.select("doc", "size").join(labels.withColumnRenamed("root", "group"), "doc")
-    roots = materialise(texts.select("doc", "least", "no_id").join(labels, "doc"), "roots")
-    found = roots.groupBy("root").agg(F.min("least").alias("least"), F.max("no_id").alias("open"))
-    classes = materialise(roots.select(F.col("doc").alias("node"), "root").join(found, "root").select("node", F.when(~F.col("open"), F.col("least")).alias("class_id")), "classes")
-    joined = described.select("doc", "node", "size").join(classes, "node", "left")
-    return joined.select(F.col("doc").alias(id_col), F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc")).alias("class_id"))
+    roots = materialise(texts.select("doc", "least").join(labels, "doc"), "roots")
+    found = roots.groupBy("root").agg(F.min("least").alias("least"))
+    classes = materialise(roots.select(F.col("doc").alias("node"), "root").join(found, "root").select("node", "least"), "classes")
+    joined = described.select("doc", "row", "node", "size").join(classes, "node", "left")
+    stays = (F.col("size") == 0) | (F.col("doc").eqNullSafe(F.col("least.doc")) & (F.col("row") == F.col("least.row")))
+    return joined.select("doc", "row", F.when(F.col("size") > 0, F.col("least.doc")).otherwise(F.col("doc")).alias("class_id"), stays.alias("stays"))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, class_id) of every row; class_id is the least identifier of the class."""
+    return classify(docs, id_col, text_col, **options).select(F.col("doc").alias(id_col), "class_id")
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their classes."""
+    keys = [F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "row"]
+    gone = classify(docs, id_col, text_col, **options).filter("not stays").select(*keys).distinct()
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("whole"), *_row_keys(docs, id_col, text_col)).select("whole", *keys)
+    return rows.join(gone, ["doc", "row"], "left_anti").select("whole.*")
 
 
 def op10_near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:

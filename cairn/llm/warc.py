@@ -8,8 +8,9 @@ sink, whose line separator is the blank lines that end a record; a file holds ab
 
 Cases: a null page has an empty payload; a null address leaves WARC-Target-URI out; of rows that
 repeat an identifier and payload all are responses, since none is larger; payloads under
-``min_bytes`` are all responses; an empty table gives an empty archive; further columns are not
-archived.
+``min_bytes`` are all responses; pages of any length are written whole, in a file of their own if
+they are long; an empty table gives an empty archive; further columns, whatever their names, are
+not archived. Rows that repeat identifier and payload share a record identifier.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,13 +40,18 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     return headers.join(firsts, "digest").filter(F.col("page_id") > F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
 
 
-def _record_id(page_id):
-    h = F.sha2(F.concat(F.lit("warc-record:"), F.coalesce(page_id.cast("string"), F.lit("null"))), 256)
+def _record_id(page_id, digest):
+    """One identifier a page and payload, so that a revisit can name the response without meeting it."""
+    h = F.sha2(F.concat_ws(":", F.lit("warc-record"), F.coalesce(page_id.cast("string"), F.lit("null")), digest), 256)
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", min_bytes: int = 100) -> DataFrame:
-    """One column ``value``: the text of each page's record, without the blank lines after it."""
+def records(pages: DataFrame, date: str | None = None, min_bytes: int = 100) -> DataFrame:
+    """One column ``value``: the text of each page's record, without the blank lines after it.
+
+    ``date`` is that of the headers, the time of writing if it is not given.
+    """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     revisits = resolve_revisits(pages, min_bytes).select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "refers_to")
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("bytes"))
@@ -55,7 +62,7 @@ def records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", min_bytes: int
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(again, "revisit").otherwise("response")),
-        line("WARC-Record-ID", _record_id(F.col("page_id"))),
+        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"))),
         line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", url), F.lit("")),
         F.coalesce(line("X-Page-Id", F.col("page_id").cast("string")), F.lit("")),
@@ -65,7 +72,7 @@ def records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", min_bytes: int
             again,
             F.concat(
                 line("WARC-Profile", F.lit(PROFILE)),
-                line("WARC-Refers-To", _record_id(F.col("refers_to"))),
+                line("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("digest"))),
             ),
         ).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -148,7 +155,7 @@ def op4_warc(spark: SparkSession, pages: DataFrame) -> DataFrame:
     found = read_archives(spark, path).select("page_id", "warc_type", F.col("refers_to").alias("refers"), "declared_digest", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest"))
     responses = found.filter("warc_type = 'response'")
     revisits = found.filter("warc_type = 'revisit'").select("page_id", "refers", "declared_digest")
-    originals = responses.filter(F.col("digest") == F.col("declared_digest")).select(_record_id(F.col("page_id")).alias("refers"), F.col("page_id").alias("refers_to"), F.col("bytes"), "digest").distinct()
+    originals = responses.filter(F.col("digest") == F.col("declared_digest")).select(_record_id(F.col("page_id"), F.col("digest")).alias("refers"), F.col("page_id").alias("refers_to"), F.col("bytes"), "digest").distinct()
     resolved = revisits.join(originals, "refers").filter(F.col("digest") == F.col("declared_digest"))
     columns = ["page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest")]
     return responses.select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(

@@ -1,6 +1,7 @@
 """Language ID, classifiers, decontamination, BPE and WARC."""
 
 import hashlib
+import json
 import math
 import pickle
 import random
@@ -414,6 +415,22 @@ def test_bpe_equals_the_library(spark):
         assert raw.decode("utf-8", "replace") == theirs.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_refuses_files_that_it_would_read_wrongly():
+    with open(bpe.vocabulary_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check_supported(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"model": spec["model"] | {"byte_fallback": True}}, {"added_tokens": [{"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.check_supported(spec | change)
+
+
+def test_bpe_caches_stay_bounded():
+    ours = bpe.Encoder(bpe.vocabulary_path(), cache_bytes=2000)
+    for k in range(30):
+        ours.encode_batch([f"{k}word" * 200])
+    assert sum(map(len, ours.cache)) + sum(map(len, ours.previous)) < 8000
+
+
 def test_bpe_rows_and_round_trip(spark):
     rows = [(1, "Hello wörld"), (2, None), (3, ""), (1, "Hello wörld"), (None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bpe", F.lit(0))
@@ -460,6 +477,48 @@ def test_warc_files_are_valid_records(spark):
 # Pipeline
 
 
+ODD_DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_documents(spark, rows):
+    """Documents with columns that clash with those the stages work with."""
+    df = spark.createDataFrame([(i, t, la, "s", 0) for i, t, la in rows], ODD_DOCS)
+    for name in ("row", "doc", "node", "lid", "hits", "kept", "digest", "whole", "class_id", "bpe", "out"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(4)
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}x" for _ in range(n))
+    a, b, long = some(40), some(40), some(150_000)
+    near = a.rsplit(" ", 2)[0] + " other end"
+    rows = [(1, None, "en"), (2, "", None), (3, "12 ..", "fr"), (4, a, "en"), (4, a, "en"), (None, a, "en"), (5, near, "en"), (5, b, "fr"), (None, b.upper(), None), (6, long, None), (7, "zwei wörter", "de"), (7, "zwei wörter", "de")]
+    docs = odd_documents(spark, rows)
+    stage = dict(pipeline.STAGES)
+    keep = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    want = lambda found: sorted(found, key=str)
+    languages = stage["language_id"](spark, docs, SMALL)
+    assert languages.columns == docs.columns
+    assert keep(languages) == want((i, t) for i, t, _ in rows if i not in (1, 2, 3))
+    exact = stage["exact_dedup"](spark, docs, SMALL)
+    assert exact.columns == docs.columns
+    assert [i for i, t in keep(exact) if not t] == [2]
+    assert want((i, t) for i, t in keep(exact) if t) == want([(3, "12 .."), (4, a), (5, near), (5, b), (6, long), (7, "zwei wörter")])
+    near_ones = stage["near_dedup"](spark, docs, SMALL)
+    assert near_ones.columns == docs.columns
+    # b and B are one text; of a and its near copies the row without an identifier stays.
+    assert keep(near_ones) == want([(1, None), (2, ""), (3, "12 .."), (None, a), (None, b.upper()), (6, long), (7, "zwei wörter"), (7, "zwei wörter")])
+    clean = stage["decontaminate"](spark, docs, SMALL)
+    assert clean.columns == docs.columns
+    assert keep(clean) == want((i, t) for i, t, _ in rows)
+    assert stage["bpe"](spark, docs, SMALL).count() == len(rows)
+    for name, run in pipeline.STAGES:
+        assert run(spark, docs.limit(0), SMALL).count() == 0, name
+
+
 def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline
     from tests.llm.test_dedup import brute_classes, lower
