@@ -28,6 +28,7 @@ empty table gives an empty result; further columns are not needed.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -37,6 +38,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.operators.graphs import components
 from cairn.session import arrow_batches, materialise, partition_keys
@@ -365,14 +367,45 @@ def can_be_similar(x: np.ndarray, y: np.ndarray, bags: list[bytes], longer: np.n
     return ok
 
 
+SLOTS = np.cumsum([0, *[t.sketches for t in TIERS]])
+SLOTS_OF = {has: np.concatenate([np.arange(a, b) for a, b, h in zip(SLOTS[:-1], SLOTS[1:], has, strict=True) if h] or [np.zeros(0, np.int64)]) for has in itertools.product((False, True), repeat=len(TIERS))}
+
+
+def marks_in(marks: list[bytes], sizes: np.ndarray, missing: int) -> np.ndarray:
+    """A row of key marks for each text, by tier and sketch; ``missing`` where it has no such tier."""
+    out = np.full((len(marks), SLOTS[-1]), missing, np.uint32)
+    for i, (raw, n) in enumerate(zip(marks, sizes.tolist(), strict=True)):
+        out[i, SLOTS_OF[tuple(t.least <= n <= t.most for t in TIERS)]] = np.frombuffer(raw, np.uint32)
+    return out
+
+
+def first_meeting(x: np.ndarray, y: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether ``key`` is the first that two rows of marks share, so that each pair comes up once."""
+    same = x == y
+    return x[np.arange(len(x)), same.argmax(axis=1)] == (key & LOW).astype(np.uint32)
+
+
 def _cells(similarity: float):
     """Pairs (a, b) of each cell: every visitor with every text that lives there, in other groups.
 
-    Rows (key, cell, visits, doc, group, size, lives, bag) stand in order of key, cell and visits.
+    Rows (key, cell, visits, doc, group, size, lives, bag, marks) stand in order of key, cell and
+    visits. A pair comes out under the first key that the two texts share, told by 32 bits of it:
+    two other keys are taken for one with a chance of a few in a hundred million a pair.
     """
 
-    def pairs(live, visit, live_bags, visit_bags):
-        # live and visit: cell number, doc, group, size, major
+    def once(live, visit, h, v, live_marks, visit_marks):
+        ok = np.ones(len(h), bool)
+        a, at = np.unique(h, return_inverse=True)
+        b, to = np.unique(v, return_inverse=True)
+        x = marks_in([live_marks[i] for i in a.tolist()], live[3][a], 0)
+        y = marks_in([visit_marks[i] for i in b.tolist()], visit[3][b], 1)
+        for k in range(0, len(h), 8192):
+            r = slice(k, k + 8192)
+            ok[r] = first_meeting(x[at[r]], y[to[r]], visit[5][v[r]].view(np.uint64))
+        return ok
+
+    def pairs(live, visit, live_bags, visit_bags, live_marks, visit_marks):
+        # live and visit: cell number, doc, group, size, major, key
         first, end = np.searchsorted(live[0], visit[0], "left"), np.searchsorted(live[0], visit[0], "right")
         count = end - first
         total = np.cumsum(count)
@@ -390,40 +423,49 @@ def _cells(similarity: float):
             # Two texts outside the key's major group visit each other; one of the two meetings counts.
             ok = (live[2][h] != visit[2][v]) & (live[4][h] | (y < x)) & (np.minimum(live[3][h], visit[3][v]) >= similarity * longer)
             h, v, x, y, longer = h[ok], v[ok], x[ok], y[ok], longer[ok]
-            ok = can_be_similar(h, v + len(live_bags), bags, longer, similarity)
-            if ok.any():
+            ok = np.flatnonzero(can_be_similar(h, v + len(live_bags), bags, longer, similarity))
+            ok = ok[once(live, visit, h[ok], v[ok], live_marks, visit_marks)]
+            if len(ok):
                 x, y = x[ok], y[ok]
                 yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def run(batches):
         home: list[np.ndarray] | None = None
         home_bags: list[bytes] = []
+        home_marks: list[bytes] = []
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, cell, doc, group, size = (batch.column(i).to_numpy() for i in (0, 1, 3, 4, 5))
             visits, major = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 6))
-            bags = batch.column(7).to_pylist()
+            bags, marks = batch.column(7).to_pylist(), batch.column(8).to_pylist()
             new = np.append([last != (key[0], cell[0])], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))
             number = np.cumsum(new)  # 0 is the cell that the last batch ended with
-            columns = (number, doc, group, size, major)
-            live, live_bags = [c[~visits] for c in columns], [bags[i] for i in np.flatnonzero(~visits).tolist()]
+            columns = (number, doc, group, size, major, key)
+            pick = lambda values, where: [values[i] for i in np.flatnonzero(where).tolist()]
+            live, live_bags, live_marks = [c[~visits] for c in columns], pick(bags, ~visits), pick(marks, ~visits)
             if home is not None and not new[0]:
-                live, live_bags = [np.concatenate(x) for x in zip(home, live, strict=True)], home_bags + live_bags
-            yield from pairs(live, [c[visits] for c in columns], live_bags, [bags[i] for i in np.flatnonzero(visits).tolist()])
+                live, live_bags, live_marks = [np.concatenate(x) for x in zip(home, live, strict=True)], home_bags + live_bags, home_marks + live_marks
+            yield from pairs(live, [c[visits] for c in columns], live_bags, pick(bags, visits), live_marks, pick(marks, visits))
             stays = live[0] == number[-1]
-            home, home_bags = [c[stays] for c in live], [live_bags[i] for i in np.flatnonzero(stays).tolist()]
+            home, home_bags, home_marks = [c[stays] for c in live], pick(live_bags, stays), pick(live_marks, stays)
             home[0] = np.zeros_like(home[0])
             last = (key[-1], cell[-1])
 
     return run
 
 
+@F.arrow_udf(T.BinaryType())
+def marks_of(keys: pa.Array) -> pa.Array:
+    """32 bits of each key of a text."""
+    return pa.array([(np.frombuffer(k, np.uint64) & LOW).astype(np.uint32).tobytes() for k in keys.to_pylist()], pa.binary())
+
+
 def all_edges(rows: DataFrame, bags: DataFrame, cell: int = CELL, similarity: float = SIMILARITY) -> DataFrame:
     """Distinct edges (a, b), a < b, of all texts in different groups that share a key and can be similar.
 
-    ``rows`` has (key, doc, group, size), ``bags`` has (doc, bag). A text lives in one of its key's
+    ``rows`` has (key, doc, group, size), ``bags`` has (doc, bag, keys). A text lives in one of its key's
     cells, which hold about ``cell`` texts each; texts outside the key's largest group visit all of
     its cells. Only rows of keys that several groups share get their signatures.
     """
@@ -431,8 +473,8 @@ def all_edges(rows: DataFrame, bags: DataFrame, cell: int = CELL, similarity: fl
     keys = counts.groupBy("key").agg(F.sum("count").alias("n"), F.max_by("group", F.struct("count", "group")).alias("major"), F.count("*").alias("groups"))
     keys = materialise(keys.filter("groups > 1").select("key", "major", F.ceil(F.col("n") / cell).cast("int").alias("cells")), "contested")
     met = materialise(rows.join(keys, "key").withColumn("lives", F.col("group") == F.col("major")), "contested-rows")
-    met = met.join(bags, "doc")
-    columns = ["doc", "group", "size", "lives", "bag"]
+    met = met.join(bags.select("doc", "bag", marks_of("keys").alias("marks")), "doc")
+    columns = ["doc", "group", "size", "lives", "bag", "marks"]
     live = met.select("key", F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int").alias("cell"), F.lit(False).alias("visits"), *columns)
     visit = met.filter("not lives").select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("visits"), *columns)
     dealt = live.unionByName(visit).repartition("key", "cell").sortWithinPartitions("key", "cell", "visits")
@@ -525,7 +567,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         if step == "stars":
             edges = star_edges(shared.join(sizes, "doc"), similarity)
         else:
-            edges = all_edges(shared.join(sides, "doc"), texts.select("doc", "bag"), similarity=similarity)
+            edges = all_edges(shared.join(sides, "doc"), texts.select("doc", "bag", "keys"), similarity=similarity)
         if tested is not None:
             edges = edges.join(tested, ["a", "b"], "left_anti")
         edges = materialise(edges, "candidates")

@@ -367,14 +367,23 @@ def test_near_variants_meet_through_a_base_that_is_not_the_least(spark, seed):
     assert got == brute_classes(rows)
 
 
-def test_all_pairs_of_a_key_meet_in_small_cells(spark):
+def test_all_pairs_of_a_key_meet_once_in_small_cells(spark):
     rng = random.Random(5)
-    rows = [(key, doc, rng.randrange(4) * (key % 3), 10, bytes(near_dedup.BAGS[0] // 2)) for key in range(40) for doc in rng.sample(range(60), rng.choice([2, 3, 30]))]
-    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]}
-    df = spark.createDataFrame([r[:4] for r in rows], "key long, doc long, group long, size int")
-    bags = spark.createDataFrame(sorted({(r[1], r[4]) for r in rows}), "doc long, bag binary")
+    # Texts of 10 words have the 32 keys of the first tier; many texts share the first few of them.
+    sketch = lambda: [(1 << 40) + 1000 * i + rng.choice([0, 0, 1, rng.randrange(2, 900)]) for i in range(32)]
+    keys = {doc: sketch() for doc in range(60)}
+    group = {doc: doc % 7 for doc in keys}
+    rows = [(k, doc, group[doc], 10) for doc, ks in keys.items() for k in ks]
+    want = {(a, b) for a in keys for b in keys if a < b and group[a] != group[b] and set(keys[a]) & set(keys[b])}
+    df = spark.createDataFrame(rows, "key long, doc long, group long, size int")
+    packed = [(doc, bytearray(near_dedup.BAGS[0] // 2), bytearray(np.array(ks, np.uint64).tobytes())) for doc, ks in keys.items()]
+    bags = spark.createDataFrame(packed, "doc long, bag binary, keys binary")
     near_dedup.arrow_batches(spark, 7)
     assert {tuple(r) for r in near_dedup.all_edges(df, bags, cell=4).collect()} == want
+    marks = {d: near_dedup.marks_in([np.array(ks, np.uint64).astype(np.uint32).tobytes()], np.array([10]), d) for d, ks in keys.items()}
+    for a, b in want:
+        met = [k for k in set(keys[a]) & set(keys[b]) if near_dedup.first_meeting(marks[a], marks[b], np.array([k], np.uint64))[0]]
+        assert met == [min(set(keys[a]) & set(keys[b]))]
 
 
 def test_signatures_never_rule_out_a_similar_pair():
