@@ -23,6 +23,22 @@ def by_candidates(rows: DataFrame, row_id: str, candidates: list[Column], dim: D
     return rows.select(row_id).join(best.select(row_id, f"b.{value}", "b.place"), row_id, "left")
 
 
+def by_levels(rows: DataFrame, row_id: str, levels: list[tuple[Column, DataFrame]]) -> DataFrame:
+    """(row_id, value, level): the value of the first level whose key its own dimension (key, value) has.
+
+    All keys of all rows meet all dimensions in one join on level and key; of several values of a
+    key the least counts.
+    """
+    keys = rows.select(row_id, F.posexplode(F.array(*[k.cast("string") for k, _ in levels])).alias("level", "key")).filter("key is not null")
+    dims = None
+    for i, (_, dim) in enumerate(levels):
+        part = dim.select(F.lit(i).alias("level"), F.col("key").cast("string").alias("key"), "value")
+        dims = part if dims is None else dims.unionByName(part)
+    found = keys.join(dims.groupBy("level", "key").agg(F.min("value").alias("value")), ["level", "key"])
+    best = found.groupBy(row_id).agg(F.min_by(F.struct("value", "level"), "level").alias("b"))
+    return rows.select(row_id).join(best.select(row_id, "b.value", "b.level"), row_id, "left")
+
+
 def word_prefixes(text: Column) -> Column:
     """All beginnings of whole words, the longest first."""
     words = F.split(text, " ")

@@ -102,3 +102,14 @@ def e11(t):
 def j31(t):
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     return t.customer.filter(E.haversine_km(n * 3.0 - 40, n * 7.0 - 90, k % 90 - 45.0, k % 180 - 90.0) <= 5000).select("c_custkey")
+
+
+@query("k11_boundary_upsert", f"SELECT p_partkey AS entity_id, 'part' AS entity_type, CASE WHEN p_size > 25 THEN round((5 * x - r) / 5, 6) END AS lng, CASE WHEN p_size > 25 THEN 5 ELSE 0 END AS points, CASE WHEN p_size > 25 THEN 'survey' ELSE 'first import' END AS source FROM {XYR} WHERE p_size > 25 OR p_size % 2 = 0")
+def k11(t):
+    """Boundaries written on (entity type, entity id): new ones come in, known ones take the new ring and centroid."""
+    from cairn.sources.sinks import upsert
+
+    rows = rings(t).withColumn("entity_type", F.lit("part")).withColumnRenamed("p_partkey", "entity_id")
+    known = rows.filter("p_size % 2 = 0").select("entity_type", "entity_id", F.lit(None).cast("array<array<double>>").alias("ring"), F.lit(None).cast("double").alias("lng"), F.lit("first import").alias("source"))
+    new = rows.filter("p_size > 25").select("entity_type", "entity_id", "ring", F.round(E.centroid(F.col("ring"))["lng"], 6).alias("lng"), F.lit("survey").alias("source"))
+    return upsert(known, new, ["entity_type", "entity_id"]).select("entity_id", "entity_type", "lng", F.coalesce(F.size("ring"), F.lit(0)).alias("points"), "source")

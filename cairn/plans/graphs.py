@@ -27,6 +27,20 @@ def g02(t):
     return members.groupBy("root").agg(F.min_by("node", F.struct(-F.col("n"), F.col("node"))).alias("canonical"), F.sum("n").alias("total"), (F.count("*") - 1).alias("n_aliases"))
 
 
+#: Verdicts join a part to the one that has half its key; equal names join too, but for the names of an exclusion list.
+PAIRS = "(SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_size = 7 AND p_partkey > 1)"
+SAME = "(SELECT p_partkey AS a, min(p_partkey) OVER (PARTITION BY lower(p_name), p_brand) AS b FROM part WHERE lower(p_name) NOT IN ('red copper', 'blue steel'))"
+
+
+@query("g01_verdicts_and_names", f"WITH RECURSIVE e0 AS (SELECT a, b FROM {PAIRS} UNION SELECT a, b FROM {SAME} WHERE a <> b), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, min(b) AS root FROM r GROUP BY a")
+def g01_both(t):
+    """Two kinds of edges: verdicts on pairs, and equal normalised names within a brand but for those excluded."""
+    pairs = t.part.filter("p_size = 7 and p_partkey > 1").select(F.col("p_partkey").alias("a"), F.floor(F.col("p_partkey") / 2).alias("b"))
+    named = t.part.select("p_partkey", F.lower("p_name").alias("name"), "p_brand").filter(~F.col("name").isin("red copper", "blue steel"))
+    least = named.groupBy("name", "p_brand").agg(F.min("p_partkey").alias("b"))
+    return G.components(pairs.unionByName(named.join(least, ["name", "p_brand"]).select(F.col("p_partkey").alias("a"), "b")))
+
+
 TREE = "(SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey // 3 > 0)"
 CLOSURE = f"a(node, ancestor, depth) AS (SELECT child, parent, 1 FROM {TREE} UNION ALL SELECT a.node, t.parent, depth + 1 FROM a JOIN {TREE} t ON a.ancestor = t.child)"
 

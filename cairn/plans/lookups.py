@@ -35,12 +35,28 @@ def j03(t):
     return rows.join(exact, "raw", "left").withColumn("key", F.trim(F.lower("raw"))).join(normal, "key", "left").select("c_custkey", F.coalesce("a", "b").alias("r_regionkey"))
 
 
+SUFFIXES = [" red", " green", " blue", " steel", " copper"]
+#: Raw names: an alias known in code, a display, canonical or synonym name, or a name without its last word.
+RAW = "(SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'the nuts' WHEN 1 THEN p_name WHEN 2 THEN upper(p_brand) WHEN 3 THEN lower(p_type) WHEN 4 THEN string_split(p_name, ' ')[1] ELSE 'unknown' END AS raw FROM part)"
+
+
 @query("j04_five_levels", f"""
-WITH c AS (SELECT p_partkey, unnest([0, 1, 2, 3]) AS place, unnest([CASE WHEN p_size > 45 THEN 'none' END, p_brand, p_name || ' x', p_name]) AS k FROM part)
-SELECT p.p_partkey, b.v, b.place FROM part p LEFT JOIN (SELECT p_partkey, arg_min(v, place) AS v, min(place) AS place FROM c JOIN {PARTS_BY_NAME} USING (k) GROUP BY p_partkey) b ON p.p_partkey = b.p_partkey""")
+WITH q AS {RAW}, k AS (
+ SELECT p_partkey, 0 AS level, CASE raw WHEN 'the nuts' THEN (SELECT min(p_name) FROM part) END AS key FROM q UNION ALL SELECT p_partkey, 1, raw FROM q UNION ALL SELECT p_partkey, 2, lower(raw) FROM q UNION ALL SELECT p_partkey, 3, upper(raw) FROM q
+ UNION ALL SELECT p_partkey, 3 + i, raw || [{", ".join(f"'{x}'" for x in SUFFIXES)}][i] FROM q, range(1, 6) AS r(i)),
+d AS (SELECT p_name AS key, p_partkey AS value, unnest([0, 1, 4, 5, 6, 7, 8]) AS level FROM part UNION ALL SELECT lower(p_brand), p_partkey, 2 FROM part UNION ALL SELECT upper(p_type), p_partkey, 3 FROM part),
+m AS (SELECT p_partkey, level, min(value) AS value FROM k JOIN d USING (level, key) GROUP BY p_partkey, level)
+SELECT p_partkey, b.value, b.level FROM part LEFT JOIN (SELECT p_partkey, arg_min(value, level) AS value, min(level) AS level FROM m GROUP BY p_partkey) b USING (p_partkey)""")
 def j04(t):
-    levels = [F.when(F.col("p_size") > 45, "none"), F.col("p_brand"), F.concat("p_name", F.lit(" x")), F.col("p_name")]
-    return L.by_candidates(t.part, "p_partkey", levels, parts_by_name(t), "k", "v")
+    """Alias known in code, display name, canonical name, synonym, then the name with each of five endings."""
+    kinds = [F.lit("the nuts"), F.col("p_name"), F.upper("p_brand"), F.lower("p_type"), F.split("p_name", " ")[0], F.lit("unknown")]
+    raw = F.col("raw")
+    first = t.part.agg(F.min("p_name").alias("first"))
+    rows = t.part.select("p_partkey", F.get(F.array(*kinds), F.col("p_size") % 6).alias("raw")).crossJoin(F.broadcast(first))  # one row
+    dim = lambda key: t.part.select(key.alias("key"), F.col("p_partkey").alias("value"))
+    display = dim(F.col("p_name"))
+    levels = [(F.when(raw == "the nuts", F.col("first")), display), (raw, display), (F.lower(raw), dim(F.lower("p_brand"))), (F.upper(raw), dim(F.upper("p_type")))]
+    return L.by_levels(rows, "p_partkey", levels + [(F.concat(raw, F.lit(x)), display) for x in SUFFIXES])
 
 
 @query("j05_composite_key", "SELECT l_orderkey, l_linenumber, d.v FROM lineitem LEFT JOIN (SELECT l_returnflag AS f, l_linestatus AS s, min(l_orderkey) AS v FROM lineitem GROUP BY 1, 2) d ON l_returnflag = f AND l_linestatus = s")
@@ -124,12 +140,35 @@ def j15(t):
     return L.longest_prefix(rows, "p_partkey", "name", first_words(t), "k", "v")
 
 
+#: Place names as a listing writes them, in the country (here the region) that it names.
+PLACES = "(SELECT p_partkey, r_name AS country, [n_name, lower(n_name), n_name || ' Riserva', lower(n_name) || ' Superiore', n_name || ' di Sopra', r_name, '  ' || lower(r_name), 'Old World', 'nowhere'][p_size % 9 + 1] AS raw FROM part JOIN nation ON p_partkey % 25 = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+QUALITY, DI = "(?i) (?:riserva|superiore|classico)$", "^(.+?) di .+$"
+
+
 @query("j27_mapping_cascade", f"""
-WITH c AS (SELECT p_partkey, unnest([0, 1, 2]) AS place, unnest([p_name, array_to_string(string_split(p_name, ' ')[1:2], ' '), string_split(p_name, ' ')[1]]) AS k FROM part)
-SELECT p_partkey, arg_min(v, place) AS v, min(place) AS place FROM c JOIN {FIRST_WORDS} USING (k) GROUP BY p_partkey""")
+WITH q AS {PLACES}, x AS (SELECT *, CASE WHEN regexp_matches(raw, '{QUALITY}') THEN regexp_replace(raw, '{QUALITY}', '') END AS s, nullif(regexp_extract(raw, '{DI}', 1), '') AS di FROM q),
+k AS (SELECT p_partkey, country, unnest(range(0, 9)) AS level, unnest([raw, lower(trim(raw)), s, lower(trim(s)), di, lower(trim(di)), raw, lower(trim(raw)), CASE WHEN raw = 'Old World' THEN 'EUROPE' END]) AS key FROM x),
+n AS (SELECT n_name AS name, r_name AS country, n_nationkey AS v FROM nation JOIN region ON n_regionkey = r_regionkey), r AS (SELECT r_name AS name, r_name AS country, 100 + r_regionkey AS v FROM region),
+d AS (SELECT unnest([0, 2, 4]) AS level, name AS key, country, v FROM n UNION ALL SELECT unnest([1, 3, 5]), lower(name), country, v FROM n UNION ALL SELECT 6, name, country, v FROM r UNION ALL SELECT 7, lower(name), country, v FROM r UNION ALL SELECT 8, name, country, v FROM r),
+m AS (SELECT p_partkey, level, v FROM k JOIN d USING (level, key, country))
+SELECT p_partkey, b.value, b.level FROM part LEFT JOIN (SELECT p_partkey, arg_min(v, level) AS value, min(level) AS level FROM m GROUP BY p_partkey) b USING (p_partkey)""")
 def j27(t):
-    words = F.split("p_name", " ")
-    return L.by_candidates(t.part, "p_partkey", [F.col("p_name"), F.array_join(F.slice(words, 1, 2), " "), words[0]], first_words(t), "k", "v")
+    """Appellation as written and normalised, without quality words, as the X of "X di Y", then region as written, normalised and by hand."""
+    nations = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    n, r = F.col("n_name"), F.col("r_name")
+    kinds = [n, F.lower(n), F.concat(n, F.lit(" Riserva")), F.concat(F.lower(n), F.lit(" Superiore")), F.concat(n, F.lit(" di Sopra")), r, F.concat(F.lit("  "), F.lower(r)), F.lit("Old World"), F.lit("nowhere")]
+    rows = t.part.join(nations, F.col("p_partkey") % 25 == F.col("n_nationkey")).select("p_partkey", r.alias("country"), F.get(F.array(*kinds), F.col("p_size") % 9).alias("raw"))
+    raw = F.col("raw")
+    stripped = F.when(raw.rlike(QUALITY), F.regexp_replace(raw, QUALITY, ""))
+    base = F.nullif(F.regexp_extract(raw, DI, 1), F.lit(""))
+    plain = lambda c: F.lower(F.trim(c))
+    within = lambda c: F.concat(c, F.lit("|"), F.col("country"))  # noqa: E731 - null where the name is
+    dim = lambda df, key, value: df.select(F.concat(key, F.lit("|"), "r_name").alias("key"), value.cast("long").alias("value"))
+    place, place_plain = dim(nations, n, F.col("n_nationkey")), dim(nations, F.lower(n), F.col("n_nationkey"))
+    region, region_plain = dim(t.region, r, 100 + F.col("r_regionkey")), dim(t.region, F.lower(r), 100 + F.col("r_regionkey"))
+    levels = [(c, d) for name in (raw, stripped, base) for c, d in ((within(name), place), (within(plain(name)), place_plain))]
+    levels += [(within(raw), region), (within(plain(raw)), region_plain), (within(F.when(raw == "Old World", "EUROPE")), region)]
+    return t.part.select("p_partkey").join(L.by_levels(rows, "p_partkey", levels), "p_partkey", "left")
 
 
 @query("j28_shortened_prefix", f"SELECT p_partkey, k, v FROM (SELECT p_partkey, p_name AS name FROM part) JOIN {FIRST_WORDS} d ON name = k OR starts_with(name, k || ' ') QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(k) DESC) = 1")

@@ -138,17 +138,21 @@ def j24(t):
 
 
 @query("j25_four_way_cascade", f"""
-WITH q AS (SELECT * FROM {LISTED}), c AS (SELECT * FROM {CANON}), al AS (SELECT * FROM {ALIAS}),
+WITH q AS (SELECT name, substr(name, 1, length(name) - 1) AS s FROM {LISTED}), c AS (SELECT name, id, substr(name, 1, length(name) - 1) AS s FROM {CANON}), al AS (SELECT * FROM {ALIAS}),
 m AS (SELECT q.name, c.id, 0 AS n FROM q JOIN c USING (name) UNION ALL SELECT q.name, al.id, 1 FROM q JOIN al USING (name)
- UNION ALL SELECT q.name, c.id, 2 FROM q JOIN c ON substr(q.name, 1, length(q.name) - 1) = c.name)
-SELECT name, arg_min(id, (n, id)) AS id, ['exact', 'alias', 'stripped'][min(n) + 1] AS tier FROM m GROUP BY name""")
+ UNION ALL SELECT q.name, c.id, 2 FROM q JOIN c ON q.s = c.name UNION ALL SELECT q.name, al.id, 3 FROM q JOIN al ON q.s = al.name
+ UNION ALL SELECT q.name, c.id, 4 FROM q JOIN c ON q.name = c.s UNION ALL SELECT q.name, c.id, 5 FROM q JOIN c ON q.s = c.s)
+SELECT name, arg_min(id, (n, id)) AS id, ['exact', 'alias', 'stripped', 'stripped', 'reverse', 'reverse'][min(n) + 1] AS tier FROM m GROUP BY name""")
 def j25(t):
-    rows = listed(t)
-    exact = rows.join(canon(t), "name").withColumn("seq", F.col("id"))
-    alias = rows.join(aliases(t), "name").withColumn("seq", F.col("id"))
-    short = rows.select("name", F.expr("substr(name, 1, length(name) - 1)").alias("s")).join(canon(t).withColumnRenamed("name", "s"), "s").withColumn("seq", F.col("id"))
+    """By name, by alias, by the name without its ending (to either), and by names that lose their own ending."""
+    cut = lambda c: F.substring(c, F.lit(1), F.length(c) - 1)
+    rows = listed(t).withColumn("s", cut(F.col("name")))
+    known = canon(t).select(F.col("name").alias("k"), "id", cut(F.col("name")).alias("ks"))
+    other = aliases(t).select(F.col("name").alias("k"), "id")
+    met = lambda side, mine, theirs: rows.join(side, F.col(mine) == F.col(theirs)).select("name", "id", F.col("id").alias("seq"))
     one = F.lit(1.0)
-    return M.tiers([(exact, "exact", one), (alias, "alias", one), (short, "stripped", one)], "name", "id").select("name", "id", "tier")
+    parts = [(known, "name", "k", "exact"), (other, "name", "k", "alias"), (known, "s", "k", "stripped"), (other, "s", "k", "stripped"), (known, "name", "ks", "reverse"), (known, "s", "ks", "reverse")]
+    return M.tiers([(met(side, mine, theirs), tier, one) for side, mine, theirs, tier in parts], "name", "id").select("name", "id", "tier")
 
 
 @query("j26_confidence_label", f"SELECT p_brand, a.name AS l_name, b.name AS r_name, CASE WHEN a.name = b.name THEN 'exact' WHEN contains(a.name, b.name) OR contains(b.name, a.name) THEN 'substring' WHEN replace(a.name, ' ', '-') = replace(b.name, ' ', '-') THEN 'slug_match' END AS label FROM {OTHER} a JOIN {NAMES} b USING (p_brand) WHERE label IS NOT NULL")
@@ -162,6 +166,28 @@ def j26(t):
     return a.join(b, "p_brand").withColumn("label", label).filter("label is not null")
 
 
+#: Producers: names that stand in one or more countries (here brands), some of them deleted, and listings that name a country.
+MAKERS = "(SELECT p_name AS name, p_brand AS country, min(p_partkey) AS id, bool_and(p_size > 40) AS deleted FROM part GROUP BY 1, 2)"
+
+
+@query("j22_exact_in_scope", f"""
+WITH q AS (SELECT DISTINCT p_name AS name, p_brand AS country FROM part UNION SELECT DISTINCT p_name, NULL FROM part UNION SELECT DISTINCT p_name, 'Brand#99' FROM part), m AS (SELECT * FROM {MAKERS} WHERE NOT deleted),
+al AS (SELECT string_split(name, ' ')[1] || ' alias' AS name, arg_min(id, id) AS id, arg_min(deleted, id) AS deleted FROM {MAKERS} GROUP BY 1), qq AS (SELECT * FROM q UNION SELECT name, NULL FROM al),
+e AS (SELECT qq.name, qq.country, arg_min(m.id, (CASE WHEN m.country = qq.country THEN 0 ELSE 1 END, m.id)) AS id, 'exact' AS tier FROM qq JOIN m ON qq.name = m.name GROUP BY 1, 2)
+SELECT * FROM e UNION ALL SELECT qq.name, qq.country, al.id, 'alias' FROM qq JOIN al ON qq.name = al.name WHERE NOT al.deleted AND NOT EXISTS (SELECT 1 FROM e WHERE e.name = qq.name)""")
+def j22_scope(t):
+    """Exact names prefer the country that the listing names; deleted producers do not match, nor do aliases of them."""
+    makers = t.part.groupBy(F.col("p_name").alias("name"), F.col("p_brand").alias("maker_country")).agg(F.min("p_partkey").alias("id"), F.every(F.col("p_size") > 40).alias("deleted"))
+    alias = makers.groupBy(F.concat(F.split("name", " ")[0], F.lit(" alias")).alias("name")).agg(F.min("id").alias("id"), F.min_by("deleted", "id").alias("deleted"))
+    names = t.part.select(F.col("p_name").alias("name")).distinct()
+    none = F.lit(None).cast("string").alias("country")
+    rows = t.part.select(F.col("p_name").alias("name"), F.col("p_brand").alias("country")).unionByName(names.select("name", none)).unionByName(names.select("name", F.lit("Brand#99").alias("country"))).unionByName(alias.select("name", none)).distinct()
+    same = F.when(F.col("country") == F.col("maker_country"), 0).otherwise(1)
+    exact = rows.join(makers.filter("not deleted"), "name").groupBy("name", "country").agg(F.min_by("id", F.struct(same, F.col("id"))).alias("id"), F.lit("exact").alias("tier"))
+    by_alias = rows.join(exact.select("name"), "name", "left_anti").join(alias.filter("not deleted"), "name").select("name", "country", "id", F.lit("alias").alias("tier"))
+    return exact.unionByName(by_alias)
+
+
 @query("j22_unmatched", TIERS + "SELECT q.name FROM q LEFT JOIN b USING (name) WHERE b.name IS NULL")
 def unmatched(t):
     rows, parts = three_tiers(t)
