@@ -48,7 +48,7 @@ def a06(t):
 
 @query("a07_two_levels", "SELECT r_name, n_name, c_mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((r_name, n_name, c_mktsegment), (r_name, c_mktsegment))")
 def a07(t):
-    rows = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.groupingSets([["r_name", "n_name", "c_mktsegment"], ["r_name", "c_mktsegment"]], "r_name", "n_name", "c_mktsegment").agg(F.count("*").alias("n"))
 
 

@@ -51,8 +51,7 @@ def j04(t):
     """Alias known in code, display name, canonical name, synonym, then the name with each of five endings."""
     kinds = [F.lit("the nuts"), F.col("p_name"), F.upper("p_brand"), F.lower("p_type"), F.split("p_name", " ")[0], F.lit("unknown")]
     raw = F.col("raw")
-    first = t.part.agg(F.min("p_name").alias("first"))
-    rows = t.part.select("p_partkey", F.get(F.array(*kinds), F.col("p_size") % 6).alias("raw")).crossJoin(F.broadcast(first))  # one row
+    rows = t.part.select("p_partkey", F.get(F.array(*kinds), F.col("p_size") % 6).alias("raw")).withColumn("first", t.part.agg(F.min("p_name")).scalar())
     dim = lambda key: t.part.select(key.alias("key"), F.col("p_partkey").alias("value"))
     display = dim(F.col("p_name"))
     levels = [(F.when(raw == "the nuts", F.col("first")), display), (raw, display), (F.lower(raw), dim(F.lower("p_brand"))), (F.upper(raw), dim(F.upper("p_type")))]

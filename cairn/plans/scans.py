@@ -16,14 +16,21 @@ def s01(t):
     return t.customer.filter(F.col("c_mktsegment") == "BUILDING").select("c_custkey", "c_name", "c_acctbal")
 
 
+def chunked(rows, key, *by, size=1000):
+    """Rows with ``chunk``, which cuts each group of ``by`` into parts of about ``size`` rows."""
+    sizes = rows.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias("chunks"))
+    joined = rows.join(sizes, list(by)) if by else rows.withColumn("chunks", sizes.scalar())
+    return joined.withColumn("chunk", F.pmod(F.xxhash64(key), F.col("chunks"))).drop("chunks")
+
+
 @query("s02_json_envelope", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def s02(t):
+    """Documents ``{"items": [...]}`` of about 1,000 rows, one a file."""
     rows = t.customer.select("c_custkey", "c_name", "c_mktsegment")
     path = shared_dir(rows.sparkSession, "envelope")
-    rows.groupBy(F.pmod("c_custkey", F.lit(1000)).alias("part")).agg(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment")).alias("items")).select("items").write.json(path)
-    # Spark writes one envelope a line; read line by line rather than as one document a file.
-    outer = T.StructType([T.StructField("items", T.ArrayType(rows.schema))])
-    return rows.sparkSession.read.schema(outer).json(path).select(F.explode("items").alias("r")).select("r.*")
+    envelopes = chunked(rows, "c_custkey").groupBy("chunk").agg(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment")).alias("items"))
+    envelopes.select("items").write.option("maxRecordsPerFile", 1).json(path)
+    return files.read_envelope(rows.sparkSession, path, "items", rows.schema)
 
 
 @query("s03_json_lines", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -90,7 +97,8 @@ def s13(t):
         F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).alias("properties"),
         F.struct(F.lit("Point").alias("type"), F.array(F.col("s_nationkey").cast("double"), (F.col("s_nationkey") * 2).cast("double")).alias("coordinates")).alias("geometry"),
     )
-    t.supplier.groupBy("s_nationkey").agg(F.collect_list(feature).alias("features")).select("features").repartition(8).write.option("maxRecordsPerFile", 1).json(path)
+    collections = chunked(t.supplier, "s_suppkey", "s_nationkey").groupBy("s_nationkey", "chunk").agg(F.collect_list(feature).alias("features"))
+    collections.select("features").write.option("maxRecordsPerFile", 1).json(path)
     found = files.read_features(spark, path, T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())]), T.ArrayType(T.DoubleType()))
     return found.select("id", "name", "geometry_type", F.col("coordinates")[0].alias("lng"), F.col("coordinates")[1].alias("lat"))
 
@@ -125,3 +133,27 @@ def s19(t):
         row = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), F.lit(len(df.columns)).cast("long").alias("n_columns"), "n_rows")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+ARTICLE = "(?s)<article>(.*?)</article>"
+
+
+@query("s12_html_pages", rf"""
+SELECT page_id, nullif(regexp_extract(html, '<html[^>]* lang="([a-z]+)"', 1), '') AS lang, nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') AS title,
+ nullif(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '') AS heading, array_to_string(regexp_extract_all(html, '<a href="([^"]*)"', 1), ' ') AS links,
+ CAST(len(regexp_extract_all(regexp_extract(html, '{ARTICLE}', 1), '(?s)<p>(.*?)</p>', 1)) AS BIGINT) AS paragraphs,
+ sha256(trim(regexp_replace(regexp_replace(regexp_extract(html, '{ARTICLE}', 1), '<[^>]+>', ' ', 'g'), ' +', ' ', 'g'))) AS body
+FROM pages""")
+def s12(t):
+    """Records from pages by what marks their fields: attributes, elements, links and the article's text."""
+    one = lambda pattern: F.nullif(F.regexp_extract("html", pattern, 1), F.lit(""))
+    article = F.regexp_extract("html", ARTICLE, 1)
+    return t.pages.select(
+        "page_id",
+        one('<html[^>]* lang="([a-z]+)"').alias("lang"),
+        one("(?s)<title>(.*?)</title>").alias("title"),
+        one("(?s)<h1>(.*?)</h1>").alias("heading"),
+        F.array_join(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)), " ").alias("links"),
+        F.size(F.regexp_extract_all(article, F.lit("(?s)<p>(.*?)</p>"), F.lit(1))).cast("long").alias("paragraphs"),
+        F.sha2(F.trim(F.regexp_replace(F.regexp_replace(article, "<[^>]+>", " "), " +", " ")), 256).alias("body"),
+    )

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cairn.plans.registry import query
+from cairn.plans.scans import chunked
 from cairn.session import shared_dir
 from cairn.sources import sinks
 
@@ -70,7 +71,7 @@ def k08(t):
     sinks.write_with_envelope(t.supplier, path, source="supplier")
     head = spark.read.schema("count long, source string").json(f"{path}/metadata")
     rows = spark.read.schema(t.supplier.schema).json(f"{path}/rows").select("s_suppkey", "s_name", "s_acctbal")
-    return rows.crossJoin(F.broadcast(head))  # one row of metadata
+    return rows.select("*", head.select("count").scalar().alias("count"), head.select("source").scalar().alias("source"))
 
 
 @query("k09_lines_to_array", "SELECT c_nationkey, c_custkey, c_name FROM customer")
@@ -78,8 +79,7 @@ def k09(t):
     """Lines into JSON arrays of about 1,000 rows, several a nation, and back."""
     spark = t.customer.sparkSession
     path = shared_dir(spark, "arrays")
-    sizes = t.customer.groupBy("c_nationkey").agg(F.ceil(F.count("*") / 1000).cast("int").alias("chunks"))
-    rows = t.customer.join(sizes, "c_nationkey").withColumn("chunk", F.pmod(F.xxhash64("c_custkey"), F.col("chunks")))
+    rows = chunked(t.customer, "c_custkey", "c_nationkey")
     rows.groupBy("c_nationkey", "chunk").agg(F.collect_list(F.struct("c_custkey", "c_name")).alias("rows")).write.json(path)
     arrays = spark.read.schema("c_nationkey long, rows array<struct<c_custkey: long, c_name: string>>").json(path)
     return arrays.select("c_nationkey", F.explode("rows").alias("r")).select("c_nationkey", "r.c_custkey", "r.c_name")

@@ -32,7 +32,8 @@ def z04(t):
         held["last"] = materialise(batch, "rates")
 
     Z.run_batches(counts, "rates", keep, mode="complete")
-    return held["last"].select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+    last = held.get("last", t._spark.createDataFrame([], counts.schema))  # no batch came
+    return last.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 
 @query("z07_first_lookups", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -227,23 +227,36 @@ def t26(t):
 
 @query("t27_query_variants", "SELECT n_nationkey, array_to_string(list_transform(range(1, len(v) + 1), lambda i: v[i]), '|') AS variants FROM (SELECT n_nationkey, CASE WHEN n_name = r_name THEN [n_name] ELSE [n_name || ', ' || r_name, n_name, n_name || ' (' || r_name || ')'] END AS v FROM nation JOIN region ON n_regionkey = r_regionkey)")
 def t27(t):
-    rows = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     other = F.col("n_name") != F.col("r_name")
     variants = F.array(F.when(other, F.concat_ws(", ", "n_name", "r_name")), F.col("n_name"), F.when(other, F.format_string("%s (%s)", "n_name", "r_name")))
     return rows.select("n_nationkey", F.array_join(F.array_distinct(F.filter(variants, lambda v: v.isNotNull())), "|").alias("variants"))
 
 
+#: Endings of each country's aliases (here by region), and names in another language.
+COLOURS = {"EUROPE": [" rouge", " blanc"], "AMERICA": [" red", " white"], "ASIA": [" RED"]}
+TRANSLATIONS = {"GERMANY": "Deutschland", "CHINA": "Zhōngguó", "FRANCE": "france", "ROMANIA": "România"}
+
+
 @query("t28_alias_generation", f"""
-WITH a AS (SELECT n_nationkey, n_name || s AS alias, pr FROM nation, (VALUES ('', 0), (' rouge', 1), (' blanc', 2), ('  ROUGE', 3)) AS v(s, pr)),
-b AS (SELECT *, {norm('alias')} AS k FROM a WHERE pr > 0)
-SELECT n_nationkey, k AS alias_normalised, alias FROM b QUALIFY row_number() OVER (PARTITION BY n_nationkey, k ORDER BY pr) = 1""")
+WITH n AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+a AS (SELECT n_nationkey, n_name, n_name || s AS alias, 'with_color' AS kind, pr FROM n JOIN (VALUES {', '.join(f"('{r}', '{x}', {i})" for r, xs in COLOURS.items() for i, x in enumerate(xs))}) AS v(r, s, pr) ON r_name = r
+ UNION ALL SELECT n_nationkey, n_name, strip_accents('É' || n_name), 'synonym', 10 FROM n UNION ALL SELECT n_nationkey, n_name, n_name || ' AOC', 'with_designation', 20 FROM n WHERE NOT contains(lower(n_name), 'ia')
+ UNION ALL SELECT n_nationkey, n_name, v, 'local_name', 30 FROM n JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in TRANSLATIONS.items())}) AS t(k, v) ON n_name = k),
+b AS (SELECT *, {norm('alias')} AS k FROM a)
+SELECT n_nationkey, k AS alias_normalised, alias, kind FROM b WHERE k <> {norm('n_name')} QUALIFY row_number() OVER (PARTITION BY n_nationkey, k ORDER BY pr) = 1""")
 def t28(t):
+    """Aliases by colour and country, without accents, by designation and by translation; the first of equal ones, none equal to the name."""
     from cairn.operators.dedup import first_by
 
-    suffixes = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(i + 1).alias("pr")) for i, s in enumerate([" rouge", " blanc", "  ROUGE"])])
-    rows = t.nation.select("n_nationkey", "n_name", F.explode(suffixes).alias("x")).select("n_nationkey", F.concat("n_name", "x.s").alias("alias"), "x.pr", N.normalise("n_name").alias("own"))
-    keyed = rows.withColumn("alias_normalised", N.normalise("alias")).filter("alias_normalised <> own")
-    return first_by(keyed, ["n_nationkey", "alias_normalised"], [F.asc("pr")]).select("n_nationkey", "alias_normalised", "alias")
+    made = lambda alias, kind, pr: F.struct(alias.alias("alias"), F.lit(kind).alias("kind"), F.lit(pr).alias("pr"))
+    name = F.col("n_name")
+    aliases = [F.when(F.col("r_name") == r, made(F.concat(name, F.lit(x)), "with_color", i)) for r, xs in COLOURS.items() for i, x in enumerate(xs)]
+    aliases += [made(N.strip_accents(F.concat(F.lit("É"), name)), "synonym", 10), F.when(~F.contains(F.lower(name), F.lit("ia")), made(F.concat(name, F.lit(" AOC")), "with_designation", 20))]
+    aliases += [F.when(name == k, made(F.lit(v), "local_name", 30)) for k, v in TRANSLATIONS.items()]
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", N.normalise("n_name").alias("own"), F.explode(F.array(*aliases)).alias("x")).filter("x is not null")
+    keyed = rows.select("n_nationkey", "own", "x.*").withColumn("alias_normalised", N.normalise("alias")).filter("alias_normalised <> own")
+    return first_by(keyed, ["n_nationkey", "alias_normalised"], [F.asc("pr")]).select("n_nationkey", "alias_normalised", "alias", "kind")
 
 
 @query("t29_display", "SELECT event_id, substr(sha256(CAST(event_id AS VARCHAR)), 1, 8) || '...' AS short FROM events")

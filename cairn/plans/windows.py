@@ -53,10 +53,11 @@ def w07(t):
     return t.events.select("event_id", F.max("value").over(w).alias("peak"))
 
 
-@query("w08_batch_numbers", "SELECT o_orderkey, CAST(ceil(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) / 200.0) AS BIGINT) AS batch FROM orders")
+@query("w08_batch_numbers", "SELECT o_orderkey, CAST(ceil(row_number() OVER (ORDER BY o_orderkey) / 200.0) AS BIGINT) AS batch FROM orders")
 def w08(t):
-    turn = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
-    return t.orders.select("o_orderkey", F.ceil(turn / 200).cast("long").alias("batch"))
+    from cairn.operators.profile import positions
+
+    return positions(t.orders.select("o_orderkey"), "o_orderkey").select("o_orderkey", F.ceil(F.col("position") / 200).cast("long").alias("batch"))
 
 
 @query("l01_page", "SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY nullif(c_mktsegment, 'BUILDING') DESC NULLS FIRST, c_custkey LIMIT 50 OFFSET 100")

@@ -39,12 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder below the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Where that is unset (tests, a laptop) a temporary folder takes its place and becomes the
-    session's checkpoint folder. Hadoop removes the fresh folder when the session ends.
+    Where that is unset on a local master (tests, a laptop) a temporary folder takes its place and
+    becomes the session's checkpoint folder; on a cluster it is an error, as executors and driver
+    would each write to a disk of their own. Hadoop removes the fresh folder when the session ends.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -63,9 +66,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, since documents can be long."""
+def arrow_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
+    """Bound the rows and bytes of an Arrow batch, since documents can be long.
+
+    Plans read the setting when they run, so it stays set for the session; it bounds memory only.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def partition_keys(spark: SparkSession, n: int) -> list[int]:

@@ -59,4 +59,6 @@ def latest_by_key(stream: DataFrame, key: str, seq: str, columns: list[str], tag
         versions.append(path)
 
     run_batches(stream, tag, handle)
+    if not versions:  # no batch came
+        return spark.createDataFrame([], stream.select(key, seq, *columns).schema)
     return spark.read.parquet(versions[-1])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geometry, names, nested, parse
 from cairn.operators import dedup, graphs, lookups, matching, profile, survivorship
+from cairn.sources import sinks
 
 
 def one(spark, column, value, kind="string"):
@@ -180,3 +181,39 @@ def test_workbooks_round_trip(spark, tmp_path):
     (tmp_path / "b.xlsx").write_bytes(workbooks.build_workbook(book))
     got = {(r["sheet"], r["number"]): r["record"] for r in workbooks.read_workbooks(spark, str(tmp_path), skip=("Skip",)).collect()}
     assert got == {("One", 2): {"a": "1", "col_1": "x<&y"}, ("One", 3): {"a": "2", "col_1": None}, ("Tw o", 2): {"a": "é"}}
+
+
+def test_positions_follow_a_key_over_ranges(spark):
+    df = spark.createDataFrame([(k * 7 % 1001, "x") for k in range(1000)], "k int, v string").repartition(5)
+    got = [r["position"] for r in profile.positions(df, "k").orderBy("k").collect()]
+    assert got == list(range(1, 1001))
+
+
+def test_by_levels_takes_the_first_level_that_matches(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "B"), (3, "c"), (4, None)], "id int, name string")
+    dim = lambda *pairs: spark.createDataFrame(pairs, "key string, value int")
+    got = lookups.by_levels(rows, "id", [(F.col("name"), dim(("a", 7), ("a", 5))), (F.lower("name"), dim(("a", 1), ("b", 2)))])
+    assert {r["id"]: (r["value"], r["level"]) for r in got.collect()} == {1: (5, 0), 2: (2, 1), 3: (None, None), 4: (None, None)}
+
+
+def test_soft_delete_and_restore(spark):
+    rows = spark.createDataFrame([(1, None), (2, "old"), (3, None), (4, "old")], "id int, deleted_at string")
+    keys = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    gone = sinks.soft_delete(rows, keys(1, 2, 2), "id", F.lit("new"))
+    assert {r["id"]: r["deleted_at"] for r in gone.collect()} == {1: "new", 2: "old", 3: None, 4: "old"}
+    assert {r["id"]: r["deleted_at"] for r in sinks.restore(gone, keys(1, 4), "id").collect()} == {1: None, 2: "old", 3: None, 4: None}
+
+
+def test_upsert_keeps_keys_unique(spark):
+    df = lambda *r: spark.createDataFrame(r, "k int, v string")
+    got = sinks.upsert(df((1, "a"), (2, "b")), df((2, "c"), (2, "d"), (3, None)), ["k"])
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "d"), (3, None)]
+
+
+def test_loops_never_end_with_a_partial_result(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(9)], "a int, b int")
+    with pytest.raises(RuntimeError):
+        graphs.ancestors(chain, "a", "b", max_depth=3)
+    with pytest.raises(RuntimeError):
+        graphs.components(chain, max_rounds=1)
+    assert graphs.ancestors(chain, "a", "b").count() == 45
