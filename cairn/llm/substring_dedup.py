@@ -443,7 +443,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     phrases = by_tag(confirmed.filter("phrases is not null").select("tag", "phrases").unionByName(cut)).agg(F.collect_list("phrases").alias("phrases"))
     shards = texts.join(phrases, "tag").select("first_doc", "tag", "text", "phrases")
     judged = shards.mapInArrow(_judge_local(keys, max_phrases, max_bytes), FIRSTS).repartition(parts, "bucket").mapInArrow(_judge, "doc long, tag long, starts binary")
-    gone = judged.repartition(parts, "tag").groupBy("tag", "doc").agg(F.collect_list("starts").alias("starts")).withColumnRenamed("doc", "first_doc")
+    gone = by_tag(judged).agg(F.collect_list(F.struct("doc", "starts")).alias("gone"))
 
     @F.arrow_udf("struct<n_words: long, n_removed: long, kept: string>")
     def rewrite(text: pa.Array, starts: pa.Array) -> pa.Array:
@@ -459,7 +459,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept.append(hashlib.sha256(out).hexdigest() if digest_only else out.decode("utf-8"))
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["n_words", "n_removed", "kept"])
 
-    results = texts.join(gone, ["tag", "first_doc"], "left").select("digest", "first_doc", rewrite("text", "starts").alias("r"))
+    own = F.transform(F.filter("gone", lambda x: x["doc"] == F.col("first_doc")), lambda x: x["starts"])
+    results = texts.join(gone, "tag", "left").select("digest", "first_doc", rewrite("text", own).alias("r"))
     results = materialise(results.select("digest", "first_doc", "r.*"), "passages")  # so that the join can split a text with many copies
     spark.sql(f"DROP TABLE IF EXISTS {table}")  # its files go with the session
     copy = (F.col("doc") > F.col("first_doc")) & (F.col("n_words") >= WINDOW)
