@@ -43,19 +43,30 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Texts that accents and compositions can be in; the others stay out of Python.
+NOT_ASCII = r"[^\x00-\x7F]"
+
+
 @F.arrow_udf(T.StringType())
-def strip_accents(text: pa.Array) -> pa.Array:
-    """NFD without non-spacing marks."""
-    return pa.array(
-        [t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn") for t in text.to_pylist()],
-        pa.string(),
-    )
+def _without_marks(text: pa.Array) -> pa.Array:
+    return pa.array([t if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn") for t in text.to_pylist()], pa.string())
 
 
 @F.arrow_udf(T.StringType())
-def compose(text: pa.Array) -> pa.Array:
+def _composed(text: pa.Array) -> pa.Array:
+    return pa.array([t if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
+
+
+def strip_accents(c: str | Column) -> Column:
+    """NFD without non-spacing marks."""
+    col = _col(c)
+    return F.coalesce(_without_marks(F.when(col.rlike(NOT_ASCII), col)), col)
+
+
+def compose(c: str | Column) -> Column:
     """NFC."""
-    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
+    col = _col(c)
+    return F.coalesce(_composed(F.when(col.rlike(NOT_ASCII), col)), col)
 
 
 def _tidy(c: Column) -> Column:

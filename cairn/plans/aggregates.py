@@ -77,7 +77,7 @@ def a12(t):
     orders = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
     per_customer = t.customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").agg(F.count("*").alias("customers"), F.count("n").alias("with_orders"), F.sum("n").alias("orders"))
     lines = t.lineitem.agg(F.round(F.count("*") / F.countDistinct("l_orderkey"), 4).alias("lines_per_order"))
-    return per_customer.join(F.broadcast(lines), F.lit(True))
+    return per_customer.withColumn("lines_per_order", lines.scalar())
 
 
 @query("a13_fact_counts", "SELECT n_nationkey, n_name, n FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey) ON s_nationkey = n_nationkey")
@@ -105,7 +105,7 @@ def a16(t):
 @query("a17_popularity", "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = (SELECT min(event_type) FROM events)) AS n_first FROM events GROUP BY user_id")
 def a17(t):
     least = t.events.agg(F.min("event_type").alias("least"))
-    rows = t.events.join(F.broadcast(least), F.lit(True))
+    rows = t.events.withColumn("least", least.scalar())
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == F.col("least")).alias("n_first"))
 
 

@@ -17,7 +17,7 @@ def search(entities: dict[str, tuple[DataFrame, str, str]], term: str, limit: in
         hits = df.filter(contains_any_case(name, term)).select(F.col(key).cast("string").alias("id"), F.col(name).alias("name"))
         total = hits.agg(F.count("*").alias("total"))
         page = hits.orderBy("name", F.col("id").cast("long")).limit(limit)
-        parts.append(page.join(F.broadcast(total), F.lit(True)).select(F.lit(kind).alias("kind"), "id", "name", "total"))
+        parts.append(page.select(F.lit(kind).alias("kind"), "id", "name", total.scalar().alias("total")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -36,29 +36,32 @@ def run_batches(stream: DataFrame, tag: str, handle: Callable[[DataFrame, int],
     query.awaitTermination()
 
 
-def latest_by_key(stream: DataFrame, key: str, seq: str, columns: list[str], tag: str) -> DataFrame:
-    """A buffered upsert sink: each batch's last row a key is merged into the table so far.
+def latest_by_key(stream: DataFrame, key: str, seq: str, columns: list[str], tag: str, fanout: int = 8) -> DataFrame:
+    """A buffered upsert sink: the last row a key, whichever micro-batch brought it.
 
-    Every batch writes a new version beside the old one, so a batch that is run again after a
-    failure starts from the version before it.
+    A batch writes its own last rows only; once ``fanout`` parts have come together they are merged
+    into one. A batch that is run again after a failure writes the same rows again, which changes
+    nothing. Without any batch the table is empty.
     """
     from pyspark.sql import functions as F
 
     spark = stream.sparkSession
     root = shared_dir(spark, tag)
-    versions: list[str] = []
+    parts: list[str] = []
+    schema = stream.select(key, seq, *columns).schema
+
+    def latest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(key).agg(F.max(seq).alias(seq), F.max_by(F.struct(*columns), seq).alias("v")).select(key, seq, "v.*")
 
     def handle(batch: DataFrame, number: int) -> None:
-        value = F.max_by(F.struct(*columns), seq)
-        new = batch.groupBy(key).agg(F.max(seq).alias(seq), value.alias("v")).select(key, seq, "v.*")
-        if versions:
-            both = spark.read.parquet(versions[-1]).unionByName(new)
-            new = both.groupBy(key).agg(F.max(seq).alias(seq), value.alias("v")).select(key, seq, "v.*")
         path = f"{root}/{number}"
-        new.write.mode("overwrite").parquet(path)
-        versions.append(path)
+        latest(batch).write.mode("overwrite").parquet(path)
+        if path not in parts:
+            parts.append(path)
+        if len(parts) >= fanout:
+            merged = f"{root}/merged-{number}"
+            latest(spark.read.schema(schema).parquet(*parts)).write.mode("overwrite").parquet(merged)
+            parts[:] = [merged]
 
     run_batches(stream, tag, handle)
-    if not versions:  # no batch came
-        return spark.createDataFrame([], stream.select(key, seq, *columns).schema)
-    return spark.read.parquet(versions[-1])
+    return latest(spark.read.schema(schema).parquet(*parts)) if parts else spark.createDataFrame([], schema)

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from cairn.plans import registry
+from cairn.streaming import tables
 
 
 def test_first_lookups_count_late_events(spark, tmp_path):
@@ -19,3 +20,18 @@ def test_first_lookups_count_late_events(spark, tmp_path):
         os.utime(folder / f"{i:03}.parquet", (1_700_000_000 + i,) * 2)
     got = registry.queries()["z07_first_lookups"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [(1, "view", 140)]
+
+
+def test_latest_by_key_over_many_batches_and_none(spark, tmp_path):
+    folder = tmp_path / "events"
+    want = {}
+    for n in range(11):
+        rows = [(k, 100 * n + k, f"{n}") for k in range(n % 4, 30, 3)]
+        spark.createDataFrame(rows, "k long, seq long, v string").coalesce(1).write.mode("append").parquet(str(folder / "events.parquet"))
+        want |= {k: (s, v) for k, s, v in rows}
+    stream = tables.read_stream(spark, str(folder), "events", files_per_trigger=1)
+    got = tables.latest_by_key(stream, "k", "seq", ["v"], "latest-test", fanout=3)
+    assert {r["k"]: (r["seq"], r["v"]) for r in got.collect()} == want
+    empty = tmp_path / "none"
+    spark.createDataFrame([], "k long, seq long, v string").write.parquet(str(empty / "events.parquet"))
+    assert tables.latest_by_key(tables.read_stream(spark, str(empty), "events"), "k", "seq", ["v"], "latest-none").count() == 0
