@@ -113,3 +113,20 @@ def k11(t):
     known = rows.filter("p_size % 2 = 0").select("entity_type", "entity_id", F.lit(None).cast("array<array<double>>").alias("ring"), F.lit(None).cast("double").alias("lng"), F.lit("first import").alias("source"))
     new = rows.filter("p_size > 25").select("entity_type", "entity_id", "ring", F.round(E.centroid(F.col("ring"))["lng"], 6).alias("lng"), F.lit("survey").alias("source"))
     return upsert(known, new, ["entity_type", "entity_id"]).select("entity_id", "entity_type", "lng", F.coalesce(F.size("ring"), F.lit(0)).alias("points"), "source")
+
+
+GRID = E.EqualArea()
+#: Points of a grid in metres, one a customer, from the origin on.
+METRES = "(SELECT c_custkey, CAST(c_custkey % 40 * 25000 - 500000 AS DOUBLE) AS east, CAST(c_custkey % 37 * 27000 - 486000 AS DOUBLE) AS north FROM customer)"
+
+
+@query("s14_reproject", f"""
+WITH r AS (SELECT *, sqrt(pow(east / {GRID.d}, 2) + pow(north * {GRID.d}, 2)) AS rho FROM {METRES}), c AS (SELECT *, 2 * asin(rho / (2 * {GRID.radius})) AS c FROM r),
+b AS (SELECT *, asin(cos(c) * sin({GRID.beta0}) + CASE WHEN rho = 0 THEN 0.0 ELSE {GRID.d} * north * sin(c) * cos({GRID.beta0}) / rho END) AS beta FROM c)
+SELECT c_custkey, round(10 + degrees(atan2(east * sin(c), {GRID.d} * rho * cos({GRID.beta0}) * cos(c) - {GRID.d} * {GRID.d} * north * sin({GRID.beta0}) * sin(c))), 6) AS lng,
+ round(degrees(beta + {GRID.series[0]} * sin(2 * beta) + {GRID.series[1]} * sin(4 * beta) + {GRID.series[2]} * sin(6 * beta)), 6) AS lat FROM b""")
+def s14(t):
+    """Degrees of points in metres of the European equal-area grid."""
+    k = F.col("c_custkey")
+    p = GRID.degrees(k % 40 * 25000.0 - 500000.0 + GRID.EAST, k % 37 * 27000.0 - 486000.0 + GRID.NORTH)
+    return t.customer.select("c_custkey", p.alias("p")).select("c_custkey", F.round("p.lng", 6).alias("lng"), F.round("p.lat", 6).alias("lat"))

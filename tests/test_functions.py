@@ -217,3 +217,11 @@ def test_loops_never_end_with_a_partial_result(spark):
     with pytest.raises(RuntimeError):
         graphs.components(chain, max_rounds=1)
     assert graphs.ancestors(chain, "a", "b").count() == 45
+
+
+def test_equal_area_grid_on_the_published_example(spark):
+    grid = geometry.EqualArea()
+    df = spark.createDataFrame([(3962799.45, 2999718.85), (4321000.0, 3210000.0)], "x double, y double")
+    a, b = [r["p"] for r in df.select(grid.degrees(F.col("x"), F.col("y")).alias("p")).collect()]
+    assert (a["lat"], a["lng"]) == pytest.approx((50.0, 5.0), abs=1e-6)
+    assert (b["lat"], b["lng"]) == pytest.approx((52.0, 10.0), abs=1e-7)
