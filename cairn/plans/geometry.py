@@ -28,7 +28,7 @@ def e02(t):
     return t.customer.select("c_custkey", F.round(E.haversine_km(n * 3.0 - 40, n * 7.0 - 90, k % 90 - 45.0, k % 180 - 90.0), 4).alias("km"))
 
 
-@query("e03_rounded", "SELECT p_partkey, p_partkey / 1024 + 0.0 AS x, CASE WHEN p_partkey % 128 <> 0 THEN round(p_partkey / 1024, 2) ELSE 2 * round(p_partkey * 100 / 2048) / 100 END AS rounded FROM part")
+@query("e03_rounded", "SELECT p_partkey, p_partkey / 1024 + 0.0 AS x, CASE WHEN p_partkey % 256 <> 128 THEN round(p_partkey / 1024, 2) ELSE 2 * round(p_partkey * 100 / 2048) / 100 END AS rounded FROM part")
 def e03(t):
     """Ties, which are eighths here, go to the even neighbour."""
     x = F.col("p_partkey") / 1024
