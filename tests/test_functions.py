@@ -1,7 +1,9 @@
 """Functions on worked examples and odd values."""
 
+import json
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -225,3 +227,58 @@ def test_equal_area_grid_on_the_published_example(spark):
     a, b = [r["p"] for r in df.select(grid.degrees(F.col("x"), F.col("y")).alias("p")).collect()]
     assert (a["lat"], a["lng"]) == pytest.approx((50.0, 5.0), abs=1e-6)
     assert (b["lat"], b["lng"]) == pytest.approx((52.0, 10.0), abs=1e-7)
+
+
+def plain_simplify(ring, tolerance):
+    """Douglas-Peucker by distance to the segment, recursively; a ring left with under 4 points stays."""
+
+    def away(p, a, b):
+        (x, y), (ax, ay), (bx, by) = p, a, b
+        size = (bx - ax) ** 2 + (by - ay) ** 2
+        t = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / size)) if size else 0.0
+        return math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay))
+
+    def keep(points):
+        if len(points) < 3:
+            return points
+        d = [away(p, points[0], points[-1]) for p in points[1:-1]]
+        far = max(range(len(d)), key=lambda i: d[i])
+        return keep(points[: far + 2])[:-1] + keep(points[far + 1 :]) if d[far] > tolerance else [points[0], points[-1]]
+
+    left = keep(ring)
+    return left if len(left) >= 4 else ring
+
+
+def rings_of(spark):
+    from cairn.plans import geometry as plans
+    from cairn.plans.registry import Tables
+
+    ring = geometry.regular_ring(F.col("x"), F.col("y"), F.col("r") + 0.1, 64)
+    return {r["p_partkey"]: r["ring"] for r in plans.rings(Tables(spark, "/root/testdata/sf0.001")).select("p_partkey", ring.alias("ring")).collect()}
+
+
+def test_simplified_rings_equal_plain_version(spark):
+    from cairn.plans import registry
+
+    rings = rings_of(spark)
+    got = {r["p_partkey"]: r["n_points"] for r in registry.queries()["e04_simplify"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {k: len(plain_simplify(ring, 0.05)) for k, ring in rings.items()}
+
+    def to_size(ring, most=1500):
+        near = lambda points: [[round(x, 5) for x in p] for p in points]
+        ring = near(ring)
+        for tolerance in (0.001, 0.002, 0.005, 0.01):
+            if len(json.dumps(ring)) <= most:
+                break
+            ring = near(plain_simplify(ring, tolerance))
+        return ring
+
+    got = {r["p_partkey"]: r["n_points"] for r in registry.queries()["e05_simplify_to_size"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {k: len(to_size(ring)) for k, ring in rings.items()}
+
+
+def test_folder_walk_lists_every_file(spark):
+    from cairn.plans import registry
+
+    got = {r["name"]: r["bytes"] for r in registry.queries()["s15_folder_walk"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {p.name: p.stat().st_size for p in Path("/root/testdata/sf0.001").glob("*.parquet")}
