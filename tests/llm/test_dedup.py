@@ -338,6 +338,21 @@ def test_near_odd_rows(spark):
     assert near_dedup.near_classes(df.limit(0)).count() == 0
 
 
+def test_near_long_texts_and_clashing_columns(spark):
+    rng = random.Random(2)
+    long = random_words(rng, 50_000, 10**6)
+    near = [w if k % 9 else "other" for k, w in enumerate(long)]
+    far = [w if k % 3 else "other" for k, w in enumerate(long)]
+    rows = [(3, " ".join(long)), (1, " ".join(near)), (2, " ".join(far)), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("doc", "row", "node", "size", "keys", "bag", "class_id", "whole", "stays"):
+        df = df.withColumn(name, F.lit("clash"))
+    assert sorted(map(tuple, near_dedup.near_classes(df).collect())) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 5)]
+    kept = near_dedup.drop_near(df)
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5]
+
+
 def test_near_texts_without_or_with_shared_identifiers(spark):
     rng = random.Random(6)
     base = [random_words(rng, 40) for _ in range(6)]

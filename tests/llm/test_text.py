@@ -1,5 +1,6 @@
 """Language ID, classifiers, decontamination, BPE and WARC."""
 
+import gzip
 import hashlib
 import json
 import math
@@ -474,6 +475,23 @@ def test_warc_files_are_valid_records(spark):
     assert joined.count() == 0
 
 
+def test_warc_long_pages_fresh_dates_and_shared_page_ids(spark):
+    from cairn.session import shared_dir
+
+    long = "<p>" + "é word " * 500_000
+    rows = [(1, "u", long), (2, None, long), (3, None, None), (3, "u", "y" * 150), (4, "u", "y" * 150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit("clash")).withColumn("bytes", F.lit(1))
+    path = shared_dir(spark, "warc-test")
+    warc.write_archives(pages, path, file_bytes=1000)
+    heads = [h for content in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").collect() for h, _ in warc.parse_records(gzip.decompress(bytes(content["content"])))]
+    assert all(h["WARC-Date"] >= "2024" for h in heads)
+    # Different payloads of one page have records of their own.
+    assert len({h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}) == 3
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in warc.op4_warc(spark, pages).collect())
+    n = len(long.encode())
+    assert got == [(1, n, "response", 0), (2, n, "revisit", 1), (3, 0, "response", 0), (3, 150, "response", 0), (4, 150, "revisit", 3)]
+
+
 # Pipeline
 
 
