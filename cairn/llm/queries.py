@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, quality, substring_dedup, toxicity, warc, whitening
+from cairn.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, ngram_join, quality, spelling, substring_dedup, toxicity, warc, whitening
 from cairn.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "op7_decontaminate": lambda s, d: decontaminate.op7_decontaminate(s, table(s, d, "documents"), table(s, d, "benchmark")),
         "op8_substring_dedup": lambda s, d: substring_dedup.op8_substring_dedup(s, table(s, d, "documents")),
         "op10_near_dedup": lambda s, d: near_dedup.op10_near_dedup(s, table(s, d, "documents")),
+        "op11_spelling_variants": lambda s, d: spelling.op11_spelling_variants(s, table(s, d, "documents")),
+        "op13_ngram_join": lambda s, d: ngram_join.op13_ngram_join(s, table(s, d, "documents")),
         "op12_whitening": lambda s, d: whitening.op12_whitening(s, table(s, d, "embeddings")),
         "op9_bpe": lambda s, d: bpe.op9_bpe(s, table(s, d, "documents")),
     }
@@ -35,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
         "op7_decontaminate": decontaminate.ORACLE_SQL,
         "op8_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op13_ngram_join": ngram_join.ORACLE_SQL,
     }
