@@ -63,7 +63,7 @@ def test_sql(spark):
     assert found(table(spark, DATA, "documents")) == want
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_edited_texts(spark, seed, monkeypatch):
     """Chains of edits around the threshold, of few words and many, under passages that most texts share."""
     r = random.Random(seed)
@@ -77,7 +77,7 @@ def test_edited_texts(spark, seed, monkeypatch):
         for _ in range(r.randint(1, 14)):
             text = list(base)
             for _ in range(r.randint(0, max(1, len(text) // 40))):
-                at = r.randrange(len(text))
+                at = r.randrange(len(text) + 1)
                 text[at : at + r.randint(0, 2)] = r.choices(words, k=r.randint(0, 2))
             docs.append((r.choice([None, *range(200)]), " ".join(text).upper() if r.random() < 0.2 else "\n ".join(text)))
             if r.random() < 0.3:
