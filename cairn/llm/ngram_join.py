@@ -7,7 +7,7 @@ sets of Jaccard similarity t share a shingle among the first (1 - t) of the larg
 passages that many documents share out of the keys.
 
 The texts of a key stand in tiles: bands of sizes, each within ``t`` of the next, cut into cells of bounded
-size. Tiles of the same and of neighbouring bands meet. Each text has a bitmap that its shingles are hashed to:
+size. Tiles of the same and of neighbouring bands meet; a key of few texts is a tile of its own. Each text has a bitmap that its shingles are hashed to:
 bits that differ are shingles that differ, so their number bounds the overlap from above. Pairs whose bound is
 high enough are verified by intersecting the sorted hashes of their whole texts.
 
@@ -42,10 +42,10 @@ SHINGLE = 5
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Counters of shingles, and how many of them a row of counts has.
 BUCKETS, SEGMENT = 1 << 20, 4096
-#: Texts of a key and band that a cell holds, and pairs that are compared at once.
-CELL, CHUNK = 2048, 100_000
-#: Bits of a bitmap, least and most; between them about one a shingle.
-BITS = (64, 8192)
+#: Texts of a key and band that a cell holds, pairs that are compared at once, and texts of a key that need no tiles.
+CELL, CHUNK, FEW = 2048, 100_000, 32
+#: Bits of a bitmap, least and most; between them about four a shingle.
+BITS = (64, 65536)
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
@@ -84,7 +84,7 @@ def keys_of(s: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    bits = 1 << int(np.ceil(np.log2(max(BITS[0], min(BITS[1], len(s))))))
+    bits = 1 << int(np.ceil(np.log2(max(BITS[0], min(BITS[1], 4 * len(s))))))
     out = np.zeros(bits, bool)
     out[(s >> np.uint64(24)).astype(np.int64) & (bits - 1)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -249,27 +249,35 @@ def _tiles(percent: int):
     return run
 
 
-def tile_edges(rows: DataFrame, maps: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
+def tile_edges(rows: DataFrame, maps: DataFrame, percent: int, cell: int = CELL, few: int = FEW) -> DataFrame:
     """Distinct (a, b), a < b, of all texts in different components that share a key and can link.
 
     Rows are (key, doc, low, group, size). A text lives in a cell of its key and band; texts outside the key's
-    largest component visit all cells of their band and its neighbours.
+    largest component visit all cells of their band and its neighbours. Texts of keys with at most ``few`` rows
+    meet by the key alone, and their bitmaps after each pair was made one.
     """
-    rows = materialise(rows.withColumn("band", band_of(F.col("size"), percent)), "banded")
-    counts = materialise(rows.groupBy("key", "group", "band").agg(F.count("*").alias("n"), F.max("low").alias("low")), "tile-counts")
-    keys = counts.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("major"), (F.min("group") < F.max("group")).alias("split"), F.max("low").alias("low"))
-    keys = materialise(keys.filter("split AND low").select("key", "major"), "contested")
-    bands = counts.join(keys.select("key"), "key").groupBy("key", "band").agg(F.ceil(F.sum("n") / cell).cast("int").alias("cells"))
-    bands = materialise(bands, "bands")
-    met = rows.join(keys, "key").withColumn("lives", F.col("group") == F.col("major")).drop("major")
-    met = materialise(met.join(maps.select("doc", "bits"), "doc"), "contested-rows")
+    counts = rows.groupBy("key", "group").agg(F.count("*").alias("n"), F.max("low").alias("low"))
+    keys = counts.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("major"), F.count("*").alias("groups"), F.sum("n").alias("n"), F.max("low").alias("low"))
+    keys = keys.filter("groups > 1 AND low").select("key", "major", (F.col("n") <= few).alias("few"))
+    met = materialise(rows.join(keys, "key"), "contested-rows")
+
+    side = met.filter("few").select("key", "doc", "low", "group", "size")
+    other = side.select("key", *[F.col(c).alias(f"o_{c}") for c in ("doc", "low", "group", "size")])
+    alone = side.join(other, "key").filter((F.col("doc") < F.col("o_doc")) & (F.col("group") != F.col("o_group")))
+    alone = alone.filter(allowed(F.col("size"), F.col("low"), F.col("o_size"), F.col("o_low"), percent))
+    alone = bounded(alone.select(F.col("doc").alias("a"), F.col("o_doc").alias("b")).distinct(), maps, percent)
+
+    met = met.filter("NOT few").withColumn("band", band_of(F.col("size"), percent)).withColumn("lives", F.col("group") == F.col("major"))
+    met = materialise(met.drop("major", "few").join(maps.select("doc", "bits"), "doc"), "tiled-rows")
+    bands = materialise(met.groupBy("key", "band").agg(F.ceil(F.count("*") / cell).cast("int").alias("cells")), "bands")
     columns = ["doc", "low", "group", "size", "lives", "bits"]
     live = met.join(bands, ["key", "band"]).select("key", "band", F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int").alias("cell"), F.lit(False).alias("visits"), *columns)
     near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
     visit = met.filter("not lives").select("key", near, *columns).join(bands, ["key", "band"])
     visit = visit.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("visits"), *columns)
     dealt = live.unionByName(visit).repartition("key", "band", "cell").sortWithinPartitions("key", "band", "cell", "visits")
-    return dealt.mapInArrow(_tiles(percent), "a long, b long").distinct()
+    tiled = materialise(dealt.mapInArrow(_tiles(percent), "a long, b long").distinct(), "tiles")
+    return tiled.unionByName(alone).distinct()
 
 
 # Verification
@@ -343,7 +351,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if step == "stars":
             edges = bounded(star_edges(shared, percent), maps, percent)
         else:
-            edges = tile_edges(shared.drop("common").join(labels, "doc"), maps, percent).join(tested, ["a", "b"], "left_anti")
+            edges = materialise(tile_edges(shared.drop("common").join(labels, "doc"), maps, percent), "tile-pairs").join(tested, ["a", "b"], "left_anti")
         edges = tested = materialise(edges, "candidates")
         ends = edges.select(F.col("a").alias("doc")).unionByName(edges.select(F.col("b").alias("doc"))).distinct()
         # Up to ``max_broadcast_ids`` rows are sent to the texts; beyond, both are shuffled.

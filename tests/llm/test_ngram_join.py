@@ -103,7 +103,7 @@ def test_every_pair_meets_without_stars(spark, monkeypatch):
         docs.append((i, " ".join(text)))
     whole = ngram_join.tile_edges
     monkeypatch.setattr(ngram_join, "star_edges", lambda rows, percent: rows.selectExpr("doc AS a", "doc AS b").limit(0))
-    monkeypatch.setattr(ngram_join, "tile_edges", lambda rows, maps, percent: whole(rows, maps, percent, cell=10))
+    monkeypatch.setattr(ngram_join, "tile_edges", lambda rows, maps, percent: whole(rows, maps, percent, cell=10, few=r.choice([0, 20])))
     assert found(spark.createDataFrame(docs, "doc_id long, text string")) == plain(docs)
 
 
