@@ -3,7 +3,7 @@
 The vocabulary is scanned in sorted order. The edit matrix of a word against the list is kept as rows of
 a band of three cells, one row a letter of the listed word; a word that begins like the one before takes over
 the rows of their common prefix, and where no cell of a row is at most one, all words that go on with that
-prefix are skipped.
+prefix are skipped, with those after it up to the next letter that could follow.
 
 So that no task scans the whole vocabulary, words meet in zones. Of two words one edit apart, either the first
 half of the shorter one begins both or its second half ends both, so each word goes to the lists of its
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -29,37 +29,36 @@ from pyspark.sql import functions as F
 
 from cairn.session import arrow_batches, materialise
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+LETTER = "[a-zÀ-ÿ]"
 #: One in so many runs of a document loses a letter.
 MODULUS = 97
 #: Letters and occurrences that a word has at least.
 LEAST_LETTERS, LEAST_COUNT = 5, 3
 #: Words of a list beyond which it is split. Lists that leave one letter of the shorter word open are not: the alphabet
 #: of 26 + 64 letters bounds them.
-LIMIT = 1000
+LIMIT = 300
 LAST = chr(0x10FFFF)
 
 
-def runs_of(doc_id: int | None, text: str | None) -> Counter:
-    """The lower-cased runs of a text, after deletions, with their numbers."""
-    found: Counter = Counter()
-    for run, n in Counter(RUN.findall(text or "")).items():
-        found[run.lower() if run.isascii() else run.translate(LOWER)] += n
-    start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    out: Counter = Counter()
-    for run, n in found.items():
-        h = zlib.crc32(run.encode("utf-8"), start)
-        if h % MODULUS == 0:
-            at = h % len(run)
-            run = run[:at] + run[at + 1 :]
-        out[run] += n
-    return out
+def runs_of(doc_id: int | None, text: str | None, run: re.Pattern) -> Counter:
+    """The lower-cased runs of a text that ``run`` finds, after deletions, with their numbers."""
+    found = Counter(run.findall((text or "").encode("utf-8").lower().decode("utf-8")))  # bytes: A-Z only
+    start, crc32, changed = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode()), zlib.crc32, []
+    for word in found:
+        h = crc32(word.encode("utf-8"), start)
+        if not h % MODULUS:
+            changed.append((word, h))
+    for word, n, h in [(word, found.pop(word), h) for word, h in changed]:
+        at = h % len(word)
+        found[word[:at] + word[at + 1 :]] += n
+    return found
 
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", letters: int = LEAST_LETTERS, least: int = LEAST_COUNT, held_words: int = 400_000) -> DataFrame:
     """(word, n) of the words of at least so many letters and occurrences; tasks add up before they send."""
 
+    run = re.compile(f"{LETTER}{{{letters},}}")  # shorter ones stay short
+
     def count(batches):
         held: Counter = Counter()
 
@@ -70,15 +69,14 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word, n in runs_of(i, text).items():
-                    if len(word) >= letters:
-                        held[word] += n
+                held.update(runs_of(i, text, run))
                 if len(held) >= held_words:
                     yield rows()
         if held:
             yield rows()
 
-    words = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(count, "word string, n long")
+    counted = F.char_length("word") >= letters
+    words = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(count, "word string, n long").filter(counted)
     return words.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
@@ -162,7 +160,10 @@ def scan(words: list[str]) -> list[tuple[int, int]]:
                     break
             known = r
             if dead:
-                j = bisect_right(words, other[:dead] + LAST, j + 1)
+                # An edit is used up, so only the letters of this word about here can follow the prefix before.
+                before, used = other[: dead - 1], rows[dead - 1]
+                later = [word[k] for k, cost in zip(range(dead - 2, dead + 1), used, strict=True) if cost == 1 and 0 <= k < n and word[k] > other[dead - 1]]
+                j = bisect_left(words, before + min(later), j + 1) if later else bisect_right(words, before + LAST, j + 1)
                 continue
             if -1 <= n - r <= 1 and rows[r][n - r + 1] <= 1:
                 found.append((i, j))
