@@ -38,8 +38,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from cairn.llm.words import MULT, hashes, mix
 from cairn.operators.graphs import components
 from cairn.session import arrow_batches, materialise, partition_keys
 
@@ -64,14 +64,6 @@ IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 FAR = np.uint64((1 << 64) - 1)
 LOW = np.uint64((1 << 32) - 1)
-MULT = 0x9E3779B97F4A7C15
-POWERS = np.cumprod(np.full(256, MULT, np.uint64), dtype=np.uint64)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 SEEDS = [mix(np.arange(1 + t * 2000, 1 + t * 2000 + 2 * tier.sketches, dtype=np.uint64) * np.uint64(MULT)).reshape(2, -1) | np.uint64(1) for t, tier in enumerate(TIERS)]
@@ -84,14 +76,7 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     change = np.flatnonzero(mask[1:] != mask[:-1])
     starts, lengths = change[::2], change[1::2] - change[::2]
     first = np.searchsorted(starts, np.cumsum([0, *[len(r) + 1 for r in raws]]))
-    if not len(starts):
-        return np.zeros(0, np.uint64), first
-    ends = np.cumsum(lengths)
-    begins = ends - lengths
-    place = np.arange(ends[-1]) - np.repeat(begins, lengths)
-    powers = POWERS[place & 255] + (place >> 8).astype(np.uint64)
-    total = np.add.reduceat((whole[mask[1:-1]].astype(np.uint64) + np.uint64(1)) * powers, begins)
-    return mix(total + lengths.astype(np.uint64)), first
+    return hashes(whole, starts, lengths), first
 
 
 def sketch(raws: list[bytes]) -> tuple[list[bytes | None], np.ndarray]:
@@ -372,25 +357,24 @@ SLOTS_OF = {has: np.concatenate([np.arange(a, b) for a, b, h in zip(SLOTS[:-1],
 
 
 def marks_in(marks: list[bytes], sizes: np.ndarray, missing: int) -> np.ndarray:
-    """A row of key marks for each text, by tier and sketch; ``missing`` where it has no such tier."""
-    out = np.full((len(marks), SLOTS[-1]), missing, np.uint32)
+    """A row of keys for each text, by tier and sketch; ``missing`` where it has no such tier."""
+    out = np.full((len(marks), SLOTS[-1]), missing, np.uint64)
     for i, (raw, n) in enumerate(zip(marks, sizes.tolist(), strict=True)):
-        out[i, SLOTS_OF[tuple(t.least <= n <= t.most for t in TIERS)]] = np.frombuffer(raw, np.uint32)
+        out[i, SLOTS_OF[tuple(t.least <= n <= t.most for t in TIERS)]] = np.frombuffer(raw, np.uint64)
     return out
 
 
 def first_meeting(x: np.ndarray, y: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether ``key`` is the first that two rows of marks share, so that each pair comes up once."""
+    """Whether ``key`` is the first that two rows of keys share, so that each pair comes up once."""
     same = x == y
-    return x[np.arange(len(x)), same.argmax(axis=1)] == (key & LOW).astype(np.uint32)
+    return x[np.arange(len(x)), same.argmax(axis=1)] == key
 
 
 def _cells(similarity: float):
     """Pairs (a, b) of each cell: every visitor with every text that lives there, in other groups.
 
     Rows (key, cell, visits, doc, group, size, lives, bag, marks) stand in order of key, cell and
-    visits. A pair comes out under the first key that the two texts share, told by 32 bits of it:
-    two other keys are taken for one with a chance of a few in a hundred million a pair.
+    visits. A pair comes out under the first key that the two texts share.
     """
 
     def once(live, visit, h, v, live_marks, visit_marks):
@@ -456,12 +440,6 @@ def _cells(similarity: float):
     return run
 
 
-@F.arrow_udf(T.BinaryType())
-def marks_of(keys: pa.Array) -> pa.Array:
-    """32 bits of each key of a text."""
-    return pa.array([(np.frombuffer(k, np.uint64) & LOW).astype(np.uint32).tobytes() for k in keys.to_pylist()], pa.binary())
-
-
 def all_edges(rows: DataFrame, bags: DataFrame, cell: int = CELL, similarity: float = SIMILARITY) -> DataFrame:
     """Distinct edges (a, b), a < b, of all texts in different groups that share a key and can be similar.
 
@@ -473,7 +451,7 @@ def all_edges(rows: DataFrame, bags: DataFrame, cell: int = CELL, similarity: fl
     keys = counts.groupBy("key").agg(F.sum("count").alias("n"), F.max_by("group", F.struct("count", "group")).alias("major"), F.count("*").alias("groups"))
     keys = materialise(keys.filter("groups > 1").select("key", "major", F.ceil(F.col("n") / cell).cast("int").alias("cells")), "contested")
     met = materialise(rows.join(keys, "key").withColumn("lives", F.col("group") == F.col("major")), "contested-rows")
-    met = met.join(bags.select("doc", "bag", marks_of("keys").alias("marks")), "doc")
+    met = met.join(bags.select("doc", "bag", F.col("keys").alias("marks")), "doc")
     columns = ["doc", "group", "size", "lives", "bag", "marks"]
     live = met.select("key", F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int").alias("cell"), F.lit(False).alias("visits"), *columns)
     visit = met.filter("not lives").select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("visits"), *columns)

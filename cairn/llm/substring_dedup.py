@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.words import hashes, mix
 from cairn.session import arrow_batches, materialise, partition_keys, shared_dir
 
 WINDOW, PHRASE = 20, 8
@@ -45,15 +46,7 @@ NULL_ID = -(1 << 63)
 FAR = np.uint64((1 << 64) - 1)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
-WORD_MULT, PHRASE_MULT, WINDOW_MULT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
-POWERS = np.cumprod(np.full(256, WORD_MULT, np.uint64), dtype=np.uint64)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+PHRASE_MULT, WINDOW_MULT = 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 
 def sliding(x: np.ndarray, size: int, op) -> np.ndarray:
@@ -82,22 +75,13 @@ class Words:
         self.first = np.searchsorted(self.starts, edges)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.raws = raws
-        self.hash = self._hash(whole, mask[1:-1])
+        self.hash = hashes(whole, self.starts, self.lengths)
         self.phrase = self._rolling(PHRASE, PHRASE_MULT, FAR)
         least = sliding(self.phrase, REACH, np.minimum)
         self.windows = len(least)
         self.valid = self.doc[: self.windows] == self.doc[WINDOW - 1 :] if self.windows > 0 else np.zeros(0, bool)
         self.least = least
 
-    def _hash(self, whole: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        ends = np.cumsum(self.lengths)
-        begins = ends - self.lengths
-        place = np.arange(ends[-1]) - np.repeat(begins, self.lengths)
-        powers = POWERS[place & 255] + (place >> 8).astype(np.uint64)
-        return mix(np.add.reduceat((whole[mask].astype(np.uint64) + np.uint64(1)) * powers, begins) + self.lengths.astype(np.uint64))
-
     def _rolling(self, size: int, mult: int, invalid) -> np.ndarray:
         """Hashes of ``size`` words from each word on; ``invalid`` where a text ends before."""
         n = len(self.hash)

@@ -266,6 +266,24 @@ def test_passages_long_texts_clashing_columns_and_shared_identifiers(spark):
 # Near duplicates
 
 
+def test_passages_with_long_words_that_differ(spark):
+    """Words of 300 to 5,000 bytes that trade bytes between places far apart are different words."""
+    r = random.Random(8)
+    same = [f"w{i}" for i in range(19)]
+    a, b = bytearray(b"a" * 600), bytearray(b"a" * 600)
+    a[5], b[261] = ord("b"), ord("b")
+    docs = [(1, " ".join([*same, a.decode()])), (2, " ".join([*same, b.decode()]))]
+    for k in range(3, 9):
+        n = r.choice([300, 2048, 5000])
+        word = bytearray(b"c" * n)
+        word[r.randrange(n)] = ord("d")
+        docs += [(10 * k + j, " ".join([*same[:12], word.decode() if j < 2 else "c" * n, *same[2:]])) for j in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in substring_dedup.op8_substring_dedup(spark, df).collect()}
+    want = {x[0]: tuple(x[1:3]) for x in brute_passages(docs)}
+    assert got == want and got[1] == (20, 0) and got[2] == (20, 0)
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
