@@ -36,7 +36,7 @@ PRODUCT_PATTERNS = [r"\b(?:19|20)[0-9]{2}\b", r"\b[0-9]+ *ml\b", r"\b(?:375|750|
 PARTICLES = ["de", "du", "des", "di", "da", "del", "della", "von", "van", "der", "la", "le", "of", "the", "and"]
 #: Letters of Greek and Cyrillic and how they are written in Latin ones.
 GREEK = {"α": "a", "β": "v", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "i", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "φ": "f", "χ": "ch", "ψ": "ps", "ω": "o"}
-CYRILLIC = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sht", "ъ": "a", "ь": "y", "ю": "yu", "я": "ya"}
+CYRILLIC = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sht", "ъ": "a", "ь": "", "ю": "yu", "я": "ya"}
 
 
 def _col(c: str | Column) -> Column:
@@ -120,6 +120,12 @@ def trigrams(c: str | Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
 
 
+def word_trigrams(c: str | Column) -> Column:
+    """The distinct trigrams of the words of a text (letters and digits, in lower case), each word padded by itself: order does not count."""
+    words = F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.array_distinct(F.flatten(F.transform(words, trigrams)))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays of distinct values."""
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
@@ -169,10 +175,10 @@ def trailing_vintage(c: str | Column) -> Column:
 def transliterate(c: str | Column) -> Column:
     """Greek and Cyrillic in Latin letters."""
     table = GREEK | CYRILLIC
-    table |= {k.upper(): v.capitalize() for k, v in table.items() if k != "ς"}
+    table |= {k.upper(): v if k == "ъ" else v.capitalize() for k, v in table.items() if k != "ς"}
     out = _col(c)
     for k, v in table.items():
-        if len(v) > 1:
+        if len(v) != 1:
             out = F.replace(out, F.lit(k), F.lit(v))
     single = {k: v for k, v in table.items() if len(v) == 1}
     return F.translate(out, "".join(single), "".join(single.values()))

@@ -42,18 +42,29 @@ def split_list(c: Column, sep: str = r"[;|]") -> Column:
     return F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: What stands for an unknown blend.
+NO_BLEND = r"(?i)^varies|^see below"
+
+
 def blend(c: Column) -> Column:
-    """array<struct<name, pct>> of ``60% A and 40% B``, ``A / B``; notes in brackets are dropped."""
-    parts = split_list(F.regexp_replace(F.regexp_replace(c, r"\([^)]*\)", ""), r"(?i)\s+and\s+|&|/|,", ";"), ";")
-    pct = lambda x: F.nullif(F.regexp_extract(x, r"(\d+(?:\.\d+)?)\s*%", 1), F.lit("")).cast("double")
-    return F.transform(parts, lambda x: F.struct(F.trim(F.regexp_replace(x, r"\d+(?:\.\d+)?\s*%", "")).alias("name"), pct(x).alias("pct")))
+    """array<struct<name, pct>> of ``60% A and 40% B``, ``A / B``; notes in brackets are dropped.
+
+    Nothing comes of N/A, of texts that say that it varies or stands elsewhere, of bare numbers, and of
+    names of one letter with a share or two without one.
+    """
+    text = F.regexp_replace(F.regexp_replace(c, r"(?i)^approximately\s+", ""), r"(?i)\s+and\s+|\s*&\s*", ", ")
+    parts = split_list(F.regexp_replace(text, r"\([^)]*\)", ""), "[,/]")
+    shared = r"^(\d+)%?\s+(.+)"
+    read = F.transform(parts, lambda x: F.struct(F.trim(F.when(x.rlike(shared), F.regexp_extract(x, shared, 2)).otherwise(x)).alias("name"), F.when(x.rlike(shared), F.regexp_extract(x, shared, 1)).cast("double").alias("pct")))
+    kept = F.filter(read, lambda x: ~x["name"].rlike(r"(?i)^see\s") & F.when(x["pct"].isNotNull(), F.char_length(x["name"]) > 1).otherwise((F.char_length(x["name"]) > 2) & ~x["name"].rlike(r"^\d")))
+    return F.when((c == "N/A") | c.rlike(NO_BLEND), F.slice(kept, 1, 0)).otherwise(kept)
 
 
 def composition(c: Column) -> Column:
-    """array<struct<name, pct>> of every ``NN% name``."""
-    pattern = r"(\d+)% ([A-Za-z]+)"
+    """array<struct<name, pct>> of every ``NN% name``; a name goes on up to the next comma."""
+    pattern = r"(\d+)%\s+([^,]+)"
     both = F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(2)).alias("name"), F.regexp_extract_all(c, F.lit(pattern), F.lit(1)).alias("pct"))
-    return F.transform(both, lambda x: F.struct(x["name"].alias("name"), x["pct"].cast("int").alias("pct")))
+    return F.transform(both, lambda x: F.struct(F.trim(x["name"]).alias("name"), x["pct"].cast("int").alias("pct")))
 
 
 SCORE = re.compile(r"(\d{2,3})\s*(?:POINTS?|points?)")

@@ -52,8 +52,18 @@ def number_range(c: Column) -> Column:
 
 
 def amount(c: Column, unit: str) -> Column:
-    """The number before a unit."""
-    return _part(F.lower(c), rf"(\d+(?:\.\d+)?)\s*{unit}").cast("double")
+    """The number before a unit, which may stand in the plural."""
+    return _part(F.lower(c), rf"(\d+(?:\.\d+)?)\s*{unit}s?").cast("double")
+
+
+def area(c: Column) -> Column:
+    """The number that a text begins with, without its thousands separators; a unit may follow."""
+    return _part(F.trim(F.replace(c, F.lit(","), F.lit(""))), r"^(\d+(?:\.\d+)?|\.\d+)").cast("double")
+
+
+def new_share(c: Column) -> Column:
+    """The percentage that stands right before "new"."""
+    return _part(F.lower(c), r"(\d+)%\s*new").cast("double")
 
 
 def high_percent(c: Column) -> Column:

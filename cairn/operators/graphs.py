@@ -35,23 +35,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def ancestors(edges: DataFrame, child: str, parent: str, max_depth: int = 1000) -> DataFrame:
+def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(node, ancestor, depth) with the least depth of each pair; cycles end where they close.
 
-    A hierarchy deeper than ``max_depth`` is an error, never a partial result.
+    Paths are doubled: with all pairs up to depth d, those up to 2d are the pairs of depth d followed by
+    any of them, so rounds grow with the logarithm of the depth.
     """
     step = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).filter("node <> ancestor").distinct()
-    up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
-    found = materialise(step.withColumn("depth", F.lit(1)), "ancestors")
-    frontier = found
-    for depth in range(2, max_depth + 1):
-        new = frontier.join(up, "ancestor").select("node", F.col("next").alias("ancestor")).filter("node <> ancestor").distinct()
-        new = new.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = materialise(new, "ancestors")
-        if frontier.isEmpty():
+    found, depth = materialise(step.withColumn("depth", F.lit(1)), "ancestors"), 1
+    while True:
+        far = found.filter(F.col("depth") == depth).select("node", F.col("ancestor").alias("via"))
+        on = found.select(F.col("node").alias("via"), F.col("ancestor"), (F.col("depth") + depth).alias("depth"))
+        longer = far.join(on, "via").filter("node <> ancestor").select("node", "ancestor", "depth")
+        found = materialise(found.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "ancestors")
+        depth *= 2
+        if found.filter(F.col("depth") == depth).isEmpty():
             return found
-        found = found.unionByName(frontier)
-    raise RuntimeError(f"the hierarchy is deeper than {max_depth} levels")
 
 
 def reduce_edges(edges: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:

@@ -12,16 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.names import similarity, trigrams
+from cairn.session import materialise
 
 
-def trigram_pairs(left: DataFrame, right: DataFrame, threshold: float, block: str | None = None) -> DataFrame:
+def trigram_pairs(left: DataFrame, right: DataFrame, threshold: float, block: str | None = None, grams=trigrams) -> DataFrame:
     """(l_name, r_name, [block], sim) of all pairs of distinct names with sim >= threshold.
 
-    Both sides have ``name`` (and the block column); names are made distinct first.
+    ``grams`` are the trigrams of the padded text, or of its words (``word_trigrams``). Both sides have ``name`` (and the block column); names are made distinct first.
     """
     on = [block] if block else []
-    a = left.select(*on, "name").distinct().withColumn("grams", trigrams("name"))
-    b = right.select(*on, "name").distinct().withColumn("grams", trigrams("name"))
+    a = left.select(*on, "name").distinct().withColumn("grams", grams("name"))
+    b = right.select(*on, "name").distinct().withColumn("grams", grams("name"))
     counts = a.select("grams").unionByName(b.select("grams")).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
 
     def prefixes(side: DataFrame, prefix: str) -> DataFrame:
@@ -41,17 +42,67 @@ def best_match(pairs: DataFrame, left: str, order: list[Column]) -> DataFrame:
     return pairs.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def edit_candidates(left: DataFrame, right: DataFrame, limit: Column) -> DataFrame:
-    """Pairs (l_name, r_name, distance) of distinct names within ``limit``, a column of ``l_name``.
+def _pieces(name: Column, k: Column) -> Column:
+    """The k + 1 pieces of a name, as structs (i, at, text): the last ones are a letter longer where lengths are uneven."""
+    n = F.length(name)
+    short = F.floor(n / (k + 1)).cast("int")
+    longer = n - short * (k + 1)  # so many of the last pieces
+    at = lambda i: i * short + F.greatest(i - (k + 1 - longer), F.lit(0))
+    size = lambda i: short + F.when(i >= k + 1 - longer, 1).otherwise(0)
+    return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("_i"), at(i).alias("at"), F.substring(name, at(i) + 1, size(i)).alias("_text")))
 
-    Names whose lengths differ by more than the limit cannot match, so each left name meets only
-    the lengths around its own, by an equality join.
+
+def edit_pairs(left: DataFrame, right: DataFrame, limit: Column, block: str | None = None) -> DataFrame:
+    """Pairs (l_name, r_name, [block], distance) of distinct names within ``limit``, a column of ``l_name``.
+
+    Of the k + 1 pieces of a name at most k edits can touch k, so one of them stands in the other name as
+    it is, at a place that the edits before and after it can reach. Names meet by pieces, their text, number
+    and the length of the name, never all with all.
+    """
+    on = [block] if block else []
+    a = left.select(*on, F.col("name").alias("l_name")).distinct().withColumn("_k", limit.cast("int"))
+    limits = a.select("_k").distinct()
+    b = right.select(*on, F.col("name").alias("r_name")).distinct().crossJoin(F.broadcast(limits))  # a few numbers
+    b = b.withColumn("_size", F.length("r_name")).select(*on, "r_name", "_k", "_size", F.explode(_pieces(F.col("r_name"), F.col("_k"))).alias("p")).select(*on, "r_name", "_k", "_size", F.col("p._i").alias("_i"), F.col("p._text").alias("_text"))
+    n, k = F.length("l_name"), F.col("_k")
+    a = a.withColumn("_size", F.explode(F.sequence(F.greatest(n - k, F.lit(0)), n + k)))
+    short = F.floor(F.col("_size") / (k + 1)).cast("int")
+    longer = F.col("_size") - short * (k + 1)
+
+    def places(i: Column) -> Column:
+        """Where piece i can stand: i edits before it, k - i after it, and the difference of the lengths."""
+        at = i * short + F.greatest(i - (k + 1 - longer), F.lit(0))
+        piece = short + F.when(i >= k + 1 - longer, 1).otherwise(0)
+        shift = n - F.col("_size")
+        low = F.greatest(at - i, at + shift - (k - i), F.lit(0))
+        high = F.least(at + i, at + shift + (k - i), n - piece)
+        found = F.transform(F.sequence(low, F.greatest(high, low)), lambda q: F.struct(i.alias("_i"), F.substring("l_name", q + 1, piece).alias("_text")))
+        return F.when(low <= high, found).otherwise(F.slice(found, 1, 0))
+
+    a = a.select(*on, "l_name", "_k", "_size", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), k), places)))).alias("p")).select(*on, "l_name", "_k", "_size", F.col("p._i").alias("_i"), F.col("p._text").alias("_text"))
+    met = a.join(b, [*on, "_k", "_size", "_i", "_text"]).select(*on, "l_name", "r_name", "_k").distinct()
+    return met.withColumn("distance", F.levenshtein("l_name", "r_name")).filter(F.col("distance") <= k).drop("_k")
+
+
+def nearest_by_edits(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
+    """(block, l_name, r_name): the nearest name of the block, the least of those that tie.
+
+    Limits of 1, 3, 7 and so on edits are tried, each for the names that have found none; the last
+    one is the longest name, so a name is left out only where its block has none on the right.
     """
-    size = F.length("l_name")
-    a = left.select(F.col("name").alias("l_name")).distinct().withColumn("size", F.explode(F.sequence(F.greatest(size - limit, F.lit(0)), size + limit)))
-    b = right.select(F.col("name").alias("r_name")).distinct().withColumn("size", F.length("r_name").cast("bigint"))
-    pairs = a.withColumn("size", F.col("size").cast("bigint")).join(b, "size").drop("size")
-    return pairs.withColumn("distance", F.levenshtein("l_name", "r_name")).filter(F.col("distance") <= limit)
+    names = materialise(left.select(block, "name").distinct(), "names")
+    most = names.agg(F.max(F.length("name"))).first()[0] or 0
+    most = max(most, right.agg(F.max(F.length("name"))).first()[0] or 0)
+    out, limit = None, 1
+    while True:
+        limit = min(limit, most)
+        best = F.min_by("r_name", F.struct("distance", "r_name")).alias("r_name")
+        found = materialise(edit_pairs(names, right, F.lit(limit), block).groupBy(block, "l_name").agg(best), "nearest")
+        out = found if out is None else out.unionByName(found)
+        names = materialise(names.join(found.select(block, F.col("l_name").alias("name")), [block, "name"], "left_anti"), "names")
+        if limit >= most or names.isEmpty():
+            return out
+        limit = 2 * limit + 1
 
 
 def tiers(parts: list[tuple[DataFrame, str, Column]], key: str, value: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cairn.functions import geometry as E
+from cairn.operators import spatial as S
 from cairn.plans.registry import query
 
 
@@ -54,20 +55,27 @@ def e06(t):
     return rings(t).select("p_partkey", F.round(area, 6).alias("area"), (area < 0).alias("starts_outer"))
 
 
+def notched(t):
+    """Of every other part the ring has a notch in its upper half, half as wide as the ring."""
+    x, y, r = F.col("x"), F.col("y"), F.col("r")
+    at = lambda a, b: F.array(x + a * r, y + b * r)
+    shape = F.array(at(-1, -1), at(1, -1), at(1, 1), at(0.5, 1), at(0.5, 0), at(-0.5, 0), at(-0.5, 1), at(-1, 1), at(-1, -1))
+    return rings(t).withColumn("ring", F.when(F.col("p_size") % 2 == 0, shape).otherwise(F.col("ring")))
+
+
 def inside(t):
-    """(outer, inner) of rings that lie in others: boxes meet on a grid, then rays are cast."""
-    side = lambda p: rings(t).select(F.col("p_partkey").alias(f"{p}_id"), F.col("ring").alias(f"{p}_ring"), F.col("r").alias(f"{p}_r"))
-    outer, inner = side("outer"), side("inner")
-    size = 5.0
-    cells = outer.withColumn("cell", F.explode(E.grid_cells(E.box(F.col("outer_ring")), size)))
-    # A ring inside another meets each cell of its own box there; its first corner's cell will do.
-    home = inner.withColumn("cell", F.struct(F.floor(F.col("inner_ring")[0][0] / size).alias("x"), F.floor(F.col("inner_ring")[0][1] / size).alias("y")))
-    a, b = E.box(F.col("outer_ring")), E.box(F.col("inner_ring"))
-    near = cells.join(home, "cell").filter((a["x0"] < b["x0"]) & (a["y0"] < b["y0"]) & (a["x1"] > b["x1"]) & (a["y1"] > b["y1"]) & (F.col("outer_id") != F.col("inner_id")))
-    return near.filter(E.contains_ring(F.col("outer_ring"), F.col("inner_ring")))
+    """(outer, inner) of rings that lie in others: notched ones around square ones."""
+    outer = notched(t).select(F.col("p_partkey").alias("outer_id"), F.col("ring").alias("outer_ring"))
+    inner = rings(t).select(F.col("p_partkey").alias("inner_id"), F.col("ring").alias("inner_ring"))
+    return S.pairs_inside(outer, inner)
 
 
-CONTAINS = f"SELECT a.p_partkey AS outer_id, b.p_partkey AS inner_id FROM {XYR} a, {XYR} b WHERE a.x - a.r < b.x - b.r AND a.y - a.r < b.y - b.r AND a.x + a.r > b.x + b.r AND a.y + a.r > b.y + b.r"
+CONTAINS = f"""SELECT a.p_partkey AS outer_id, b.p_partkey AS inner_id FROM {XYR} a, {XYR} b WHERE a.p_partkey <> b.p_partkey
+ AND a.x - a.r <= b.x - b.r + 1e-9 AND a.y - a.r <= b.y - b.r + 1e-9 AND a.x + a.r >= b.x + b.r - 1e-9 AND a.y + a.r >= b.y + b.r - 1e-9
+ AND NOT (a.p_size % 2 = 0 AND b.x - b.r < a.x + a.r / 2 - 1e-9 AND b.x + b.r > a.x - a.r / 2 + 1e-9 AND b.y + b.r > a.y + 1e-9)"""
+#: Of a box on the sphere: its edges from pole to pole enclose nothing, so the upper and the lower one are left.
+ARC = "2 * atan2(tan(radians(2 * {r}) / 2) * 2 * tan(radians({y}) / 2), 1 + pow(tan(radians({y}) / 2), 2))"
+AREA = "abs(" + ARC.format(r="{t}.r", y="({t}.y + {t}.r)") + " - " + ARC.format(r="{t}.r", y="({t}.y - {t}.r)") + ")"
 
 
 @query("e07_contains", CONTAINS)
@@ -75,9 +83,39 @@ def e07(t):
     return inside(t).select("outer_id", "inner_id")
 
 
-@query("j14_spatial_join", CONTAINS + " AND a.r * a.r > b.r * b.r * 1.01")
+@query("e07_area_on_sphere", f"SELECT p_partkey, round({AREA.format(t='a')} * 6371 * 6371, 4) AS km2 FROM {XYR} a")
+def e07_area(t):
+    return rings(t).select("p_partkey", F.round(E.sphere_area_km2(F.col("ring")), 4).alias("km2"))
+
+
+SQUARES = CONTAINS[: CONTAINS.index(" AND NOT")]
+
+
+@query("j14_spatial_join", f"{SQUARES} AND {AREA.format(t='a')} > {AREA.format(t='b')} * 1.01")
 def j14(t):
-    return inside(t).filter(F.col("outer_r") * F.col("outer_r") > F.col("inner_r") * F.col("inner_r") * 1.01).select("outer_id", "inner_id")
+    """Squares inside squares whose area on the sphere is larger by a hundredth."""
+    side = lambda p: rings(t).select(F.col("p_partkey").alias(f"{p}_id"), F.col("ring").alias(f"{p}_ring"))
+    found = S.pairs_inside(side("outer"), side("inner"))
+    return found.filter(E.sphere_area_km2(F.col("outer_ring")) > E.sphere_area_km2(F.col("inner_ring")) * 1.01).select("outer_id", "inner_id")
+
+
+#: Squares of a degree that tile a strip for each brand, one above the other and two wide, in the order of its parts.
+TILES = "(SELECT p_brand, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) AS k FROM part)"
+
+
+@query("e08_union", f"SELECT p_brand, CAST(count(*) AS DOUBLE) AS area, 1 AS rings, CASE WHEN count(*) % 2 = 1 AND count(*) > 1 THEN 6 ELSE 4 END AS corners FROM {TILES} GROUP BY p_brand")
+def e08(t):
+    """The union of a brand's squares: area, loops and corners of what the cancelled edges leave."""
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1  # makes the tiling, as the data have none
+    tiles = t.part.select("p_brand", (k % 2).cast("double").alias("x"), F.floor(k / 2).cast("double").alias("y"), (k % 3 == 0).alias("back"))
+    corner = lambda a, b: F.array(F.col("x") + a, F.col("y") + b)
+    ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
+    edges = S.union_edges(tiles.withColumn("ring", F.when(F.col("back"), F.reverse(ring)).otherwise(ring)), "p_brand", "ring")
+    area = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2
+    corners = S.corners_only(S.trace(edges, "p_brand"), "p_brand").groupBy("p_brand").agg(F.countDistinct("ring").cast("int").alias("rings"), F.count("*").cast("int").alias("corners"))
+    return edges.groupBy("p_brand").agg(F.round(area, 6).alias("area")).join(corners, "p_brand")
 
 
 @query("e09_geometry_type", "SELECT p_partkey, p_size % 3 < 2 AS polygon FROM part")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cairn.functions import names as N
 from cairn.operators import matching as M
 from cairn.plans.registry import query
-from cairn.plans.text import TRIGRAMS
+from cairn.plans.text import TRIGRAMS, WORD_TRIGRAMS
 
 SIM = "(len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))))"
 #: Names as another source writes them: the last letter doubled.
@@ -28,7 +28,7 @@ def j16(t):
     return a.join(b, "p_brand").filter(hit).groupBy("p_brand", "l_name").agg(F.min("r_name").alias("r_name"))
 
 
-def pairs_sql(block):
+def pairs_sql(block, TRIGRAMS=TRIGRAMS):
     on = "a.p_brand = b.p_brand" if block else "true"
     return f"(SELECT {'a.p_brand,' if block else ''} a.name AS l_name, b.name AS r_name, {SIM.format(a='ag', b='bg')} AS sim FROM (SELECT DISTINCT {'p_brand,' if block else ''} name, {TRIGRAMS.format(c='name')} AS ag FROM {OTHER}) a JOIN (SELECT DISTINCT {'p_brand,' if block else ''} name, {TRIGRAMS.format(c='name')} AS bg FROM {NAMES}) b ON {on})"
 
@@ -39,15 +39,15 @@ def j17(t):
     return M.best_match(pairs, "key", [F.desc("sim"), F.asc("r_name")]).select("p_brand", "l_name", "r_name", F.round("sim", 6).alias("sim"))
 
 
-@query("j18_trigram_best", f"SELECT l_name, r_name, round(sim, 6) AS sim FROM {pairs_sql(False)} WHERE sim > 0.4 QUALIFY row_number() OVER (PARTITION BY l_name ORDER BY sim DESC, r_name) = 1")
+@query("j18_trigram_best", f"SELECT l_name, r_name, round(sim, 6) AS sim FROM {pairs_sql(False, WORD_TRIGRAMS)} WHERE sim > 0.4 QUALIFY row_number() OVER (PARTITION BY l_name ORDER BY sim DESC, r_name) = 1")
 def j18(t):
-    pairs = M.trigram_pairs(other(t).select("name"), names(t).select("name"), 0.4).filter("sim > 0.4")
+    pairs = M.trigram_pairs(other(t).select("name"), names(t).select("name"), 0.4, grams=N.word_trigrams).filter("sim > 0.4")
     return M.best_match(pairs, "l_name", [F.desc("sim"), F.asc("r_name")]).select("l_name", "r_name", F.round("sim", 6).alias("sim"))
 
 
-@query("j19_trigram_threshold", f"SELECT p_brand, l_name, r_name, round(sim, 6) AS sim FROM {pairs_sql(True)} WHERE sim >= 0.5")
+@query("j19_trigram_threshold", f"SELECT p_brand, l_name, r_name, round(sim, 6) AS sim FROM {pairs_sql(True, WORD_TRIGRAMS)} WHERE sim >= 0.5")
 def j19(t):
-    return M.trigram_pairs(other(t), names(t), 0.5, "p_brand").select("p_brand", "l_name", "r_name", F.round("sim", 6).alias("sim"))
+    return M.trigram_pairs(other(t), names(t), 0.5, "p_brand", N.word_trigrams).select("p_brand", "l_name", "r_name", F.round("sim", 6).alias("sim"))
 
 
 LIMIT = "greatest(CAST(floor(0.4 * length(a.name)) AS BIGINT), 5)"
@@ -56,7 +56,7 @@ EDITS = f"(SELECT a.name AS l_name, b.name AS r_name, CAST(levenshtein(a.name, b
 
 def edits(t):
     limit = F.greatest(F.floor(0.4 * F.length("l_name")), F.lit(5))
-    return M.edit_candidates(other(t).select("name"), names(t).select("name"), limit).withColumn("distance", F.col("distance").cast("long"))
+    return M.edit_pairs(other(t).select("name"), names(t).select("name"), limit).withColumn("distance", F.col("distance").cast("long"))
 
 
 @query("j20_edit_top3", f"SELECT l_name, r_name, distance, row_number() OVER (PARTITION BY l_name ORDER BY distance, r_name) AS rank FROM {EDITS} QUALIFY rank <= 3")
@@ -68,9 +68,7 @@ def j20(t):
 
 @query("j21_edit_best", f"SELECT p_brand, a.name AS l_name, arg_min(b.name, (levenshtein(a.name, b.name), b.name)) AS r_name FROM {OTHER} a JOIN {NAMES} b USING (p_brand) GROUP BY 1, 2")
 def j21(t):
-    a, b = other(t).withColumnRenamed("name", "l_name"), names(t).withColumnRenamed("name", "r_name")
-    best = F.min_by("r_name", F.struct(F.levenshtein("l_name", "r_name"), F.col("r_name")))
-    return a.join(b, "p_brand").groupBy("p_brand", "l_name").agg(best.alias("r_name"))
+    return M.nearest_by_edits(other(t), names(t), "p_brand")
 
 
 #: Listings: part names as they are, shortened, or misspelled, by the order that lists them.
@@ -101,7 +99,7 @@ def three_tiers(t, confident: float = 0.9, threshold: float = 0.4):
     exact = rows.join(canon(t), "name").withColumn("seq", F.col("id"))
     alias = rows.join(exact.select("name"), "name", "left_anti").join(aliases(t), "name").withColumn("seq", F.col("id"))
     rest = rows.join(exact.select("name").unionByName(alias.select("name")), "name", "left_anti")
-    fuzzy = M.trigram_pairs(rest, canon(t).select("name"), threshold).filter(F.col("sim") > threshold)
+    fuzzy = M.trigram_pairs(rest, canon(t).select("name"), threshold, grams=N.word_trigrams).filter(F.col("sim") > threshold)
     fuzzy = fuzzy.join(canon(t).withColumnRenamed("name", "r_name"), "r_name").select(F.col("l_name").alias("name"), "id", "sim", F.col("id").alias("seq"))
     return rows, [(exact, "exact", F.lit(1.0)), (alias, "alias", F.lit(confident)), (fuzzy, "fuzzy", F.col("sim"))]
 
@@ -110,7 +108,7 @@ TIERS = f"""
 WITH q AS (SELECT * FROM {LISTED}), c AS (SELECT * FROM {CANON}), al AS (SELECT * FROM {ALIAS}),
 m AS (SELECT q.name, c.id, 0 AS n, 'exact' AS tier, 1.0 AS confidence FROM q JOIN c USING (name)
  UNION ALL SELECT q.name, al.id, 1, 'alias', 0.9 FROM q JOIN al USING (name)
- UNION ALL SELECT name, id, 2, 'fuzzy', sim FROM (SELECT q.name, c.id, {SIM.format(a='qg', b='cg')} AS sim FROM (SELECT name, {TRIGRAMS.format(c='name')} AS qg FROM q) q, (SELECT id, {TRIGRAMS.format(c='name')} AS cg FROM c) c) WHERE sim > 0.4),
+ UNION ALL SELECT name, id, 2, 'fuzzy', sim FROM (SELECT q.name, c.id, {SIM.format(a='qg', b='cg')} AS sim FROM (SELECT name, {WORD_TRIGRAMS.format(c='name')} AS qg FROM q) q, (SELECT id, {WORD_TRIGRAMS.format(c='name')} AS cg FROM c) c) WHERE sim > 0.4),
 b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY name ORDER BY n, confidence DESC, id) = 1)
 """
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from cairn.functions import nested as M
 from cairn.operators.dedup import filled_fields
 from cairn.plans.registry import query
+from cairn.plans.scans import chunked
+from cairn.session import shared_dir
 
 
 def tagged(t):
@@ -48,17 +50,24 @@ def m06(t):
     return t.events.select("event_id", F.coalesce(F.nullif(own, F.lit("")), F.get_json_object("props", "$.k")).alias("k"))
 
 
-@query("m07_blend", "SELECT p_partkey, i, CASE i WHEN 0 THEN string_split(p_name, ' ')[1] ELSE string_split(p_name, ' ')[2] END AS name, CASE i WHEN 0 THEN CAST(p_size AS DOUBLE) END AS pct FROM part, (VALUES (0), (1)) AS v(i)")
+@query("m07_blend", """
+SELECT p_partkey, i, name, pct FROM (
+  SELECT p_partkey, p_size, unnest([0, 1, 2]) AS i, unnest([w[1] || ' ' || w[2], w[2], w[1]]) AS name, unnest([CAST(p_size AS DOUBLE), NULL, NULL]) AS pct
+  FROM (SELECT *, string_split(p_name, ' ') AS w FROM part))
+WHERE p_size % 5 > 1""")
 def m07(t):
+    """Blends as they are written, a fifth of them unknown and a fifth elsewhere."""
     w = F.split("p_name", " ")
-    text = F.concat(F.col("p_size").cast("string"), F.lit("% "), w[0], F.lit(" (old) and "), w[1])
+    text = F.concat(F.when(F.col("p_size") % 5 == 2, "Approximately ").otherwise(""), F.col("p_size").cast("string"), F.lit("% "), w[0], F.lit(" "), w[1], F.lit(" (old) and "), w[1], F.lit(" & 12 / "), w[0], F.lit(", xy"))
+    text = F.when(F.col("p_size") % 5 == 0, "N/A").when(F.col("p_size") % 5 == 1, "See below").otherwise(text)
     return t.part.select("p_partkey", F.posexplode(M.blend(text)).alias("i", "b")).select("p_partkey", "i", "b.name", "b.pct")
 
 
-@query("m08_composition", "SELECT p_partkey, unnest(string_split(p_name, ' ')[1:2]) AS name, unnest([p_size, 100 - p_size]) AS pct FROM part")
+@query("m08_composition", "SELECT p_partkey, unnest([p_name, string_split(p_name, ' ')[2] || ' of ' || string_split(p_name, ' ')[1]]) AS name, unnest([p_size, 100 - p_size]) AS pct FROM part")
 def m08(t):
+    """Names of several words, up to the comma."""
     w = F.split("p_name", " ")
-    text = F.format_string("%d%% %s, then %d%% %s", F.col("p_size"), w[0], 100 - F.col("p_size"), w[1])
+    text = F.format_string("%d%% %s, %d%%  %s of %s ", F.col("p_size"), F.col("p_name"), 100 - F.col("p_size"), w[1], w[0])
     return t.part.select("p_partkey", F.explode(M.composition(text)).alias("c")).select("p_partkey", "c.name", "c.pct")
 
 
@@ -105,6 +114,33 @@ def m14(t):
     return per_order.select("c_custkey", F.col("o.o_orderkey").alias("o_orderkey"), F.explode_outer("o.lines").alias("l_linenumber"))
 
 
+@query("m14_documents", "SELECT c_custkey, c_name, o_orderkey, l_linenumber, l_quantity AS quantity, l_returnflag AS flag FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey")
+def m14_documents(t):
+    """Nested documents written as JSON text and imported level by level; half of them name their fields otherwise.
+
+    A customer of many orders has several documents. Levels are exploded as variants, fields are read by either path.
+    """
+    drifts = F.col("l_orderkey") % 2 == 0
+    line = F.when(drifts, F.to_json(F.struct("l_linenumber", F.struct(F.col("l_quantity").alias("amount")).alias("measure"), F.col("l_returnflag").alias("flag")))).otherwise(F.to_json(F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"), F.struct(F.col("l_returnflag").alias("code")).alias("flag"))))
+    text = lambda rows: F.concat(F.lit("["), F.array_join(F.collect_list(rows), ","), F.lit("]"))
+    lines = t.lineitem.select("l_orderkey", line.alias("line")).groupBy("l_orderkey").agg(text("line").alias("lines"))  # the lines of one order
+    order = F.concat(F.lit('{"id":'), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ',"items":').otherwise(',"lines":'), F.coalesce("lines", F.lit("[]")), F.lit("}"))
+    orders = chunked(t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "o_custkey", order.alias("order")), "o_orderkey", "o_custkey", size=500)
+    orders = orders.groupBy("o_custkey", "chunk").agg(text("order").alias("orders"))
+    docs = t.customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    path = shared_dir(t._spark, "documents")
+    docs.select(F.concat(F.lit('{"key":'), F.col("c_custkey").cast("string"), F.lit(',"name":"'), "c_name", F.lit('","orders":'), F.coalesce("orders", F.lit("[]")), F.lit("}"))).write.text(path)
+
+    spark = t._spark
+    either = lambda v, kind, *paths: F.coalesce(*[F.try_variant_get(v, p, kind) for p in paths])
+    read = spark.read.text(path).select(F.parse_json("value").alias("doc"))
+    top = read.select(F.try_variant_get("doc", "$.key", "long").alias("c_custkey"), F.try_variant_get("doc", "$.name", "string").alias("c_name"), F.expr("try_variant_get(doc, '$.orders', 'variant')").alias("orders"))
+    per_order = top.lateralJoin(spark.tvf.variant_explode_outer(F.col("orders").outer())).select("c_custkey", "c_name", F.col("value").alias("o"))
+    per_order = per_order.select("c_custkey", "c_name", F.try_variant_get("o", "$.id", "long").alias("o_orderkey"), F.expr("coalesce(try_variant_get(o, '$.lines', 'variant'), try_variant_get(o, '$.items', 'variant'))").alias("lines"))
+    per_line = per_order.lateralJoin(spark.tvf.variant_explode_outer(F.col("lines").outer())).select("c_custkey", "c_name", "o_orderkey", F.col("value").alias("l"))
+    return per_line.select("c_custkey", "c_name", "o_orderkey", either("l", "int", "$.line", "$.l_linenumber").alias("l_linenumber"), either("l", "double", "$.quantity", "$.measure.amount").alias("quantity"), F.coalesce(F.try_variant_get("l", "$.flag.code", "string"), F.try_variant_get("l", "$.flag", "string")).alias("flag"))
+
+
 @query("m14a_either_name", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def m14a(t):
     renamed = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.replace("props", F.lit('"k"'), F.lit('"key"')))

@@ -33,10 +33,11 @@ def n03(t):
     return t.part.select("p_partkey", X.number_range(raw).alias("r")).select("p_partkey", "r.low", "r.high")
 
 
-@query("n04_area_and_slope", "SELECT p_partkey, CAST(p_size AS DOUBLE) + 0.5 AS area, CAST(p_size + 5 AS DOUBLE) AS slope FROM part")
+@query("n04_area_and_slope", "SELECT p_partkey, 1000.0 * (p_size % 3) + p_size + 0.5 AS area, CAST(p_size + 5 AS DOUBLE) AS slope FROM part")
 def n04(t):
     size = F.col("p_size")
-    return t.part.select("p_partkey", X.amount(F.concat(size.cast("string"), F.lit(".5 ha")), "ha").alias("area"), X.high_percent(F.concat(size.cast("string"), F.lit("-"), (size + 5).cast("string"), F.lit("%"))).alias("slope"))
+    written = F.concat(F.format_number(1000 * (size % 3) + size, 0), F.lit(".5"), F.when(size % 2 == 0, " ha").otherwise(""))  # with separators, the unit now and then
+    return t.part.select("p_partkey", X.area(written).alias("area"), X.high_percent(F.concat(size.cast("string"), F.lit("-"), (size + 5).cast("string"), F.lit("%"))).alias("slope"))
 
 
 @query("n05_size_and_unit", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size * 1000.0 ELSE CAST(p_size AS DOUBLE) END::DOUBLE AS ml FROM part")
@@ -79,8 +80,8 @@ def n09(t):
 
 @query("n10_months_and_percent", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS months, CAST(p_size + 1 AS DOUBLE) AS pct FROM part")
 def n10(t):
-    prose = F.format_string("Aged %d months in oak, %d%% new", F.col("p_size"), F.col("p_size") + 1)
-    return t.part.select("p_partkey", X.amount(prose, "months").alias("months"), X.high_percent(prose).alias("pct"))
+    prose = F.format_string("Aged %d month%s in 85%% French oak, %d%% new", F.col("p_size"), F.when(F.col("p_size") > 1, "s").otherwise(""), F.col("p_size") + 1)
+    return t.part.select("p_partkey", X.amount(prose, "month").alias("months"), X.new_share(prose).alias("pct"))
 
 
 @query("n11_barcodes", "SELECT o_orderkey, length(CAST(o_orderkey AS VARCHAR) || '0000') BETWEEN 8 AND 14 AS valid FROM orders")

@@ -1,6 +1,7 @@
 """Sinks (K)."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.plans.registry import query
 from cairn.plans.scans import chunked
@@ -23,6 +24,21 @@ def k01(t):
     return rejects.select("l_orderkey", "l_linenumber", F.array_join("failed", ",").alias("failed"))
 
 
+@query("k01_failing_batches", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 AND l_quantity > 40 OR l_linenumber = 5 AND l_quantity > 45 THEN 'rejected' ELSE 'inserted' END AS outcome, CASE WHEN l_linenumber = 3 AND l_quantity > 40 OR l_linenumber = 5 AND l_quantity > 45 THEN NULL ELSE l_quantity END AS quantity FROM lineitem")
+def k01_batches(t):
+    """Lines whose quantity is text: some are no numbers and some are missing; the others of their batches go in."""
+    text = F.when((F.col("l_linenumber") == 3) & (F.col("l_quantity") > 40), "many").when((F.col("l_linenumber") == 5) & (F.col("l_quantity") > 45), None).otherwise(F.col("l_quantity").cast("string"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", text.alias("quantity"))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    target = T.StructType([T.StructField("l_orderkey", kinds["l_orderkey"]), T.StructField("l_linenumber", kinds["l_linenumber"]), T.StructField("quantity", T.DoubleType(), False)])
+    inserted, rejects = sinks.insert_batches(rows, target)
+    path = shared_dir(t._spark, "lines")
+    inserted.write.parquet(path)
+    there = t._spark.read.parquet(path).select("l_orderkey", "l_linenumber", F.lit("inserted").alias("outcome"), "quantity")
+    told = rejects.filter("length(error) > 0").select(F.from_json("row", "l_orderkey long, l_linenumber int").alias("r"))
+    return there.unionByName(told.select(F.col("r.l_orderkey").alias("l_orderkey"), F.col("r.l_linenumber").cast(kinds["l_linenumber"]).alias("l_linenumber"), F.lit("rejected").alias("outcome"), F.lit(None).cast("double").alias("quantity")))
+
+
 @query("k02_upsert", f"SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM {SPENDING}) UNION ALL SELECT c_custkey, c_acctbal FROM {SPENDING}")
 def k02(t):
     return sinks.upsert(t.customer.select("c_custkey", "c_acctbal"), spending(t), ["c_custkey"])

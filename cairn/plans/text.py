@@ -10,6 +10,8 @@ NORM = "trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce({c}, '')
 SLUG = "regexp_replace(regexp_replace(lower(strip_accents(coalesce({c}, ''))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 PRODUCER = "trim(regexp_replace(regexp_replace({n}, '^(?:" + "|".join(N.PREFIXES) + ") ', ''), ' (?:" + "|".join(N.SUFFIXES) + ")$', ''))"
 TRIGRAMS = "list_distinct(list_transform(range(1, length('  ' || {c} || ' ') - 1), lambda i: substr('  ' || {c} || ' ', i, 3)))"
+#: The same of each word by itself, in lower case.
+WORD_TRIGRAMS = r"list_distinct(flatten(list_transform(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+'), lambda w: list_transform(range(1, length('  ' || w || ' ') - 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
 def replaced(sql, table):
@@ -124,9 +126,11 @@ def t14(t):
     return t.pages.select("page_id", F.sha2(F.trim(F.lower(N.compose(F.replace("html", F.lit("&amp;"), F.lit("&"))))), 256).alias("light"))
 
 
-@query("t15_transliterate", "SELECT n_nationkey, 'Thessaloniki ' || n_name AS latin FROM nation")
+@query("t15_transliterate", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'Thessaloniki ' WHEN 1 THEN 'Khisarya Kharmanli Topoli ' ELSE 'Shtip aglen Yambol ' END || n_name AS latin FROM nation")
 def t15(t):
-    return t.nation.select("n_nationkey", N.transliterate(F.concat(F.lit("Θεσσαλονικι "), "n_name")).alias("latin"))
+    k = F.col("n_nationkey") % 3
+    place = F.when(k == 0, "Θεσσαλονικι ").when(k == 1, "Хисаря Харманли Тополи ").otherwise("Щип Ъглен Ямбол ")
+    return t.nation.select("n_nationkey", N.transliterate(F.concat(place, "n_name")).alias("latin"))
 
 
 @query("t16_strip_html", r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g'), '(?i)<(?:br|/p|/div|/li|/h[1-6])[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&eacute;', 'é'), '&egrave;', 'è'), '&rsquo;', '’'), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\n[ \n]*', chr(10), 'g'), ' ')) AS text FROM pages""")

@@ -27,7 +27,7 @@ def w03(t):
 
 @query("w04_unique_slugs", """
 WITH a AS (SELECT p_partkey, replace(p_name, ' ', '-') AS slug, replace(p_brand, '#', '') AS brand FROM part),
-b AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY slug) > 1 THEN slug || '-' || brand ELSE slug END AS s FROM a),
+b AS (SELECT *, CASE WHEN p_partkey > min(p_partkey) OVER (PARTITION BY slug) THEN slug || '-' || brand ELSE slug END AS s FROM a),
 c AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p_partkey) AS turn FROM b)
 SELECT p_partkey, CASE WHEN turn > 1 THEN s || '-' || turn ELSE s END AS unique_slug FROM c""")
 def w04(t):

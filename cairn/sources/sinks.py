@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from cairn.session import materialise
 
 
 def split_rejects(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -13,6 +21,53 @@ def split_rejects(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame
     return marked.filter(F.size("failed") == 0).drop("failed"), marked.filter(F.size("failed") > 0)
 
 
+def insert_batches(rows: DataFrame, target: T.StructType, batch_rows: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Rows as the typed ``target`` takes them, and (row, error) of those that it refuses; ``row`` is JSON.
+
+    Rows are cast a batch at a time. A batch that fails is halved until single rows fail, so the other rows
+    of a bad batch are inserted, and the number of casts grows with the bad rows times the logarithm of
+    the batch. A cast that loses anything fails, and so does a null where the target has none. The outcome
+    is written once, as a table from which both frames are read.
+    """
+    arrow = to_arrow_schema(target)
+    names = [f.name for f in target.fields]
+
+    def typed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = []
+        for field in arrow:
+            column = batch.column(field.name).cast(field.type, safe=True)
+            if not field.nullable and column.null_count:
+                raise ValueError(f"null in column {field.name}")
+            columns.append(column)
+        return pa.record_batch(columns, schema=arrow)
+
+    def tried(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, str | None]]:
+        try:
+            yield typed(batch), None
+        except (pa.ArrowException, ValueError) as error:
+            if batch.num_rows == 1:
+                yield batch, str(error)
+                return
+            half = batch.num_rows // 2
+            yield from tried(batch.slice(0, half))
+            yield from tried(batch.slice(half))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch_rows):
+                for part, error in tried(whole.slice(at, batch_rows)):
+                    n = part.num_rows
+                    good = part if error is None else pa.record_batch([pa.nulls(n, f.type) for f in arrow], names=names)
+                    raw = pa.nulls(n, pa.string()) if error is None else pa.array([json.dumps(r, default=str, ensure_ascii=False) for r in part.to_pylist()])
+                    values = pa.StructArray.from_arrays([good.column(i) for i in range(len(names))], names=names)
+                    yield pa.record_batch([values, raw, pa.array([error] * n, pa.string())], names=["good", "row", "error"])
+
+    loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in target.fields])
+    schema = T.StructType([T.StructField("good", loose), T.StructField("row", T.StringType()), T.StructField("error", T.StringType())])
+    done = materialise(rows.select(*names).mapInArrow(run, schema), "inserted")
+    return done.filter("error IS NULL").select("good.*"), done.filter("error IS NOT NULL").select("row", "error")
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Existing rows whose key does not come in, and one incoming row a key, the greatest if there are several."""
     others = [c for c in incoming.columns if c not in keys]

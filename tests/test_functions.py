@@ -34,6 +34,13 @@ def one(spark, column, value, kind="string"):
         (names.year, None, None),
         (names.clean, " \0 ", None),
         (names.transliterate, "Θεσσαλονικι", "Thessaloniki"),
+        (names.transliterate, "Хисаря Тополь", "Khisarya Topol"),
+        (names.transliterate, "Щит, Ъгъл", "Shtit, agal"),
+        (parse.area, "1,250.5 ha", 1250.5),
+        (parse.area, " 12 hectares", 12.0),
+        (parse.area, "about 3 ha", None),
+        (parse.new_share, "85% French oak, 30% new", 30.0),
+        (parse.new_share, "85% French oak", None),
         (names.title_case, "HOUSE OF THE SUN", "House of the Sun"),
         (names.drop_legal_form, "Acme, Inc.", "Acme"),
         (parse.informal_date, "March 5, 2020", "2020-03-05"),
@@ -66,7 +73,20 @@ def test_upper_median(spark):
 
 def test_unique_names(spark):
     df = spark.createDataFrame([(1, "x", "fr"), (2, "x", "fr"), (3, "x", "it"), (4, "y", "fr")], "id int, s string, q string")
-    assert {r["id"]: r["unique_slug"] for r in dedup.unique_names(df, "s", "q", "id").collect()} == {1: "x-fr", 2: "x-fr-2", 3: "x-it", 4: "y"}
+    assert {r["id"]: r["unique_slug"] for r in dedup.unique_names(df, "s", "q", "id").collect()} == {1: "x", 2: "x-fr", 3: "x-it", 4: "y"}
+    for seed in range(4):
+        r = random.Random(seed)
+        rows = [(i, r.choice(["a", "a", "a-x", "a-x-2", "a-x-2-2", "b", "a-x-3"]), r.choice("xy")) for i in range(60)]
+        first, want, taken = {}, {}, set()
+        for i, s, q in rows:
+            base = s if first.setdefault(s, i) == i else f"{s}-{q}"
+            name, n = base, 2
+            while name in taken:
+                name, n = f"{base}-{n}", n + 1
+            taken.add(name)
+            want[i] = name
+        got = {r["id"]: r["unique_slug"] for r in dedup.unique_names(spark.createDataFrame(rows, "id int, s string, q string"), "s", "q", "id").collect()}
+        assert got == want and len(set(got.values())) == 60
 
 
 def test_components_of_a_path_and_a_cycle(spark):
@@ -131,7 +151,9 @@ def test_contains_ring_equals_ray_casting(spark):
     rows = [(k, star, [[rng.uniform(0, 9), rng.uniform(0, 9)] for _ in range(rng.choice([1, 2]))]) for k in range(200)] + [(900, None, star), (901, star, None)]
     df = spark.createDataFrame(rows, "k int, a array<array<double>>, b array<array<double>>")
     got = {r["k"]: r["c"] for r in df.select("k", geometry.contains_ring(F.col("a"), F.col("b")).alias("c")).collect()}
-    assert got == {k: None if a is None or b is None else all(inside(*p, a) for p in b) for k, a, b in rows}
+    steps = np.linspace(0, 1, 3001)
+    path = lambda b: [tuple(np.array(b[0]) * (1 - s) + np.array(b[-1]) * s) for s in (steps if len(b) > 1 else [0.0])]
+    assert got == {k: None if a is None or b is None else all(inside(*p, a) for p in path(b)) for k, a, b in rows}
 
 
 def test_names_as_their_rules_say(spark):
@@ -170,7 +192,7 @@ def test_partition_keys_fill_each_partition_once(spark):
 def test_edit_candidates_equal_brute_force(spark):
     words = ["kitten", "sitting", "mitten", "sit", "", "a", "kit", "written"]
     df = spark.createDataFrame([(w,) for w in words], "name string")
-    got = {(r["l_name"], r["r_name"]): r["distance"] for r in matching.edit_candidates(df, df, F.lit(3)).collect()}
+    got = {(r["l_name"], r["r_name"]): r["distance"] for r in matching.edit_pairs(df, df, F.lit(3)).collect()}
     plain = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
     want = {(r["a"], r["b"]): r["d"] for r in plain.select("a", "b", F.levenshtein("a", "b").alias("d")).filter("d <= 3").collect()}
     assert got == want
@@ -214,13 +236,107 @@ def test_upsert_keeps_keys_unique(spark):
 
 def test_loops_never_end_with_a_partial_result(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(9)], "a int, b int")
-    with pytest.raises(RuntimeError):
-        graphs.ancestors(chain, "a", "b", max_depth=3)
     with pytest.raises(RuntimeError):
         graphs.components(chain, max_rounds=1)
     assert graphs.ancestors(chain, "a", "b").count() == 45
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 700 nodes that ends in a cycle, by ten doublings."""
+    rounds, write = [], graphs.materialise
+    monkeypatch.setattr(graphs, "materialise", lambda df, tag: rounds.append(tag) or write(df, tag))
+    chain = spark.createDataFrame([(k, k + 1) for k in range(700)] + [(700, 698)], "a int, b int")
+    got = graphs.ancestors(chain, "a", "b")
+    assert got.filter("node = 0").agg(F.count("*"), F.max("depth")).first() == (700, 700)
+    assert got.filter("node = 700").count() == 2 and len(rounds) <= 11
+
+
+BLENDS = [
+    ("60% Merlot and 40% Cabernet Franc (old vines)", [("Merlot", 60.0), ("Cabernet Franc", 40.0)]),
+    ("Approximately 70 Gamay & Pinot / xy, 12", [("Gamay", 70.0), ("Pinot", None)]),
+    ("N/A", []),
+    ("Varies by year", []),
+    ("see below", []),
+    ("see the label, Syrah", [("Syrah", None)]),
+    ("", []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), BLENDS)
+def test_blend(spark, text, want):
+    assert [tuple(x) for x in one(spark, nested.blend, text)] == want
+
+
+def test_composition(spark):
+    assert [tuple(x) for x in one(spark, nested.composition, "60% Cabernet Sauvignon, 40%  Merlot of the hill")] == [("Cabernet Sauvignon", 60), ("Merlot of the hill", 40)]
+
+
+def test_word_trigrams_do_not_depend_on_order(spark):
+    df = spark.createDataFrame([("ridge monte bello", "Monte-Bello RIDGE")], "a string, b string")
+    assert df.select(names.similarity(names.word_trigrams("a"), names.word_trigrams("b")).alias("s")).first()["s"] == 1.0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_edit_pairs(spark, seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(0, 14)))
+    a, b = sorted({word() for _ in range(60)}), sorted({word() for _ in range(80)})
+
+    def lev(x, y):
+        row = list(range(len(y) + 1))
+        for i, p in enumerate(x):
+            new = [i + 1]
+            for j, q in enumerate(y):
+                new.append(min(row[j] + (p != q), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    left, right = (spark.createDataFrame([(x,) for x in side], "name string") for side in (a, b))
+    limit = lambda x: max(int(0.3 * len(x)), 1)
+    want = {(x, y, lev(x, y)) for x in a for y in b if lev(x, y) <= limit(x)}
+    got = matching.edit_pairs(left, right, F.greatest(F.floor(0.3 * F.length("l_name")), F.lit(1)))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    in_block = lambda df: df.withColumn("k", F.crc32("name") % 3)
+    best = {}
+    blocks = {x: k for x, k in [(r["name"], r["k"]) for r in in_block(left).collect()] + [(r["name"], r["k"]) for r in in_block(right).collect()]}
+    for x in a:
+        near = [(lev(x, y), y) for y in b if blocks[y] == blocks[x]]
+        if near:
+            best[x] = min(near)[1]
+    assert {r["l_name"]: r["r_name"] for r in matching.nearest_by_edits(in_block(left), in_block(right), "k").collect()} == best
+
+
+NOTCHED = [[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [6.0, 10.0], [6.0, 4.0], [4.0, 4.0], [4.0, 10.0], [0.0, 10.0], [0.0, 0.0]]
+BOXES = [
+    ((1, 5, 9, 6), False),  # a bar across the notch: all corners inside
+    ((1, 1, 9, 3), True),
+    ((0, 0, 10, 4), True),  # along the edges and the bottom of the notch
+    ((0, 0, 10, 5), False),
+    ((4, 4, 6, 10), False),  # the notch itself
+    ((0, 4, 4, 10), True),  # an arm, with three edges in common
+    ((11, 1, 12, 2), False),
+    ((-1, -1, 11, 11), False),
+]
+
+
+@pytest.mark.parametrize(("box", "want"), BOXES)
+def test_rings_inside_a_concave_one(spark, box, want):
+    x0, y0, x1, y1 = map(float, box)
+    ring = [[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]
+    df = spark.createDataFrame([(NOTCHED, ring)], "o array<array<double>>, i array<array<double>>")
+    assert df.select(geometry.contains_ring(F.col("o"), F.col("i")).alias("c")).first()["c"] is want
+
+
+def test_area_on_the_sphere(spark):
+    """An eighth of the sphere, and a box of a degree."""
+    octant = [[float(x), 0.0] for x in range(0, 91)] + [[90.0, 90.0], [0.0, 90.0], [0.0, 0.0]]
+    box = [[10.0, 0.0], [11.0, 0.0], [11.0, 1.0], [10.0, 1.0], [10.0, 0.0]]
+    df = spark.createDataFrame([(octant, box)], "a array<array<double>>, b array<array<double>>")
+    got = df.select(geometry.sphere_area_km2(F.col("a")).alias("a"), geometry.sphere_area_km2(F.reverse("b")).alias("b")).first()
+    assert got["a"] == pytest.approx(4 * math.pi * 6371**2 / 8, rel=1e-9)
+    assert got["b"] == pytest.approx(6371**2 * math.radians(1) * math.sin(math.radians(1)), rel=1e-4)  # its upper edge is an arc, not a parallel
+
+
 def test_equal_area_grid_on_the_published_example(spark):
     grid = geometry.EqualArea()
     df = spark.createDataFrame([(3962799.45, 2999718.85), (4321000.0, 3210000.0)], "x double, y double")
