@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.names import word_trigrams
+from cairn.operators.matching import trigram_pairs
+from cairn.session import materialise
+
 #: The ranks of identity confidence, lowest first.
 CONFIDENCE = ["unverified", "name_matched", "upc_matched", "lwin_matched", "verified"]
 
@@ -62,3 +66,43 @@ def match_or_create(rows: DataFrame, name: str, existing: DataFrame, existing_na
     joined = names.join(known, "name", "left")
     return joined.select("name", F.coalesce("known", F.sha2("name", 256)).alias("id"), F.col("known").isNull().alias("created"))
 
+
+
+def resolve_or_create(rows: DataFrame, name: str, seq: str, existing: DataFrame, existing_name: str, id_col: str, threshold: float = 0.4) -> DataFrame:
+    """Each row with (id, tier, confidence): matched by name, else by trigrams above ``threshold``, else an entity made of it.
+
+    What comes of it is what going row by row in the order of ``seq`` gives, in which an entity that a row makes
+    is a candidate of all later rows. A name makes an entity at its first row or never, and does so if it is like no
+    existing entity and like no made one that came before. That is settled in rounds: a name is decided once all
+    earlier names like it are. Of several candidates the most similar one counts, then the one that was there first, then
+    the least identifier. Tiers are ``exact``, ``fuzzy`` and ``created``; rows without a name have none.
+    """
+    row = rows.withColumn("_name", F.col(name))
+    names = materialise(row.filter("_name IS NOT NULL").groupBy(F.col("_name").alias("name")).agg(F.min(seq).alias("first")), "names")
+    known = materialise(existing.filter(F.col(existing_name).isNotNull()).groupBy(F.col(existing_name).alias("name")).agg(F.min(F.col(id_col).cast("string")).alias("id")), "known")
+    like_known = trigram_pairs(names, known, threshold, grams=word_trigrams).filter(F.col("sim") > threshold)
+    like_known = materialise(like_known.join(known.withColumnRenamed("name", "r_name"), "r_name").select(F.col("l_name").alias("name"), "sim", "id"), "like-known")
+    fresh = materialise(names.join(known, "name", "left_anti").join(like_known.select("name"), "name", "left_anti"), "fresh")
+    alike = trigram_pairs(names, fresh, threshold, grams=word_trigrams).filter((F.col("sim") > threshold) & (F.col("l_name") != F.col("r_name")))
+    alike = materialise(alike.join(fresh.select(F.col("name").alias("r_name"), F.col("first").alias("since")), "r_name").select(F.col("l_name").alias("name"), F.col("r_name").alias("other"), "sim", "since"), "alike")
+    earlier = materialise(fresh.join(alike, "name").filter(F.col("since") < F.col("first")).select("name", "other"), "earlier")
+
+    state = materialise(fresh.select("name", "first", F.lit(None).cast("boolean").alias("makes")), "state")
+    while not state.filter("makes IS NULL").isEmpty():
+        open_names = state.filter("makes IS NULL")
+        told = earlier.join(state.select(F.col("name").alias("other"), "makes"), "other").groupBy("name").agg(F.max(F.coalesce("makes", F.lit(False))).alias("any"), F.max(F.col("makes").isNull()).alias("open"))
+        decided = open_names.drop("makes").join(told, "name", "left").select("name", "first", F.when(F.coalesce("any", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True).alias("makes"))
+        state = materialise(state.filter("makes IS NOT NULL").unionByName(decided), "state")
+
+    made = materialise(state.filter("makes").select("name", "first", F.sha2("name", 256).alias("id")), "made")
+    before_all = F.lit(None).cast(names.schema["first"].dataType)
+    near = like_known.select("name", "sim", before_all.alias("since"), "id")
+    near = near.unionByName(alike.join(made.select(F.col("name").alias("other"), "id"), "other").select("name", "sim", "since", "id"))
+    # Of the entities like a name; rows look theirs up by when they were made.
+    near = near.groupBy("name").agg(F.collect_list(F.struct((-F.col("sim")).alias("far"), F.col("since"), F.col("id"))).alias("near"))
+    by_name = names.join(known.select("name", F.col("id").alias("known_id")), "name", "left").join(made.select("name", F.col("id").alias("made_id")), "name", "left").join(near, "name", "left")
+    joined = row.join(by_name.withColumnRenamed("name", "_name"), "_name", "left")
+    best = F.array_min(F.filter("near", lambda c: c["since"].isNull() | (c["since"] < F.col(seq))))
+    own, fuzzy = F.coalesce("known_id", "made_id"), F.col("best")
+    tier = F.when(F.col("known_id").isNotNull(), "exact").when(F.col("made_id").isNotNull(), F.when(F.col(seq) == F.col("first"), "created").otherwise("exact")).when(fuzzy.isNotNull(), "fuzzy")
+    return joined.withColumn("best", best).select(*rows.columns, F.coalesce(own, fuzzy["id"]).alias("id"), tier.alias("tier"), F.when(own.isNotNull(), 1.0).otherwise(-fuzzy["far"]).alias("confidence"))

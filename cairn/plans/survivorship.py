@@ -68,6 +68,16 @@ def r07(t):
     return linked.agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_entities"))
 
 
+@query("r07_row_by_row")
+def r07_rows(t):
+    """Listings in the order of their keys, some misspelled, against the names that a fifth of the parts have."""
+    words = F.split("p_name", " ")
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat("p_name", F.substring("p_name", -1, 1))).when(k == 2, F.concat_ws(" ", words[1], words[0], "p_brand")).otherwise(F.concat_ws(" ", words[1], "p_type"))
+    rows = t.part.select("p_partkey", name.alias("name"))
+    return S.resolve_or_create(rows, "name", "p_partkey", t.part.filter("p_size % 10 = 0").select("p_name", "p_partkey"), "p_name", "p_partkey").select("p_partkey", "name", "id", "tier", F.round("confidence", 6).alias("confidence"))
+
+
 @query("r08_external_ids", "SELECT 'customer' AS kind, c_custkey AS id, 'orders' AS system, CAST(n AS VARCHAR) AS value FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey UNION ALL SELECT 'customer', c_custkey, 'name', c_name FROM customer UNION ALL SELECT 'customer', c_custkey, 'orders', 'none' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def r08(t):
     row = lambda df, system, value: df.select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.lit(system).alias("system"), value.alias("value"))

@@ -1,5 +1,6 @@
 """Functions on worked examples and odd values."""
 
+import hashlib
 import json
 import math
 import random
@@ -8,9 +9,10 @@ from pathlib import Path
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions import geometry, names, nested, parse
-from cairn.operators import dedup, graphs, lookups, matching, profile, survivorship
+from cairn.operators import dedup, graphs, lookups, matching, profile, spatial, survivorship
 from cairn.sources import sinks
 
 
@@ -398,3 +400,84 @@ def test_folder_walk_lists_every_file(spark):
 
     got = {r["name"]: r["bytes"] for r in registry.queries()["s15_folder_walk"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {p.name: p.stat().st_size for p in Path("/root/testdata/sf0.001").glob("*.parquet")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_resolve_or_create_equals_going_row_by_row(spark, seed):
+    """Misspelled newcomers: who comes first makes the entity that later ones match."""
+    r = random.Random(seed)
+    stems = ["".join(r.choice("abcdefgh") for _ in range(r.randint(4, 9))) for _ in range(9)]
+
+    def listed():
+        words = [r.choice(stems) for _ in range(r.choice([1, 1, 2]))]
+        for _ in range(r.randint(0, 2)):
+            i = r.randrange(len(words))
+            at = r.randrange(len(words[i]) + 1)
+            words[i] = words[i][:at] + r.choice(["", "x", "yy"]) + words[i][at + r.randint(0, 1) :]
+        return " ".join(w for w in words if w) or "zz"
+
+    rows = [(i, None if r.random() < 0.05 else listed()) for i in range(90)]
+    existing = [(f"e{i}", listed()) for i in range(6)]
+
+    def grams(text):
+        return {f"  {w} "[i : i + 3] for w in text.lower().split() for i in range(len(w) + 1)}
+
+    entities = [(-1, i, n) for i, n in existing]
+    want = {}
+    for i, n in rows:
+        if n is None:
+            want[i] = (None, None)
+            continue
+        exact = sorted(e for _, e, m in entities if m == n)
+        near = [(-len(grams(n) & grams(m)) / len(grams(n) | grams(m)), since, e) for since, e, m in entities]
+        near = [x for x in near if -x[0] > 0.4]
+        if exact:
+            want[i] = (exact[0], "exact")
+        elif near:
+            want[i] = (min(near)[2], "fuzzy")
+        else:
+            made = hashlib.sha256(n.encode()).hexdigest()
+            entities.append((i, made, n))
+            want[i] = (made, "created")
+    df = spark.createDataFrame(rows, "seq int, listing string")
+    known = spark.createDataFrame(existing, "key string, label string")
+    got = {x["seq"]: (x["id"], x["tier"]) for x in survivorship.resolve_or_create(df, "listing", "seq", known, "label", "key").collect()}
+    assert got == want
+    assert {t for _, t in want.values()} >= {"created", "fuzzy", "exact"}
+
+
+def test_failing_batches(spark):
+    """Good rows of a bad batch go in, and each refused row says why."""
+    rows = [(i, "x" if i % 37 == 5 else None if i % 50 == 7 else str(i / 2), "n") for i in range(1000)]
+    target = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.DoubleType(), False)])
+    good, bad = sinks.insert_batches(spark.createDataFrame(rows, "k long, v string, more string"), target, 64)
+    refused = {i for i, v, _ in rows if v in ("x", None)}
+    assert {(x["k"], x["v"]) for x in good.collect()} == {(i, i / 2) for i, _, _ in rows if i not in refused}
+    told = {json.loads(x["row"])["k"]: x["error"] for x in bad.collect()}
+    assert set(told) == refused and "null in column v" in told[7] and "x" in told[5]
+    none = sinks.insert_batches(spark.createDataFrame([], "k long, v string"), target)
+    assert none[0].count() == none[1].count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_union_of_tiles(spark, seed):
+    """Random cells of a grid: holes, parts that touch in a corner, rings in either direction."""
+    r = random.Random(seed)
+    cells = {(k, x, y) for k in ("a", "b") for x in range(5) for y in range(5) if r.random() < 0.6}
+    rows = []
+    for k, x, y in cells:
+        ring = [[x, y], [x + 1, y], [x + 1, y + 1], [x, y + 1], [x, y]]
+        rows.append((k, [[float(c) for c in p] for p in (ring if r.random() < 0.5 else ring[::-1])]))
+    edges = spatial.union_edges(spark.createDataFrame(rows, "k string, ring array<array<double>>"), "k", "ring")
+    traced = spatial.trace(edges, "k").collect()
+    loops = {}
+    for t in traced:
+        loops.setdefault((t["k"], tuple(t["ring"])), {}).setdefault(t["seq"], []).append((t["x"], t["y"]))
+    area = {"a": 0.0, "b": 0.0}
+    for (k, _), places in loops.items():
+        # Loops that begin in the same corner share a name only if they are one.
+        assert sorted(places) == list(range(len(places))) and all(len(p) == 1 for p in places.values())
+        points = [places[i][0] for i in range(len(places))]
+        assert all(abs(p[0] - q[0]) + abs(p[1] - q[1]) == 1 for p, q in zip(points, points[1:] + points[:1], strict=True))
+        area[k] += sum(p[0] * q[1] - p[1] * q[0] for p, q in zip(points, points[1:] + points[:1], strict=True)) / 2
+    assert area == {k: float(sum(c[0] == k for c in cells)) for k in "ab"}
