@@ -1,10 +1,14 @@
 """Geometry (E) and spatial joins (J14, J31)."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cairn.functions import geometry as E
 from cairn.operators import spatial as S
 from cairn.plans.registry import query
+from cairn.plans.scans import chunked
+from cairn.session import materialise
+from cairn.sources import shapefiles as H
 
 
 def rings(t):
@@ -168,3 +172,45 @@ def s14(t):
     k = F.col("c_custkey")
     p = GRID.degrees(k % 40 * 25000.0 - 500000.0 + GRID.EAST, k % 37 * 27000.0 - 486000.0 + GRID.NORTH)
     return t.customer.select("c_custkey", p.alias("p")).select("c_custkey", F.round("p.lng", 6).alias("lng"), F.round("p.lat", 6).alias("lat"))
+
+
+#: Squares of a few hundred metres, one a part.
+SQUARES_IN_METRES = "(SELECT p_partkey, p_name, CAST(p_partkey % 40 * 25000 - 500000 - p_size * 100 AS DOUBLE) AS east, CAST(p_partkey % 37 * 27000 - 486000 - p_size * 100 AS DOUBLE) AS north FROM part)"
+
+
+@query("s14_shapefiles", f"""
+WITH r AS (SELECT *, sqrt(pow(east / {GRID.d}, 2) + pow(north * {GRID.d}, 2)) AS rho FROM {SQUARES_IN_METRES}), c AS (SELECT *, 2 * asin(rho / (2 * {GRID.radius})) AS c FROM r),
+b AS (SELECT *, asin(cos(c) * sin({GRID.beta0}) + CASE WHEN rho = 0 THEN 0.0 ELSE {GRID.d} * north * sin(c) * cos({GRID.beta0}) / rho END) AS beta FROM c)
+SELECT p_partkey, p_name, 5 AS points, round(10 + degrees(atan2(east * sin(c), {GRID.d} * rho * cos({GRID.beta0}) * cos(c) - {GRID.d} * {GRID.d} * north * sin({GRID.beta0}) * sin(c))), 6) AS lng,
+ round(degrees(beta + {GRID.series[0]} * sin(2 * beta) + {GRID.series[1]} * sin(4 * beta) + {GRID.series[2]} * sin(6 * beta)), 6) AS lat FROM b""")
+def s14_shapefiles(t):
+    """Parts' squares as layers of about 500 shapes with their attributes, read back and turned to degrees."""
+    k, half = F.col("p_partkey"), F.col("p_size") * 100.0
+    x, y = k % 40 * 25000.0 - 500000.0 + GRID.EAST, k % 37 * 27000.0 - 486000.0 + GRID.NORTH
+    corner = lambda a, b: F.array(x + a * half, y + b * half)
+    squares = t.part.select("p_partkey", "p_name", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1)).alias("ring"))
+    layers = chunked(squares, "p_partkey", size=500).repartition("chunk").sortWithinPartitions("chunk", "p_partkey")
+
+    def encode(batches):
+        held, chunk = [], None
+
+        def files():
+            shp = H.shp_bytes([r["ring"] for r in held])
+            dbf = H.dbf_bytes([{"key": r["p_partkey"], "name": r["p_name"]} for r in held], {"key": 12, "name": 80})
+            return pa.record_batch([pa.array([f"layers/{chunk}.shp", f"layers/{chunk}.dbf"]), pa.array([shp, dbf])], names=["path", "content"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["chunk"] != chunk and held:
+                    yield files()
+                    held.clear()
+                chunk = r["chunk"]
+                held.append(r)
+        if held:
+            yield files()
+
+    files = materialise(layers.mapInArrow(encode, "path string, content binary"), "layers")
+    read = H.read_layers(files).select("attributes", F.explode("parts").alias("ring"))
+    first = GRID.degrees(F.get(F.get("ring", F.lit(0)), F.lit(0)), F.get(F.get("ring", F.lit(0)), F.lit(1)))
+    kind = t.part.schema["p_partkey"].dataType
+    return read.select(F.element_at("attributes", "key").cast(kind).alias("p_partkey"), F.element_at("attributes", "name").alias("p_name"), F.size("ring").alias("points"), first.alias("p")).select("p_partkey", "p_name", "points", F.round("p.lng", 6).alias("lng"), F.round("p.lat", 6).alias("lat"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cairn.functions.names import slug
 from cairn.operators import graphs as G
 from cairn.plans.registry import query
 
@@ -29,14 +30,14 @@ def g02(t):
 
 #: Verdicts join a part to the one that has half its key; equal names join too, but for the names of an exclusion list.
 PAIRS = "(SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_size = 7 AND p_partkey > 1)"
-SAME = "(SELECT p_partkey AS a, min(p_partkey) OVER (PARTITION BY lower(p_name), p_brand) AS b FROM part WHERE lower(p_name) NOT IN ('red copper', 'blue steel'))"
+SAME = "(SELECT p_partkey AS a, min(p_partkey) OVER (PARTITION BY lower(p_name), p_brand) AS b FROM part WHERE lower(p_name) NOT IN ('red widget', 'blue bolt'))"
 
 
 @query("g01_verdicts_and_names", f"WITH RECURSIVE e0 AS (SELECT a, b FROM {PAIRS} UNION SELECT a, b FROM {SAME} WHERE a <> b), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, min(b) AS root FROM r GROUP BY a")
 def g01_both(t):
     """Two kinds of edges: verdicts on pairs, and equal normalised names within a brand but for those excluded."""
     pairs = t.part.filter("p_size = 7 and p_partkey > 1").select(F.col("p_partkey").alias("a"), F.floor(F.col("p_partkey") / 2).alias("b"))
-    named = t.part.select("p_partkey", F.lower("p_name").alias("name"), "p_brand").filter(~F.col("name").isin("red copper", "blue steel"))
+    named = t.part.select("p_partkey", F.lower("p_name").alias("name"), "p_brand").filter(~F.col("name").isin("red widget", "blue bolt"))
     least = named.groupBy("name", "p_brand").agg(F.min("p_partkey").alias("b"))
     return G.components(pairs.unionByName(named.join(least, ["name", "p_brand"]).select(F.col("p_partkey").alias("a"), "b")))
 
@@ -101,10 +102,12 @@ def g10(t):
     return t.part.select("p_partkey", G.first_rule(t.part, "p_brand", "p_type", rules).alias("rule"))
 
 
-@query("g11_remainder_lookup", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON substr(c_name, -3) = substr(s_name, -3) WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("g11_remainder_lookup", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON replace(lower(c_name), 'customer#', 'supplier-') = replace(lower(s_name), '#', '-') WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def g11(t):
-    rest = t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").withColumn("k", F.substring("c_name", -3, 3))
-    return rest.join(t.supplier.withColumn("k", F.substring("s_name", -3, 3)), "k").select("c_custkey", "s_suppkey")
+    """What has no urgent order is looked up by its slug."""
+    urgent = t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    rest = t.customer.join(urgent, "c_custkey", "left_anti").withColumn("k", slug(F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))))
+    return rest.join(t.supplier.withColumn("k", slug("s_name")), "k").select("c_custkey", "s_suppkey")
 
 
 @query("g12_tree_validation", "SELECT 'duplicate name' AS problem, count(*) AS n FROM (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1) UNION ALL SELECT 'missing parent', count(*) FROM part WHERE p_partkey + 100 NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'not one catch-all', count(*) FROM (SELECT p_brand FROM part GROUP BY p_brand HAVING count(*) FILTER (p_size = 50) <> 1)")

@@ -118,18 +118,19 @@ def j12(t):
     return t.customer.join(urgent, "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("j13_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j13_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def j13(t):
-    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    urgent = t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return t.customer.join(urgent, "c_custkey", "left_anti").select("c_custkey")
 
 
-FIRST_WORDS = "(SELECT array_to_string(string_split(p_name, ' ')[1:1], ' ') AS k, min(p_partkey) AS v FROM part GROUP BY 1 UNION ALL SELECT array_to_string(string_split(p_name, ' ')[1:2], ' '), min(p_partkey) FROM part WHERE p_size > 40 AND len(string_split(p_name, ' ')) > 2 GROUP BY 1)"
+FIRST_WORDS = "(SELECT array_to_string(string_split(p_name, ' ')[1:1], ' ') AS k, min(p_partkey) AS v FROM part GROUP BY 1 UNION ALL SELECT array_to_string(string_split(p_name, ' ')[1:2], ' '), min(p_partkey) FROM part WHERE p_size > 40 AND len(string_split(p_name, ' ')) > 1 AND p_name NOT LIKE '%g%' GROUP BY 1)"
 
 
 def first_words(t):
     words = F.split("p_name", " ")
     one = t.part.groupBy(words[0].alias("k")).agg(F.min("p_partkey").alias("v"))
-    two = t.part.filter((F.col("p_size") > 40) & (F.size(words) > 2)).groupBy(F.concat_ws(" ", words[0], words[1]).alias("k")).agg(F.min("p_partkey").alias("v"))
+    two = t.part.filter((F.col("p_size") > 40) & (F.size(words) > 1) & ~F.col("p_name").contains("g")).groupBy(F.concat_ws(" ", words[0], words[1]).alias("k")).agg(F.min("p_partkey").alias("v"))
     return one.unionByName(two)
 
 
@@ -176,13 +177,17 @@ def j28(t):
 
 
 @query("j29_longest_suffix", """
-WITH d AS (SELECT DISTINCT string_split(p_type, ' ')[-1] AS key, 'metal' AS value, 1 AS level FROM part UNION ALL SELECT DISTINCT array_to_string(string_split(p_type, ' ')[-2:], ' '), 'finish', 0 FROM part WHERE p_type NOT LIKE '%TIN')
-SELECT p_partkey, key, level, value FROM part JOIN d ON p_type = key OR ends_with(p_type, ' ' || key) WHERE key <> 'BRASS' QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(key) DESC, level) = 1""")
+WITH p AS (SELECT p_partkey, p_name || ' ' || p_type AS name, string_split(p_name, ' ')[-1] || ' ' || p_type AS two, p_type FROM part),
+d AS (SELECT DISTINCT p_type AS key, 'metal' AS value, 1 AS level FROM p UNION ALL SELECT DISTINCT two, 'finish', 0 FROM p WHERE p_type <> 'PROMO' AND two NOT LIKE '%g %')
+SELECT p_partkey, key, level, value FROM p JOIN d ON name = key OR ends_with(name, ' ' || key) WHERE key <> 'ECONOMY' QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(key) DESC, level) = 1""")
 def j29(t):
-    words = F.split("p_type", " ")
-    metals = t.part.select(F.element_at(words, -1).alias("k"), F.lit("metal").alias("v")).distinct()
-    finishes = t.part.filter(~F.col("p_type").like("%TIN")).select(F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ").alias("k"), F.lit("finish").alias("v")).distinct()
-    return L.longest_suffix(t.part, "p_partkey", "p_type", [(finishes, "k", "v"), (metals, "k", "v")], excluded=["BRASS"])
+    """Names lose their first words until the rest is known: to a word of the name and the type, or to the type."""
+    last = F.element_at(F.split("p_name", " "), -1)
+    two = F.concat_ws(" ", last, "p_type")
+    metals = t.part.select(F.col("p_type").alias("k"), F.lit("metal").alias("v")).distinct()
+    finishes = t.part.filter((F.col("p_type") != "PROMO") & ~two.like("%g %")).select(two.alias("k"), F.lit("finish").alias("v")).distinct()
+    rows = t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    return L.longest_suffix(rows, "p_partkey", "name", [(finishes, "k", "v"), (metals, "k", "v")], excluded=["ECONOMY"])
 
 
 @query("j30_outer_key_join", "SELECT coalesce(a.k, b.k) AS k, a.n AS sold, b.n AS listed FROM (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY 1) a FULL JOIN (SELECT p_partkey AS k, count(*) AS n FROM part WHERE p_size > 10 GROUP BY 1) b ON a.k = b.k")

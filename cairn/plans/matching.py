@@ -71,14 +71,14 @@ def j21(t):
     return M.nearest_by_edits(other(t), names(t), "p_brand")
 
 
-#: Listings: part names as they are, shortened, or misspelled, by the order that lists them.
-LISTED = "(SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN p_name WHEN 1 THEN string_split(p_name, ' ')[1] ELSE p_name || right(p_name, 1) END AS name FROM lineitem JOIN part ON l_partkey = p_partkey)"
+#: Listings: part names as they are, shortened, or misspelled, by the order that lists them; and names that no part has.
+LISTED = "(SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN p_name WHEN 1 THEN string_split(p_name, ' ')[1] ELSE p_name || right(p_name, 1) END AS name FROM lineitem JOIN part ON l_partkey = p_partkey UNION SELECT s_name FROM supplier)"
 
 
 def listed(t):
     rows = t.lineitem.select("l_partkey", (F.col("l_linenumber") % 3).alias("k")).distinct().join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     name = F.when(F.col("k") == 0, F.col("p_name")).when(F.col("k") == 1, F.split("p_name", " ")[0]).otherwise(F.concat("p_name", F.substring("p_name", -1, 1)))
-    return rows.select(name.alias("name")).distinct()
+    return rows.select(name.alias("name")).unionByName(t.supplier.select(F.col("s_name").alias("name"))).distinct()
 
 
 CANON = "(SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name)"
@@ -127,10 +127,10 @@ def j23(t):
     return rows.select("l_orderkey", "l_linenumber", F.when(F.col("k"), "key").when(F.col("b"), "brand").alias("tier"), F.when(F.col("k"), 1.0).when(F.col("b"), 0.95).alias("confidence"))
 
 
-@query("j24_scoped_promotion", "SELECT s_suppkey, arg_min(c_custkey, (CASE WHEN c_nationkey = s_nationkey THEN 0 ELSE 1 END, c_custkey)) AS c_custkey FROM supplier JOIN customer ON substr(s_name, -4) = substr(c_name, -4) GROUP BY s_suppkey")
+@query("j24_scoped_promotion", "SELECT s_suppkey, arg_min(c_custkey, (CASE WHEN c_nationkey = s_nationkey THEN 0 ELSE 1 END, c_custkey)) AS c_custkey FROM supplier JOIN customer ON s_suppkey = c_custkey // 15 GROUP BY s_suppkey")
 def j24(t):
-    a = t.supplier.withColumn("k", F.substring("s_name", -4, 4))
-    b = t.customer.withColumn("k", F.substring("c_name", -4, 4))
+    a = t.supplier.withColumn("k", F.col("s_suppkey"))
+    b = t.customer.withColumn("k", F.floor(F.col("c_custkey") / 15))
     scope = F.when(F.col("c_nationkey") == F.col("s_nationkey"), 0).otherwise(1)
     return a.join(b, "k").groupBy("s_suppkey").agg(F.min_by("c_custkey", F.struct(scope, F.col("c_custkey"))).alias("c_custkey"))
 

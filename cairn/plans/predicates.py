@@ -24,10 +24,10 @@ def p03(t):
     return t.orders.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey", "o_orderpriority")
 
 
-@query("p04_range", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-01-01' AND l_shipdate < TIMESTAMP '1995-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+@query("p04_range", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
 def p04(t):
     d = F.col("l_shipdate")
-    return t.lineitem.filter((d >= "1994-01-01") & (d < "1995-01-01") & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24)).select("l_orderkey", "l_linenumber")
+    return t.lineitem.filter((d >= "1997-01-01") & (d < "1998-01-01") & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24)).select("l_orderkey", "l_linenumber")
 
 
 @query("p05_contains", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RED%'")
@@ -103,10 +103,10 @@ def p16(t):
     return t.orders.select("o_orderkey", C.missing_to_null("o_orderstatus", ("", "O")).alias("status"))
 
 
-@query("p17_class_with_exclusion", "SELECT p_partkey, CASE WHEN contains(p_type, 'LARGE') AND NOT contains(p_type, 'STAND') THEN 'steel' WHEN contains(p_type, 'PROMO') THEN 'brass' END AS metal FROM part")
+@query("p17_class_with_exclusion", "SELECT p_partkey, CASE WHEN contains(p_name, 'red') AND NOT contains(p_name, 'bolt') THEN 'steel' WHEN contains(p_name, 'bolt') THEN 'brass' END AS metal FROM part")
 def p17(t):
-    k = F.col("p_type")
-    return t.part.select("p_partkey", C.first_match([(k.contains("LARGE") & ~k.contains("STAND"), "steel"), (k.contains("PROMO"), "brass")]).alias("metal"))
+    k = F.col("p_name")
+    return t.part.select("p_partkey", C.first_match([(k.contains("red") & ~k.contains("bolt"), "steel"), (k.contains("bolt"), "brass")]).alias("metal"))
 
 
 @query("p18_regex_rules", "SELECT page_id, CASE WHEN regexp_matches(url, '\\.org/') THEN 'org' WHEN regexp_matches(url, '\\.net/') THEN 'net' ELSE 'other' END AS domain FROM pages")

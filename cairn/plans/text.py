@@ -115,10 +115,10 @@ def t12(t):
     return t.part.select("p_partkey", base.alias("base"))
 
 
-@query("t13_country_alias", "SELECT n_nationkey, CASE lower(n_name) WHEN 'united states' THEN 'usa' WHEN 'united kingdom' THEN 'uk' ELSE lower(n_name) END AS country FROM nation")
+@query("t13_country_alias", "SELECT n_nationkey, CASE lower(n_name) WHEN 'nation_3' THEN 'usa' WHEN 'nation_7' THEN 'uk' ELSE lower(n_name) END AS country FROM nation")
 def t13(t):
     low = F.lower("n_name")
-    return t.nation.select("n_nationkey", F.coalesce(C.mapped(low, {"united states": "usa", "united kingdom": "uk"}), low).alias("country"))
+    return t.nation.select("n_nationkey", F.coalesce(C.mapped(low, {"nation_3": "usa", "nation_7": "uk"}), low).alias("country"))
 
 
 @query("t14_light_normalise", "SELECT page_id, sha256(trim(lower(nfc_normalize(replace(html, '&amp;', '&'))))) AS light FROM pages")
@@ -160,11 +160,11 @@ def t19(t):
     return t.part.select("p_partkey", N.title_case(F.concat(F.lit("HOUSE OF "), F.upper("p_name"))).alias("title"))
 
 
-@query("t20_display_name", "WITH b AS (SELECT DISTINCT p_type, regexp_replace(p_type, ' [A-Z]+$', '') AS base FROM part) SELECT p_type, CASE WHEN count(*) OVER (PARTITION BY base) = 1 THEN base ELSE p_type END AS display FROM b")
+@query("t20_display_name", "WITH b AS (SELECT DISTINCT p_name || ' ' || p_brand || ' ' || p_type AS kind, regexp_replace(p_name || ' ' || p_brand || ' ' || p_type, ' [A-Z]+$', '') AS base FROM part) SELECT kind, CASE WHEN count(*) OVER (PARTITION BY base) = 1 THEN base ELSE kind END AS display FROM b")
 def t20(t):
-    kinds = t.part.select("p_type").distinct().withColumn("base", F.regexp_replace("p_type", " [A-Z]+$", ""))
+    kinds = t.part.select(F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("kind")).distinct().withColumn("base", F.regexp_replace("kind", " [A-Z]+$", ""))
     siblings = kinds.groupBy("base").agg(F.count("*").alias("n"))
-    return kinds.join(siblings, "base").select("p_type", F.when(F.col("n") == 1, F.col("base")).otherwise(F.col("p_type")).alias("display"))
+    return kinds.join(siblings, "base").select("kind", F.when(F.col("n") == 1, F.col("base")).otherwise(F.col("kind")).alias("display"))
 
 
 @query("t21_url_parts", "SELECT page_id, array_to_string(list_filter(string_split(regexp_extract(url, '^https?://[^/]+([^?#]*)', 1), '/'), lambda p: p <> ''), '>') AS parts FROM pages")
@@ -239,7 +239,7 @@ def t27(t):
 
 #: Endings of each country's aliases (here by region), and names in another language.
 COLOURS = {"EUROPE": [" rouge", " blanc"], "AMERICA": [" red", " white"], "ASIA": [" RED"]}
-TRANSLATIONS = {"GERMANY": "Deutschland", "CHINA": "Zhōngguó", "FRANCE": "france", "ROMANIA": "România"}
+TRANSLATIONS = {"NATION_1": "Deutschland", "NATION_4": "Zhōngguó", "NATION_6": "nation 6", "NATION_9": "România"}
 
 
 @query("t28_alias_generation", f"""

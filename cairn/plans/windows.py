@@ -142,9 +142,9 @@ def u03(t):
     return t.lineitem.select(F.col("l_partkey").alias("k")).intersect(t.part.filter("p_size > 25").select("p_partkey"))
 
 
-@query("u04_difference", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("u04_difference", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def u04(t):
-    return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.select("o_custkey"))
+    return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.filter("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
 @query("u05_ordered_merge", "WITH a AS (SELECT p_partkey, 0 AS leg FROM part WHERE p_name ILIKE '%red%'), b AS (SELECT p_partkey, 1 AS leg FROM part WHERE p_type ILIKE '%large%') SELECT p_partkey, leg FROM a UNION ALL SELECT p_partkey, leg FROM b WHERE p_partkey NOT IN (SELECT p_partkey FROM a)")

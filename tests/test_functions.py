@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import struct
 from pathlib import Path
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from cairn.functions import geometry, names, nested, parse
 from cairn.operators import dedup, graphs, lookups, matching, profile, spatial, survivorship
-from cairn.sources import sinks
+from cairn.sources import shapefiles, sinks
 
 
 def one(spark, column, value, kind="string"):
@@ -481,3 +482,26 @@ def test_union_of_tiles(spark, seed):
         assert all(abs(p[0] - q[0]) + abs(p[1] - q[1]) == 1 for p, q in zip(points, points[1:] + points[:1], strict=True))
         area[k] += sum(p[0] * q[1] - p[1] * q[0] for p, q in zip(points, points[1:] + points[:1], strict=True)) / 2
     assert area == {k: float(sum(c[0] == k for c in cells)) for k in "ab"}
+
+
+def test_shapefiles_from_disk(spark, tmp_path):
+    """Polygons with attributes, a deleted record, points and null shapes; another file beside them."""
+    ring = [[0.0, 0.0], [2.0, 0.0], [1.0, 3.5], [0.0, 0.0]]
+    rows = [{"key": "1", "name": "Zürich"}, {"key": "2", "name": ""}, {"key": "3", "name": "x"}]
+    (tmp_path / "a.shp").write_bytes(shapefiles.shp_bytes([ring, ring[::-1], ring]))
+    dbf = bytearray(shapefiles.dbf_bytes(rows, {"key": 4, "name": 10}))
+    dbf[-16] = ord("*")
+    (tmp_path / "a.dbf").write_bytes(bytes(dbf))
+    body = struct.pack(">ii", 1, 10) + struct.pack("<i2d", 1, 7.0, -8.0) + struct.pack(">ii", 2, 2) + struct.pack("<i", 0)
+    (tmp_path / "b.SHP").write_bytes(struct.pack(">i20xi", 9994, (100 + len(body)) // 2) + struct.pack("<ii8d", 1000, 1, *[0.0] * 8) + body)
+    (tmp_path / "a.txt").write_text("no shapes")
+    got = shapefiles.read_layers(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert {(r["layer"], r["record"]): (r["kind"], r["parts"], r["attributes"]) for r in got} == {
+        ("a", 1): (5, [ring], {"key": "1", "name": "Zürich"}),
+        ("a", 2): (5, [ring[::-1]], {"key": "2", "name": None}),
+        ("a", 3): (5, [ring], None),
+        ("b", 1): (1, [[[7.0, -8.0]]], None),
+        ("b", 2): (0, None, None),
+    }
+    with pytest.raises(ValueError):
+        list(shapefiles.shapes_of(b"x" * 200))
