@@ -112,3 +112,23 @@ def in_vocabulary(words: Column, name: Column, vocabulary: list[str]) -> Column:
     inside = [F.when(F.array_contains(words, v), F.lit(v)) for v in vocabulary]
     named = [F.when(F.contains(F.lower(name), F.lit(v.lower())), F.lit(v)) for v in vocabulary]
     return F.coalesce(*inside, *named)
+
+
+#: Scores with a publication in italics, and scores with a critic alone.
+WITH_PUBLICATION = r"(?i)<b>(\d+)\s*Points?\s*(?:\+\s*([^<]+))?</b>\s*–\s*(?:([^,<]+),\s*)?<em>\s*([^<]+)</em>"
+WITH_CRITIC = r"(?i)<b>(\d+)\s*Points?\s*(?:\+\s*([^<]+))?</b>\s*–\s*([^<\n]+?)(?:<br|</p|$)"
+
+
+def structured_scores(c: Column) -> Column:
+    """array<struct<score, designation, critic, publication>> of HTML, those with a publication first.
+
+    A score with a critic alone is left out where the same score by that critic or in a publication of that name is there.
+    """
+    text = F.replace(F.replace(c, F.lit("&#8211;"), F.lit("–")), F.lit("&ndash;"), F.lit("–"))
+    group = lambda p, g: F.regexp_extract_all(text, F.lit(p), F.lit(g))
+    none = lambda x: F.nullif(F.trim(x), F.lit(""))
+    row = lambda score, designation, critic, publication: F.struct(score.cast("int").alias("score"), none(designation).alias("designation"), critic.alias("critic"), publication.cast("string").alias("publication"))
+    first = F.transform(F.arrays_zip(*[group(WITH_PUBLICATION, g).alias(f"g{g}") for g in (1, 2, 3, 4)]), lambda x: row(x["g1"], x["g2"], none(x["g3"]), F.trim(x["g4"])))
+    second = F.transform(F.arrays_zip(*[group(WITH_CRITIC, g).alias(f"g{g}") for g in (1, 2, 3)]), lambda x: row(x["g1"], x["g2"], F.regexp_replace(F.trim(x["g3"]), ",+$", ""), F.lit(None)))
+    same = lambda x: lambda y: (y["score"] == x["score"]) & (y["critic"].eqNullSafe(x["critic"]) | y["publication"].eqNullSafe(x["critic"]))
+    return F.aggregate(second, first, lambda found, x: F.when(F.exists(found, same(x)), found).otherwise(F.concat(found, F.array(x))))

@@ -83,8 +83,9 @@ def plain_number(c: Column) -> Column:
 
 def number_word(c: Column) -> Column:
     """The value of a number word or of digits."""
-    place = F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), F.lower(F.trim(c)))
-    return F.when(place > 0, place - 1).otherwise(F.trim(c).try_cast("long"))
+    words = {w: i for i, w in enumerate(NUMBER_WORDS)} | MORE_WORDS
+    table = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(F.trim(c))), F.trim(c).try_cast("long"))
 
 
 def drinking_window(c: Column, vintage: Column, now: Column) -> Column:
@@ -136,3 +137,55 @@ def duration(seconds: Column) -> Column:
     """h:mm:ss."""
     s = seconds.cast("long")
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+
+
+#: Number words of the second kind of windows, beyond those of ``NUMBER_WORDS``.
+MORE_WORDS = {
+    "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20,
+    "twenty-one": 21, "twenty-two": 22, "twenty-three": 23, "twenty-four": 24, "twenty-five": 25,
+    "thirty": 30, "thirty-five": 35, "forty": 40, "fifty": 50,
+}
+YEARS_ON = r"([\w-]+)\s+(?:to\s+([\w-]+)\s+)?years?"
+#: Phrases that name a number of years from the vintage on, the first that fits.
+SPANS = [
+    r"(?i)(?:over|for)\s+the\s+next\s+" + YEARS_ON,
+    r"(?i)(?:develop|improve|evolve|age)\s+(?:over|for)\s+(?:the\s+next\s+)?" + YEARS_ON,
+    r"(?i)enjoy\s+(?:now\s+and\s+)?(?:over|for)\s+(?:the\s+next\s+)?" + YEARS_ON,
+    r"(?i)drink\s+now\s+and\s+(?:over|for)\s+(?:the\s+next\s+)?" + YEARS_ON,
+]
+
+
+def word_or_number(c: Column) -> Column:
+    """The value of a number word from one to fifty or of digits, else null; zero counts as none."""
+    words = {w: i for i, w in enumerate(NUMBER_WORDS) if i} | MORE_WORDS
+    table = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(c)), F.nullif(F.when(c.rlike(r"^-?\d+$"), c).try_cast("int"), F.lit(0)))
+
+
+def window_from_vintage(c: Column, vintage: Column) -> Column:
+    """struct(start, end): from the vintage for the years that a phrase names, or from a year on for fifteen, or a span of years.
+
+    Null without a text or a vintage, and where no phrase names a number.
+    """
+    pair = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+    part = lambda p, g: F.nullif(F.regexp_extract(c, p, g), F.lit(""))
+    out = F.lit(None)
+    span = r"(\d{4})\s*[-–]\s*(\d{4})"
+    a, b = part(span, 1).cast("int"), part(span, 2).cast("int")
+    out = F.when((a >= 1990) & (a <= 2050) & (b >= a) & (b <= 2100), pair(a, b))
+    since = part(r"(?i)best\s+(?:from|after)\s+(\d{4})", 1).cast("int")
+    out = F.when(since.isNotNull(), pair(since, since + 15)).otherwise(out)
+    for phrase in reversed(SPANS):
+        # Where the second number stands it counts, whether or not it can be read.
+        years = F.when(part(phrase, 2).isNotNull(), word_or_number(part(phrase, 2))).otherwise(word_or_number(part(phrase, 1)))
+        out = F.when(years.isNotNull(), pair(vintage, vintage + years)).otherwise(out)
+    return F.when((c != "") & (vintage != 0), out)
+
+
+#: Where a price stands in a page, the first that fits.
+PRICES = [r"(?i)Item\s*Price\s*\$(\d+\.?\d*)", r"(?i)\$(\d+\.?\d*)\s*/?\s*750\s*ml", r'(?i)class="[^"]*price[^"]*"[^>]*>\s*\$(\d+\.?\d*)']
+
+
+def page_price(c: Column) -> Column:
+    """The price of a page, null without any."""
+    return F.coalesce(*[_part(c, p).cast("double") for p in PRICES])

@@ -88,6 +88,17 @@ def m10(t):
     return t.part.select("p_partkey", F.array_join(F.concat(a, F.array_except(b, a)), ",").alias("scores"))
 
 
+@query("m10_structured_scores", """
+SELECT p_partkey, i, CASE i WHEN 2 THEN 77 ELSE p_size END AS score, CASE i WHEN 0 THEN 'Top ' || p_brand END AS designation,
+ CASE i WHEN 0 THEN NULL WHEN 1 THEN string_split(p_name, ' ')[2] ELSE 'The Paper' END AS critic, CASE i WHEN 0 THEN 'The Paper' END AS publication
+FROM part, (VALUES (0), (1), (2)) AS v(i)""")
+def m10_scores(t):
+    """Scores of a publication, of a critic, of the publication once more, and of the same critic once more."""
+    w = F.split("p_name", " ")
+    text = F.concat(F.format_string("<p><b>%d Points + Top %s</b> &ndash; <em> The Paper </em><br>", F.col("p_size"), F.col("p_brand")), F.format_string("<b>%d points</b> &#8211; %s,<br/>", F.col("p_size"), w[1]), F.format_string("<b>%d Point</b> – The Paper</p><b>77 Points</b> – The Paper<br>", F.col("p_size")), F.format_string("<b>%d Points</b> – %s", F.col("p_size"), w[1]))
+    return t.part.select("p_partkey", F.posexplode(M.structured_scores(text)).alias("i", "s")).select("p_partkey", "i", "s.*")
+
+
 @query("m11_split_list", "SELECT p_partkey, array_to_string(string_split(p_name, ' '), '+') AS parts FROM part")
 def m11(t):
     return t.part.select("p_partkey", F.array_join(M.split_list(F.concat(F.replace("p_name", F.lit(" "), F.lit(" ; ")), F.lit(" | "))), "+").alias("parts"))

@@ -72,6 +72,27 @@ def n08(t):
     return t.part.select("p_partkey", X.drinking_window(prose, F.lit(2010), F.lit(2024)).alias("w")).select("p_partkey", "w.start", "w.end")
 
 
+#: Prose, and the window that it names from the vintage 2010 on.
+FROM_VINTAGE = [
+    ("Drink over the next ten to fifteen years.", 2010, 2025),
+    ("Will develop for twenty-two years", 2010, 2032),
+    ("Enjoy now and over the next 5 years", 2010, 2015),
+    ("drink now and for fifty years", 2010, 2060),
+    ("Best after 2016", 2016, 2031),
+    ("2014 – 2029", 2014, 2029),
+    ("over the next many years, best from 2018", 2018, 2033),
+    ("2060-2070", None, None),
+    ("for the next six to some years", None, None),
+    ("", None, None),
+]
+
+
+@query("n08_from_vintage", "SELECT p_partkey, [" + ", ".join(str(w[1] or "NULL") for w in FROM_VINTAGE) + '][p_size % 10 + 1] AS "start", [' + ", ".join(str(w[2] or "NULL") for w in FROM_VINTAGE) + '][p_size % 10 + 1] AS "end" FROM part')
+def n08_vintage(t):
+    prose = F.get(F.array(*[F.lit(w[0]) for w in FROM_VINTAGE]), F.col("p_size") % 10)
+    return t.part.select("p_partkey", X.window_from_vintage(prose, F.lit(2010)).alias("w")).select("p_partkey", "w.start", "w.end")
+
+
 @query("n09_guarded", "SELECT p_partkey, CASE WHEN 1780 + p_size >= 1800 THEN 1780 + p_size END AS founded, CASE WHEN p_size % 10 > 0 THEN CAST(p_size % 10 AS BIGINT) * 1000 END AS cases FROM part")
 def n09(t):
     raw = F.concat((F.col("p_size") % 10).cast("string"), F.lit(",000 cases"))

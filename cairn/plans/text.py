@@ -179,12 +179,14 @@ def t22(t):
     return t.pages.select("page_id", field('lang="([a-z]+)"').alias("lang"), field("<title>([^<]*)</title>").alias("title"))
 
 
-@query("t23_price", r"SELECT p_partkey, coalesce(TRY_CAST(regexp_extract(tag, '\$([0-9]+\.[0-9]{2})', 1) AS DOUBLE), TRY_CAST(regexp_extract(tag, '([0-9]+) USD', 1) AS DOUBLE)) AS price FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'now $' || (100 + p_size) || '.50' ELSE p_size || ' USD' END AS tag FROM part)")
+@query("t23_price", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_size + 0.5 WHEN 1 THEN CAST(p_size AS DOUBLE) WHEN 2 THEN p_size + 0.25 END AS price FROM part")
 def t23(t):
-    tag = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("now $"), (100 + F.col("p_size")).cast("string"), F.lit(".50"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(" USD")))
-    rows = t.part.select("p_partkey", tag.alias("tag"))
-    patterns = [r"\$([0-9]+\.[0-9]{2})", "([0-9]+) USD"]
-    return rows.select("p_partkey", F.coalesce(*[F.nullif(F.regexp_extract("tag", p, 1), F.lit("")).cast("double") for p in patterns]).alias("price"))
+    """Pages with a price in one of three places, or in none of them; each of them names a shipping fee too."""
+    from cairn.functions import parse as X
+
+    size = F.col("p_size")
+    places = [F.format_string("$7 fee <td>Item Price $%d.5</td> $1 / 750ml", size), F.format_string("$7 fee, $%d / 750 mL", size), F.format_string('$7 fee <span class="sale price now"> $%d.25</span>', size), F.format_string("$7 fee, $%d", size)]
+    return t.part.select("p_partkey", X.page_price(F.get(F.array(*places), size % 4)).alias("price"))
 
 
 @query("t24_snippet", "SELECT doc_id, CASE WHEN p > 0 THEN CASE WHEN greatest(p - 40, 1) > 1 THEN '...' ELSE '' END || substr(text, greatest(p - 40, 1), p + 4 + 80 - greatest(p - 40, 1)) || CASE WHEN p + 4 + 80 - 1 < length(text) THEN '...' ELSE '' END END AS snippet FROM (SELECT doc_id, text, instr(lower(text), 'tion') AS p FROM documents)")
