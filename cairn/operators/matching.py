@@ -105,6 +105,28 @@ def nearest_by_edits(left: DataFrame, right: DataFrame, block: str) -> DataFrame
         limit = 2 * limit + 1
 
 
+def contained_pairs(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
+    """(block, l_name, r_name) of distinct names of a block of which one stands in the other.
+
+    A name that stands in another shares its rarest piece of three letters with it, or all of it where it is
+    shorter, so names meet by pieces; the empty name stands in all of its block.
+    """
+    a, b = left.select(block, F.col("name").alias("l_name")).distinct(), right.select(block, F.col("name").alias("r_name")).distinct()
+    piece = lambda c, size: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(size)))
+    pieces = lambda c: F.array_distinct(F.concat(piece(c, 1), piece(c, 2), piece(c, 3), F.array(F.lit(""))))
+
+    def within(small: DataFrame, s: str, large: DataFrame, g: str) -> DataFrame:
+        spread = large.select(block, g, F.explode(pieces(g)).alias("_piece"))
+        counts = spread.groupBy(block, "_piece").agg(F.count("*").alias("_n"))
+        own = small.select(block, s, F.explode(F.when(F.length(s) < 3, F.array(F.col(s))).otherwise(piece(s, 3))).alias("_piece"))
+        rarest = own.join(counts, [block, "_piece"]).groupBy(block, s).agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"))
+        # A piece that the other side lacks has no count: such a name stands in none.
+        lacking = own.join(counts, [block, "_piece"], "left_anti").select(block, s).distinct()
+        return rarest.join(lacking, [block, s], "left_anti").join(spread, [block, "_piece"]).filter(F.contains(g, s)).select(block, "l_name", "r_name")
+
+    return within(a, "l_name", b, "r_name").unionByName(within(b, "r_name", a, "l_name")).distinct()
+
+
 def tiers(parts: list[tuple[DataFrame, str, Column]], key: str, value: str) -> DataFrame:
     """(key, value, tier, confidence): each key's match from the first tier that has one.
 
@@ -116,3 +138,27 @@ def tiers(parts: list[tuple[DataFrame, str, Column]], key: str, value: str) -> D
         out = part if out is None else out.unionByName(part)
     best = F.min_by(F.struct(value, "tier", "confidence"), F.struct("tier_no", -F.col("confidence"), F.col("seq")))
     return out.groupBy(key).agg(best.alias("b")).select(key, f"b.{value}", "b.tier", "b.confidence")
+
+
+def name_cascade(rows: DataFrame, key: str, known: DataFrame, aliases: DataFrame, strip, least: int = 3) -> DataFrame:
+    """(key, id, tier) of the rows that some tier matches; all frames have ``name`` and ``country``, known ones an ``id``.
+
+    Tiers are the exact name, an alias, the name without its suffix (if that leaves ``least`` letters) as a name and as an
+    alias, and known names which without their own suffix are the row's name, or its name without a suffix. In a
+    tier a match in the row's country comes first, then the least identifier.
+    """
+    rows = rows.select(key, "name", "country", strip(F.col("name")).alias("bare"))
+    stripped = (F.col("bare") != F.col("name")) & (F.length("bare") >= least)
+    side = lambda df, column: df.select(column.alias("_k"), F.col("country").alias("_country"), "id")
+    names, others = side(known, F.col("name")), side(aliases, F.col("name"))
+    own = side(known.filter(strip(F.col("name")) != F.col("name")), strip(F.col("name")))
+    bare = F.when(stripped, F.col("bare"))
+    levels = [("exact", F.col("name"), names), ("alias", F.col("name"), others), ("suffix", bare, names), ("suffix_alias", bare, others), ("reverse", F.col("name"), own), ("reverse", F.col("bare"), own)]
+    out = None
+    for i, (tier, mine, theirs) in enumerate(levels):
+        met = rows.withColumn("_k", mine).join(theirs, "_k")
+        here = F.when(F.col("country") == F.col("_country"), 0).otherwise(1)
+        part = met.select(key, "id", F.lit(tier).alias("tier"), F.lit(i).alias("_n"), here.alias("_here"))
+        out = part if out is None else out.unionByName(part)
+    best = F.min_by(F.struct("id", "tier"), F.struct("_n", "_here", "id"))
+    return out.groupBy(key).agg(best.alias("b")).select(key, "b.id", "b.tier")

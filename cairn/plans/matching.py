@@ -23,9 +23,7 @@ def names(t):
 
 @query("j16_substring_in_block", f"SELECT p_brand, a.name AS l_name, min(b.name) AS r_name FROM {OTHER} a JOIN {NAMES} b USING (p_brand) WHERE contains(a.name, b.name) OR contains(b.name, a.name) GROUP BY 1, 2")
 def j16(t):
-    a, b = other(t).withColumnRenamed("name", "l_name"), names(t).withColumnRenamed("name", "r_name")
-    hit = F.contains("l_name", "r_name") | F.contains("r_name", "l_name")
-    return a.join(b, "p_brand").filter(hit).groupBy("p_brand", "l_name").agg(F.min("r_name").alias("r_name"))
+    return M.contained_pairs(other(t), names(t), "p_brand").groupBy("p_brand", "l_name").agg(F.min("r_name").alias("r_name"))
 
 
 def pairs_sql(block, TRIGRAMS=TRIGRAMS):
@@ -135,33 +133,52 @@ def j24(t):
     return a.join(b, "k").groupBy("s_suppkey").agg(F.min_by("c_custkey", F.struct(scope, F.col("c_custkey"))).alias("c_custkey"))
 
 
+#: Names as producers have them and as listings write them; countries are brands, one listing in three names none.
+STRIP = " (?:" + "|".join(N.SUFFIXES) + ")$"
+PRODUCERS = "(SELECT CASE p_size % 4 WHEN 0 THEN p_name || ' estate' WHEN 1 THEN p_name || ' ' || lower(p_type) ELSE p_name END AS name, p_brand AS country, min(p_partkey) AS id FROM part GROUP BY 1, 2)"
+LISTINGS = "(SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' winery' WHEN 2 THEN p_name || ' ' || lower(p_type) || ' cellars' WHEN 3 THEN string_split(p_name, ' ')[1] || ' wines' ELSE p_name || ' ' || lower(p_type) || ' alias' END AS name, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS country FROM part)"
+
+
+def listings(t):
+    k, name, kind = F.col("p_partkey"), F.col("p_name"), F.lower("p_type")
+    written = F.when(k % 5 == 0, name).when(k % 5 == 1, F.concat(name, F.lit(" winery"))).when(k % 5 == 2, F.concat_ws(" ", name, kind, F.lit("cellars"))).when(k % 5 == 3, F.concat(F.split(name, " ")[0], F.lit(" wines"))).otherwise(F.concat_ws(" ", name, kind, F.lit("alias")))
+    return t.part.select("p_partkey", written.alias("name"), F.when(k % 3 > 0, F.col("p_brand")).alias("country"))
+
+
+def producers(t):
+    k, name = F.col("p_size") % 4, F.col("p_name")
+    written = F.when(k == 0, F.concat(name, F.lit(" estate"))).when(k == 1, F.concat_ws(" ", name, F.lower("p_type"))).otherwise(name)
+    return t.part.groupBy(written.alias("name"), F.col("p_brand").alias("country")).agg(F.min("p_partkey").alias("id"))
+
+
 @query("j25_four_way_cascade", f"""
-WITH q AS (SELECT name, substr(name, 1, length(name) - 1) AS s FROM {LISTED}), c AS (SELECT name, id, substr(name, 1, length(name) - 1) AS s FROM {CANON}), al AS (SELECT * FROM {ALIAS}),
-m AS (SELECT q.name, c.id, 0 AS n FROM q JOIN c USING (name) UNION ALL SELECT q.name, al.id, 1 FROM q JOIN al USING (name)
- UNION ALL SELECT q.name, c.id, 2 FROM q JOIN c ON q.s = c.name UNION ALL SELECT q.name, al.id, 3 FROM q JOIN al ON q.s = al.name
- UNION ALL SELECT q.name, c.id, 4 FROM q JOIN c ON q.name = c.s UNION ALL SELECT q.name, c.id, 5 FROM q JOIN c ON q.s = c.s)
-SELECT name, arg_min(id, (n, id)) AS id, ['exact', 'alias', 'stripped', 'stripped', 'reverse', 'reverse'][min(n) + 1] AS tier FROM m GROUP BY name""")
+WITH q AS (SELECT *, regexp_replace(name, '{STRIP}', '') AS s FROM {LISTINGS}), c AS (SELECT *, regexp_replace(name, '{STRIP}', '') AS s FROM {PRODUCERS}),
+al AS (SELECT p_name || ' ' || lower(p_type) || ' alias' AS name, min(p_partkey) AS id FROM part WHERE p_size > 25 GROUP BY 1 UNION ALL SELECT string_split(p_name, ' ')[1], min(p_partkey) FROM part GROUP BY 1),
+m AS (SELECT p_partkey, c.id, 0 AS n, q.country = c.country AS here FROM q JOIN c ON q.name = c.name
+ UNION ALL SELECT p_partkey, al.id, 1, false FROM q JOIN al ON q.name = al.name
+ UNION ALL SELECT p_partkey, c.id, 2, q.country = c.country FROM q JOIN c ON q.s = c.name WHERE q.s <> q.name AND length(q.s) > 2
+ UNION ALL SELECT p_partkey, al.id, 3, false FROM q JOIN al ON q.s = al.name WHERE q.s <> q.name AND length(q.s) > 2
+ UNION ALL SELECT p_partkey, c.id, 4, q.country = c.country FROM q JOIN c ON c.s <> c.name AND q.name = c.s
+ UNION ALL SELECT p_partkey, c.id, 5, q.country = c.country FROM q JOIN c ON c.s <> c.name AND q.s = c.s)
+SELECT p_partkey, arg_min(id, (n, CASE WHEN here THEN 0 ELSE 1 END, id)) AS id, ['exact', 'alias', 'suffix', 'suffix_alias', 'reverse', 'reverse'][min(n) + 1] AS tier FROM m GROUP BY p_partkey""")
 def j25(t):
-    """By name, by alias, by the name without its ending (to either), and by names that lose their own ending."""
-    cut = lambda c: F.substring(c, F.lit(1), F.length(c) - 1)
-    rows = listed(t).withColumn("s", cut(F.col("name")))
-    known = canon(t).select(F.col("name").alias("k"), "id", cut(F.col("name")).alias("ks"))
-    other = aliases(t).select(F.col("name").alias("k"), "id")
-    met = lambda side, mine, theirs: rows.join(side, F.col(mine) == F.col(theirs)).select("name", "id", F.col("id").alias("seq"))
-    one = F.lit(1.0)
-    parts = [(known, "name", "k", "exact"), (other, "name", "k", "alias"), (known, "s", "k", "stripped"), (other, "s", "k", "stripped"), (known, "name", "ks", "reverse"), (known, "s", "ks", "reverse")]
-    return M.tiers([(met(side, mine, theirs), tier, one) for side, mine, theirs, tier in parts], "name", "id").select("name", "id", "tier")
-
-
-@query("j26_confidence_label", f"SELECT p_brand, a.name AS l_name, b.name AS r_name, CASE WHEN a.name = b.name THEN 'exact' WHEN contains(a.name, b.name) OR contains(b.name, a.name) THEN 'substring' WHEN replace(a.name, ' ', '-') = replace(b.name, ' ', '-') THEN 'slug_match' END AS label FROM {OTHER} a JOIN {NAMES} b USING (p_brand) WHERE label IS NOT NULL")
+    """By name, by alias, without a suffix to either, and by names that lose their own suffix; the country named comes first."""
+    strip = lambda c: F.regexp_replace(c, STRIP, "")
+    alias = t.part.filter("p_size > 25").groupBy(F.concat_ws(" ", "p_name", F.lower("p_type"), F.lit("alias")).alias("name")).agg(F.min("p_partkey").alias("id"))
+    alias = alias.unionByName(t.part.groupBy(F.split("p_name", " ")[0].alias("name")).agg(F.min("p_partkey").alias("id"))).withColumn("country", F.lit(None).cast("string"))
+    return M.name_cascade(listings(t), "p_partkey", producers(t), alias, strip)
+
+
+@query("j26_confidence_label", f"SELECT p_partkey, CASE WHEN l = r THEN 'exact' WHEN contains(l, r) OR contains(r, l) THEN 'substring' WHEN regexp_replace(l, '{STRIP}', '') = regexp_replace(r, '{STRIP}', '') THEN 'suffix_stripped' ELSE 'slug_match' END AS label FROM (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' winery' WHEN 2 THEN p_name || ' cellars' WHEN 3 THEN p_name || ' family' ELSE lower(p_type) END AS l, CASE p_size % 5 WHEN 2 THEN p_name || ' estate' WHEN 3 THEN p_name || ' gmbh' ELSE p_name END AS r FROM part)")
 def j26(t):
-    a, b = other(t).withColumnRenamed("name", "l_name"), names(t).withColumnRenamed("name", "r_name")
-    label = (
-        F.when(F.col("l_name") == F.col("r_name"), "exact")
-        .when(F.contains("l_name", "r_name") | F.contains("r_name", "l_name"), "substring")
-        .when(N.slug("l_name") == N.slug("r_name"), "slug_match")
-    )
-    return a.join(b, "p_brand").withColumn("label", label).filter("label is not null")
+    """A listing's name and the producer's to which its page led: equal, one in the other, equal without suffixes, or by the page alone."""
+    k, name = F.col("p_size") % 5, F.col("p_name")
+    put = lambda word: F.concat(name, F.lit(f" {word}"))
+    rows = t.part.select("p_partkey", F.when(k == 0, name).when(k == 1, put("winery")).when(k == 2, put("cellars")).when(k == 3, put("family")).otherwise(F.lower("p_type")).alias("l"), F.when(k == 2, put("estate")).when(k == 3, put("gmbh")).otherwise(name).alias("r"))
+    a, b = N.normalise("l"), N.normalise("r")
+    strip = lambda c: F.regexp_replace(c, STRIP, "")
+    label = F.when(a == b, "exact").when(F.contains(a, b) | F.contains(b, a), "substring").when(strip(a) == strip(b), "suffix_stripped").otherwise("slug_match")
+    return rows.select("p_partkey", label.alias("label"))
 
 
 #: Producers: names that stand in one or more countries (here brands), some of them deleted, and listings that name a country.

@@ -106,8 +106,10 @@ def m11(t):
 
 @query("m12_first_element", "SELECT o_custkey, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey")
 def m12(t):
-    rows = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey"))).alias("v"))
-    return rows.select("o_custkey", F.get("v", F.lit(0))["o_orderkey"].alias("first_order"))
+    """The first element that a path leads to, of arrays of a bounded number of orders, and the first of a customer's arrays."""
+    orders = chunked(t.orders, "o_orderkey", "o_custkey", size=500)
+    rows = orders.groupBy("o_custkey", "chunk").agg(F.array_sort(F.collect_list(F.struct("o_orderkey"))).alias("v"))
+    return rows.groupBy("o_custkey").agg(F.min(F.get("v", F.lit(0))["o_orderkey"]).alias("first_order"))
 
 
 @query("m13_filled_fields", "SELECT o_orderkey, (CASE WHEN o_orderstatus <> 'O' THEN 1 ELSE 0 END) + 2 AS n FROM orders")
@@ -119,7 +121,8 @@ def m13(t):
 @query("m14_explode_levels", "SELECT c_custkey, o_orderkey, l_linenumber FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey")
 def m14(t):
     lines = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("lines"))
-    orders = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "lines")).alias("orders"))
+    orders = chunked(t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left"), "o_orderkey", "o_custkey", size=500)
+    orders = orders.groupBy("o_custkey", "chunk").agg(F.collect_list(F.struct("o_orderkey", "lines")).alias("orders"))  # 500 or so
     docs = t.customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "orders")
     per_order = docs.select("c_custkey", F.explode_outer("orders").alias("o"))
     return per_order.select("c_custkey", F.col("o.o_orderkey").alias("o_orderkey"), F.explode_outer("o.lines").alias("l_linenumber"))

@@ -125,16 +125,44 @@ def s18(t):
     return t.lineitem.agg(F.count("*").alias("n_rows"))
 
 
-@query("s19_schema", " UNION ALL ".join(f"SELECT table_name, count(*) AS n_columns, (SELECT count(*) FROM {n}) AS n_rows FROM (SELECT '{n}' AS table_name, unnest(['{c}'])) GROUP BY table_name" for n, c in [("region", "r_regionkey', 'r_name"), ("nation", "n_nationkey', 'n_name', 'n_regionkey"), ("supplier", "s_suppkey', 's_name', 's_nationkey', 's_acctbal")]))
+#: Columns of the tables, and those that refer to another table's key.
+TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+REFERENCES = {"nation": [("n_regionkey", "region", "r_regionkey")], "customer": [("c_nationkey", "nation", "n_nationkey")], "supplier": [("s_nationkey", "nation", "n_nationkey")], "orders": [("o_custkey", "customer", "c_custkey")], "lineitem": [("l_orderkey", "orders", "o_orderkey"), ("l_partkey", "part", "p_partkey"), ("l_suppkey", "supplier", "s_suppkey")], "labels": [("doc_id", "documents", "doc_id")]}
+#: Names of types in either engine.
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "array<float>": "FLOAT[]"}
+
+
+@query("s19_schema", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_columns, (SELECT count(*) FROM {n}) AS n_rows FROM (DESCRIBE {n})" for n in TABLE_NAMES))
 def s19(t):
     out = None
-    for name in ("region", "nation", "supplier"):
+    for name in TABLE_NAMES:
         df = getattr(t, name)
         row = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), F.lit(len(df.columns)).cast("long").alias("n_columns"), "n_rows")
         out = row if out is None else out.unionByName(row)
     return out
 
 
+@query("s19_references", " UNION ALL ".join(f"SELECT '{n}' AS table_name, '{c}' AS column_name, '{other}' AS refers_to, (SELECT count(*) FROM {n}) AS n_rows, (SELECT count(*) FROM {n} WHERE {c} NOT IN (SELECT {k} FROM {other})) AS dangling FROM (SELECT 1)" for n, refs in REFERENCES.items() for c, other, k in refs))
+def s19_references(t):
+    """Foreign keys with the rows that have one and those whose key is missing; nulls dangle not."""
+    out = None
+    for name, refs in REFERENCES.items():
+        df = getattr(t, name)
+        for column, other, key in refs:
+            known = getattr(t, other).select(F.col(key).alias(column)).distinct().withColumn("_there", F.lit(True))
+            found = df.select(column).join(known, column, "left").agg(F.count("*").alias("n_rows"), F.count_if(F.col(column).isNotNull() & F.col("_there").isNull()).alias("dangling"))
+            row = found.select(F.lit(name).alias("table_name"), F.lit(column).alias("column_name"), F.lit(other).alias("refers_to"), "n_rows", "dangling")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("s19_columns", " UNION ALL ".join(f"SELECT '{n}' AS table_name, column_name, column_type AS kind FROM (DESCRIBE {n})" for n in TABLE_NAMES))
+def s19_columns(t):
+    """Columns and types of all tables, from the files' schemas."""
+    rows = [(name, f.name, KINDS.get(f.dataType.simpleString(), f.dataType.simpleString())) for name in TABLE_NAMES for f in getattr(t, name).schema.fields]
+    return t._spark.createDataFrame(rows, "table_name string, column_name string, kind string")  # as many rows as columns
+
+
 ARTICLE = "(?s)<article>(.*?)</article>"
 
 

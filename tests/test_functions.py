@@ -505,3 +505,13 @@ def test_shapefiles_from_disk(spark, tmp_path):
     }
     with pytest.raises(ValueError):
         list(shapefiles.shapes_of(b"x" * 200))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_contained_pairs(spark, seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("ab ") for _ in range(r.choice([0, 1, 2, 3, 4, 6, 9])))
+    a, b = ([(k, word()) for k in "xy" for _ in range(40)] for _ in range(2))
+    want = {(k, m, n) for k, m in a for l, n in b if k == l and (m in n or n in m)}
+    got = matching.contained_pairs(*[spark.createDataFrame(side, "k string, name string") for side in (a, b)], "k")
+    assert {tuple(x) for x in got.collect()} == want
