@@ -125,6 +125,31 @@ def j23(t):
     return rows.select("l_orderkey", "l_linenumber", F.when(F.col("k"), "key").when(F.col("b"), "brand").alias("tier"), F.when(F.col("k"), 1.0).when(F.col("b"), 0.95).alias("confidence"))
 
 
+#: Listings of a producer (here a brand) with a code now and then, and the products that are known.
+OFFERS = "(SELECT p_partkey, p_brand, CASE WHEN p_size > 30 THEN p_partkey * 7 END AS code, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1] || 's' ELSE lower(p_type) END AS name FROM part)"
+PRODUCTS = "(SELECT p_brand, p_name AS name, min(p_partkey) AS id FROM part WHERE p_size % 2 = 0 GROUP BY 1, 2)"
+
+
+@query("j23_product_tiers", f"""
+WITH q AS (SELECT *, {WORD_TRIGRAMS.format(c='name')} AS g FROM {OFFERS}), k AS (SELECT p_partkey * 7 AS code, p_partkey AS id FROM part WHERE p_size > 40), d AS (SELECT *, {WORD_TRIGRAMS.format(c='name')} AS g FROM {PRODUCTS}),
+m AS (SELECT p_partkey, k.id, 0 AS n, 1.0 AS confidence FROM q JOIN k USING (code) UNION ALL SELECT p_partkey, d.id, 1, 0.95 FROM q JOIN d ON q.p_brand = d.p_brand AND q.name = d.name
+ UNION ALL SELECT p_partkey, id, 2, sim FROM (SELECT q.p_partkey, d.id, {SIM.format(a='q.g', b='d.g')} AS sim FROM q JOIN d ON q.p_brand = d.p_brand) WHERE sim > 0.4)
+SELECT p_partkey, id, ['key', 'exact', 'fuzzy'][n + 1] AS tier, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM m QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY n, confidence DESC, id) = 1""")
+def j23_product(t):
+    """A product by its code, by its name within the producer, or by the most similar name within the producer."""
+    k, w = F.col("p_size") % 3, F.split("p_name", " ")
+    name = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(w[1], F.lit(" "), w[0], F.lit("s"))).otherwise(F.lower("p_type"))
+    rows = t.part.select("p_partkey", "p_brand", F.when(F.col("p_size") > 30, F.col("p_partkey") * 7).alias("code"), name.alias("name"))
+    known = t.part.filter("p_size % 2 = 0").groupBy("p_brand", F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    codes = t.part.filter("p_size > 40").select((F.col("p_partkey") * 7).alias("code"), F.col("p_partkey").alias("id"))
+    by_code = rows.join(codes, "code").select("p_partkey", "id", F.col("id").alias("seq"))
+    exact = rows.join(known, ["p_brand", "name"]).select("p_partkey", "id", F.col("id").alias("seq"))
+    like = M.trigram_pairs(rows, known, 0.4, "p_brand", N.word_trigrams).filter("sim > 0.4").join(known.withColumnRenamed("name", "r_name"), ["p_brand", "r_name"])
+    fuzzy = rows.join(like.withColumnRenamed("l_name", "name"), ["p_brand", "name"]).select("p_partkey", "id", F.col("id").alias("seq"), "sim")
+    found = M.tiers([(by_code, "key", F.lit(1.0)), (exact, "exact", F.lit(0.95)), (fuzzy, "fuzzy", F.col("sim"))], "p_partkey", "id")
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
 @query("j24_scoped_promotion", "SELECT s_suppkey, arg_min(c_custkey, (CASE WHEN c_nationkey = s_nationkey THEN 0 ELSE 1 END, c_custkey)) AS c_custkey FROM supplier JOIN customer ON s_suppkey = c_custkey // 15 GROUP BY s_suppkey")
 def j24(t):
     a = t.supplier.withColumn("k", F.col("s_suppkey"))
