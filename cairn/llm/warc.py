@@ -4,12 +4,12 @@ Headers (identifier, length, SHA-256 of the payload) are shuffled by digest; of
 least ``min_bytes`` that repeat, the smallest identifier is the response and the others become
 revisits of it. Records get fresh headers and are written as WARC/1.1 files by Spark's text
 sink, whose line separator is the blank lines that end a record; a file holds about
-``file_bytes`` of records. Reading is driven by Content-Length, so payloads may hold anything.
+``file_bytes`` of records of pages of similar length, sixteen times that at most, or one record. Reading is driven by Content-Length, so payloads may hold anything.
 
 Cases: a null page has an empty payload; a null address leaves WARC-Target-URI out; of rows that
 repeat an identifier and payload all are responses, since none is larger; payloads under
 ``min_bytes`` are all responses; pages of any length are written whole, in a file of their own if
-they are long; an empty table gives an empty archive; further columns, whatever their names, are
+they are longer than ``file_bytes``; an empty table gives an empty archive; further columns, whatever their names, are
 not archived. Rows that repeat identifier and payload share a record identifier.
 """
 
@@ -46,13 +46,14 @@ def _record_id(page_id, digest):
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def records(pages: DataFrame, date: str | None = None, min_bytes: int = 100) -> DataFrame:
+def records(pages: DataFrame, date: str | None = None, min_bytes: int = 100, revisits: DataFrame | None = None) -> DataFrame:
     """One column ``value``: the text of each page's record, without the blank lines after it.
 
-    ``date`` is that of the headers, the time of writing if it is not given.
+    ``date`` is that of the headers, the time of writing if it is not given; ``revisits`` are those of all pages where
+    these are some of them.
     """
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    revisits = resolve_revisits(pages, min_bytes).select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "refers_to")
+    revisits = (resolve_revisits(pages, min_bytes) if revisits is None else revisits).select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "refers_to")
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("bytes"))
     rows = rows.join(revisits, (F.col("page_id") == F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
@@ -82,16 +83,28 @@ def records(pages: DataFrame, date: str | None = None, min_bytes: int = 100) ->
     return rows.select(F.concat(head, F.when(again, "").otherwise(F.col("html"))).alias("value"))
 
 
+#: Bytes of a page up to which it is short, and how much longer pages of the next class can be.
+SHORT, STEP = 8 << 10, 16
+
+
 def write_archives(pages: DataFrame, path: str, file_bytes: int = 16 << 20, **options) -> None:
-    """Write the records below ``path`` as gzip files of about ``file_bytes`` of payload."""
-    total = pages.agg(F.sum(F.octet_length("html")).alias("b"), F.count("*").alias("n")).first()
-    mean = (total["b"] or 0) / max(1, total["n"]) + 600
-    per_file = max(1, math.ceil(file_bytes / mean))
-    (
-        records(pages, **options)
-        .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file)
-        .text(path)
-    )
+    """Write the records below ``path`` as gzip files of about ``file_bytes``, at most ``STEP`` times that or one record.
+
+    Pages are written by classes of length, each with as many records a file as its mean length allows; in a
+    class no page is more than ``STEP`` times as long as the shortest (the shortest ones count as a header's length).
+    """
+    bytes_of = F.coalesce(F.octet_length("html"), F.lit(0))
+    length = F.when(bytes_of <= SHORT, 0).otherwise(F.ceil(F.log(float(STEP), bytes_of / SHORT))).cast("int")
+    classes = pages.groupBy(length.alias("class")).agg(F.avg(bytes_of).alias("mean")).collect()  # a row a class, ten or so
+    date = {"date": options.pop("date", None) or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")}
+    revisits = materialise(resolve_revisits(pages, **options), "revisits") if len(classes) > 1 else None
+    for row in classes or [{"class": 0, "mean": 0.0}]:
+        per_file = max(1, math.ceil(file_bytes / (row["mean"] + 600)))
+        (
+            records(pages.filter(length == row["class"]) if len(classes) > 1 else pages, revisits=revisits, **date, **options)
+            .write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file)
+            .text(path)
+        )
 
 
 HEADER = re.compile(rb"([A-Za-z-]+): ([^\r\n]*)\r\n")

@@ -475,6 +475,20 @@ def test_warc_files_are_valid_records(spark):
     assert joined.count() == 0
 
 
+def test_warc_files_are_bounded_however_lengths_are_mixed(spark):
+    """Two hundred long pages among thousands of short ones, in one partition: no file has more than one of them, and none is large."""
+    from cairn.session import shared_dir
+
+    pages = spark.createDataFrame([(i, "u", "p" * 400_000 + str(i) if i % 20 == 0 else f"short {i}") for i in range(4000)], "page_id long, url string, html string").coalesce(1)
+    path = shared_dir(spark, "warc-test")
+    warc.write_archives(pages, path, file_bytes=200_000)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").collect()
+    sizes = [[int(h["Content-Length"]) for h, _ in warc.parse_records(gzip.decompress(bytes(f["content"])))] for f in files]
+    assert sum(map(len, sizes)) == 4000
+    assert all(len(s) == 1 for s in sizes if max(s) > 1000) and max(map(sum, sizes)) < 16 * 200_000 and max(map(len, sizes)) > 100
+    assert warc.read_archives(spark, path).filter("octet_length(payload) = declared_bytes").count() == 4000
+
+
 def test_warc_long_pages_fresh_dates_and_shared_page_ids(spark):
     from cairn.session import shared_dir
 
