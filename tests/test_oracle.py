@@ -11,6 +11,10 @@ DATA = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+#: Queries that find nothing in the smallest tables.
+EMPTY: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -29,6 +33,7 @@ def rows(found, columns):
 def test_query(spark, duck, name):
     df = registry.queries()[name](spark, DATA)
     got = rows(df.collect(), df.columns)
+    assert got or name in EMPTY
     sql = registry.oracle_sql().get(name)
     if sql is None:
         assert got
