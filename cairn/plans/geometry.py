@@ -122,10 +122,20 @@ def e08(t):
     return edges.groupBy("p_brand").agg(F.round(area, 6).alias("area")).join(corners, "p_brand")
 
 
-@query("e09_geometry_type", "SELECT p_partkey, p_size % 3 < 2 AS polygon FROM part")
+def geometries(t):
+    """What is known of each part's boundary, as GeoJSON: a polygon, several, a point, or nothing."""
+    k = F.col("p_size") % 4
+    outline = F.transform("ring", lambda p: F.array(F.round(p[0], 6), F.round(p[1], 6)))
+    as_json = lambda kind, coordinates: F.to_json(F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")))
+    text = F.when(k == 0, as_json("Polygon", F.array(outline))).when(k == 1, as_json("MultiPolygon", F.array(F.array(outline)))).when(k == 2, as_json("Point", F.array("x", "y")))
+    return rings(t).select(F.lit("part").alias("entity_type"), F.col("p_partkey").alias("entity_id"), "x", "y", text.alias("geometry"))
+
+
+@query("e09_geometry_type", "SELECT p_partkey, p_size % 4 < 2 AS polygon FROM part")
 def e09(t):
-    kind = F.array(*map(F.lit, ["Polygon", "MultiPolygon", "Point"]))[F.col("p_size") % 3]
-    return t.part.select("p_partkey", kind.isin("Polygon", "MultiPolygon").alias("polygon"))
+    """Whether a boundary is there and is one of polygons, by the geometry itself."""
+    kind = F.get_json_object("geometry", "$.type")
+    return geometries(t).select(F.col("entity_id").alias("p_partkey"), F.coalesce(kind.isin("Polygon", "MultiPolygon"), F.lit(False)).alias("polygon"))
 
 
 @query("e10_boundaries", f"SELECT p_brand, count(*) AS n, round(min(x - r), 6) AS x0, round(max(x + r), 6) AS x1 FROM {XYR} JOIN (SELECT p_partkey, p_brand FROM part) USING (p_partkey) GROUP BY p_brand")
@@ -134,10 +144,26 @@ def e10(t):
     return b.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.min("b.x0"), 6).alias("x0"), F.round(F.max("b.x1"), 6).alias("x1"))
 
 
-@query("e11_visible", "SELECT n_nationkey FROM nation WHERE n_name IN (SELECT n_name FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 9000)")
+@query("e10_by_entity", f"SELECT l_orderkey, l_linenumber, p_partkey IS NOT NULL AS found, CASE WHEN p_size % 4 < 2 THEN round(x - r, 6) END AS lng, CASE WHEN p_size % 4 < 2 THEN 5 END AS points FROM lineitem LEFT JOIN {XYR} ON l_partkey = p_partkey AND p_size % 5 > 0")
+def e10_entity(t):
+    """The boundary of the entity that a row names: first corner and number of points of its outer ring, or that there is none."""
+    known = geometries(t).join(t.part.filter("p_size % 5 > 0").select(F.col("p_partkey").alias("entity_id")), "entity_id")
+    asked = t.lineitem.select("l_orderkey", "l_linenumber", F.lit("part").alias("entity_type"), F.col("l_partkey").alias("entity_id"))
+    one, many = F.from_json("geometry", "coordinates array<array<array<double>>>")["coordinates"], F.from_json("geometry", "coordinates array<array<array<array<double>>>>")["coordinates"]
+    kind = F.get_json_object("geometry", "$.type")
+    ring = F.when(kind == "Polygon", F.get(one, F.lit(0))).when(kind == "MultiPolygon", F.get(F.get(many, F.lit(0)), F.lit(0)))
+    found = asked.join(known.withColumn("ring", ring), ["entity_type", "entity_id"], "left")
+    return found.select("l_orderkey", "l_linenumber", F.col("x").isNotNull().alias("found"), F.get(F.get("ring", F.lit(0)), F.lit(0)).alias("lng"), F.when(F.col("ring").isNotNull(), F.size("ring")).alias("points"))
+
+
+@query("e11_visible", "SELECT n_name AS selected, s_name AS polygon FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON replace(c_name, 'Customer', 'Supplier') = s_name UNION SELECT n_name, n_name FROM nation")
 def e11(t):
-    seen = t.customer.filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"))
-    return t.nation.join(seen, "n_nationkey", "left_semi").select("n_nationkey")
+    """For each country that can be selected, the polygons to show: those named as one of its points, and its own."""
+    points = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("selected"), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("polygon"))
+    polygons = t.supplier.select(F.col("s_name").alias("polygon"), F.lit("estate").alias("kind")).unionByName(t.nation.select(F.col("n_name").alias("polygon"), F.lit("region").alias("kind")))
+    named = polygons.join(points, "polygon")
+    own = polygons.filter("kind = 'region'").withColumn("selected", F.col("polygon"))
+    return named.unionByName(own.select(*named.columns)).select("selected", "polygon").distinct()
 
 
 @query("j31_proximity", "SELECT c_custkey FROM (SELECT c_custkey, pow(sin(radians(la2 - la1) / 2), 2) + cos(radians(la1)) * cos(radians(la2)) * pow(sin(radians(lo2 - lo1) / 2), 2) AS h FROM (SELECT c_custkey, c_nationkey * 3.0 - 40 AS la1, c_nationkey * 7.0 - 90 AS lo1, c_custkey % 90 - 45.0 AS la2, c_custkey % 180 - 90.0 AS lo2 FROM customer)) WHERE 6371 * 2 * atan2(sqrt(h), sqrt(1 - h)) <= 5000")
