@@ -130,11 +130,14 @@ OFFERS = "(SELECT p_partkey, p_brand, CASE WHEN p_size > 30 THEN p_partkey * 7 E
 PRODUCTS = "(SELECT p_brand, p_name AS name, min(p_partkey) AS id FROM part WHERE p_size % 2 = 0 GROUP BY 1, 2)"
 
 
-@query("j23_product_tiers", f"""
+PRODUCT_TIERS = f"""
 WITH q AS (SELECT *, {WORD_TRIGRAMS.format(c='name')} AS g FROM {OFFERS}), k AS (SELECT p_partkey * 7 AS code, p_partkey AS id FROM part WHERE p_size > 40), d AS (SELECT *, {WORD_TRIGRAMS.format(c='name')} AS g FROM {PRODUCTS}),
 m AS (SELECT p_partkey, k.id, 0 AS n, 1.0 AS confidence FROM q JOIN k USING (code) UNION ALL SELECT p_partkey, d.id, 1, 0.95 FROM q JOIN d ON q.p_brand = d.p_brand AND q.name = d.name
  UNION ALL SELECT p_partkey, id, 2, sim FROM (SELECT q.p_partkey, d.id, {SIM.format(a='q.g', b='d.g')} AS sim FROM q JOIN d ON q.p_brand = d.p_brand) WHERE sim > 0.4)
-SELECT p_partkey, id, ['key', 'exact', 'fuzzy'][n + 1] AS tier, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM m QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY n, confidence DESC, id) = 1""")
+SELECT p_partkey, id, ['key', 'exact', 'fuzzy'][n + 1] AS tier, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM m QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY n, confidence DESC, id) = 1"""
+
+
+@query("j23_product_tiers", PRODUCT_TIERS)
 def j23_product(t):
     """A product by its code, by its name within the producer, or by the most similar name within the producer."""
     k, w = F.col("p_size") % 3, F.split("p_name", " ")

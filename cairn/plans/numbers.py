@@ -110,9 +110,11 @@ def n11(t):
     return t.orders.select("o_orderkey", X.is_barcode(F.concat("o_orderkey", F.lit("0000"))).alias("valid"))
 
 
-@query("n12_key_prefix", "SELECT c_custkey, substr(c_name, 1, 7) AS prefix FROM customer")
+@query("n12_key_prefix", "SELECT c_custkey, CAST(1000000 + c_custkey AS VARCHAR) AS prefix FROM customer")
 def n12(t):
-    return t.customer.select("c_custkey", F.substring("c_name", 1, 7).alias("prefix"))
+    """The product of a code of eleven digits, which goes on with the vintage."""
+    code = F.concat((1000000 + F.col("c_custkey")).cast("string"), (2000 + F.col("c_nationkey")).cast("string"))
+    return t.customer.select("c_custkey", F.substring(code, 1, 7).alias("prefix"))
 
 
 @query("n13_cost", "SELECT conv_id, CAST(sum(length(text)) AS DOUBLE) * 0.25 / 1000000 AS cost FROM conversations GROUP BY conv_id")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import profile as P
 from cairn.operators import survivorship as S
+from cairn.plans.matching import PRODUCT_TIERS, j23_product
 from cairn.plans.registry import query
 from cairn.sources import sinks
 
@@ -103,6 +104,14 @@ def r10(t):
     return scored.groupBy("tier").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") >= 0.9).alias("accepted"))
 
 
+@query("r10_decisions", f"SELECT p_partkey, coalesce(tier, 'none') AS method, coalesce(confidence, 0) AS confidence, CASE WHEN confidence >= 0.9 THEN 'accepted' WHEN confidence IS NOT NULL THEN 'review' ELSE 'unmatched' END AS status FROM part LEFT JOIN ({PRODUCT_TIERS}) USING (p_partkey)")
+def r10_decisions(t):
+    """An audit row of each listing's match: by which tier, how sure, and whether it is taken, looked at or made anew."""
+    found = t.part.select("p_partkey").join(j23_product(t), "p_partkey", "left")
+    status = F.when(F.col("confidence") >= 0.9, "accepted").when(F.col("confidence").isNotNull(), "review").otherwise("unmatched")
+    return found.select("p_partkey", F.coalesce("tier", F.lit("none")).alias("method"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), status.alias("status"))
+
+
 @query("r11_quarantine", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand HAVING avg(p_size) > 26)) AND l_shipdate >= TIMESTAMP '1997-01-01'")
 def r11(t):
     bad = t.part.groupBy("p_brand").agg(F.avg("p_size").alias("m")).filter("m > 26").select("p_brand")
