@@ -126,6 +126,29 @@ def r12(t):
     return t.part.join(both, ["p_name", "p_type"], "left").join(name, "p_name", "left").select("p_partkey", F.coalesce("a", "b", F.lit("generic")).alias("category"))
 
 
+#: Kinds of each part as a listing: a grape, a colour, and now and then the name of a blend; and the categories that are known.
+KINDS = "(SELECT p_partkey, p_brand || ' ' || string_split(p_name, ' ')[2] AS grape, ['red', 'white', 'rose', NULL][p_size % 4 + 1] AS colour, CASE WHEN p_size % 7 = 0 THEN p_name || ' ' || p_type END AS blend FROM part)"
+CATEGORIES = "(SELECT grape, CASE WHEN p_partkey % 2 = 0 THEN 'red' ELSE 'white' END AS colour, min(p_partkey) AS v FROM (SELECT p_partkey, p_size, p_brand || ' ' || string_split(p_name, ' ')[2] AS grape FROM part) WHERE p_size > 45 GROUP BY 1, 2)"
+BLENDS = "(SELECT p_name || ' ' || p_type AS blend, min(p_partkey) AS v FROM part WHERE p_size > 47 GROUP BY 1)"
+
+
+@query("r12_category_tiers", f"""
+SELECT k.p_partkey, coalesce(b.v, c.v, r.v, a.v) AS v, CASE WHEN b.v IS NOT NULL THEN 'blend' WHEN c.v IS NOT NULL THEN 'grape and colour' WHEN r.v IS NOT NULL THEN 'rose as red' WHEN a.v IS NOT NULL THEN 'any colour' ELSE 'generic ' || coalesce(k.colour, 'unknown') END AS tier
+FROM {KINDS} k LEFT JOIN {BLENDS} b ON k.blend = b.blend LEFT JOIN {CATEGORIES} c ON k.grape = c.grape AND k.colour = c.colour
+LEFT JOIN {CATEGORIES} r ON k.grape = r.grape AND k.colour = 'rose' AND r.colour = 'red' LEFT JOIN (SELECT grape, min(v) AS v FROM {CATEGORIES} GROUP BY grape) a ON k.grape = a.grape""")
+def r12_tiers(t):
+    """A named blend, the grape in its colour, a rose by its red, the grape in any colour, or the generic category of the colour."""
+    grape = F.concat_ws(" ", "p_brand", F.split("p_name", " ")[1])
+    colours = F.array(*map(F.lit, ["red", "white", "rose"]), F.lit(None).cast("string"))
+    kinds = t.part.select("p_partkey", grape.alias("grape"), F.get(colours, F.col("p_size") % 4).alias("colour"), F.when(F.col("p_size") % 7 == 0, F.concat_ws(" ", "p_name", "p_type")).alias("blend"))
+    known = t.part.filter("p_size > 45").groupBy(grape.alias("grape"), F.when(F.col("p_partkey") % 2 == 0, "red").otherwise("white").alias("colour")).agg(F.min("p_partkey").alias("v"))
+    blends = t.part.filter("p_size > 47").groupBy(F.concat_ws(" ", "p_name", "p_type").alias("blend")).agg(F.min("p_partkey").alias("b"))
+    reds = known.filter("colour = 'red'").select("grape", F.lit("rose").alias("colour"), F.col("v").alias("r"))
+    found = kinds.join(blends, "blend", "left").join(known.withColumnRenamed("v", "c"), ["grape", "colour"], "left").join(reds, ["grape", "colour"], "left").join(known.groupBy("grape").agg(F.min("v").alias("a")), "grape", "left")
+    tier = F.when(F.col("b").isNotNull(), "blend").when(F.col("c").isNotNull(), "grape and colour").when(F.col("r").isNotNull(), "rose as red").when(F.col("a").isNotNull(), "any colour").otherwise(F.concat(F.lit("generic "), F.coalesce("colour", F.lit("unknown"))))
+    return found.select("p_partkey", F.coalesce("b", "c", "r", "a").alias("v"), tier.alias("tier"))
+
+
 @query("r13_catch_all", "SELECT c_custkey, coalesce(n.n_name, r.catch_all) AS place FROM customer LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0) n ON c_nationkey = n.n_nationkey LEFT JOIN (SELECT n_nationkey, 'any ' || r_name AS catch_all FROM nation JOIN region ON n_regionkey = r_regionkey) r ON c_nationkey = r.n_nationkey")
 def r13(t):
     exact = t.nation.filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
