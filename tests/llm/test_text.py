@@ -166,63 +166,98 @@ def test_classifier_odd_rows(spark, op):
 
 
 def edits(a, b):
-    row = list(range(len(b) + 1))
+    """Least number of characters wrong, missing, too many or swapped with the next one."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        new = [i]
+        row = [i]
         for j, y in enumerate(b, 1):
-            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+            row.append(min(row[-1] + 1, rows[-1][j] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                row[j] = min(row[j], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1]
+
+
+def plain_near(terms, allowed, word):
+    """{term: edits} of the terms within their edits of the word, stems of its beginning."""
+    found = {}
+    for i, ((term, stem, _), k) in enumerate(zip(terms, allowed, strict=True)):
+        if stem:
+            far = edits(term, word[: len(term) + k])
+            d = far[-1] if k == 0 and len(word) <= len(term) else min(edits(term, word[:m])[-1] for m in range(len(term) + k + 1))
+        else:
+            d = edits(term, word)[-1] if abs(len(term) - len(word)) <= k else k + 1
+        if d <= k:
+            found[i] = d
+    return found
 
 
-def plain_search(terms, word):
+def plain_search(terms, allowed, word):
     """The term that weighs most in the word, by the edit distance to each."""
-    best = (-1, 0.0)
-    for i, (term, stem, value) in enumerate(terms):
-        d = min(edits(term, word[:k]) for k in range(len(word) + 1)) if stem else edits(term, word)
-        value *= toxicity.MISSPELLED**d if d == 0 or d == 1 and not stem and len(term) >= toxicity.FUZZY else 0
-        if value > best[1]:
-            best = (i, value)
-    return best
-
-
-def test_lexicon_search_equals_edit_distance():
-    terms = [("idiot", False, 2.0), ("clown", False, 3.0), ("scum", False, 1.0), ("achli", True, 1.5), ("crétin", False, 2.5), ("дурак", True, 1.0)]
-    lexicon = toxicity.Lexicon(terms, remembered=50)
+    hits = [(terms[i][2] * toxicity.MISSPELLED**d, -i) for i, d in plain_near(terms, allowed, word).items()]
+    weight, i = max(hits, default=(0.0, 1))
+    return -i, weight
+
+
+@pytest.mark.parametrize("states", [50_000, 20])
+def test_lexicon_search_equals_edit_distance(states):
+    terms = [("idiot", False, 2.0), ("clown", False, 3.0), ("scum", False, 1.0), ("achli", True, 1.5), ("crétin", False, 2.5), ("дурак", True, 1.0), ("downright", False, 2.0)]
     rng = random.Random(1)
-    words = ["idiot", "idot", "idioot", "ldiot", "idito", "clowns", "scum", "scun", "achlichen", "achl", "own", "cretin", "crètin", "дурачок", "дурка", "x" * 99]
+    words = ["idiot", "idot", "idioot", "ldiot", "idito", "clowns", "scum", "scun", "achlichen", "achl", "own", "cretin", "crètin", "дурачок", "дурка", "x" * 99, "downrigth", "donwrigth", ""]
     words += ["".join(rng.choice("idotclwnah") for _ in range(rng.randrange(1, 8))) for _ in range(400)]
-    for w, (term, weight) in zip(words, lexicon.match(words), strict=True):
-        assert (term, pytest.approx(weight)) == plain_search(terms, w), w
-    assert lexicon.match(["cretin"])[0][0] == 4
+    for term, _, _ in terms:
+        for _ in range(60):
+            w = list(term)
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(w) - 1)
+                w[i : i + 2] = rng.choice([[w[i + 1], w[i]], [w[i]], [w[i], w[i], w[i + 1]], ["q", w[i + 1]]]) if len(w) > 2 else w[i : i + 2]
+            words.append("".join(w) + rng.choice(["", "", "en"]))
+    for allowed in ([0] * 7, [1, 1, 0, 0, 1, 1, 2], [2, 1, 1, 1, 2, 0, 3]):
+        lexicon = toxicity.Lexicon(terms, allowed, remembered=50, states=states)
+        for w, (term, weight) in zip(words, lexicon.match(words), strict=True):
+            assert (term, pytest.approx(weight)) == plain_search(terms, allowed, w), (w, allowed)
+            assert lexicon.near(w) == plain_near(terms, allowed, w), (w, allowed)
+    sent = pickle.loads(pickle.dumps(toxicity.Lexicon(terms, [1] * 7, frozenset({"cretin", "downrights", "clown"}))))
+    assert sent.match(["cretin", "cretins", "downrights", "clown", "crretin"]) == [(-1, 0.0), (-1, 0.0), (-1, 0.0), (1, 3.0), (-1, 0.0)]
+    assert sent.match(["crtéin"]) == [(4, pytest.approx(2.5 * toxicity.MISSPELLED))]
     assert toxicity.Lexicon([]).match(["word"]) == [(-1, 0.0)]
 
 
 def plain_lexicon(rows):
-    """What ``learn_lexicon`` learns from all of (text, y)."""
-    tokens, docs, whole = Counter(), Counter(), Counter()
+    """What ``learn_lexicon`` learns from all of (text, y): terms, their edits, ordinary words."""
+    tokens, docs, whole, n = Counter(), Counter(), Counter(), Counter()
     for text, y in rows:
         own = Counter()
+        n[y] += 1
         for w in toxicity.WORD.findall(text.lower()):
             whole[y] += 1
             own[w, False] += 1
             for k in range(5, min(10, len(w) - 1) + 1):
                 own[w[:k], True] += 1
-        for key, n in own.items():
-            tokens[key, y] += n
+        for key, count in own.items():
+            tokens[key, y] += count
             docs[key, y] += 1
     found = []
     for term, stem in {k for k, _ in tokens}:
         t0, t1, d0, d1 = (c[(term, stem), y] for c in (tokens, docs) for y in (0, 1))
         if d1 >= 4:
-            least = math.log((t1 + 0.5) / whole[1] / ((t0 + 0.5) / whole[0])) - 2.5 * math.sqrt(1 / d1 + 1 / (d0 + 0.5))
-            if least >= math.log(5):
+            error = 2.5 * math.sqrt(1 / d1 + 1 / (d0 + 0.5))
+            least = math.log((t1 + 0.5) / whole[1] / ((t0 + 0.5) / whole[0])) - error
+            if least >= math.log(5) and math.log((d1 + 0.5) / n[1] / ((d0 + 0.5) / n[0])) - error >= math.log(2):
                 found.append((-least * math.sqrt(d1), stem, term, min(4.0, least)))
     terms = []
     for _, stem, term, least in sorted(found):
         if not any(term.startswith(t) or t.startswith(term) for t, _, _ in terms):
             terms.append((term, stem, least))
-    return terms
+    most = [(len(t) >= 4) + (len(t) >= 8) for t, _, _ in terms]
+    words = {k[0]: c for (k, y), c in docs.items() if y == 0 and not k[1]}
+    near = {w: plain_near(terms, most, w) for w in words}
+    near = {w: x for w, x in near.items() if x and 0 not in x.values()}
+    allowed = []
+    for i, k in enumerate(most):
+        heard = [sum(words[w] for w, x in near.items() if words[w] == 1 and x.get(i, 9) <= d) for d in range(1, k + 1)]
+        allowed.append(sum(x <= 0.002 * n[0] for x in heard))
+    return terms, allowed, {w for w, x in near.items() if words[w] > 1 and any(d <= allowed[i] for i, d in x.items())}
 
 
 def test_toxicity_query_equals_plain_version(spark):
@@ -231,7 +266,7 @@ def test_toxicity_query_equals_plain_version(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     fold = lambda i: zlib.crc32(str(i).encode()) % 5
     of = lambda folds: [(t, toxic[i]) for i, t in rows if t is not None and i in toxic and fold(i) in folds]
-    terms = plain_lexicon(of((1, 2)))
+    terms, allowed, ordinary = plain_lexicon(of((1, 2)))
     assert terms
 
     def features(text):
@@ -247,8 +282,7 @@ def test_toxicity_query_equals_plain_version(spark):
 
     def plain_found(word):
         if word not in remembered:
-            # A term of about the length at once; the others cannot match.
-            remembered[word] = plain_search(terms, word[:14]) if any(len(t) <= len(word) + 1 for t, _, _ in terms) else (-1, 0.0)
+            remembered[word] = plain_search(terms, [0] * len(terms) if word in ordinary else allowed, word)
         return remembered[word]
 
     train = of((3, 4))
@@ -259,6 +293,47 @@ def test_toxicity_query_equals_plain_version(spark):
         assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-6)
 
 
+def test_toxicity_of_misspelled_terms_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    lexicon = model.lexicon
+    plain = toxicity.ToxicityModel(toxicity.Lexicon(lexicon.terms))
+    plain.logistic = model.logistic
+    held = docs.join(labels, "doc_id").filter((calibrate.fold(F.col("doc_id")) == 0) & F.col("text").isNotNull()).select("text", "toxic").filter("toxic is not null").collect()
+    y = np.array([r["toxic"] == 1 for r in held])
+    right = ((model.score([r["text"] for r in held]) >= 0.5) == y).mean()
+    assert right >= 0.985
+    words = [i for i, (_, stem, _) in enumerate(lexicon.terms) if not stem]
+    no_stems = toxicity.ToxicityModel(toxicity.Lexicon([lexicon.terms[i] for i in words], [lexicon.edits[i] for i in words]))
+    no_stems.logistic = model.logistic
+    assert ((no_stems.score([r["text"] for r in held]) >= 0.5) == y).mean() < right - 0.02  # stems earn their place
+
+    terms = {lexicon.terms[i][0] for i in words}
+    rng = random.Random(7)
+
+    def spell(word, kind):
+        i = rng.choice([i for i in range(len(word) - 1) if word[i] != word[i + 1]])
+        return {
+            "swapped": word[:i] + word[i + 1] + word[i] + word[i + 2 :],
+            "doubled": word[:i] + word[i] + word[i:],
+            "dropped": word[:i] + word[i + 1 :],
+            "changed": word[:i] + "1" + word[i + 1 :],
+            "doubled and changed": word[:i] + word[i] + word[i] + "1" + word[i + 2 :],
+        }[kind]
+
+    texts = [r["text"] for r in held if r["toxic"] == 1 and terms & set(toxicity.WORD.findall(r["text"].lower()))]
+    assert len(texts) > 30
+    for kind in ("swapped", "doubled", "dropped", "changed"):
+        wrong = [toxicity.WORD.sub(lambda m: spell(m.group(), kind) if m.group().lower() in terms else m.group(), t) for t in texts]  # noqa: B023
+        assert (model.score(wrong) >= 0.5).mean() >= 0.95, kind
+        assert (plain.score(wrong) >= 0.5).mean() < 0.1, kind
+    long = [i for i in words if lexicon.edits[i] >= 2]
+    assert long
+    for i in long * 20:  # the others allow one edit only, so that two in one word are found in longer terms alone
+        wrong = spell(lexicon.terms[i][0], "doubled and changed")
+        assert lexicon.match([wrong])[0][0] == i, wrong
+
+
 def test_quality_query_equals_plain_version(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
     good = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
