@@ -10,10 +10,12 @@ another one an order for bytes that no language has seen in their context. The l
 tree needs the fewest bits wins, and the score is its posterior probability.
 
 Bytes are folded first: A-Z lower-cased, digits, other ASCII printables, and white space with controls are
-one symbol each; all other bytes stay as they are. Every language and every training row counts.
-Nodes are left out by their share of their own language's 4-grams only: less than ``min_share``,
-or, where the trees would have more than ``max_cells`` cells (4-grams times languages), the least
-fourfold of it at which they fit. Counts of shorter contexts are taken before that, from all rows.
+one symbol each; all other bytes stay as they are. Every language, every training row and every node
+counts. Where the trees would have more than ``max_cells`` cells (nodes times languages), they are cut
+into zones of contexts by the two bytes before the last one; texts pass one zone after another and
+sum up what it says of the bytes whose contexts it holds, with the same result. A zone has at most
+``max_cells`` cells, or the nodes of one such pair (157 and 157^2 at most) and the short contexts (as
+many), so the driver and a task never hold more than that.
 
 Cases: a text that is null or has no letter (Unicode categories L*) is ``und`` with score 0;
 without training rows every text is ``und``; ties go to the first language in alphabetical order;
@@ -185,11 +187,13 @@ class Order:
 class Trees:
     """Context trees of several languages, compiled to code lengths.
 
-    ``orders`` has (lang, gram, n) as arrays for the grams of 4, 3, 2 and 1 bytes, as numbers.
+    ``orders`` has (lang, gram, n) as arrays for the grams of 4, 3, 2 and 1 bytes, as numbers. With a
+    ``zone``, those of 4 and 3 bytes are the ones whose two bytes before the last are in that range, and only
+    bytes after such a pair are charged.
     """
 
-    def __init__(self, langs: list[str], orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]], symbols: int = SYMBOLS):
-        self.langs = langs
+    def __init__(self, langs: list[str], orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]], symbols: int = SYMBOLS, zone: tuple[int, int] | None = None):
+        self.langs, self.zone = langs, zone
         self.orders = [Order(ORDER + 1 - o, len(langs), *rows) for o, rows in enumerate(orders)]
         for high, low in zip(self.orders[:-1], self.orders[1:], strict=True):
             high.leave_for(low)
@@ -233,7 +237,13 @@ class Trees:
             grams = grams_of(raw[at : at + BLOCK + ORDER])
             row = self.known.find(grams)
             bits = self.compiled[row]
-            new = np.flatnonzero(row == self.known.none)
+            unknown = row == self.known.none
+            if self.zone is not None:
+                pair = grams >> np.uint32(8) & np.uint32(0xFFFF)
+                here = (pair >= self.zone[0]) & (pair <= self.zone[1])
+                bits[~here] = 0
+                unknown &= here
+            new = np.flatnonzero(unknown)
             if len(new):
                 bits[new] = self.code_lengths(grams[new])
             low, high = at + ORDER, at + ORDER + len(grams)
@@ -248,55 +258,117 @@ class Trees:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language of each text and its posterior probability."""
-        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-        use = [i for i, t in enumerate(texts) if t is not None and self.langs and LETTER.search(t)]
-        if use:
-            bits = self.total_bits([texts[i] for i in use])
-            best = bits.argmin(axis=1)
-            gap = np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)
-            posterior = 1 / np.exp2(-gap).sum(axis=1)
-            for i, b, p in zip(use, best.tolist(), posterior.tolist(), strict=True):
-                langs[i], scores[i] = self.langs[b], p
-        return langs, scores
-
-
-def gram_tables(grams: DataFrame, langs: list[str], totals: list[int], min_share: float, max_cells: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(lang, gram, n) of the nodes of each order, from all of (lang, gram, n), which tasks have counted."""
-    spark = grams.sparkSession
-    known = F.broadcast(spark.createDataFrame([(x, i, float(n)) for i, (x, n) in enumerate(zip(langs, totals, strict=True))], "lang string, k int, total double"))
-    sizes = [F.struct(F.lit(size).alias("size"), F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("g")) for size in range(ORDER + 1, 0, -1)]
-    nodes = grams.select("lang", "n", F.explode(F.array(*sizes)).alias("x")).groupBy("lang", "x.size", "x.g").agg(F.sum("n").alias("n")).join(known, "lang")
-    nodes = materialise(nodes.select("k", "size", "g", "n", (F.col("n") / F.col("total")).alias("share")), "nodes")
-    shares = [min_share * 4**i for i in range(16)]
-    counts = nodes.agg(*[F.count(F.when(F.col("share") >= x, 1)) for x in shares]).first()
-    share = next((x for x, n in zip(shares, counts, strict=True) if n * len(langs) <= max_cells), shares[-1])
-    found = nodes.filter(F.col("share") >= share).select("k", "size", "g", "n").toPandas()
-    parts = [found[found["size"] == size] for size in range(ORDER + 1, 0, -1)]
-    return [(p["k"].to_numpy(np.int64), p["g"].to_numpy(np.int64), p["n"].to_numpy(np.float64)) for p in parts]
-
-
-def train(labelled: DataFrame, min_share: float = 1e-8, max_cells: int = 1 << 24) -> Trees:
-    """Fit the trees on all rows of (lang, text)."""
+        use = [i for i, t in enumerate(texts) if charged(t)]
+        bits = np.zeros((len(texts), len(self.langs)))
+        if use and self.langs:
+            bits[use] = self.total_bits([texts[i] for i in use])
+        return decide(self.langs, texts, bits)
+
+
+def charged(text: str | None) -> bool:
+    """Whether a text has a letter."""
+    return text is not None and LETTER.search(text) is not None
+
+
+def decide(langs: list[str], texts: list[str | None], bits: np.ndarray) -> tuple[list[str], list[float]]:
+    """The language of fewest bits of each text and its posterior probability."""
+    found, scores = ["und"] * len(texts), [0.0] * len(texts)
+    if langs and texts:
+        best = bits.argmin(axis=1)
+        gap = np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)
+        posterior = 1 / np.exp2(-gap).sum(axis=1)
+        for i, text in enumerate(texts):
+            if charged(text):
+                found[i], scores[i] = langs[best[i]], float(posterior[i])
+    return found, scores
+
+
+class Forest:
+    """The counted nodes (k, size, g, n) as a table, and the zones in which trees are made of them."""
+
+    def __init__(self, langs: list[str], nodes: DataFrame, zones: list[tuple[int, int]]):
+        self.langs, self.nodes, self.zones = langs, nodes, zones
+
+    def trees(self, zone: tuple[int, int]) -> Trees:
+        nodes = self.nodes.filter((F.col("size") < ORDER) | pair_of_context().between(*zone))
+        found = nodes.select("k", "size", "g", "n").toPandas()
+        parts = [found[found["size"] == size] for size in range(ORDER + 1, 0, -1)]
+        orders = [(p["k"].to_numpy(np.int64), p["g"].to_numpy(np.int64), p["n"].to_numpy(np.float64)) for p in parts]
+        return Trees(self.langs, orders, zone=zone if len(self.zones) > 1 else None)
+
+
+def pair_of_context() -> Column:
+    """The two bytes before the last one of a gram ``g`` of three or four."""
+    return F.shiftrightunsigned("g", 8).bitwiseAND(F.lit(0xFFFF))
+
+
+def cut_zones(cells: dict[int, int], max_cells: int) -> list[tuple[int, int]]:
+    """Ranges of pairs that have at most ``max_cells`` cells each, or are one pair."""
+    low, size, zones = 0, 0, []
+    for pair, n in sorted(cells.items()):
+        if size and size + n > max_cells:
+            zones.append((low, pair - 1))
+            low, size = pair, 0
+        size += n
+    return [*zones, (low, 0xFFFF)]
+
+
+def train(labelled: DataFrame, max_cells: int = 1 << 24) -> Forest:
+    """Count the nodes of all orders over all rows of (lang, text)."""
+    spark = labelled.sparkSession
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), "text").filter("lang is not null and text is not null and text <> ''")
     grams = materialise(count_grams(rows), "grams")
-    totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row a language
-    langs = sorted(totals)
-    return Trees(langs, gram_tables(grams, langs, [totals[x] for x in langs], min_share, max_cells)) if langs else Trees([], [(np.zeros(0, np.int64),) * 3] * (ORDER + 1))
+    langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())  # one row a language
+    known = F.broadcast(spark.createDataFrame(list(enumerate(langs)), "k int, lang string"))
+    sizes = [F.struct(F.lit(size).alias("size"), F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("g")) for size in range(ORDER + 1, 0, -1)]
+    nodes = grams.select("lang", "n", F.explode(F.array(*sizes)).alias("x")).groupBy("lang", "x.size", "x.g").agg(F.sum("n").alias("n"))
+    nodes = materialise(nodes.join(known, "lang").select("k", "size", "g", "n"), "nodes")
+    cells = nodes.filter(F.col("size") >= ORDER).select("size", "g").distinct().groupBy(pair_of_context().alias("pair")).agg(F.count("*").alias("n"))
+    return Forest(langs, nodes, cut_zones({r["pair"]: r["n"] * len(langs) for r in cells.collect()}, max_cells))  # at most 157^2 rows
 
 
-def identify(docs: DataFrame, trees: Trees) -> DataFrame:
+def identify(docs: DataFrame, forest: Forest) -> DataFrame:
     """Each row as struct ``row`` with ``lid``: lang_pred and score."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    model = spark.sparkContext.broadcast(trees)
+    langs, answer = forest.langs, "struct<lang_pred: string, score: double>"
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
-    def predict(text: pa.Array) -> pa.Array:
-        langs, scores = model.value.predict(text.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+    def answers(found: tuple[list[str], list[float]]) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], names=["lang_pred", "score"])
 
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    return rows.withColumn("lid", predict(F.col("row.text")))
+    if len(forest.zones) == 1:
+        model = spark.sparkContext.broadcast(forest.trees(forest.zones[0]))
+
+        @F.arrow_udf(answer)
+        def predict(text: pa.Array) -> pa.Array:
+            return answers(model.value.predict(text.to_pylist()))
+
+        return rows.withColumn("lid", predict(F.col("row.text")))
+
+    def charge(sent):
+        @F.arrow_udf("array<double>")
+        def add(text: pa.Array, spent: pa.Array) -> pa.Array:
+            texts = text.to_pylist()
+            use = [i for i, t in enumerate(texts) if charged(t)]
+            bits = np.array(spent.to_pylist(), float).reshape(len(texts), len(langs))
+            if use:
+                bits[use] += sent.value.total_bits([texts[i] for i in use])
+            return pa.array(list(bits), pa.list_(pa.float64()))
+
+        return add
+
+    @F.arrow_udf(answer)
+    def choose(text: pa.Array, spent: pa.Array) -> pa.Array:
+        texts = text.to_pylist()
+        return answers(decide(langs, texts, np.array(spent.to_pylist(), float).reshape(len(texts), len(langs))))
+
+    rows = rows.withColumn("bits", F.array_repeat(F.lit(0.0), len(langs)))
+    for zone in forest.zones:
+        sent = spark.sparkContext.broadcast(forest.trees(zone))
+        rows = materialise(rows.select("row", charge(sent)(F.col("row.text"), F.col("bits")).alias("bits")), "zone")
+        sent.unpersist()
+    return rows.select("row", choose(F.col("row.text"), F.col("bits")).alias("lid"))
 
 
 def fit_and_identify(docs: DataFrame) -> DataFrame:

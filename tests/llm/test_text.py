@@ -83,7 +83,7 @@ def plain_bits(train, text):
 
 
 def plain_orders(texts):
-    """What ``gram_tables`` gives, from {language: texts}."""
+    """The nodes of each order, from {language: texts}."""
     rows = {lang: [g for t in ts for g in language_id.own_grams([t]).tolist()] for lang, ts in texts.items()}
     out = []
     for size in (4, 3, 2, 1):
@@ -123,19 +123,43 @@ def test_language_query_equals_plain_ppm(spark):
             assert r["score"] == pytest.approx(1 / sum(2 ** (min(bits) - b) for b in bits), abs=1e-3)
 
 
-def test_languages_are_pruned_by_their_own_share(spark):
+def test_trees_in_zones_say_the_same(spark):
     rng = random.Random(3)
-    junk = ["".join(rng.choice("bcdfghjklmnp") for _ in range(9)) for _ in range(300)]
-    rows = [("big", "the quick brown fox jumps over the lazy dog " * 400)] * 50 + [("big", x) for x in junk] + [("rare", "съешь ещё этих мягких французских булок")]
-    trees = language_id.train(spark.createDataFrame(rows, "lang string, text string"), max_cells=1000)
-    assert trees.langs == ["big", "rare"]
-    assert len(trees.known.keys) < 300  # those of the junk are gone, those of the rare language are not
-    assert trees.predict(["мягких булок", "quick fox"])[0] == ["rare", "big"]
+    junk = ["".join(rng.choice("bcdfghjklmnp ") for _ in range(40)) for _ in range(60)]
+    rows = [("big", "the quick brown fox jumps over the lazy dog " * 9)] * 5 + [("big", x) for x in junk] + [("rare", "съешь ещё этих мягких французских булок")]
+    learned = {x: [t for la, t in rows if la == x] for x in ("big", "rare")}
+    df = spark.createDataFrame(rows, "lang string, text string")
+    texts = [(i, t) for i, t in enumerate(["мягких булок", "quick fox", "жук", "nfgb mlk", None, "", "½²", "the " * 3000, junk[0], "日本 x"])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("bits", F.lit("clash"))
+    whole, cut = language_id.train(df), language_id.train(df, max_cells=1000)
+    assert len(whole.zones) == 1 and len(cut.zones) > 4
+    assert cut.zones[0][0] == 0 and cut.zones[-1][1] == 0xFFFF and all(a[1] + 1 == b[0] for a, b in zip(cut.zones, cut.zones[1:], strict=False))
+    nodes = {g for t in learned["big"] + learned["rare"] for g in language_id.own_grams([t]).tolist()}
+    assert len(whole.trees((0, 0xFFFF)).known.keys) == len(nodes) + 1  # every node is there
+    assert max(len(cut.trees(z).known.keys) for z in cut.zones) < 600
+    for forest in (whole, cut):
+        got = {r["doc_id"]: r["lid"] for r in language_id.identify(docs, forest).select("row.doc_id", "lid").collect()}
+        for i, t in texts:
+            if t is None or not language_id.LETTER.search(t):
+                assert tuple(got[i]) == ("und", 0.0)
+            else:
+                bits = [plain_bits(learned[x], t) for x in ("big", "rare")]
+                assert got[i]["lang_pred"] == ("big", "rare")[bits.index(min(bits))], t
+                assert got[i]["score"] == pytest.approx(1 / sum(2 ** -min(b - min(bits), 1000) for b in bits), abs=1e-3)
+    assert language_id.identify(docs.limit(0), cut).count() == 0
+
+
+def test_languages_stay_when_the_corpus_is_repeated(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.select("lang", "text")
+    once, ten = (language_id.identify(docs, language_id.train(x)) for x in (rows, rows.crossJoin(spark.range(10)).drop("id")))
+    got = [{r["doc_id"]: r["lang_pred"] for r in x.select("row.doc_id", "lid.lang_pred").collect()} for x in (once, ten)]
+    assert got[0] == got[1]
 
 
 def test_more_than_64_languages_and_scripts(spark):
     rows = [(f"l{k:03}", " ".join(chr(0x4E00 + 40 * k + j) for j in range(40))) for k in range(90)]
-    trees = language_id.train(spark.createDataFrame(rows, "lang string, text string"))
+    trees = language_id.train(spark.createDataFrame(rows, "lang string, text string")).trees((0, 0xFFFF))
     assert len(trees.langs) == 90
     assert trees.predict([t for _, t in rows])[0] == [x for x, _ in rows]
 
