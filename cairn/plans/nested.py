@@ -6,7 +6,7 @@ from cairn.functions import nested as M
 from cairn.operators.dedup import filled_fields
 from cairn.plans.registry import query
 from cairn.plans.scans import chunked
-from cairn.session import shared_dir
+from cairn.session import shared_dir, spread
 
 
 def tagged(t):
@@ -96,7 +96,7 @@ def m10_scores(t):
     """Scores of a publication, of a critic, of the publication once more, and of the same critic once more."""
     w = F.split("p_name", " ")
     text = F.concat(F.format_string("<p><b>%d Points + Top %s</b> &ndash; <em> The Paper </em><br>", F.col("p_size"), F.col("p_brand")), F.format_string("<b>%d points</b> &#8211; %s,<br/>", F.col("p_size"), w[1]), F.format_string("<b>%d Point</b> – The Paper</p><b>77 Points</b> – The Paper<br>", F.col("p_size")), F.format_string("<b>%d Points</b> – %s", F.col("p_size"), w[1]))
-    return t.part.select("p_partkey", F.posexplode(M.structured_scores(text)).alias("i", "s")).select("p_partkey", "i", "s.*")
+    return spread(t.part.select("p_partkey", "p_name", "p_brand", "p_size")).select("p_partkey", F.posexplode(M.structured_scores(text)).alias("i", "s")).select("p_partkey", "i", "s.*")
 
 
 @query("m11_split_list", "SELECT p_partkey, array_to_string(string_split(p_name, ' '), '+') AS parts FROM part")
