@@ -49,12 +49,12 @@ NOT_ASCII = r"[^\x00-\x7F]"
 
 @F.arrow_udf(T.StringType())
 def _without_marks(text: pa.Array) -> pa.Array:
-    return pa.array([t if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn") for t in text.to_pylist()], pa.string())
+    return pa.array(("".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn") if (t := x.as_py()) is not None else None for x in text), pa.string())
 
 
 @F.arrow_udf(T.StringType())
 def _composed(text: pa.Array) -> pa.Array:
-    return pa.array([t if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
+    return pa.array((unicodedata.normalize("NFC", t) if (t := x.as_py()) is not None else None for x in text), pa.string())
 
 
 def strip_accents(c: str | Column) -> Column:
