@@ -396,6 +396,30 @@ def test_simplified_rings_equal_plain_version(spark):
     assert got == {k: len(to_size(ring)) for k, ring in rings.items()}
 
 
+def test_each_tolerance_counts_in_simplifying_to_a_size(spark):
+    """Rings of 128 corners stop at different tolerances: without any one of them, others come out."""
+    from cairn.plans import geometry as plans
+    from cairn.plans import registry
+
+    outline = geometry.regular_ring(F.col("x"), F.col("y"), F.col("r") + 0.1, 128)
+    rows = plans.rings(registry.Tables(spark, "/root/testdata/sf0.001")).select("p_partkey", outline.alias("ring")).collect()
+    near = lambda points: [[round(x, 5) for x in p] for p in points]
+
+    def to_size(ring, tolerances, most=1500):
+        ring = near(ring)
+        for tolerance in tolerances:
+            if len(json.dumps(ring)) <= most:
+                break
+            ring = near(plain_simplify(ring, tolerance))
+        return ring
+
+    every = (0.001, 0.002, 0.005, 0.01)
+    sizes = lambda tolerances: {r["p_partkey"]: len(to_size(r["ring"], tolerances)) for r in rows}
+    got = {r["p_partkey"]: r["n_points_fine"] for r in registry.queries()["e05_simplify_to_size"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == sizes(every) and max(got.values()) < 129
+    assert all(got != sizes([t for t in every if t != left_out]) for left_out in every)
+
+
 def test_folder_walk_lists_every_file(spark):
     from cairn.plans import registry
 
